@@ -74,7 +74,7 @@ class Codec:
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model)
         size = self.model.get_piece_size() - 1
         pieces = [self.model.id_to_piece(i) for i in range(size)]
-        self.table = [bytes(CHAR_TO_BYTE[c] for c in p) for p in pieces]
+        self.decode = Decoder(pieces).decode
         if alone is None:
             alone = {p: i for i, (p, got) in enumerate(zip(pieces, self.model.encode(pieces, out_type=int, num_threads=1), strict=True)) if got != [i]}
         self.alone = alone
@@ -98,13 +98,26 @@ class Codec:
     def encode(self, text: str | None) -> bytes:
         return self.encode_all([text])[0]
 
+
+class Decoder:
+    """The inverse byte mapping of the pieces, by id."""
+
+    def __init__(self, pieces: list[str]):
+        self.table = [bytes(CHAR_TO_BYTE[c] for c in p) for p in pieces]
+
     def decode(self, packed: bytes | None) -> bytes:
         """Ids outside the vocabulary raise."""
         table = self.table
         return b"".join([table[i] for i in np.frombuffer(packed, "<u4").tolist()]) if packed else b""
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
+def _decoder(model: bytes) -> Decoder:
+    pieces = sentencepiece.SentencePieceProcessor(model_proto=model)
+    return Decoder([pieces.id_to_piece(i) for i in range(pieces.get_piece_size() - 1)])
+
+
+@lru_cache(maxsize=1)
 def _codec(model: bytes, pattern: str) -> Codec:
     return Codec(model, pattern)
 
@@ -135,15 +148,15 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     return map_batches(keyed_text(docs, id_col, text_col), build, f"doc_id {kind}, packed binary")
 
 
-def decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id", packed_col: str = "packed") -> DataFrame:
+def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", packed_col: str = "packed") -> DataFrame:
     """(doc_id, packed, decoded): the bytes that the ids stand for; null ids give no bytes."""
     model = _model(encoded, path)
 
     def build():
-        codec = _codec(model.value, pattern)
+        decoder = _decoder(model.value)
 
         def convert(batch: pa.RecordBatch) -> pa.RecordBatch:
-            decoded = [codec.decode(p) for p in batch.column(1).to_pylist()]
+            decoded = [decoder.decode(p) for p in batch.column(1).to_pylist()]
             return pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded, pa.binary())], ["doc_id", "packed", "decoded"])
 
         return convert

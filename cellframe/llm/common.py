@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+SLICE = 500
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; one of our own only where it is unset."""
     context = spark.sparkContext
@@ -37,13 +40,16 @@ def written(frame: DataFrame, what: str) -> DataFrame:
 
 
 def map_batches(frame: DataFrame, build: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` of a batch function made once for each task by ``build``."""
+    """``mapInArrow`` of a batch function made once for each task by ``build``.
+
+    Batches are cut to ``SLICE`` rows, so that a worker holds few texts at a time.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         convert = build()
         for batch in batches:
-            if batch.num_rows:
-                yield convert(batch)
+            for start in range(0, batch.num_rows, SLICE):
+                yield convert(batch.slice(start, SLICE))
 
     return frame.mapInArrow(run, schema)
 

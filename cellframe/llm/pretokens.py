@@ -24,7 +24,7 @@ class SegmentCache:
     over ``max_chars`` (about 8 bytes of memory each).
     """
 
-    def __init__(self, pattern: str, compute: Callable[[list[str]], Iterable[Any]], combine: Callable[[list[Any]], Any], max_chars: int = 20_000_000):
+    def __init__(self, pattern: str, compute: Callable[[list[str]], Iterable[Any]], combine: Callable[[list[Any]], Any], max_chars: int = 6_000_000):
         self.find = regex.compile(pattern).findall
         self.compute = compute
         self.combine = combine

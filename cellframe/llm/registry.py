@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cellframe.llm import bpe, token_counts
+from cellframe.llm import bpe, gif, langid, licenses, secrets, token_counts, warc
 from cellframe.llm.common import read
 
 
@@ -13,7 +14,18 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     encoded = bpe.encode(read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
-    return bpe.digests(bpe.decode(encoded, path, public_tokenizers.PATTERN))
+    return bpe.digests(bpe.decode(encoded, path))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = langid.fit(langid.training_rows(docs))
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    return langid.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.recognise(read(spark, sf_dir, "documents"))
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,9 +34,44 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.archive(read(spark, sf_dir, "pages"), min_revisit_bytes=0)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+WARC_ORACLE = f"""
+WITH sized AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+kept AS (SELECT html, max(page_id) AS keep FROM sized GROUP BY html),
+digested AS (
+  SELECT page_id, keep, octet_length(encode(html)) AS payload_bytes, sha1(html) AS hex
+  FROM sized JOIN kept USING (html))
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
+  array_to_string([substr('{warc.BASE32}', 1 + CAST(((('0x' || substr(hex, 1 + 10 * (k // 8), 10))::BIGINT) >> (35 - 5 * (k % 8))) & 31 AS INTEGER), 1) for k in range(32)], '') AS payload_digest,
+  CASE WHEN page_id IS NOT DISTINCT FROM keep THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM keep THEN keep END AS refers_to
+FROM digested"""
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan_table(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_random")
+
+
+def op10_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gif.read_media(gif.store_texts(read(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_language_id": op2_language_id,
+    "op6_license_scan": op6_license_scan,
     "op7_token_counts": op7_token_counts,
+    "op8_warc": op8_warc,
+    "op9_secret_scan": op9_secret_scan,
+    "op10_gif_media": op10_gif_media,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_license_scan": licenses.oracle(),
+    "op8_warc": WARC_ORACLE,
+}

@@ -46,7 +46,7 @@ def test_tables(spark):
     rows = [(1, "the cat", "x"), (2, None, "y"), (2, None, "y"), (None, "", "z"), (3, "word " * 50_000, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, packed string")
     for frame in (docs, docs.limit(0)):
-        coded = bpe.decode(bpe.encode(frame, PATH, public_tokenizers.PATTERN), PATH, public_tokenizers.PATTERN)
+        coded = bpe.decode(bpe.encode(frame, PATH, public_tokenizers.PATTERN), PATH)
         got = sorted(map(tuple, bpe.digests(coded).collect()), key=repr)
         want = []
         for i, text, _ in rows if frame is docs else []:
