@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellframe.llm import bpe, gif, langid, licenses, secrets, token_counts, warc
+from cellframe.llm import bpe, decontaminate, gif, jaccard, langid, licenses, secrets, token_counts, warc
 from cellframe.llm.common import read
 
 
@@ -24,6 +24,29 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+JACCARD_ORACLE = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(w) - 3, 2)), lambda k: array_to_string(w[k:k+4], ' '))) AS s
+  FROM words WHERE len(w) > 0),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM sets x JOIN sets y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM common JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * c >= 80 * (p.n + q.n - c)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM words UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b)
+SELECT words.doc_id, CAST(coalesce(max(n), 0) AS BIGINT) AS n_shingles, min(reach.b) AS component_id
+FROM words LEFT JOIN sizes ON sizes.doc_id = words.doc_id JOIN reach ON reach.a = words.doc_id
+GROUP BY words.doc_id"""
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.recognise(read(spark, sf_dir, "documents"))
 
@@ -64,6 +87,8 @@ def op10_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_language_id": op2_language_id,
+    "op4_decontaminate": op4_decontaminate,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_license_scan": op6_license_scan,
     "op7_token_counts": op7_token_counts,
     "op8_warc": op8_warc,
@@ -72,6 +97,8 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op4_decontaminate": decontaminate.ORACLE,
+    "op5_jaccard_join": JACCARD_ORACLE,
     "op6_license_scan": licenses.oracle(),
     "op8_warc": WARC_ORACLE,
 }
