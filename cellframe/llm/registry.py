@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellframe.llm import bpe, decontaminate, gif, jaccard, langid, licenses, secrets, token_counts, warc
+from cellframe.llm import bpe, decontaminate, gif, jaccard, langid, licenses, secrets, suffix_dedup, token_counts, warc
 from cellframe.llm.common import read
 
 
@@ -24,6 +24,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(suffix_dedup.deduplicate(read(spark, sf_dir, "documents")))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -87,6 +91,7 @@ def op10_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_language_id": op2_language_id,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_decontaminate": op4_decontaminate,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_license_scan": op6_license_scan,
