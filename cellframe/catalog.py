@@ -2,5 +2,595 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from cellframe.functions import bits, encoding
+from cellframe.functions.metrics import L1, L2
+from cellframe.operators import joins, mutate, stats
+from cellframe.operators.tables import ArrayTable, BoxTable, MultiTable, SpatialTable
+from cellframe.plans import bounded
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a function under its name, with the SQL that gives the same rows."""
+
+    def keep(function):
+        QUERIES[function.__name__] = function
+        if sql:
+            ORACLES[function.__name__] = sql
+        return function
+
+    return keep
+
+
+def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+LINE_KEYS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+LINE_IDS = ("l_orderkey", "l_linenumber")
+LOW, HIGH = (10.0, 1000.0, 0.02, 0.0), (20.0, 20000.0, 0.05, 0.04)
+WINDOW_SQL = "l_quantity BETWEEN 10 AND 20 AND l_extendedprice BETWEEN 1000 AND 20000 AND l_discount BETWEEN 0.02 AND 0.05 AND l_tax BETWEEN 0 AND 0.04"
+LINE_SQL = "l_quantity, l_extendedprice, l_discount, l_tax, l_orderkey, l_linenumber"
+
+
+def lines(spark: SparkSession, sf_dir: str) -> SpatialTable:
+    return SpatialTable(_read(spark, sf_dir, "lineitem"), LINE_KEYS, LINE_IDS)
+
+
+def parts(spark: SparkSession, sf_dir: str) -> MultiTable:
+    return MultiTable(_read(spark, sf_dir, "part"), ("p_size", "p_retailprice"), ("p_partkey",))
+
+
+def order_boxes(spark: SparkSession, sf_dir: str) -> BoxTable:
+    """Per order the range of ship dates (seconds) and prices."""
+    seconds = F.unix_seconds(F.col("l_shipdate").cast("timestamp"))
+    boxes = _read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.min(seconds).alias("lo0"), F.min("l_extendedprice").alias("lo1"), F.max(seconds).alias("hi0"), F.max("l_extendedprice").alias("hi1"))
+    return BoxTable(boxes, ("lo0", "lo1"), ("hi0", "hi1"), ("l_orderkey",))
+
+
+BOX_SQL = """boxes AS (SELECT l_orderkey, min(CAST(epoch(l_shipdate) AS BIGINT)) AS lo0, min(l_extendedprice) AS lo1,
+  max(CAST(epoch(l_shipdate) AS BIGINT)) AS hi0, max(l_extendedprice) AS hi1 FROM lineitem GROUP BY l_orderkey)"""
+
+# --- scans ---
+
+
+@query(f"SELECT {LINE_SQL} FROM lineitem")
+def extent(spark, sf_dir):
+    return lines(spark, sf_dir).extent()
+
+
+@query("SELECT l_quantity, l_extendedprice, l_discount, l_tax FROM lineitem")
+def key_scan(spark, sf_dir):
+    return lines(spark, sf_dir).key_set()
+
+
+@query("SELECT count(*) AS n FROM lineitem")
+def count_entries(spark, sf_dir):
+    return lines(spark, sf_dir).count()
+
+
+@query(f"SELECT {LINE_SQL} FROM lineitem WHERE false")
+def clear_table(spark, sf_dir):
+    return lines(spark, sf_dir).clear().extent()
+
+
+@query(f"WITH {BOX_SQL} SELECT lo0, lo1, hi0, hi1, l_orderkey FROM boxes")
+def box_scan(spark, sf_dir):
+    return order_boxes(spark, sf_dir).extent()
+
+
+@query("""SELECT lpad(bin(l_partkey), 64, '0') || ',' || lpad(bin(l_suppkey), 64, '0') || '  v=' || CAST(l_linenumber AS VARCHAR) AS line FROM lineitem""")
+def text_dump(spark, sf_dir):
+    return SpatialTable(_read(spark, sf_dir, "lineitem"), ("l_partkey", "l_suppkey"), ("l_linenumber",)).dump()
+
+
+# --- windows ---
+
+
+@query(f"SELECT {LINE_SQL} FROM lineitem WHERE {WINDOW_SQL}")
+def window_4d(spark, sf_dir):
+    return lines(spark, sf_dir).window(LOW, HIGH)
+
+
+@query(f"SELECT {LINE_SQL} FROM lineitem WHERE false")
+def window_contradictory(spark, sf_dir):
+    return lines(spark, sf_dir).window(HIGH, LOW)
+
+
+@query(f"SELECT {LINE_SQL} FROM lineitem WHERE {WINDOW_SQL} AND l_returnflag = 'R'")
+def window_filtered(spark, sf_dir):
+    return lines(spark, sf_dir).window(LOW, HIGH, where=F.col("l_returnflag") == "R")
+
+
+@query("SELECT p_size, p_retailprice, p_partkey FROM part WHERE p_size BETWEEN 10 AND 20")
+def window_1d_range(spark, sf_dir):
+    table = SpatialTable(_read(spark, sf_dir, "part"), ("p_size",), ("p_retailprice", "p_partkey"))
+    return table.window((10,), (20,)).select("p_size", "p_retailprice", "p_partkey")
+
+
+@query("SELECT l_partkey, l_suppkey, l_orderkey, l_linenumber FROM lineitem WHERE l_partkey BETWEEN 100 AND 900 AND l_suppkey BETWEEN 10 AND 60")
+def window_long(spark, sf_dir):
+    return SpatialTable(_read(spark, sf_dir, "lineitem"), ("l_partkey", "l_suppkey"), LINE_IDS).window((100, 10), (900, 60))
+
+
+@query(f"""SELECT l_orderkey, l_extendedprice * (1 - l_discount) AS net FROM (SELECT * FROM lineitem WHERE {WINDOW_SQL} AND l_returnflag = 'R'
+  ORDER BY {LINE_SQL} LIMIT 40)""")
+def query_all_limit(spark, sf_dir):
+    net = (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("net")
+    return lines(spark, sf_dir).query_all(LOW, HIGH, limit=40, where=F.col("l_returnflag") == "R", select=["l_orderkey", net])
+
+
+@query(f"SELECT {LINE_SQL} FROM lineitem WHERE {WINDOW_SQL}")
+def query_all_list(spark, sf_dir):
+    return lines(spark, sf_dir).query_all(LOW, HIGH)
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE (l_partkey | 5) = l_partkey AND (l_partkey & 2047) = l_partkey")
+def masked_range(spark, sf_dir):
+    return _read(spark, sf_dir, "lineitem").filter(bits.in_mask(F.col("l_partkey"), 5, 2047)).select("l_orderkey", "l_linenumber", "l_partkey")
+
+
+@query("SELECT count(*) > 0 AS found FROM lineitem WHERE (l_partkey | 5) = l_partkey AND (l_partkey & 63) = l_partkey")
+def masked_any(spark, sf_dir):
+    hit = _read(spark, sf_dir, "lineitem").filter(bits.in_mask(F.col("l_partkey"), 5, 63))
+    return hit.limit(1).agg((F.count("*") > 0).alias("found"))
+
+
+# --- lookups ---
+
+
+def _probes(spark, sf_dir):
+    """Every third supplier key as a part key to look for; some do not exist in small tables."""
+    return _read(spark, sf_dir, "supplier").select((F.col("s_suppkey") * 29).alias("p_partkey"))
+
+
+PROBES = "probes AS (SELECT s_suppkey * 29 AS p_partkey FROM supplier)"
+
+
+@query(f"WITH {PROBES} SELECT p_partkey, p_name FROM probes JOIN part USING (p_partkey)")
+def point_get(spark, sf_dir):
+    return joins.lookup(_probes(spark, sf_dir), _read(spark, sf_dir, "part").select("p_partkey", "p_name"), ["p_partkey"])
+
+
+@query(f"WITH {PROBES} SELECT p_partkey, coalesce(p_name, 'none') AS p_name FROM probes LEFT JOIN part USING (p_partkey)")
+def point_get_or_default(spark, sf_dir):
+    return joins.lookup_or_default(_probes(spark, sf_dir), _read(spark, sf_dir, "part"), ["p_partkey"], "p_name", "none")
+
+
+@query(f"WITH {PROBES} SELECT p_partkey FROM probes WHERE EXISTS (SELECT 1 FROM part WHERE part.p_partkey = probes.p_partkey)")
+def point_contains(spark, sf_dir):
+    return joins.lookup(_probes(spark, sf_dir), _read(spark, sf_dir, "part").select("p_partkey"), ["p_partkey"], "left_semi")
+
+
+@query(f"WITH {PROBES} SELECT p_partkey FROM probes WHERE NOT EXISTS (SELECT 1 FROM part WHERE part.p_partkey = probes.p_partkey)")
+def point_lacks(spark, sf_dir):
+    return joins.lookup(_probes(spark, sf_dir), _read(spark, sf_dir, "part").select("p_partkey"), ["p_partkey"], "left_anti")
+
+
+@query("SELECT p_partkey FROM part WHERE p_size = 7 AND p_retailprice BETWEEN 950 AND 950")
+def point_get_single(spark, sf_dir):
+    return parts(spark, sf_dir).get((7, 950.0))
+
+
+# --- balls and neighbours ---
+
+
+DIST_P = "sqrt((CAST(p_size AS DOUBLE) - 25.0) * (CAST(p_size AS DOUBLE) - 25.0) + (p_retailprice - 1200.0) * (p_retailprice - 1200.0))"
+
+
+@query(f"SELECT * FROM (SELECT p_size, p_retailprice, p_partkey, {DIST_P} AS dist FROM part) WHERE dist <= 60.0")
+def range_l2(spark, sf_dir):
+    return parts(spark, sf_dir).within((25.0, 1200.0), 60.0, L2())
+
+
+@query("SELECT * FROM (SELECT p_size, p_retailprice, p_partkey, abs(CAST(p_size AS DOUBLE) - 25.0) + abs(p_retailprice - 1200.0) AS dist FROM part) WHERE dist <= 60.0")
+def range_l1(spark, sf_dir):
+    return parts(spark, sf_dir).within((25.0, 1200.0), 60.0, L1())
+
+
+@query("""SELECT * FROM (SELECT l_partkey, l_suppkey, l_orderkey, l_linenumber, sqrt((CAST(l_partkey AS DOUBLE) - 500) * (CAST(l_partkey AS DOUBLE) - 500) + (CAST(l_suppkey AS DOUBLE) - 50) * (CAST(l_suppkey AS DOUBLE) - 50)) AS dist
+  FROM lineitem) WHERE dist <= 25""")
+def range_long(spark, sf_dir):
+    return SpatialTable(_read(spark, sf_dir, "lineitem"), ("l_partkey", "l_suppkey"), LINE_IDS).within((500, 50), 25)
+
+
+@query(f"SELECT p_size, p_retailprice, p_partkey, {DIST_P} AS dist FROM part ORDER BY dist, p_size, p_retailprice, p_partkey LIMIT 25")
+def knn_l2(spark, sf_dir):
+    return parts(spark, sf_dir).nearest(25, (25.0, 1200.0))
+
+
+@query(f"SELECT p_size, p_retailprice, p_partkey, {DIST_P} AS dist FROM part ORDER BY dist, p_size, p_retailprice, p_partkey LIMIT 25")
+def knn_two_pass(spark, sf_dir):
+    return bounded.nearest(parts(spark, sf_dir), 25, (25.0, 1200.0), share=0.1)
+
+
+@query("SELECT p_size, p_retailprice, p_partkey, abs(CAST(p_size AS DOUBLE) - 25.0) + abs(p_retailprice - 1200.0) AS dist FROM part ORDER BY dist, p_size, p_retailprice, p_partkey LIMIT 25")
+def knn_l1(spark, sf_dir):
+    return parts(spark, sf_dir).nearest(25, (25.0, 1200.0), L1())
+
+
+@query("SELECT c_acctbal, c_custkey, sqrt((c_acctbal - 100.0) * (c_acctbal - 100.0)) AS dist FROM customer ORDER BY dist, c_acctbal, c_custkey LIMIT 15")
+def knn_1d(spark, sf_dir):
+    return SpatialTable(_read(spark, sf_dir, "customer"), ("c_acctbal",), ("c_custkey",)).nearest(15, (100.0,))
+
+
+@query("""SELECT l_partkey, l_suppkey, l_orderkey, l_linenumber, sqrt((CAST(l_partkey AS DOUBLE) - 500) * (CAST(l_partkey AS DOUBLE) - 500) + (CAST(l_suppkey AS DOUBLE) - 50) * (CAST(l_suppkey AS DOUBLE) - 50)) AS dist
+  FROM lineitem ORDER BY dist, l_partkey, l_suppkey, l_orderkey, l_linenumber LIMIT 30""")
+def knn_long(spark, sf_dir):
+    return SpatialTable(_read(spark, sf_dir, "lineitem"), ("l_partkey", "l_suppkey"), LINE_IDS).nearest(30, (500, 50))
+
+
+@query(f"SELECT p_size, p_retailprice, p_partkey, {DIST_P} AS dist FROM part WHERE p_size <= 20 ORDER BY dist, p_size, p_retailprice, p_partkey LIMIT 10")
+def knn_filtered(spark, sf_dir):
+    return parts(spark, sf_dir).nearest(10, (25.0, 1200.0), where=F.col("p_size") <= 20)
+
+
+@query("""WITH q AS (SELECT CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings))
+SELECT vec_id, round(list_distance(CAST(embedding AS DOUBLE[]), q.e), 6) AS dist FROM embeddings, q ORDER BY dist, vec_id LIMIT 20""")
+def knn_embedding(spark, sf_dir):
+    table = _read(spark, sf_dir, "embeddings")
+    first = table.orderBy("vec_id").select("embedding").first()
+    return ArrayTable(table, "embedding", ("vec_id",)).nearest(20, first[0], decimals=6)
+
+
+@query("""WITH q AS (SELECT CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings))
+SELECT * FROM (SELECT vec_id, round(list_distance(CAST(embedding AS DOUBLE[]), q.e), 6) AS dist FROM embeddings, q) WHERE dist <= 1.2""")
+def range_embedding(spark, sf_dir):
+    table = _read(spark, sf_dir, "embeddings")
+    first = table.orderBy("vec_id").select("embedding").first()
+    return ArrayTable(table, "embedding", ("vec_id",)).within(first[0], 1.2, decimals=6)
+
+
+@query("SELECT vec_id FROM embeddings WHERE len(list_filter(embedding, lambda x: x < -0.3 OR x > 0.3)) = 0")
+def window_embedding(spark, sf_dir):
+    return ArrayTable(_read(spark, sf_dir, "embeddings"), "embedding", ("vec_id",)).window([-0.3] * 64, [0.3] * 64).select("vec_id")
+
+
+# --- boxes ---
+
+Q_LOW, Q_HIGH = (760_000_000, 5_000.0), (860_000_000, 60_000.0)
+
+
+@query(f"WITH {BOX_SQL} SELECT * FROM boxes WHERE lo0 BETWEEN 760000000 AND 860000000 AND hi0 BETWEEN 760000000 AND 860000000 AND lo1 BETWEEN 5000 AND 60000 AND hi1 BETWEEN 5000 AND 60000")
+def box_include(spark, sf_dir):
+    return order_boxes(spark, sf_dir).include(Q_LOW, Q_HIGH)
+
+
+@query(f"WITH {BOX_SQL} SELECT * FROM boxes WHERE lo0 <= 860000000 AND hi0 >= 760000000 AND lo1 <= 60000 AND hi1 >= 5000")
+def box_intersect(spark, sf_dir):
+    return order_boxes(spark, sf_dir).intersect(Q_LOW, Q_HIGH)
+
+
+@query(f"WITH {BOX_SQL} SELECT l_orderkey FROM (SELECT * FROM boxes WHERE lo0 <= 860000000 AND hi0 >= 760000000 AND lo1 <= 60000 AND hi1 >= 5000 AND l_orderkey % 2 = 0 ORDER BY lo0, lo1, hi0, hi1, l_orderkey LIMIT 30)")
+def box_intersect_list(spark, sf_dir):
+    return order_boxes(spark, sf_dir).intersect(Q_LOW, Q_HIGH, where=F.col("l_orderkey") % 2 == 0, limit=30, select=["l_orderkey"])
+
+
+@query(f"""WITH {BOX_SQL}, d AS (SELECT *, greatest(800000000.0 - hi0, lo0 - 800000000.0, 0.0) AS g0, greatest(30000.0 - hi1, lo1 - 30000.0, 0.0) AS g1 FROM boxes)
+SELECT lo0, lo1, hi0, hi1, l_orderkey, sqrt(g0 * g0 + g1 * g1) AS dist FROM d ORDER BY dist, lo0, lo1, hi0, hi1, l_orderkey LIMIT 20""")
+def box_knn_edge(spark, sf_dir):
+    return order_boxes(spark, sf_dir).nearest(20, (800_000_000, 30_000.0))
+
+
+@query(f"""WITH {BOX_SQL}, d AS (SELECT *, ((lo0 - 800000000::DOUBLE) + (hi0 - 800000000::DOUBLE)) / 2 AS g0, ((lo1 - 30000::DOUBLE) + (hi1 - 30000::DOUBLE)) / 2 AS g1 FROM boxes)
+SELECT lo0, lo1, hi0, hi1, l_orderkey, sqrt(g0 * g0 + g1 * g1) AS dist FROM d ORDER BY dist, lo0, lo1, hi0, hi1, l_orderkey LIMIT 20""")
+def box_knn_center(spark, sf_dir):
+    return order_boxes(spark, sf_dir).nearest(20, (800_000_000, 30_000.0), metric="center")
+
+
+# --- multimaps ---
+
+
+def bag(spark, sf_dir) -> MultiTable:
+    """Quantity and discount repeat a lot: a natural multimap."""
+    return MultiTable(_read(spark, sf_dir, "lineitem"), ("l_quantity", "l_discount"), LINE_IDS)
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity = 17.0 AND l_discount = 0.05")
+def multimap_get(spark, sf_dir):
+    return bag(spark, sf_dir).get((17.0, 0.05))
+
+
+@query("SELECT l_quantity, l_discount, l_orderkey, l_linenumber FROM lineitem WHERE l_quantity BETWEEN 5 AND 8 AND l_discount BETWEEN 0.01 AND 0.03")
+def multimap_window(spark, sf_dir):
+    return bag(spark, sf_dir).window((5.0, 0.01), (8.0, 0.03))
+
+
+@query("""WITH d AS (SELECT l_quantity, l_discount, l_orderkey, l_linenumber, sqrt((l_quantity - 20.3) * (l_quantity - 20.3) + (l_discount - 0.04) * (l_discount - 0.04)) AS dist FROM lineitem),
+r AS (SELECT *, dense_rank() OVER (ORDER BY dist, l_quantity, l_discount) AS k FROM d)
+SELECT l_quantity, l_discount, l_orderkey, l_linenumber, dist FROM r WHERE k <= 3""")
+def multimap_knn_positions(spark, sf_dir):
+    return bag(spark, sf_dir).nearest_positions(3, (20.3, 0.04))
+
+
+@query("""SELECT l_quantity, l_discount, l_orderkey, l_linenumber, sqrt((l_quantity - 20.3) * (l_quantity - 20.3) + (l_discount - 0.04) * (l_discount - 0.04)) AS dist FROM lineitem
+ORDER BY dist, l_quantity, l_discount, l_orderkey, l_linenumber LIMIT 12""")
+def multimap_knn_values(spark, sf_dir):
+    return bag(spark, sf_dir).nearest(12, (20.3, 0.04))
+
+
+@query("""SELECT * FROM (SELECT l_quantity, l_discount, l_orderkey, l_linenumber, sqrt((l_quantity - 20.3) * (l_quantity - 20.3) + (l_discount - 0.04) * (l_discount - 0.04)) AS dist FROM lineitem) WHERE dist <= 0.8""")
+def multimap_range(spark, sf_dir):
+    return bag(spark, sf_dir).within((20.3, 0.04), 0.8)
+
+
+@query("SELECT l_orderkey FROM (SELECT * FROM lineitem WHERE l_quantity BETWEEN 5 AND 8 AND l_discount BETWEEN 0.01 AND 0.03 ORDER BY l_quantity, l_discount, l_orderkey, l_linenumber LIMIT 20)")
+def multimap_query_all(spark, sf_dir):
+    return bag(spark, sf_dir).query_all((5.0, 0.01), (8.0, 0.03), limit=20, select=["l_orderkey"])
+
+
+@query("SELECT list(n ORDER BY n) AS names FROM (SELECT p_name AS n FROM part WHERE p_size = 7)")
+def multimap_collect(spark, sf_dir):
+    table = MultiTable(_read(spark, sf_dir, "part"), ("p_size",), ("p_name",))
+    return table.grouped((7,)).select(F.transform("values", lambda v: v["p_name"]).alias("names"))
+
+
+# --- mutations ---
+
+
+def _base(spark, sf_dir):
+    return _read(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice")
+
+
+def _changes(spark, sf_dir):
+    """Suppliers as changes of parts: keys 2, 4, 6 ... and some beyond the table."""
+    return _read(spark, sf_dir, "supplier").select((F.col("s_suppkey") * 41).alias("p_partkey"), F.col("s_nationkey").alias("p_size"), F.col("s_acctbal").alias("p_retailprice"))
+
+
+BASE = "base AS (SELECT p_partkey, p_size, p_retailprice FROM part), changes AS (SELECT s_suppkey * 41 AS p_partkey, s_nationkey AS p_size, s_acctbal AS p_retailprice FROM supplier)"
+K = ["p_partkey"]
+
+
+@query(f"WITH {BASE} SELECT * FROM base ANTI JOIN changes USING (p_partkey) UNION ALL SELECT * FROM changes")
+def put_upsert(spark, sf_dir):
+    return mutate.put(_base(spark, sf_dir), _changes(spark, sf_dir), K)
+
+
+@query(f"""WITH {BASE}, seq AS (SELECT p_partkey % 97 AS p_partkey, p_size, p_retailprice, row_number() OVER (PARTITION BY p_partkey % 97 ORDER BY p_partkey DESC) AS n FROM changes),
+last AS (SELECT p_partkey, p_size, p_retailprice FROM seq WHERE n = 1) SELECT * FROM base ANTI JOIN last USING (p_partkey) UNION ALL SELECT * FROM last""")
+def put_sequence(spark, sf_dir):
+    changes = _changes(spark, sf_dir).withColumn("seq", F.col("p_partkey")).withColumn("p_partkey", F.col("p_partkey") % 97)
+    return mutate.put(_base(spark, sf_dir), changes, K, sequence="seq")
+
+
+@query(f"WITH {BASE} SELECT DISTINCT changes.p_partkey, base.p_size AS previous, base.p_partkey IS NOT NULL AS found FROM changes LEFT JOIN base USING (p_partkey)")
+def put_previous(spark, sf_dir):
+    return mutate.previous(_base(spark, sf_dir), _changes(spark, sf_dir), K, "p_size")
+
+
+@query(f"WITH {BASE} SELECT * FROM base UNION ALL SELECT * FROM changes ANTI JOIN base USING (p_partkey)")
+def put_if_absent(spark, sf_dir):
+    return mutate.put_if_absent(_base(spark, sf_dir), _changes(spark, sf_dir), K)
+
+
+@query(f"WITH {BASE} SELECT * FROM base ANTI JOIN changes USING (p_partkey)")
+def remove_keys(spark, sf_dir):
+    return mutate.remove(_base(spark, sf_dir), _changes(spark, sf_dir).select("p_partkey"), K)
+
+
+@query(f"WITH {BASE} SELECT * FROM base WHERE NOT EXISTS (SELECT 1 FROM changes c WHERE c.p_partkey = base.p_partkey AND c.p_size IS NOT DISTINCT FROM base.p_size)")
+def remove_pairs(spark, sf_dir):
+    return mutate.remove_pairs(_base(spark, sf_dir), _changes(spark, sf_dir).select("p_partkey", "p_size"), K, "p_size")
+
+
+@query(f"WITH {BASE} SELECT base.p_partkey, CASE WHEN c.p_partkey IS NOT NULL THEN c.p_size ELSE base.p_size END AS p_size, base.p_retailprice FROM base LEFT JOIN changes c USING (p_partkey)")
+def replace_present(spark, sf_dir):
+    return mutate.replace(_base(spark, sf_dir), _changes(spark, sf_dir), K, "p_size")
+
+
+@query("""WITH c AS (SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_size ELSE -1 END AS old, p_size + 100 AS new FROM part WHERE p_partkey % 3 = 0)
+SELECT part.p_partkey, CASE WHEN c.old = p_size THEN new ELSE p_size END AS p_size FROM part LEFT JOIN c USING (p_partkey)""")
+def replace_cas(spark, sf_dir):
+    base = _base(spark, sf_dir).select("p_partkey", "p_size")
+    changes = base.filter("p_partkey % 3 = 0").select("p_partkey", F.when(F.col("p_partkey") % 2 == 0, F.col("p_size")).otherwise(-1).alias("old"), (F.col("p_size") + 100).alias("new"))
+    return mutate.compare_and_set(base, changes, K, "p_size", "old", "new")
+
+
+MOVES = "m AS (SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN p_partkey + 1 ELSE p_partkey + 10000000 END AS new_key FROM part WHERE p_partkey % 2 = 0)"
+
+
+def _moves(base):
+    new = F.when(F.col("p_partkey") % 4 == 0, F.col("p_partkey") + 1).otherwise(F.col("p_partkey") + 10_000_000)
+    return base.filter("p_partkey % 2 = 0").select("p_partkey", new.alias("new_key"))
+
+
+@query(f"""WITH {MOVES}, ok AS (SELECT m.* FROM m WHERE new_key NOT IN (SELECT p_partkey FROM part))
+SELECT coalesce(ok.new_key, part.p_partkey) AS p_partkey, p_size FROM part LEFT JOIN ok USING (p_partkey)""")
+def update_key(spark, sf_dir):
+    base = _base(spark, sf_dir).select("p_partkey", "p_size")
+    return mutate.move(base, _moves(base), K, ["new_key"])
+
+
+@query(f"""WITH {MOVES} SELECT new_key AS p_partkey, p_size FROM part JOIN m USING (p_partkey)
+UNION ALL SELECT p_partkey, p_size FROM part WHERE p_partkey NOT IN (SELECT p_partkey FROM m) AND p_partkey NOT IN (SELECT new_key FROM m)""")
+def update_key_overwrite(spark, sf_dir):
+    base = _base(spark, sf_dir).select("p_partkey", "p_size")
+    return mutate.move(base, _moves(base), K, ["new_key"], on_conflict="overwrite")
+
+
+ASKED = "b AS (SELECT p_partkey, p_size FROM part), a AS (SELECT s_suppkey * 41 AS p_partkey, s_nationkey AS arg FROM supplier)"
+
+
+def _asked(spark, sf_dir):
+    return _changes(spark, sf_dir).select("p_partkey", F.col("p_size").alias("arg"))
+
+
+@query(f"""WITH {ASKED}, f AS (SELECT p_partkey, b.p_size AS old, b.p_partkey IS NOT NULL AS held, arg, a.p_partkey IS NOT NULL AS asked FROM b FULL JOIN a USING (p_partkey)),
+r AS (SELECT p_partkey, CASE WHEN NOT asked THEN old WHEN arg < 5 THEN NULL ELSE coalesce(old, 0) + arg END AS p_size, asked FROM f)
+SELECT p_partkey, p_size FROM r WHERE p_size IS NOT NULL OR NOT asked""")
+def compute_merge(spark, sf_dir):
+    base = _base(spark, sf_dir).select("p_partkey", "p_size")
+    return mutate.compute(base, _asked(spark, sf_dir), K, "p_size", lambda v, held: F.when(F.col("arg") >= 5, F.coalesce(v, F.lit(0)) + F.col("arg")))
+
+
+@query(f"""WITH {ASKED} SELECT * FROM b UNION ALL SELECT p_partkey, arg * 2 AS p_size FROM a ANTI JOIN b USING (p_partkey)""")
+def compute_if_absent(spark, sf_dir):
+    base = _base(spark, sf_dir).select("p_partkey", "p_size")
+    return mutate.compute(base, _asked(spark, sf_dir), K, "p_size", lambda v, held: F.col("arg") * 2, when="absent")
+
+
+@query(f"""WITH {ASKED} SELECT p_partkey, CASE WHEN a.p_partkey IS NOT NULL THEN p_size + arg ELSE p_size END AS p_size FROM b LEFT JOIN a USING (p_partkey) WHERE a.p_partkey IS NULL OR arg >= 5""")
+def compute_if_present(spark, sf_dir):
+    base = _base(spark, sf_dir).select("p_partkey", "p_size")
+    return mutate.compute(base, _asked(spark, sf_dir), K, "p_size", lambda v, held: F.when(F.col("arg") >= 5, v + F.col("arg")), when="present")
+
+
+def _pairs(spark, sf_dir):
+    return _read(spark, sf_dir, "lineitem").select("l_quantity", "l_linenumber")
+
+
+@query("SELECT l_quantity, l_linenumber FROM lineitem UNION ALL SELECT l_quantity, 9 AS l_linenumber FROM lineitem WHERE l_quantity < 3")
+def bag_put(spark, sf_dir):
+    pairs = _pairs(spark, sf_dir)
+    return mutate.bag_put(pairs, pairs.filter("l_quantity < 3").withColumn("l_linenumber", F.lit(9)))
+
+
+@query("SELECT l_quantity, l_linenumber FROM lineitem EXCEPT ALL SELECT DISTINCT l_quantity, l_linenumber FROM lineitem WHERE l_quantity < 10")
+def bag_remove(spark, sf_dir):
+    pairs = _pairs(spark, sf_dir)
+    return mutate.bag_remove(pairs, pairs.filter("l_quantity < 10").distinct())
+
+
+@query("""WITH n AS (SELECT l_quantity, l_linenumber, row_number() OVER (PARTITION BY l_quantity, l_linenumber) AS k FROM lineitem)
+SELECT CASE WHEN k = 1 AND l_quantity < 10 THEN l_quantity + 1000 ELSE l_quantity END AS l_quantity, l_linenumber FROM n""")
+def bag_move(spark, sf_dir):
+    pairs = _pairs(spark, sf_dir)
+    moves = pairs.filter("l_quantity < 10").distinct().withColumn("new_quantity", F.col("l_quantity") + 1000)
+    return mutate.bag_move(pairs, moves, ["l_quantity"], ["new_quantity"])
+
+
+@query("""WITH n AS (SELECT l_quantity, l_linenumber, row_number() OVER (PARTITION BY l_quantity, l_linenumber) AS k FROM lineitem)
+SELECT l_quantity, CASE WHEN k = 1 AND l_quantity < 10 THEN l_linenumber + 50 ELSE l_linenumber END AS l_linenumber FROM n WHERE NOT (k = 1 AND l_quantity < 10 AND l_linenumber = 1)""")
+def bag_compute(spark, sf_dir):
+    pairs = _pairs(spark, sf_dir)
+    asked = pairs.filter("l_quantity < 10").distinct()
+    return mutate.bag_compute(pairs, asked, ["l_quantity"], "l_linenumber", lambda v: F.when(v != 1, v + 50))
+
+
+@query("SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_partkey % 3 <> 0")
+def set_insert_delete(spark, sf_dir):
+    rows = _read(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey")
+    inserted = mutate.set_insert(rows.filter("l_partkey % 2 = 0").distinct(), rows)
+    return mutate.set_delete(inserted, rows.filter("l_partkey % 3 = 0"))
+
+
+# --- joins ---
+
+
+def _windows(spark, sf_dir):
+    """A window of part size and price around what each supplier has."""
+    s = _read(spark, sf_dir, "supplier")
+    return s.select("s_suppkey", F.col("s_nationkey").cast("double").alias("a0"), (F.col("s_nationkey") + 6.0).alias("b0"), (F.lit(900.0) + F.abs("s_acctbal") / 20).alias("a1"), (F.lit(930.0) + F.abs("s_acctbal") / 15).alias("b1"))
+
+
+WINDOWS = "w AS (SELECT s_suppkey, CAST(s_nationkey AS DOUBLE) AS a0, s_nationkey + 6.0::DOUBLE AS b0, 900.0::DOUBLE + abs(s_acctbal) / 20 AS a1, 930.0::DOUBLE + abs(s_acctbal) / 15 AS b1 FROM supplier)"
+
+
+@query(f"WITH {WINDOWS} SELECT s_suppkey, p_partkey FROM w JOIN part ON p_size BETWEEN a0 AND b0 AND p_retailprice BETWEEN a1 AND b1")
+def window_join(spark, sf_dir):
+    table = _read(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice")
+    return joins.window_join(table, _windows(spark, sf_dir), ["p_size", "p_retailprice"], ["a0", "a1"], ["b0", "b1"], units=[1.0, 10.0]).select("s_suppkey", "p_partkey")
+
+
+@query(f"WITH {WINDOWS} SELECT x.s_suppkey AS x, y.s_suppkey AS y FROM w x JOIN w y ON x.a0 <= y.b0 AND x.b0 >= y.a0 AND x.a1 <= y.b1 AND x.b1 >= y.a1")
+def box_join(spark, sf_dir):
+    w = _windows(spark, sf_dir)
+    x = w.select(*[F.col(c).alias(f"x_{c}") for c in w.columns])
+    y = w.select(*[F.col(c).alias(f"y_{c}") for c in w.columns])
+    met = joins.box_join(x, y, ["x_a0", "x_a1"], ["x_b0", "x_b1"], ["y_a0", "y_a1"], ["y_b0", "y_b1"], units=[1.0, 10.0])
+    return met.select(F.col("x_s_suppkey").alias("x"), F.col("y_s_suppkey").alias("y"))
+
+
+@query("SELECT s_suppkey, c_custkey, sqrt((c_acctbal - s_acctbal) * (c_acctbal - s_acctbal)) AS dist FROM supplier JOIN customer ON abs(c_acctbal - s_acctbal) <= 40.0")
+def distance_join(spark, sf_dir):
+    s = _read(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal")
+    c = _read(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
+    return joins.distance_join(c, s, ["c_acctbal"], ["s_acctbal"], 40.0).select("s_suppkey", "c_custkey", "dist")
+
+
+@query("""SELECT s_suppkey, c_custkey, dist, rank FROM (SELECT s_suppkey, c_custkey, sqrt((c_acctbal - s_acctbal) * (c_acctbal - s_acctbal)) AS dist,
+  CAST(row_number() OVER (PARTITION BY s_suppkey ORDER BY sqrt((c_acctbal - s_acctbal) * (c_acctbal - s_acctbal)), c_custkey) AS INTEGER) AS rank FROM supplier, customer) WHERE rank <= 5""")
+def knn_join(spark, sf_dir):
+    s = _read(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal")
+    c = _read(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
+    return joins.nearest_join(c, s, ["c_acctbal"], ["s_acctbal"], "s_suppkey", ["c_custkey"], 5, 10.0).select("s_suppkey", "c_custkey", "dist", "rank")
+
+
+# --- encodings, bits, statistics ---
+
+
+@query("SELECT c_custkey, c_acctbal AS decoded, row_number() OVER (ORDER BY c_acctbal, c_custkey) AS place FROM customer")
+def encode_roundtrip(spark, sf_dir):
+    table = _read(spark, sf_dir, "customer").withColumn("key", encoding.sortable_long(F.col("c_acctbal")))
+    place = F.row_number().over(Window.orderBy("key", "c_custkey")).cast("long")
+    return table.select("c_custkey", encoding.from_sortable_long(F.col("key")).alias("decoded"), place.alias("place"))
+
+
+@query("SELECT c_custkey, CAST(trunc(c_acctbal * 100.0::DOUBLE) AS BIGINT) AS key, CAST(trunc(c_acctbal * 100.0::DOUBLE) AS BIGINT) * (1 / 100.0::DOUBLE) AS decoded FROM customer")
+def encode_multiply(spark, sf_dir):
+    fixed = encoding.Multiply(100.0)
+    table = _read(spark, sf_dir, "customer").withColumn("key", fixed.pre(F.col("c_acctbal"), 0))
+    return table.select("c_custkey", "key", fixed.post(F.col("key"), 0).alias("decoded"))
+
+
+@query("SELECT min(p_size) AS min_p_size, min(p_retailprice) AS min_p_retailprice, max(p_size) AS max_p_size, max(p_retailprice) AS max_p_retailprice FROM part")
+def dimension_ranges(spark, sf_dir):
+    return stats.dimension_ranges(_read(spark, sf_dir, "part"), ["p_size", "p_retailprice"])
+
+
+ADDRESS = " + ".join(f"((((p_size >> {b}) & 1) * 2 + ((p_partkey >> {b}) & 1)) << {2 * b})" for b in range(16))
+
+
+@query(f"SELECT p_partkey, CAST({ADDRESS} AS BIGINT) AS z, CAST(row_number() OVER (ORDER BY {ADDRESS}, p_partkey) AS BIGINT) AS place FROM (SELECT p_partkey, CAST(p_size AS BIGINT) AS p_size FROM part)")
+def zorder_rank(spark, sf_dir):
+    table = _read(spark, sf_dir, "part")
+    keys = [F.col("p_size").cast("long"), F.col("p_partkey")]
+    place = F.row_number().over(Window.orderBy(bits.path(keys), "p_partkey")).cast("long")
+    return table.select("p_partkey", bits.interleave(keys, 16).alias("z"), place.alias("place"))
+
+
+@query("SELECT p_partkey, CAST(p_size AS BIGINT) AS a, p_partkey AS b FROM part")
+def zorder_roundtrip(spark, sf_dir):
+    table = _read(spark, sf_dir, "part").withColumn("z", bits.path([F.col("p_size").cast("long"), F.col("p_partkey")]))
+    return table.select("p_partkey", bits.from_path(F.col("z"), 0, 2).alias("a"), bits.from_path(F.col("z"), 1, 2).alias("b"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CAST(length(ltrim(bin(xor(l_partkey, l_suppkey)), '0')) AS INTEGER) AS conflict, bit_count(xor(l_partkey, l_suppkey))::INTEGER AS open, ((((l_partkey | 4503599627369216) + 1) & 1279) | 1) AS following FROM lineitem")
+def bit_functions(spark, sf_dir):
+    a, b = F.col("l_partkey"), F.col("l_suppkey")
+    # the oracle fills the same fixed bits up to bit 51, above which part keys have none
+    return _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", bits.conflicting_bits([a], [b]).alias("conflict"), bits.free_bits(a, b).cast("int").alias("open"), bits.next_address(a, 1, 1279).alias("following"))
+
+
+LEVEL_ROWS = f"""levels AS (SELECT unnest(range(0, 64)) AS level),
+cells AS (SELECT level, CASE WHEN level < 63 THEN l_partkey >> (level + 1) ELSE 0 END AS p0, CASE WHEN level < 63 THEN l_suppkey >> (level + 1) ELSE 0 END AS p1,
+  ((l_partkey >> level) & 1) * 2 + ((l_suppkey >> level) & 1) AS child FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem), levels),
+nodes AS (SELECT level, p0, p1, count(DISTINCT child) AS children FROM cells GROUP BY ALL)"""
+
+
+@query(f"WITH {LEVEL_ROWS} SELECT CAST(level AS INTEGER) AS level, count(*) AS n_nodes, CAST(sum(children) AS BIGINT) AS n_children, max(children) AS max_children FROM nodes WHERE children > 1 OR level = 63 GROUP BY level")
+def tree_stats(spark, sf_dir):
+    return stats.tree_stats(_read(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").distinct(), ["l_partkey", "l_suppkey"])
+
+
+DEPTH_ROWS = """levels AS (SELECT unnest(range(0, 64)) AS level), keys AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem),
+cells AS (SELECT level, l_partkey >> level AS p0, l_suppkey >> level AS p1, count(*) AS n, min(l_partkey) AS a, min(l_suppkey) AS b FROM keys, levels GROUP BY ALL),
+depths AS (SELECT max(level) AS level FROM cells WHERE n = 1 GROUP BY a, b)"""
+
+
+@query(f"WITH {DEPTH_ROWS} SELECT CAST(level AS INTEGER) AS level, count(*) AS n_entries FROM depths GROUP BY level")
+def entry_depths(spark, sf_dir):
+    return stats.entry_depths(_read(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").distinct(), ["l_partkey", "l_suppkey"])
+
+
+@query("""SELECT user_id, count(*) AS n_events, max(value) AS top FROM events WHERE value BETWEEN 10 AND 60 GROUP BY user_id""")
+def window_then_group(spark, sf_dir):
+    table = SpatialTable(_read(spark, sf_dir, "events"), ("value",), ("user_id",))
+    return table.window((10.0,), (60.0,)).groupBy("user_id").agg(F.count("*").alias("n_events"), F.max("value").alias("top"))
