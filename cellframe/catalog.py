@@ -520,7 +520,7 @@ def distance_join(spark, sf_dir):
 def knn_join(spark, sf_dir):
     s = _read(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal")
     c = _read(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
-    return joins.nearest_join(c, s, ["c_acctbal"], ["s_acctbal"], "s_suppkey", ["c_custkey"], 5, 10.0).select("s_suppkey", "c_custkey", "dist", "rank")
+    return joins.nearest_join(c, s, ["c_acctbal"], ["s_acctbal"], "s_suppkey", ["c_custkey"], 5).select("s_suppkey", "c_custkey", "dist", "rank")
 
 
 # --- encodings, bits, statistics ---

@@ -108,7 +108,9 @@ def next_address(v: Column, low: int, high: int) -> Column:
     One is added where only the free bits count, so carries run over the fixed ones.
     """
     fixed_ones = v.bitwiseOR(F.lit(~high).cast("long"))
-    return F.try_add(fixed_ones, F.lit(1).cast("long")).bitwiseAND(F.lit(high).cast("long")).bitwiseOR(F.lit(low).cast("long"))
+    largest = F.lit((1 << 63) - 1)
+    following = F.when(fixed_ones == largest, F.lit(-(1 << 63))).otherwise(F.try_add(fixed_ones, F.lit(1).cast("long")))
+    return following.bitwiseAND(F.lit(high).cast("long")).bitwiseOR(F.lit(low).cast("long"))
 
 
 def in_mask(key: Column, low: int, high: int) -> Column:

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from math import prod
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -114,15 +115,17 @@ def distance_join(points: DataFrame, queries: DataFrame, keys: Sequence[str], ce
     return far.filter(F.col("dist") <= radius)
 
 
-def nearest_join(points: DataFrame, queries: DataFrame, keys: Sequence[str], centers: Sequence[str], query_id: str, tie: Sequence[str], n: int, start_radius: float, metric: Metric | None = None) -> DataFrame:
+def nearest_join(points: DataFrame, queries: DataFrame, keys: Sequence[str], centers: Sequence[str], query_id: str, tie: Sequence[str], n: int, start_radius: float | None = None, metric: Metric | None = None) -> DataFrame:
     """The ``n`` nearest points of each query, with ``dist`` and ``rank``; ties by ``tie``.
 
     Radii grow fourfold: a query is done once ``n`` points lie within the radius, since no
     point outside can be nearer. Queries that outgrow the table's diameter take what there
-    is. Each round is a distance join of the queries still open, written to no driver.
+    is. The first radius is that of a ball which, were points even, held about 4n of them.
+    Each round is a distance join of the queries still open; a round's rows are kept in
+    executor storage and can be made again from their lineage.
     """
     metric = metric or L2()
-    ends = points.agg(*[F.min(k).alias(f"a{i}") for i, k in enumerate(keys)], *[F.max(k).alias(f"b{i}") for i, k in enumerate(keys)]).first()
+    ends = points.agg(*[F.min(k).alias(f"a{i}") for i, k in enumerate(keys)], *[F.max(k).alias(f"b{i}") for i, k in enumerate(keys)], F.count("*").alias("n")).first()
     if ends[0] is None or n <= 0:
         return distance_join(points, queries, keys, centers, 0.0, metric).limit(0).withColumn("rank", F.lit(0))
     qs = queries.agg(*[F.min(c) for c in centers], *[F.max(c) for c in centers]).first()
@@ -130,18 +133,21 @@ def nearest_join(points: DataFrame, queries: DataFrame, keys: Sequence[str], cen
     if qs[0] is not None:
         d = len(keys)
         widest = sum(max(float(ends[d + i]), float(qs[d + i])) - min(float(ends[i]), float(qs[i])) for i in range(d))
+    spread = [float(ends[len(keys) + i]) - float(ends[i]) for i in range(len(keys))]
+    even = (prod(x or 1.0 for x in spread) * 4 * n / ends["n"]) ** (1 / len(keys))
     order = Window.partitionBy(query_id).orderBy("dist", *tie)
-    open_, radius, done = queries, start_radius, None
+    open_, radius, done = queries, start_radius or even, None
     while True:
         last = radius >= widest
         near = distance_join(points, open_, keys, centers, max(radius, widest) if last else radius, metric)
         ranked = near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
         if last:
             return ranked if done is None else done.unionByName(ranked)
+        ranked = ranked.persist()
         full = ranked.groupBy(query_id).agg(F.max("rank").alias("_n")).filter(F.col("_n") == n).select(query_id)
         settled = ranked.join(full, query_id, "left_semi")
         done = settled if done is None else done.unionByName(settled)
-        open_ = open_.join(full, query_id, "left_anti")
+        open_ = open_.join(full, query_id, "left_anti").persist()
         if open_.isEmpty():
             return done
         radius *= 4
