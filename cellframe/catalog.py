@@ -174,25 +174,25 @@ def point_lacks(spark, sf_dir):
     return joins.lookup(_probes(spark, sf_dir), _read(spark, sf_dir, "part").select("p_partkey"), ["p_partkey"], "left_anti")
 
 
-@query("SELECT p_partkey FROM part WHERE p_size = 7 AND p_retailprice BETWEEN 950 AND 950")
+@query("SELECT p_partkey FROM part WHERE p_size = 10 AND p_retailprice = 900.1")
 def point_get_single(spark, sf_dir):
-    return parts(spark, sf_dir).get((7, 950.0))
+    return parts(spark, sf_dir).get((10, 900.1))
 
 
 # --- balls and neighbours ---
 
 
-DIST_P = "sqrt((CAST(p_size AS DOUBLE) - 25.0) * (CAST(p_size AS DOUBLE) - 25.0) + (p_retailprice - 1200.0) * (p_retailprice - 1200.0))"
+DIST_P = "sqrt((CAST(p_size AS DOUBLE) - 25.0) * (CAST(p_size AS DOUBLE) - 25.0) + (p_retailprice - 910.0) * (p_retailprice - 910.0))"
 
 
-@query(f"SELECT * FROM (SELECT p_size, p_retailprice, p_partkey, {DIST_P} AS dist FROM part) WHERE dist <= 60.0")
+@query(f"SELECT * FROM (SELECT p_size, p_retailprice, p_partkey, {DIST_P} AS dist FROM part) WHERE dist <= 12.5")
 def range_l2(spark, sf_dir):
-    return parts(spark, sf_dir).within((25.0, 1200.0), 60.0, L2())
+    return parts(spark, sf_dir).within((25.0, 910.0), 12.5, L2())
 
 
-@query("SELECT * FROM (SELECT p_size, p_retailprice, p_partkey, abs(CAST(p_size AS DOUBLE) - 25.0) + abs(p_retailprice - 1200.0) AS dist FROM part) WHERE dist <= 60.0")
+@query("SELECT * FROM (SELECT p_size, p_retailprice, p_partkey, abs(CAST(p_size AS DOUBLE) - 25.0) + abs(p_retailprice - 910.0) AS dist FROM part) WHERE dist <= 12.5")
 def range_l1(spark, sf_dir):
-    return parts(spark, sf_dir).within((25.0, 1200.0), 60.0, L1())
+    return parts(spark, sf_dir).within((25.0, 910.0), 12.5, L1())
 
 
 @query("""SELECT * FROM (SELECT l_partkey, l_suppkey, l_orderkey, l_linenumber, sqrt((CAST(l_partkey AS DOUBLE) - 500) * (CAST(l_partkey AS DOUBLE) - 500) + (CAST(l_suppkey AS DOUBLE) - 50) * (CAST(l_suppkey AS DOUBLE) - 50)) AS dist
@@ -203,17 +203,17 @@ def range_long(spark, sf_dir):
 
 @query(f"SELECT p_size, p_retailprice, p_partkey, {DIST_P} AS dist FROM part ORDER BY dist, p_size, p_retailprice, p_partkey LIMIT 25")
 def knn_l2(spark, sf_dir):
-    return parts(spark, sf_dir).nearest(25, (25.0, 1200.0))
+    return parts(spark, sf_dir).nearest(25, (25.0, 910.0))
 
 
 @query(f"SELECT p_size, p_retailprice, p_partkey, {DIST_P} AS dist FROM part ORDER BY dist, p_size, p_retailprice, p_partkey LIMIT 25")
 def knn_two_pass(spark, sf_dir):
-    return bounded.nearest(parts(spark, sf_dir), 25, (25.0, 1200.0), share=0.1)
+    return bounded.nearest(parts(spark, sf_dir), 25, (25.0, 910.0), share=0.1)
 
 
-@query("SELECT p_size, p_retailprice, p_partkey, abs(CAST(p_size AS DOUBLE) - 25.0) + abs(p_retailprice - 1200.0) AS dist FROM part ORDER BY dist, p_size, p_retailprice, p_partkey LIMIT 25")
+@query("SELECT p_size, p_retailprice, p_partkey, abs(CAST(p_size AS DOUBLE) - 25.0) + abs(p_retailprice - 910.0) AS dist FROM part ORDER BY dist, p_size, p_retailprice, p_partkey LIMIT 25")
 def knn_l1(spark, sf_dir):
-    return parts(spark, sf_dir).nearest(25, (25.0, 1200.0), L1())
+    return parts(spark, sf_dir).nearest(25, (25.0, 910.0), L1())
 
 
 @query("SELECT c_acctbal, c_custkey, sqrt((c_acctbal - 100.0) * (c_acctbal - 100.0)) AS dist FROM customer ORDER BY dist, c_acctbal, c_custkey LIMIT 15")
@@ -229,7 +229,7 @@ def knn_long(spark, sf_dir):
 
 @query(f"SELECT p_size, p_retailprice, p_partkey, {DIST_P} AS dist FROM part WHERE p_size <= 20 ORDER BY dist, p_size, p_retailprice, p_partkey LIMIT 10")
 def knn_filtered(spark, sf_dir):
-    return parts(spark, sf_dir).nearest(10, (25.0, 1200.0), where=F.col("p_size") <= 20)
+    return parts(spark, sf_dir).nearest(10, (25.0, 910.0), where=F.col("p_size") <= 20)
 
 
 @query("""WITH q AS (SELECT CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings))

@@ -32,12 +32,21 @@ def split_levels(df: DataFrame, keys: Sequence[str], levels: Sequence[int]) -> D
     return nodes.filter((F.col("children") > 1) | (F.col("level") == DEPTH - 1))
 
 
+def varying_levels(df: DataFrame, keys: Sequence[str]) -> list[int]:
+    """The bit levels at which some dimension's keys differ, by one pass; the top level always is one."""
+    got = df.agg(*[F.bit_or(F.col(k).cast("long")) for k in keys], *[F.bit_and(F.col(k).cast("long")) for k in keys]).first()
+    changing = 0
+    for any_set, all_set in zip(got[: len(keys)], got[len(keys) :], strict=True):
+        changing |= (any_set or 0) & ~(all_set or 0)
+    return [level for level in range(DEPTH) if changing >> level & 1 or level == DEPTH - 1]
+
+
 def tree_stats(df: DataFrame, keys: Sequence[str], levels: Sequence[int] | None = None) -> DataFrame:
     """(level, n_nodes, n_children, max_children): the trie's nodes on each bit level that has any.
 
-    ``levels`` below which all keys are equal may be left out by the caller; by default all 64.
+    Only levels at which keys differ can have nodes; they are found first unless given.
     """
-    nodes = split_levels(df, keys, levels if levels is not None else range(DEPTH))
+    nodes = split_levels(df, keys, levels if levels is not None else varying_levels(df, keys))
     return nodes.groupBy("level").agg(F.count("*").alias("n_nodes"), F.sum("children").alias("n_children"), F.max("children").alias("max_children"))
 
 
@@ -45,7 +54,7 @@ def entry_depths(df: DataFrame, keys: Sequence[str], levels: Sequence[int] | Non
     """(level, n_entries): how many keys hang on a node of each level, that is, first stand alone below it."""
     columns = [F.col(k).cast("long") for k in keys]
     at = lambda c, level: F.shiftrightunsigned(c, level)
-    rows = F.explode(F.array(*[F.struct(F.lit(level).alias("level"), *[at(c, level).alias(f"p{i}") for i, c in enumerate(columns)]) for level in (levels if levels is not None else range(DEPTH))]))
+    rows = F.explode(F.array(*[F.struct(F.lit(level).alias("level"), *[at(c, level).alias(f"p{i}") for i, c in enumerate(columns)]) for level in (levels if levels is not None else varying_levels(df, keys))]))
     cells = df.select(*keys, rows.alias("r")).groupBy(F.col("r.level").alias("level"), *[F.col(f"r.p{i}").alias(f"p{i}") for i in range(len(keys))]).agg(F.count("*").alias("n"), *[F.min(k).alias(k) for k in keys])
     alone = cells.filter("n = 1").groupBy(*keys).agg(F.max("level").alias("level"))
     return alone.groupBy("level").agg(F.count("*").alias("n_entries"))
