@@ -102,6 +102,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_suffix_dedup": suffix_dedup.ORACLE,
     "op4_decontaminate": decontaminate.ORACLE,
     "op5_jaccard_join": JACCARD_ORACLE,
     "op6_license_scan": licenses.oracle(),

@@ -260,3 +260,22 @@ def digests(deduplicated: DataFrame) -> DataFrame:
     """Counts and digests of a deduplicated table."""
     lengths = F.aggregate(F.sequence(F.lit(0), F.greatest(F.size("spans") - 2, F.lit(0)), F.lit(2)), F.lit(0).cast("long"), lambda s, i: s + F.coalesce(F.get("spans", i + 1) - F.get("spans", i), F.lit(0)))
     return deduplicated.select("doc_id", "n_bytes", lengths.alias("n_removed"), (F.size("spans") / 2).cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: The definition in DuckDB SQL, on hexadecimal text (two digits a byte).
+ORACLE = """
+WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS (SELECT doc_id, a, substr(x, 2 * a + 1, 100) AS s FROM (SELECT doc_id, x, unnest(range(0, len(x) // 2 - 49)) AS a FROM h)),
+m AS (SELECT s, min(doc_id) AS least FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)),
+r AS (SELECT w.doc_id, a FROM w JOIN m USING (s) WHERE least < w.doc_id),
+i AS (
+  SELECT doc_id, a, sum(CASE WHEN a <= before + 50 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY a) AS run
+  FROM (SELECT *, lag(a) OVER (PARTITION BY doc_id ORDER BY a) AS before FROM r)),
+spans AS (SELECT doc_id, min(a) AS s, max(a) + 50 AS e FROM i GROUP BY doc_id, run),
+cut AS (SELECT doc_id, s, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS p FROM spans),
+kept AS (
+  SELECT doc_id, sum(e - s) AS n_removed, count(*) AS n_spans, max(e) AS behind, string_agg(substr(x, 2 * p + 1, 2 * (s - p)), '' ORDER BY s) AS front
+  FROM cut JOIN h USING (doc_id) GROUP BY doc_id)
+SELECT h.doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(front, '') || substr(x, 2 * coalesce(behind, 0) + 1))) AS kept_sha256
+FROM h LEFT JOIN kept USING (doc_id)"""
