@@ -332,9 +332,33 @@ def multimap_collect(spark, sf_dir):
     return table.grouped((7,)).select(F.transform("values", lambda v: v["p_name"]).alias("names"))
 
 
+@query("SELECT count(*) > 0 AS found FROM lineitem WHERE l_quantity = 17.0 AND l_discount = 0.05 AND l_orderkey % 2 = 0")
+def multimap_contains(spark, sf_dir):
+    hit = bag(spark, sf_dir).df.filter((F.col("l_quantity") == 17.0) & (F.col("l_discount") == 0.05) & (F.col("l_orderkey") % 2 == 0))
+    return hit.limit(1).agg((F.count("*") > 0).alias("found"))
+
+
 # --- mutations ---
 
 
+@query(f"""WITH {BOX_SQL}, c AS (SELECT lo0, lo1, hi0, hi1, -l_orderkey AS l_orderkey FROM boxes WHERE l_orderkey % 5 = 0)
+SELECT lo0, lo1, hi0, hi1, l_orderkey FROM boxes b WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.lo0 = b.lo0 AND c.lo1 = b.lo1 AND c.hi0 = b.hi0 AND c.hi1 = b.hi1)
+UNION ALL SELECT * FROM c""")
+def box_put(spark, sf_dir):
+    boxes = order_boxes(spark, sf_dir)
+    changes = boxes.extent().filter("l_orderkey % 5 = 0").withColumn("l_orderkey", -F.col("l_orderkey"))
+    return mutate.put(boxes.extent(), changes, list(boxes.keys))
+
+
+@query("""WITH t AS (SELECT DISTINCT l_quantity, l_discount, l_orderkey AS id FROM lineitem)
+SELECT * FROM t WHERE id % 3 <> 0 UNION ALL SELECT l_quantity + 0.5, l_discount, id FROM t WHERE id % 3 = 0""")
+def multimap_move(spark, sf_dir):
+    """Keys with ids: (coordinates, id) is the primary key and moves as one."""
+    table = _read(spark, sf_dir, "lineitem").select("l_quantity", "l_discount", F.col("l_orderkey").alias("id")).distinct()
+    moves = table.filter("id % 3 = 0").withColumns({"q": F.col("l_quantity") + 0.5, "d": F.col("l_discount"), "i": F.col("id")})
+    return mutate.move(table, moves, ["l_quantity", "l_discount", "id"], ["q", "d", "i"])
+
+
 def _base(spark, sf_dir):
     return _read(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice")
 
@@ -590,6 +614,12 @@ def entry_depths(spark, sf_dir):
     return stats.entry_depths(_read(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").distinct(), ["l_partkey", "l_suppkey"])
 
 
+@query(f"WITH {DEPTH_ROWS} SELECT avg(level) AS avg_post_len, 64 - avg(level) AS avg_depth FROM depths")
+def average_depth(spark, sf_dir):
+    keys = _read(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").distinct()
+    return stats.average_depth(stats.entry_depths(keys, ["l_partkey", "l_suppkey"]))
+
+
 @query("""SELECT user_id, count(*) AS n_events, max(value) AS top FROM events WHERE value BETWEEN 10 AND 60 GROUP BY user_id""")
 def window_then_group(spark, sf_dir):
     table = SpatialTable(_read(spark, sf_dir, "events"), ("value",), ("user_id",))
