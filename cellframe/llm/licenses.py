@@ -95,10 +95,10 @@ def identifier(sentence: Column) -> Column:
     return case
 
 
-def sentences(text: Column) -> Column:
-    """Normalised sentences of a text that may be a licence's."""
+def sentences(lowered: Column) -> Column:
+    """Normalised sentences of a lower-case text that may be a licence's."""
     hinted = lambda s: F.exists(F.array(*map(F.lit, HINTS)), lambda h: F.contains(s, h))
-    cut = F.split(F.regexp_replace(F.lower(text), WRAPS, "\n"), SPLIT)
+    cut = F.split(F.regexp_replace(lowered, WRAPS, "\n"), SPLIT)
     return F.transform(F.filter(cut, hinted), lambda s: F.btrim(F.regexp_replace(s, SPACES, " "), F.lit(ENDS)))
 
 
@@ -110,14 +110,13 @@ def recognise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     took. Null and empty texts have none of either. Repeated rows and null ids stay;
     other columns are left out; texts are read whole.
     """
-    text = F.coalesce("text", F.lit(""))
-    rough = F.lower(text)
     likely = F.lit(False)
     for hint in HINTS:
-        likely = likely | F.contains(rough, F.lit(hint))
+        likely = likely | F.contains("lowered", F.lit(hint))
     none = F.array().cast("array<string>")
-    known = F.when(likely, F.filter(F.transform(sentences(text), identifier), lambda i: i.isNotNull())).otherwise(none)
-    rows = keyed_text(docs, id_col, text_col).select("doc_id", known.alias("ids"))
+    known = F.when(likely, F.filter(F.transform(sentences(F.col("lowered")), identifier), lambda i: i.isNotNull())).otherwise(none)
+    lowered = keyed_text(docs, id_col, text_col).select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("lowered"))
+    rows = lowered.select("doc_id", known.alias("ids"))
     rules = F.array(*[F.struct(F.lit(name).alias("name"), F.lit("," + ",,".join(ids) + ",").alias("form")) for name, ids in RULES])
     start = F.struct(F.concat_ws("", F.transform("ids", lambda i: F.concat(F.lit(","), i, F.lit(",")))).alias("rest"), none.alias("names"))
 
