@@ -25,6 +25,8 @@ from cellframe.llm.common import keyed_text, shared_path, written
 
 CHUNK_BYTES = 4_000_000
 CHUNK_ROWS = 4096
+#: From so many buckets on, chunks are dealt to their buckets before they are written.
+COMPACT_FROM = 2000
 REQUESTS = "bucket int, chunk long, payload binary"
 REPLIES = "bucket int, chunk long, reply binary"
 
@@ -35,7 +37,11 @@ def buckets(frame: DataFrame) -> int:
 
 
 def chunk_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(chunk, doc_id, text): neighbouring rows of a partition, up to 4 MB or 4096 rows to a chunk."""
+    """(chunk, doc_id, text): neighbouring rows of a partition, up to 4 MB or 4096 rows to a chunk.
+
+    A task writes a file for each of its chunks. On inputs with thousands of buckets that
+    would be millions of small files; there the text is shuffled once, to one file a bucket.
+    """
     spark = docs.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -54,6 +60,8 @@ def chunk_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     kind = docs.schema[id_col].dataType.simpleString()
     name = f"chunks_{uuid.uuid4().hex}"
     numbered = keyed_text(docs, id_col, text_col).mapInArrow(run, f"chunk long, doc_id {kind}, text string")
+    if buckets(docs) >= COMPACT_FROM:
+        numbered = numbered.repartition(buckets(docs), "chunk")
     numbered.write.bucketBy(buckets(docs), "chunk").option("compression", "zstd").option("path", shared_path(spark, "chunks")).saveAsTable(name)
     return spark.table(name)
 

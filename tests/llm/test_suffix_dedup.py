@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 
-from cellframe.llm import suffix_dedup
+from cellframe.llm import chunks, suffix_dedup
 from cellframe.llm.registry import QUERIES
 
 
@@ -52,6 +52,13 @@ def test_awkward_rows(spark):
     assert got(spark, frame.limit(0)) == []
 
 
+def test_many_buckets(spark, monkeypatch):
+    monkeypatch.setattr(chunks, "COMPACT_FROM", 1)
+    monkeypatch.setattr(chunks, "CHUNK_ROWS", 3)
+    rows = [(k, "the same passage of words in many documents, over and over again " * (1 + k % 3) + str(k % 4)) for k in range(30)]
+    assert got(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3)) == wanted(rows)
+
+
 def test_query(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     assert sorted(map(tuple, QUERIES["op3_suffix_dedup"](spark, "/root/testdata/sf0.001").collect()), key=repr) == wanted(rows)
