@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cellframe.functions import bits, encoding
-from cellframe.functions.metrics import L1, L2
+from cellframe.functions.metrics import L1, L2, Decoded
 from cellframe.operators import joins, mutate, stats
-from cellframe.operators.tables import ArrayTable, BoxTable, MultiTable, SpatialTable
+from cellframe.operators.tables import ArrayTable, BoxTable, MultiTable, SpatialTable, in_ball, same_prefix
 from cellframe.plans import bounded
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -253,8 +253,35 @@ def window_embedding(spark, sf_dir):
     return ArrayTable(_read(spark, sf_dir, "embeddings"), "embedding", ("vec_id",)).window([-0.3] * 64, [0.3] * 64).select("vec_id")
 
 
+@query(f"SELECT * FROM (SELECT p_size, p_retailprice, p_partkey FROM part WHERE p_size BETWEEN 20 AND 40 AND p_retailprice BETWEEN 900 AND 950 AND {DIST_P} <= 12.5)")
+def window_in_ball(spark, sf_dir):
+    return parts(spark, sf_dir).window((20, 900.0), (40, 950.0), where=in_ball(["p_size", "p_retailprice"], (25.0, 910.0), 12.5))
+
+
+@query("SELECT l_partkey, l_suppkey, l_orderkey, l_linenumber FROM lineitem WHERE l_partkey >> 4 = 100 >> 4 AND l_suppkey >> 4 = 5 >> 4")
+def prefix_filter(spark, sf_dir):
+    table = SpatialTable(_read(spark, sf_dir, "lineitem"), ("l_partkey", "l_suppkey"), LINE_IDS)
+    return table.df.filter(same_prefix(table.keys, (100, 5), 4)).select(*table.keys, *table.values)
+
+
+@query("""WITH k AS (SELECT p_partkey, CAST(trunc(p_size * 10.0::DOUBLE) AS BIGINT) AS a, CAST(trunc(p_retailprice * 10.0::DOUBLE) AS BIGINT) AS b FROM part)
+SELECT a, b, p_partkey, sqrt((a * (1 / 10.0::DOUBLE) - 25.0) * (a * (1 / 10.0::DOUBLE) - 25.0) + (b * (1 / 10.0::DOUBLE) - 910.0) * (b * (1 / 10.0::DOUBLE) - 910.0)) AS dist FROM k ORDER BY dist, a, b, p_partkey LIMIT 15""")
+def knn_decoded(spark, sf_dir):
+    """Keys stored as fixed-point numbers, distances on what they stand for."""
+    fixed = encoding.Multiply(10.0)
+    stored = _read(spark, sf_dir, "part").select(fixed.pre(F.col("p_size").cast("double"), 0).alias("a"), fixed.pre(F.col("p_retailprice"), 1).alias("b"), "p_partkey")
+    return SpatialTable(stored, ("a", "b"), ("p_partkey",), fixed).nearest(15, (25.0, 910.0), Decoded(fixed))
+
+
 # --- boxes ---
 
+
+@query("SELECT l_partkey AS a, l_suppkey AS b, l_partkey + l_linenumber AS c, l_suppkey + l_linenumber AS d, l_orderkey FROM lineitem WHERE l_partkey <= 300 AND l_partkey + l_linenumber >= 200 AND l_suppkey <= 20 AND l_suppkey + l_linenumber >= 10")
+def points_as_boxes(spark, sf_dir):
+    """Points of four dimensions seen as boxes of two."""
+    rows = _read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b"), (F.col("l_partkey") + F.col("l_linenumber")).alias("c"), (F.col("l_suppkey") + F.col("l_linenumber")).alias("d"), "l_orderkey")
+    return SpatialTable(rows, ("a", "b", "c", "d"), ("l_orderkey",)).as_boxes().intersect((200, 10), (300, 20))
+
 Q_LOW, Q_HIGH = (760_000_000, 5_000.0), (860_000_000, 60_000.0)
 
 
@@ -564,6 +591,14 @@ def encode_multiply(spark, sf_dir):
     return table.select("c_custkey", "key", fixed.post(F.col("key"), 0).alias("decoded"))
 
 
+HEAD = " | ".join(f"(CAST(coalesce(ord(nullif(substr(p_name, {i + 1}, 1), '')), 0) AS BIGINT) << {56 - 8 * i})" for i in range(6))
+
+
+@query(f"SELECT p_partkey, {HEAD} | (list_reduce(list_transform(string_split(p_name, ''), lambda c: CAST(ord(c) AS BIGINT)), lambda h, c: (h * 31 + c) % 4294967296, CAST(0 AS BIGINT)) & 65535) AS key FROM part")
+def string_keys(spark, sf_dir):
+    return _read(spark, sf_dir, "part").select("p_partkey", encoding.string_key(F.col("p_name")).alias("key"))
+
+
 @query("SELECT min(p_size) AS min_p_size, min(p_retailprice) AS min_p_retailprice, max(p_size) AS max_p_size, max(p_retailprice) AS max_p_retailprice FROM part")
 def dimension_ranges(spark, sf_dir):
     return stats.dimension_ranges(_read(spark, sf_dir, "part"), ["p_size", "p_retailprice"])

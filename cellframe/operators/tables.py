@@ -33,6 +33,24 @@ def _where(frame: DataFrame, condition: Filter) -> DataFrame:
     return frame.filter(condition if isinstance(condition, Column) else condition(frame))
 
 
+def in_window(keys: Sequence[str], low: Sequence, high: Sequence) -> Column:
+    """A filter for any query: inside an inclusive window."""
+    return conjunction([F.col(k).between(F.lit(a), F.lit(b)) for k, a, b in zip(keys, low, high, strict=True)])
+
+
+def in_ball(keys: Sequence[str], center: Sequence, radius: float, metric: Metric | None = None) -> Column:
+    """A filter for any query: at most a radius away, with the ball's box so that scans can skip."""
+    metric = metric or L2()
+    exact = metric.distance([F.col(k) for k in keys], [F.lit(c) for c in center]) <= radius
+    box = metric.box(center, radius)
+    return exact if box is None else in_window(keys, [a for a, _ in box], [b for _, b in box]) & exact
+
+
+def same_prefix(keys: Sequence[str], other: Sequence[int], ignored_bits: int) -> Column:
+    """A filter for any query: keys agree with a point in all but the lowest bits."""
+    return conjunction([F.shiftright(F.col(k), ignored_bits) == F.lit(o >> ignored_bits) for k, o in zip(keys, other, strict=True)])
+
+
 def _checked(values: Sequence, n: int) -> Sequence:
     if len(values) != n:
         raise ValueError(f"{n} dimensions are asked for, {len(values)} given")
