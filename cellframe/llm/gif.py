@@ -3,10 +3,9 @@
 ``write_bytes`` stores a byte string as the pixels of a GIF, ``parse`` decodes any GIF,
 ``composed`` applies disposal and transparency, ``histogram`` counts colours.
 
-The writer may compress (``compress=True``); by default it emits literal codes with a
-clear code before the table can grow past nine bits, a valid stream that packs and
-unpacks without a loop over pixels. The reader takes that form as a whole and decodes
-every other stream code by code.
+The writer compresses; with ``compress=False`` it emits literal codes with a clear code
+before the table can grow past nine bits, a valid stream of 9/8 of the size that packs
+without a loop over pixels. The reader takes either and any other stream.
 """
 
 from __future__ import annotations
@@ -103,47 +102,77 @@ def unpack_literals(data: bytes, n: int) -> np.ndarray | None:
     return body.astype(np.uint8)
 
 
+def _widths(min_size: int, n: int) -> np.ndarray:
+    """Bits of the n codes after a clear code: the table gains an entry with each code but the first."""
+    entries = (1 << min_size) + 2 + np.maximum(np.arange(n) - 1, 0)
+    return np.minimum(np.floor(np.log2(entries)).astype(np.int64) + 1, 12)
+
+
+def _code_runs(data: bytes, min_size: int) -> Iterator[list[int]]:
+    """The codes between clear codes, up to the end code or the end of the data."""
+    raw = np.zeros(len(data) + 4, np.uint32)
+    raw[: len(data)] = np.frombuffer(data, np.uint8)
+    clear, end, limit = 1 << min_size, (1 << min_size) + 1, 8 * len(data)
+    at, step = 0, 4096
+    while at < limit:
+        run: list[int] = []
+        while True:
+            widths = _widths(min_size, len(run) + step)[len(run) :]
+            offsets = at + np.cumsum(widths) - widths
+            whole = int(np.searchsorted(offsets + widths, limit, side="right"))
+            offsets, widths = offsets[:whole], widths[:whole]
+            byte = offsets >> 3
+            window = raw[byte] | raw[byte + 1] << np.uint32(8) | raw[byte + 2] << np.uint32(16)
+            codes = window >> (offsets & 7).astype(np.uint32) & ((1 << widths) - 1).astype(np.uint32)
+            stop = np.flatnonzero((codes == clear) | (codes == end))
+            n = int(stop[0]) if len(stop) else whole
+            run += codes[:n].tolist()
+            at = int(offsets[n] + widths[n]) if len(stop) else int(offsets[-1] + widths[-1]) if whole else limit
+            if len(stop) or whole < step:
+                break
+        yield run
+        if not len(stop) or codes[n] == end:
+            return
+
+
 def decode_lzw(data: bytes, min_size: int, n: int) -> np.ndarray:
-    """``n`` pixels of any code stream; a stream that ends early leaves zeros."""
+    """``n`` pixels of any code stream; a stream that ends early leaves zeros, what is too much is left out.
+
+    Bits become codes a run at a time, since their widths follow from their places after
+    the clear code; codes become strings one by one. A code beyond the table raises.
+    """
     if min_size == 8 and (quick := unpack_literals(data, n)) is not None:
         return quick
-    clear, end = 1 << min_size, (1 << min_size) + 1
-    first = [bytes([i]) for i in range(clear)] + [b"", b""]
-    table, size = list(first), min_size + 1
-    out, length, previous = [], 0, None
-    acc = bits = 0
-    for byte in data:
-        acc |= byte << bits
-        bits += 8
-        while bits >= size:
-            code = acc & ((1 << size) - 1)
-            acc >>= size
-            bits -= size
-            if code == clear:
-                table, size, previous = list(first), min_size + 1, None
-                continue
-            if code == end or length >= n:
-                bits = -1
-                break
-            if previous is None:
-                entry = table[code] if code < clear else b""
-            elif code < len(table):
+    first = [bytes([i]) for i in range(1 << min_size)] + [b"", b""]
+    out: list[bytes] = []
+    length = 0
+    for run in _code_runs(data, min_size):
+        if not run:
+            continue
+        if length >= n:
+            break
+        table = list(first)
+        if run[0] >= len(first):
+            raise ValueError("a code beyond the table")
+        previous = table[run[0]]
+        strings = [previous]
+        add, keep = table.append, strings.append
+        room = 4096 - len(table)
+        for code in run[1 : room + 1]:
+            if code < len(table):
                 entry = table[code]
-                if len(table) < 4096:
-                    table.append(previous + entry[:1])
+                add(previous + entry[:1])
             elif code == len(table):
                 entry = previous + previous[:1]
-                if len(table) < 4096:
-                    table.append(entry)
+                add(entry)
             else:
                 raise ValueError("a code beyond the table")
-            if len(table) == 1 << size and size < 12:
-                size += 1
-            out.append(entry)
-            length += len(entry)
+            keep(entry)
             previous = entry
-        if bits < 0:
-            break
+        strings += [table[code] for code in run[room + 1 :]]
+        joined = b"".join(strings)
+        length += len(joined)
+        out.append(joined)
     pixels = np.zeros(n, np.uint8)
     got = np.frombuffer(b"".join(out), np.uint8)[:n]
     pixels[: len(got)] = got
@@ -151,47 +180,53 @@ def decode_lzw(data: bytes, min_size: int, n: int) -> np.ndarray:
 
 
 def encode_lzw(pixels: bytes, min_size: int = 8) -> bytes:
-    """A compressed stream: the table is cleared when it is full."""
+    """A compressed stream; the table is cleared when it is full."""
     clear, end = 1 << min_size, (1 << min_size) + 1
-    out = bytearray()
-    acc = bits = 0
-
-    def put(code: int, size: int) -> None:
-        nonlocal acc, bits
-        acc |= code << bits
-        bits += size
-        while bits >= 8:
-            out.append(acc & 255)
-            acc >>= 8
-            bits -= 8
-
-    table = {bytes([i]): i for i in range(clear)}
-    size, following, word = min_size + 1, end + 1, b""
-    put(clear, size)
+    runs: list[list[int]] = []
+    codes: list[int] = []
+    table: dict[int, int] = {}
+    get, put = table.get, codes.append
+    following, current = end + 1, -1
     for value in pixels:
-        longer = word + bytes([value])
-        if longer in table:
-            word = longer
+        if current < 0:
+            current = value
             continue
-        put(table[word], size)
-        if following < 4096:
-            table[longer] = following
-            if following == 1 << size:
-                size += 1
-            following += 1
-        else:
-            put(clear, size)
-            table = {bytes([i]): i for i in range(clear)}
-            size, following = min_size + 1, end + 1
-        word = bytes([value])
-    if word:
-        put(table[word], size)
-        if following == 1 << size and size < 12:
-            size += 1
-    put(end, size)
-    if bits:
-        out.append(acc & 255)
-    return bytes(out)
+        key = current << 8 | value
+        known = get(key)
+        if known is not None:
+            current = known
+            continue
+        put(current)
+        current = value
+        table[key] = following
+        following += 1
+        if following == 4096:
+            codes.append(current)  # what is begun ends here, so that a run is whole
+            runs.append(codes)
+            codes, current, following = [], -1, end + 1
+            put = codes.append
+            table.clear()
+    if current >= 0:
+        codes.append(current)
+    runs.append(codes)
+    flat, widths = [], []
+    for k, run in enumerate(runs):
+        flat += [clear, *run] if k == 0 else run
+        flat.append(clear if k + 1 < len(runs) else end)
+        own = _widths(min_size, len(run) + 1)
+        widths.append(np.concatenate([[min_size + 1], own]) if k == 0 else own)
+    return _packed(np.array(flat, np.int64), np.concatenate(widths))
+
+
+def _packed(codes: np.ndarray, widths: np.ndarray) -> bytes:
+    """Codes of given widths, lowest bit first; their bits never overlap, so bytes are sums."""
+    offsets = np.cumsum(widths) - widths
+    size = int(offsets[-1] + widths[-1] + 7) >> 3
+    shifted = codes << (offsets & 7)
+    total = np.zeros(size + 3)
+    for k in range(3):
+        total += np.bincount((offsets >> 3) + k, weights=shifted >> 8 * k & 255, minlength=size + 3)[: size + 3]
+    return total.astype(np.uint8)[:size].tobytes()
 
 
 # --- files ---
@@ -224,7 +259,7 @@ def control(delay_cs: int = 0, disposal: int = 0, transparent: int | None = None
     return struct.pack("<BBBBHBB", 0x21, 0xF9, 4, disposal << 2 | (transparent is not None), delay_cs, transparent or 0, 0)
 
 
-def image(left: int, top: int, width: int, height: int, pixels: bytes, palette: bytes = b"", min_size: int = 8, compress: bool = False) -> bytes:
+def image(left: int, top: int, width: int, height: int, pixels: bytes, palette: bytes = b"", min_size: int = 8, compress: bool = True) -> bytes:
     flags = 0x80 | ((len(palette) // 3).bit_length() - 2) if palette else 0
     codes = encode_lzw(pixels, min_size) if compress or min_size != 8 else pack_literals(np.frombuffer(pixels, np.uint8))
     return struct.pack("<BHHHHB", 0x2C, left, top, width, height, flags) + palette + bytes([min_size]) + blocked(codes)
@@ -235,7 +270,7 @@ def screen(width: int, height: int, palette: bytes = b"", background: int = 0) -
     return b"GIF89a" + struct.pack("<HHBBB", width, height, flags, background, 0) + palette
 
 
-def write_bytes(payload: bytes, compress: bool = False) -> bytes:
+def write_bytes(payload: bytes, compress: bool = True) -> bytes:
     """The payload, a positive multiple of 192 bytes, as grey pixels 192 wide, 1024 rows to a frame of 0.1 s."""
     rows = len(payload) // WIDTH
     if not rows or len(payload) % WIDTH:

@@ -4,6 +4,8 @@ import zlib
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from cellframe.llm import gif
 from cellframe.llm.registry import QUERIES
@@ -12,8 +14,6 @@ from cellframe.llm.registry import QUERIES
 @pytest.mark.parametrize("size", [192, 254 * 192, 255 * 192, 192 * 1024, 192 * 1025, 192 * 2500])
 @pytest.mark.parametrize("compress", [False, True])
 def test_payloads_come_back(size, compress):
-    if compress and size > 192 * 1025:
-        pytest.skip("compressing in Python is slow")
     rng = np.random.default_rng(size)
     payload = bytes(rng.integers(0, 256, size, np.uint8)) if size % 5 else b"abab " * (size // 5) + b"x" * (size % 5)
     back = gif.parse(gif.write_bytes(payload, compress))
@@ -37,6 +37,42 @@ def test_literal_streams_decode_code_by_code_too():
     assert gif.decode_lzw(data + b"\0", 8, len(pixels) + 1).tobytes() == pixels + b"\0"
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.binary(max_size=300), st.sampled_from([2, 4, 8]))
+def test_any_pixels(pixels, min_size):
+    pixels = bytes(p % (1 << min_size) for p in pixels)
+    data = gif.encode_lzw(pixels, min_size)
+    assert gif.decode_lzw(data, min_size, len(pixels)).tobytes() == pixels
+    assert plain_decode(data, min_size) == pixels
+
+
+def plain_decode(data, min_size):
+    """The format's algorithm, bit by bit."""
+    clear, end = 1 << min_size, (1 << min_size) + 1
+    bits = [data[i >> 3] >> (i & 7) & 1 for i in range(8 * len(data))]
+    out, at, table, size, previous = b"", 0, {}, min_size + 1, None
+    while True:
+        code = sum(b << k for k, b in enumerate(bits[at : at + size]))
+        at += size
+        if code == clear:
+            table, size, previous = {i: bytes([i]) for i in range(clear)}, min_size + 1, None
+            following = end + 1
+        elif code == end:
+            return out
+        else:
+            entry = table[code] if code in table else previous + previous[:1]
+            if previous is not None and following < 4096:
+                table[following] = previous + entry[:1]
+                following += 1
+                if following == 1 << size and size < 12:
+                    size += 1
+            out, previous = out + entry, entry
+
+
+def test_long_streams_by_the_plain_algorithm():
+    pixels = bytes(np.random.default_rng(1).integers(0, 256, 9000, np.uint8)) + b"the same words " * 3000
+    assert plain_decode(gif.encode_lzw(pixels), 8) == pixels
+
 def test_palettes_disposal_and_transparency():
     palette = bytes([0, 0, 0, 255, 0, 0, 0, 255, 0, 0, 0, 255])
     shape = lambda *args, **kw: gif.image(*args, min_size=2, **kw)
