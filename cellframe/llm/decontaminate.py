@@ -1,12 +1,13 @@
 """Benchmark decontamination: short test items found inside long documents.
 
-Items are partitioned by the size of their shingle set. An item's sketch are the shingles
-that minimise k independent hash functions; the share of them that a document holds
-estimates the containment of the item. In each size partition k and the number of hits
-that makes a candidate follow from the threshold and a tolerated miss probability; small
-partitions, whose whole set is no larger than a sketch, keep the set. Documents are long
-against items, so a document-side minimum would hide the item: its whole shingle set is
-looked up in the sketch instead. Candidates are verified by exact shingle containment.
+Items are partitioned by the size of their shingle set (powers of two). An item's sketch
+is a bottom-k MinHash: its k shingles of least hash. The share of them that a document
+holds estimates the containment of the item, and one of them makes a candidate. k is the
+partition's: one more than a contained item of its largest size can lack, so nothing is
+missed; in large partitions no more than it takes to push the chance of a miss below
+1e-9. Documents are long against items, so a document-side minimum would hide the item:
+its whole shingle set is looked up in the sketches instead. Candidates are verified by
+exact shingle containment.
 """
 
 from __future__ import annotations
@@ -26,16 +27,19 @@ from cellframe.llm.common import keyed_text, map_batches
 #: Items are broadcast in blocks of at most so many characters of item text.
 BLOCK_CHARS = 16_000_000
 MISS = 1e-9
+_SALT = np.uint64(0x2545F4914F6CDD1D)
 
 
-def sketch_size(threshold: float) -> int:
-    """The least k with (1 - threshold)^k below the tolerated miss probability: one hit makes a candidate."""
-    return max(1, int(np.ceil(np.log(MISS) / np.log(max(1 - threshold, 1e-9)))))
+def sketch_size(partition: int, threshold: float) -> int:
+    """k for sets of 2^(partition - 1) to 2^partition - 1 shingles."""
+    lacking = int((1 - threshold) * ((1 << partition) - 1) + 1e-9)
+    unlikely = int(np.ceil(np.log(MISS) / np.log(max(1 - threshold, 1e-9))))
+    return min(lacking + 1, max(unlikely, 1))
 
 
 @dataclass
 class Index:
-    """Sketches and whole sets of a block of items."""
+    """Sketches and whole sets of a block of items; ``partitions`` counts the items of each."""
 
     threshold: float
     ids: list[int] = field(default_factory=list)
@@ -55,14 +59,12 @@ class Index:
 
     def close(self) -> Index:
         by_key: dict[int, list[int]] = defaultdict(list)
-        k = sketch_size(self.threshold)
-        seeds = [shingles.mixed(np.array([s], np.uint64))[0] for s in range(1, k + 1)]
         for row, own in enumerate(self.sets):
             partition = len(own).bit_length()
             self.partitions[partition] = self.partitions.get(partition, 0) + 1
-            chosen = own if len(own) <= k else {int(own[np.argmin(shingles.mixed(own ^ s))]) for s in seeds}
-            for key in chosen:
-                by_key[int(key)].append(row)
+            least = np.argsort(shingles.mixed(own ^ _SALT), kind="stable")[: sketch_size(partition, self.threshold)]
+            for key in own[least].tolist():
+                by_key[key].append(row)
         self.keys = np.array(sorted(by_key), np.uint64)
         self.owners = [by_key[int(key)] for key in self.keys]
         bits = max(16, int(len(self.keys) * 16).bit_length())
