@@ -76,6 +76,15 @@ def test_large_group_of_edited_copies(spark):
     assert sorted(map(tuple, jaccard.near_duplicates(frame).collect()), key=repr) == brute(rows)
 
 
+def test_texts_of_one_template_do_not_link(spark):
+    """Most of each text is a template, but no two reach the threshold; entries of such lists are dropped before pairs."""
+    template = [f"t{k}" for k in range(85)]
+    rows = [(k, " ".join(template + [f"own{k}x{j}" for j in range(16)])) for k in range(120)]
+    rows += [(500, rows[7][1] + " more"), (501, " ".join(template))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(map(tuple, jaccard.near_duplicates(frame).collect()), key=repr) == brute(rows)
+
+
 def test_sizes():
     for n in range(1, 60):
         for m in range(1, 60):
