@@ -243,14 +243,15 @@ def fits(n: str, m: str) -> Column:
 def heavy_edges(sets: DataFrame, most: int, light: DataFrame) -> DataFrame:
     """Edges (a, b) of pairs with a set above ``most``; enough of them to connect what is linked."""
     every = written(prefix_entries(sets, most), "prefixes")
+    # sort-merge joins: a frequent shingle's partition can be split, which a shuffled side read for a broadcast cannot
     # an entry whose remaining shared shingles do not reach even the list's smallest set links with none there
     sizes = every.groupBy("token").agg(F.count("*").alias("many"), F.min("n").alias("least")).filter("many > 1")
-    useful = every.join(sizes.select("token", "least"), "token").filter((F.col("rest") + 1) * 9 >= 4 * (F.col("n") + F.col("least")))
+    useful = every.join(sizes.select("token", "least").hint("merge"), "token").filter((F.col("rest") + 1) * 9 >= 4 * (F.col("n") + F.col("least")))
     entries = written(useful.select("token", "rep", "n", "rest"), "useful-prefixes")
     # the set that shares most of its shingles, as the original of a group of edited copies does
     ratio = (F.col("rest") + 1) / F.col("n")
     lists = entries.groupBy("token").agg(F.count("*").alias("many"), F.max(F.struct(ratio.alias("share"), (-F.col("rep")).alias("least"), "n")).alias("top")).filter("many > 1")
-    starred = entries.join(lists.select("token", (-F.col("top.least")).alias("pivot"), F.col("top.n").alias("m")), "token")
+    starred = entries.join(lists.select("token", (-F.col("top.least")).alias("pivot"), F.col("top.n").alias("m")).hint("merge"), "token")
     stars = starred.filter((F.col("rep") != F.col("pivot")) & fits("n", "m")).select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
     tried = written(stars, "stars")
     edges = written(verified(tried, sets), "star-edges")
