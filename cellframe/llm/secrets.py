@@ -6,9 +6,11 @@ over its symbol numbers run a chi-squared test of uniformity, a runs test about
 middle and a lag-1 serial correlation test. A string is a candidate secret if none of
 the three, Bonferroni-combined, speaks against randomness. Since short strings pass
 such tests easily, each also gets a p-value against the hypothesis that it is ordinary
-structured text, from its number of coincidences (pairs of equal symbols), whose power
-grows with length; Benjamini-Hochberg over the strings of a text, apart for each length
-stratum, then bounds the rate of false discoveries.
+structured text: the ratio of its likelihoods as text and as uniform symbols, which needs
+no approximation at any length, and for decimal and hex strings the exact tail of the
+number of coincidences (pairs of equal symbols) as well; Benjamini-Hochberg over the strings of a text, apart for
+each length stratum, then bounds the rate of false discoveries. Detection by length and
+encoding is in the README.
 """
 
 from __future__ import annotations
@@ -18,8 +20,9 @@ import math
 import re
 import string
 from collections import Counter
-from functools import reduce
+from functools import lru_cache, reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -51,6 +54,21 @@ ENCODINGS = {
 NUMBERS = {name: {c: i for i, c in enumerate(chars)} for name, chars in ENCODINGS.items()}
 STRATA = (20, 32, 48, 64, 128)
 
+#: Share of each letter in text, in per mille: the mean of English, German, French and Spanish.
+LETTERS = dict(zip(LOWER, (87, 14, 33, 45, 142, 14, 19, 31, 71, 4, 6, 45, 28, 76, 61, 19, 6, 66, 74, 68, 40, 12, 11, 2, 8, 5), strict=True))
+SYMBOLS = {c: math.log(LETTERS[c.lower()] / sum(LETTERS.values())) for c in LOWER + UPPER} | dict.fromkeys(DIGITS, math.log(0.1)) | dict.fromkeys("+/-_", math.log(0.25))
+#: Log-share of the kind of the next character in words, names and numbers, by that of the last.
+STEPS = {
+    last: dict(zip(("lower", "upper", "digit", "mark"), map(math.log, shares), strict=True))
+    for last, shares in {
+        "start": (0.50, 0.30, 0.15, 0.05),
+        "lower": (0.84, 0.06, 0.04, 0.06),
+        "upper": (0.44, 0.44, 0.05, 0.07),
+        "digit": (0.08, 0.07, 0.75, 0.10),
+        "mark": (0.45, 0.30, 0.20, 0.05),
+    }.items()
+}
+
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """Spans of the fixed patterns, leftmost and without overlaps within a kind.
@@ -112,17 +130,71 @@ def serial_p(values: list[int]) -> float:
     return min(1.0, 2 * upper_tail(abs(r + 1 / n) * math.sqrt(n)))
 
 
-def structured_p(counts: list[int], size: int) -> float:
-    """P(structured text of this length has so few coincidences).
+def kind_of(c: str) -> str:
+    return "lower" if c.islower() else "upper" if c.isupper() else "digit" if c.isdigit() else "mark"
+
+
+def text_log(token: str) -> float:
+    """Log-probability of the string as words, names, numbers and the marks between them, in either case."""
+    best = -math.inf
+    for form in (token, token.swapcase()):
+        total, last = 0.0, "start"
+        for c in form:
+            kind = kind_of(c)
+            total += STEPS[last][kind] + SYMBOLS[c]
+            last = kind
+        best = max(best, total)
+    return best
+
+
+def skewed_log(counts: list[int], size: int, prior: float = 0.3) -> float:
+    """Log-probability under symbol rates that are unknown and uneven (a Dirichlet prior)."""
+    n, whole = sum(counts), prior * size
+    return math.lgamma(whole) - math.lgamma(whole + n) + sum(math.lgamma(prior + c) - math.lgamma(prior) for c in counts)
+
 
-    Structured text is taken to repeat symbols at 1.7 times the uniform rate, and at
-    0.06 at least; pairs share symbols, so the variance is doubled.
+@lru_cache(maxsize=256)
+def coincidence_tails(n: int, size: int, prior: float = 0.3) -> np.ndarray:
+    """P(at most k pairs of equal symbols among n) under the same uneven rates, exact.
+
+    Up to 1.5 times the pairs and n / 2 more than uniform symbols have on average; strings
+    with more never pass the chi-squared test.
+    """
+    top = int(0.75 * n * (n - 1) / size + n / 2) + 1
+    ways = np.zeros((n + 1, top + 1))
+    ways[0, 0] = 1
+    for _ in range(size):
+        more, weight = ways.copy(), 1.0
+        for c in range(1, n + 1):
+            pairs = c * (c - 1) // 2
+            if pairs > top:
+                break
+            weight *= (prior + c - 1) / c
+            more[c:, pairs:] += weight * ways[: n + 1 - c, : top + 1 - pairs]
+        ways = more
+    whole = prior * size
+    log_all = math.lgamma(whole + n) - math.lgamma(whole) - math.lgamma(n + 1)
+    return np.cumsum(ways[n]) * math.exp(-log_all)
+
+
+def structured_p(token: str, name: str, counts: list[int]) -> float:
+    """p-value of the string as structured text of its encoding.
+
+    Every string may be text: its likelihood as text over that as uniform symbols, shared
+    among the encodings, as the encoding is inferred from the string. Text has a ratio
+    below p with a probability of at most p, at any length. Of the alphabets that spell no
+    words (decimal and hex) it may also be uneven symbols: up to 128 characters by the
+    exact tail of the number of coincidences, above by the ratio. The larger p counts.
     """
-    n = sum(counts)
-    rate = max(1.7 / size, 0.06)
-    expected = n * (n - 1) / 2 * rate
-    seen = sum(c * (c - 1) for c in counts) / 2
-    return upper_tail((expected - seen) / math.sqrt(2 * expected))
+    n, size = sum(counts), len(ENCODINGS[name])
+    uniform = -n * math.log(size) - math.log(len(ENCODINGS))
+    p = math.exp(min(0.0, text_log(token) - uniform))
+    if size > 16:
+        return p
+    if n > 128:
+        return max(p, math.exp(min(0.0, skewed_log(counts, size) - uniform)))
+    tails, pairs = coincidence_tails(n, size), sum(c * (c - 1) for c in counts) // 2
+    return max(p, float(tails[pairs]) if pairs < len(tails) else 1.0)
 
 
 def battery(token: str) -> tuple[float, float]:
@@ -132,7 +204,7 @@ def battery(token: str) -> tuple[float, float]:
     values = [number[c] for c in token]
     counts = list(Counter(values).values())
     random = min(1.0, 3 * min(chi_squared_p(counts, size), runs_p(values, size), serial_p(values)))
-    return random, structured_p(counts, size)
+    return random, structured_p(token, name, counts)
 
 
 def discoveries(ps: list[float], rate: float) -> float:
@@ -151,8 +223,6 @@ def random_spans(text: str, taken: list[tuple[int, int, str]], alpha: float = 0.
         if any(s < end and start < e for s, e, _ in taken):
             continue
         token = m.group()
-        if token.isalpha() and (token.islower() or token[1:].islower()):
-            continue  # one case and no digit: a word, or too like one to tell
         random, structured = battery(token)
         if random >= alpha:
             strata.setdefault(sum(end - start >= x for x in STRATA), []).append((structured, start, end))

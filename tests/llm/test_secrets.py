@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 import string
@@ -51,6 +52,29 @@ def test_battery_tells_random_from_words():
     assert hits >= 150 and misses <= 60 and false <= 4
 
 
+def test_detection_of_short_and_single_case_secrets():
+    rng = random.Random(23)
+    least = {("base62", 20): 85, ("base64", 21): 85, ("base62", 24): 90, ("HEX", 32): 85, ("HEX", 40): 90, ("base32", 32): 85, ("base36", 32): 90, ("lower", 32): 85, ("decimal", 40): 85}
+    for (name, size), bound in least.items():
+        tokens = ["".join(rng.choices(secrets.ENCODINGS[name], k=size)) for _ in range(100)]
+        assert sum(bool(secrets.random_spans(f"see {t} here", [])) for t in tokens) >= bound, (name, size)
+    for words in ("Donaudampfschifffahrtsgesellschaft", "internationalization", "getElementsByTagNameFromDocument", "PYTHONFRAMEWORKINSTALLDIR", "MAX_CONNECTIONS_PER_HOST_2024", "src/main/java/org/example/Main", "20260101123456789012"):
+        assert secrets.random_spans(f"see {words} here", []) == []
+
+
+def test_coincidence_tails_are_exact():
+    def counts(n, size):
+        return [()] * (n == 0) if size == 0 else [(c, *rest) for c in range(n + 1) for rest in counts(n - c, size - 1)]
+
+    for n, size in [(4, 3), (7, 2)]:
+        whole = [0.0] * 50
+        for row in counts(n, size):
+            orders = math.factorial(n) / math.prod(map(math.factorial, row))
+            whole[sum(c * (c - 1) for c in row) // 2] += orders * math.exp(secrets.skewed_log(row, size))
+        tails = secrets.coincidence_tails(n, size)
+        assert abs(sum(whole) - 1) < 1e-9 and all(abs(sum(whole[: k + 1]) - t) < 1e-9 for k, t in enumerate(tails))
+
+
 def test_structure_of_tests():
     assert secrets.infer_encoding("deadbeef01") == "hex" and secrets.infer_encoding("1234") == "decimal"
     assert secrets.chi_squared_p([40], 16) < 1e-6 < secrets.chi_squared_p([3] * 16, 16)
