@@ -14,29 +14,64 @@ from pyspark.sql import functions as F
 
 from cellframe.llm.common import keyed_text
 
+# Licence and the SPDX identifiers that name it.
+SPDX = [
+    ("Apache-2.0", "apache-2[.]0"),
+    ("MIT", "mit"),
+    ("GPL-2.0", "gpl-2[.]0(-only)?"),
+    ("GPL-2.0-or-later", "gpl-2[.]0(-or-later|[+])"),
+    ("GPL-3.0", "gpl-3[.]0(-only)?"),
+    ("GPL-3.0-or-later", "gpl-3[.]0(-or-later|[+])"),
+    ("AGPL-3.0", "agpl-3[.]0(-only|-or-later|[+])?"),
+    ("LGPL", "lgpl-(2[.][01]|3[.]0)(-only|-or-later|[+])?"),
+    ("BSD-2-Clause", "bsd-2-clause"),
+    ("BSD-3-Clause", "bsd-3-clause"),
+    ("ISC", "isc"),
+    ("MPL-2.0", "mpl-2[.]0"),
+    ("CC-BY-NC-SA-4.0", "cc-by-nc-sa-4[.]0"),
+    ("CC-BY-NC-4.0", "cc-by-nc-4[.]0"),
+    ("CC-BY-SA-4.0", "cc-by-sa-4[.]0"),
+    ("CC-BY-4.0", "cc-by-4[.]0"),
+    ("CC0-1.0", "cc0-1[.]0"),
+]
+
 # Identifier and pattern of a normalised licence sentence (lower case, one
 # space between words, marks at the ends gone), in order; the first that matches counts.
+# Sentences end at semicolons too: the GNU notices that have one there are two of them,
+# Terms and Later. WRAPS leaves "spdx" of an SPDX tag; tags of several licences are SpdxTag.
 SENTENCES = [
-    ("GplVersionOrLater", "(.* )?(redistribute it and|modify it under|under the terms of) .*gnu general public license.* either version [0-9.]+.*or .*any later version"),
-    ("LgplVersion", "(licensed under|under the terms of|released under) .*gnu (lesser|library) general public license,?( as published by the free software foundation)?[,;]? (either )?(v|version )[0-9.]+.*"),
-    ("AgplVersion", "(.* )?(licensed under|under the terms of|released under) the gnu affero general public license,? (v|version )3.*"),
-    ("GplVersion3", "(.* )?(licensed under|under the terms of|released under) the gnu general public license,? (v|version )3.*"),
-    ("GplVersion2", "(.* )?(licensed under|under the terms of|released under) the gnu general public license,? (v|version )2.*"),
-    ("GplNoWarranty", "this program is distributed in the hope that it will be useful, but without any warranty.*"),
-    ("GplSeeCopy", "you should have received a copy of the gnu general public license along with .*"),
+    ("Gpl2OrLater", "(.* )?(redistribute it and|modify it under|under the terms of) .*gnu general public license.* either version 2([.]0)?[ ,].*or .*any later version.*"),
+    ("Gpl3OrLater", "(.* )?(redistribute it and|modify it under|under the terms of) .*gnu general public license.* either version 3([.]0)?[ ,].*or .*any later version.*"),
+    ("GplVersionOrLater", "(.* )?(redistribute it and|modify it under|under the terms of) .*gnu general public license.* either version [0-9.]+.*or .*any later version.*"),
+    ("Gpl2OrLater", "(.* )?(licensed under|under the terms of|released under) the gnu general public license,? (v|version )2([.]0)?,? or .*(later|newer).*"),
+    ("Gpl3OrLater", "(.* )?(licensed under|under the terms of|released under) the gnu general public license,? (v|version )3([.]0)?,? or .*(later|newer).*"),
+    ("LgplVersion", "(.* )?(licensed under|under the terms of|released under) .*gnu (lesser|library) general public license,?( as published by the free software foundation)?[,;]? (either )?(v|version )[0-9.]+.*"),
+    ("LgplTerms", "(.* )?under the terms of the gnu (lesser|library) general public license( as published by the free software foundation)?"),
+    ("AgplVersion", "(.* )?(licensed under|under the terms of|released under) the gnu affero general public license,?( as published by the free software foundation,?)? (either )?(v|version )3.*"),
+    ("AgplTerms", "(.* )?under the terms of the gnu affero general public license( as published by the free software foundation)?"),
+    ("GplVersion3", "(.* )?(licensed under|under the terms of|released under) (the gnu general public license,? (v|version )3|version 3 of the gnu general public license).*"),
+    ("GplVersion2", "(.* )?(licensed under|under the terms of|released under) (the gnu general public license,? (v|version )2|version 2 of the gnu general public license).*"),
+    ("GplTerms", "(.* )?under the terms of the gnu general public license( as published by the free software foundation)?"),
+    ("Later2", "either version 2([.]0)?( of the license)?,? or .*any later version.*"),
+    ("Later21", "either version 2[.]1( of the license)?,? or .*any later version.*"),
+    ("Later3", "either version 3([.]0)?( of the license)?,? or .*any later version.*"),
+    ("GplNoWarranty", "(.* )?is distributed in the hope that it will be useful, but without any warranty.*"),
+    ("GplSeeCopy", "you should have received a copy of the gnu (lesser |library |affero )?general public license along with .*"),
     ("ApacheGrant2", "(.* )?(licensed|released) under the apache license,? version 2[.0]*.*"),
     ("ApacheMayNotUse", "(.* )?you may not use this file except in compliance with the license"),
     ("ApacheObtainCopy", "(.* )?you may obtain a copy of the license at.*"),
     ("ApacheAsIs", "unless required by applicable law or agreed to in writing, software distributed under the license is distributed on an \"as is\" basis.*"),
-    ("MitReleased", "(.* )?(licensed|released) under the (terms of the )?mit licen[cs]e"),
+    ("OtherLicensed", "(.* )?(licensed|released) under the (terms of the )?(mit|.*bsd) licen[cs]e.* (and|or) .*(gpl|gnu|apache|bsd|mit|mozilla|licen[cs]e).*"),
+    ("MitReleased", "(.* )?(licensed|released) under the (terms of the )?mit licen[cs]e([ ,(-].*)?"),
     ("MitGrant", "(.* )?permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files.*"),
-    ("MitNotice", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("MitNotice", "the above copyright notice and this permission notice( [(]including the next paragraph[)])? shall be included in all copies or substantial portions of the software.*"),
     ("AsIsUpper", "the software is provided \"as is\", without warranty of any kind.*"),
     ("BsdGrant", "(.* )?redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("BsdSource", "redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer"),
-    ("BsdBinary", "redistributions in binary form must reproduce the above copyright notice.*"),
-    ("BsdNoEndorse", "neither the name of .* may be used to endorse or promote products derived from this software without specific prior written permission"),
-    ("BsdReleased", "(.* )?(licensed|released) under the (3-clause|new|modified) bsd licen[cs]e"),
+    ("BsdSource", "(.* )?redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.*"),
+    ("BsdBinary", "(.* )?redistributions in binary form must reproduce the above copyright notice.*"),
+    ("BsdNoEndorse", "(.* )?((neither the name|nor the names) of .* may be used|the names? of .* may not be used) to endorse or promote products derived from this software without specific prior written permission.*"),
+    ("BsdReleased", "(.* )?(licensed|released) under the (terms of the )?((3-clause|new|modified) bsd|bsd 3-clause) licen[cs]e([ ,(-].*)?"),
+    ("Bsd2Released", "(.* )?(licensed|released) under the (terms of the )?((2-clause|simplified) bsd|bsd 2-clause) licen[cs]e([ ,(-].*)?"),
     ("IscGrant", "(.* )?permission to use, copy, modify, and(/or)? distribute this software for any purpose with or without fee is hereby granted.*"),
     ("MplNotice", "(.* )?this source code form is subject to the terms of the mozilla public license,? v(ersion 2[.0]*)?"),
     ("CcByNcSa4", "(.* )?(licensed|released) under (a |the )?(cc|creative commons) by-nc-sa 4[.0]*.*"),
@@ -44,7 +79,9 @@ SENTENCES = [
     ("CcBySa4", "(.* )?(licensed|released) under (a |the )?(cc|creative commons) by-sa 4[.0]*.*"),
     ("CcBy4", "(.* )?(licensed|released) under (a |the )?(cc|creative commons) by 4[.0]*.*"),
     ("Cc0Dedication", "(.* )?(cc0 1\\.0 universal|dedicated to the public domain).*"),
-    ("SpdxTag", "spdx-license-identifier: .*"),
+    ("SpdxTag", "(.* )?spdx [(]*[a-z0-9.+-]+ (or|and|with) .*"),
+    *[("Spdx:" + name, f"(.* )?spdx ({tags})( .*)?") for name, tags in SPDX],
+    ("SpdxTag", "(.* )?spdx .*"),
     ("CopyrightLine", "(copyright|©) .*[0-9]{4}.*"),
     ("AllRights", "all rights reserved"),
     ("OtherLicensed", "(.* )?(licensed|released) under .*"),
@@ -56,10 +93,22 @@ RULES = [
     ("Apache-2.0", ["ApacheGrant2", "ApacheMayNotUse", "ApacheObtainCopy", "ApacheAsIs"]),
     ("Apache-2.0", ["ApacheGrant2", "ApacheMayNotUse"]),
     ("Apache-2.0", ["ApacheGrant2"]),
-    ("GPL-3.0-or-later", ["GplVersionOrLater", "GplNoWarranty", "GplSeeCopy"]),
-    ("GPL-3.0-or-later", ["GplVersionOrLater"]),
-    ("AGPL-3.0", ["AgplVersion"]),
-    ("LGPL", ["LgplVersion"]),
+    *[
+        (name, ids + tail)
+        for tail in (["GplNoWarranty", "GplSeeCopy"], ["GplNoWarranty"], [])
+        for name, ids in [
+            ("GPL-2.0-or-later", ["Gpl2OrLater"]),
+            ("GPL-2.0-or-later", ["GplTerms", "Later2"]),
+            ("GPL-3.0-or-later", ["Gpl3OrLater"]),
+            ("GPL-3.0-or-later", ["GplTerms", "Later3"]),
+            ("AGPL-3.0", ["AgplVersion"]),
+            ("AGPL-3.0", ["AgplTerms", "Later3"]),
+            ("LGPL", ["LgplVersion"]),
+            ("LGPL", ["LgplTerms", "Later2"]),
+            ("LGPL", ["LgplTerms", "Later21"]),
+            ("LGPL", ["LgplTerms", "Later3"]),
+        ]
+    ],
     ("GPL-3.0", ["GplVersion3", "GplNoWarranty", "GplSeeCopy"]),
     ("GPL-3.0", ["GplVersion3"]),
     ("GPL-2.0", ["GplVersion2", "GplNoWarranty", "GplSeeCopy"]),
@@ -69,6 +118,7 @@ RULES = [
     ("BSD-3-Clause", ["BsdGrant", "BsdSource", "BsdBinary", "BsdNoEndorse"]),
     ("BSD-2-Clause", ["BsdGrant", "BsdSource", "BsdBinary"]),
     ("BSD-3-Clause", ["BsdReleased"]),
+    ("BSD-2-Clause", ["Bsd2Released"]),
     ("ISC", ["IscGrant"]),
     ("MPL-2.0", ["MplNotice"]),
     ("CC-BY-NC-SA-4.0", ["CcByNcSa4"]),
@@ -76,13 +126,14 @@ RULES = [
     ("CC-BY-SA-4.0", ["CcBySa4"]),
     ("CC-BY-4.0", ["CcBy4"]),
     ("CC0-1.0", ["Cc0Dedication"]),
+    *[(name, ["Spdx:" + name]) for name, _ in SPDX],
 ]
 
 #: A sentence that holds none of these cannot be a known one; the check is cheap.
-HINTS = ("licen", "copyright", "©", "permi", "warranty", "redistribut", "all rights", "endorse", "copy of the", "public domain", "cc0", "applicable law")
+HINTS = ("licen", "copyright", "©", "permi", "warranty", "redistribut", "all rights", "endorse", "copy of the", "public domain", "cc0", "applicable law", "spdx", "any later version", "in the hope")
 SPLIT = r"\n[ \t\r\f\x0B]*\n|[.!?;:](?:[ \t\r\n\f\x0B]|$)"
-#: Line ends with the comment signs that start the next line.
-WRAPS = r"\n[ \t]*(?:#+|\*+|//+|;+|--)[ \t]*"
+#: Line ends with the comment signs that start the next line; the rest of an SPDX tag, whose colon ends no sentence.
+WRAPS = r"\n[ \t]*(?:#+|\*+|//+|;+|--)[ \t]*|-license-identifier:[ \t]*"
 ENDS = " \t.,;:!?*/#()<>|-"
 SPACES = r"[ \t\r\n\f\x0B]+"
 

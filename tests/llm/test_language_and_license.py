@@ -66,3 +66,38 @@ def test_rules(spark):
     assert licenses.recognise(docs.limit(0)).count() == 0
     plan = licenses.recognise(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+GNU = "This {what} is free software{mark} you can redistribute it and/or modify\nit under the terms of the GNU {kind}General Public License as published by\nthe Free Software Foundation{cut} either version {version} of the License, or\n(at your option) any later version.\n\nThis {what} is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied warranty of\nMERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the\nGNU {kind}General Public License for more details.\n\nYou should have received a copy of the GNU {kind}General Public License\nalong with this {what}; if not, write to the Free Software\nFoundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA.\n"
+BSD = 'Copyright (c) 2020, Foo Inc.\nAll rights reserved.\n\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n{a} Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.\n\n{b} Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions and the following disclaimer in the documentation\n   and/or other materials provided with the distribution.\n\n{c} Neither the name of Foo Inc. nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission.\n\nTHIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS".'
+NOTICES = [
+    (GNU.format(what="program", mark=";", kind="", cut=";", version="2"), "GPL-2.0-or-later", 0),
+    (GNU.format(what="program", mark=":", kind="", cut=",", version="3"), "GPL-3.0-or-later", 0),
+    ("/*\n * " + GNU.format(what="program", mark=";", kind="", cut=",", version="2").replace("\n", "\n * ") + "*/", "GPL-2.0-or-later", 0),
+    (GNU.format(what="library", mark=";", kind="Lesser ", cut=";", version="2.1"), "LGPL", 0),
+    (GNU.format(what="library", mark=";", kind="Library ", cut=";", version="2"), "LGPL", 0),
+    (GNU.format(what="program", mark=":", kind="Affero ", cut=",", version="3"), "AGPL-3.0", 0),
+    ("This library is released under the GNU Lesser General Public License, version 2.1.", "LGPL", 0),
+    ("This is licensed under the GNU General Public License, version 2 or later.", "GPL-2.0-or-later", 0),
+    ("This is licensed under the GNU General Public License, version 2.", "GPL-2.0", 0),
+    (BSD.format(a="1.", b="2.", c="3."), "BSD-3-Clause", 2),
+    (BSD.format(a="1)", b="2)", c="3)"), "BSD-3-Clause", 2),
+    ("Licensed under the MIT license, see LICENSE for details.", "MIT", 0),
+    ("Released under the MIT License (http://opensource.org/licenses/MIT).", "MIT", 0),
+    ("Licensed under the MIT license and the Apache License, Version 2.0.", "", 1),
+    ("Licensed under the BSD 3-Clause License (see LICENSE).", "BSD-3-Clause", 0),
+    ("// SPDX-License-Identifier: MIT\n// Copyright 2020 Foo\nint main;", "MIT", 0),
+    ("/* SPDX-License-Identifier: GPL-2.0+ */\n#include <x.h>\n", "GPL-2.0-or-later", 0),
+    ("# SPDX-License-Identifier: GPL-2.0-only\n", "GPL-2.0", 0),
+    ("# SPDX-License-Identifier: MIT OR Apache-2.0\n", "", 1),
+    ("# SPDX-License-Identifier: Foo-1.0\n", "", 1),
+]
+
+
+def test_standard_notices(spark):
+    docs = spark.createDataFrame([(k, text) for k, (text, _, _) in enumerate(NOTICES)], "doc_id long, text string")
+    got = sorted(map(tuple, licenses.recognise(docs).collect()))
+    assert [(r[2], r[3]) for r in got] == [n[1:] for n in NOTICES]
+    duck = duckdb.connect()
+    duck.from_arrow(docs.toArrow()).create_view("documents")
+    assert sorted(duck.sql(ORACLES["op6_license_scan"]).fetchall()) == got
