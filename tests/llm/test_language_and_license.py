@@ -34,6 +34,14 @@ def test_awkward_rows(spark):
     assert langid.predict(docs.limit(0), model).count() == 0
 
 
+def test_model_without_languages_keeps_texts_with_letters(spark):
+    rows = [(1, "the cat and the dog", None), (2, None, None), (3, "", None), (4, "12 !!", None), (5, "é", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(langid.training_rows(docs))
+    assert model.languages == []
+    assert {r.doc_id for r in langid.identified(docs, model).collect()} == {1, 5}
+
+
 def test_pieces_hold_every_gram_once(monkeypatch):
     text = "Straße und İstanbul, 12 déjà-vu x" * 20
     whole = sorted(b for g in langid.grams(text) for b in g.tolist())
