@@ -24,16 +24,28 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked documents stays: that with the smallest doc_id.
 
-    A document without an id cannot be grouped and stays. Of rows that repeat a doc_id
-    one stays, if any does.
+    A document without an id cannot be grouped and stays. Where a doc_id repeats, rows are
+    grouped instead: of each group of rows with linked texts one stays, so a doc_id keeps
+    as many rows as it leads groups, and of its rows without a word one stays. For that the
+    documents are written once more, with row numbers.
     """
-    groups = jaccard.near_duplicates(docs)
-    gone = groups.filter("doc_id <> component_id").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     repeats = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1")
-    if repeats.isEmpty():
-        return left
-    return left.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(left.filter("doc_id IS NULL"))
+    if not repeats.isEmpty():
+        return one_row_a_group(docs)
+    gone = jaccard.near_duplicates(docs).filter("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def one_row_a_group(docs: DataFrame) -> DataFrame:
+    """The row with the smallest doc_id, then content, of each group of linked rows; rows without an id stay."""
+    rows = written(docs.filter("doc_id IS NOT NULL").withColumn("_row", F.monotonically_increasing_id()), "rows")
+    groups = jaccard.near_duplicates(rows, "_row").select(F.col("doc_id").alias("_row"), "n_shingles", "component_id")
+    content = F.sha2(F.to_json(F.struct(*docs.columns)), 256)
+    placed = rows.select("_row", "doc_id", content.alias("content")).join(groups, "_row")
+    worded = F.col("n_shingles") > 0
+    keys = [F.when(worded, F.col("component_id")).alias("component"), F.when(~worded, F.col("doc_id")).alias("blank")]
+    kept = placed.groupBy(*keys).agg(F.min(F.struct("doc_id", "content", "_row")).alias("first")).select("first._row")
+    return rows.join(kept, "_row", "left_semi").select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
