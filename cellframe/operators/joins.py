@@ -76,8 +76,8 @@ def window_join(points: DataFrame, boxes: DataFrame, keys: Sequence[str], lows:
     return met.filter(conjunction([F.col(k).between(F.col(lo), F.col(h)) for k, lo, h in zip(keys, lows, highs, strict=True)])).drop("_level", "_cell")
 
 
-def box_join(left: DataFrame, right: DataFrame, left_low: Sequence[str], left_high: Sequence[str], right_low: Sequence[str], right_high: Sequence[str], units: Sequence[float] | None = None) -> DataFrame:
-    """Every pair of boxes that meet, touching included.
+def box_join(left: DataFrame, right: DataFrame, left_low: Sequence[str], left_high: Sequence[str], right_low: Sequence[str], right_high: Sequence[str], units: Sequence[float] | None = None, include: bool = False) -> DataFrame:
+    """Every pair of boxes that meet, touching included; with ``include``, that has the left box within the right.
 
     A pair is made on the coarser of its two levels, in the cell of the corner where the
     two boxes' overlap starts, so it comes out once.
@@ -99,6 +99,8 @@ def box_join(left: DataFrame, right: DataFrame, left_low: Sequence[str], left_hi
 
     met = spread(a, left_low, left_high, "_la").join(spread(b, right_low, right_high, "_lb"), ["_level", "_cell"])
     overlap = conjunction([(F.col(al) <= F.col(bh)) & (F.col(ah) >= F.col(bl)) for al, ah, bl, bh in zip(left_low, left_high, right_low, right_high, strict=True)])
+    if include:
+        overlap = conjunction([(F.col(al) >= F.col(bl)) & (F.col(ah) <= F.col(bh)) for al, ah, bl, bh in zip(left_low, left_high, right_low, right_high, strict=True)])
     corner = F.array(*[_cell(F.greatest(F.col(al).cast("double"), F.col(bl).cast("double")), F.col("_level").cast("double"), u) for al, bl, u in zip(left_low[:n], right_low[:n], units, strict=True)])
     once = (F.col("_level") == F.greatest("_la", "_lb")) & (F.col("_cell") == corner)
     return met.filter(overlap & once).drop("_level", "_cell", "_la", "_lb")

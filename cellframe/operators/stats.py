@@ -50,6 +50,28 @@ def tree_stats(df: DataFrame, keys: Sequence[str], levels: Sequence[int] | None
     return nodes.groupBy("level").agg(F.count("*").alias("n_nodes"), F.sum("children").alias("n_children"), F.max("children").alias("max_children"))
 
 
+def node_sizes(df: DataFrame, keys: Sequence[str], levels: Sequence[int] | None = None) -> DataFrame:
+    """(size_log, n_nodes): nodes by the number of binary digits of their number of children."""
+    nodes = split_levels(df, keys, levels if levels is not None else varying_levels(df, keys))
+    return nodes.groupBy(F.length(F.bin("children")).alias("size_log")).agg(F.count("*").alias("n_nodes"))
+
+
+def infix_lengths(df: DataFrame, keys: Sequence[str], levels: Sequence[int] | None = None) -> DataFrame:
+    """(infix_len, n_nodes): nodes by the number of bit levels between them and their parent; 0 for the root.
+
+    Each node looks for nodes on its prefix at every level above; the lowest is its parent.
+    """
+    levels = levels if levels is not None else varying_levels(df, keys)
+    nodes = split_levels(df, keys, levels)
+    names = [f"p{i}" for i in range(len(keys))]
+    above = nodes.select("level", *names).withColumn("up", F.explode(F.filter(F.array(*[F.lit(x) for x in levels]), lambda x: x > F.col("level"))))
+    above = above.select("up", *[F.expr(f"shiftrightunsigned({p}, up - level)").alias(f"u_{p}") for p in names], "level", *names)
+    parents = above.join(nodes.select(F.col("level").alias("up"), *[F.col(p).alias(f"u_{p}") for p in names]), ["up", *[f"u_{p}" for p in names]])
+    found = parents.groupBy("level", *names).agg((F.min("up") - F.col("level") - 1).alias("infix_len")).select("infix_len")
+    root = nodes.filter(F.col("level") == DEPTH - 1).select(F.lit(0).alias("infix_len"))
+    return found.unionByName(root).groupBy("infix_len").agg(F.count("*").alias("n_nodes"))
+
+
 def entry_depths(df: DataFrame, keys: Sequence[str], levels: Sequence[int] | None = None) -> DataFrame:
     """(level, n_entries): how many keys hang on a node of each level, that is, first stand alone below it."""
     columns = [F.col(k).cast("long") for k in keys]

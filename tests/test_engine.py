@@ -1,7 +1,9 @@
 """Literal fixtures and seeded comparisons with brute force."""
 
 import math
+import random
 import struct
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cellframe.functions import bits, encoding
 from cellframe.functions.metrics import L1, L2, Custom
-from cellframe.operators import joins, mutate
+from cellframe.operators import joins, mutate, stats
 from cellframe.operators.tables import BoxTable, MultiTable, SpatialTable
 from cellframe.plans import bounded
 from cellframe.sources.clustered import read_points, read_tokens, write_clustered
@@ -200,3 +202,36 @@ def test_moving_objects(spark, tmp_path):
             spark.createDataFrame(extra, "id long, t long, x double").coalesce(1).write.mode("append").parquet(str(source))
         maintain(stream, "id", "t", load, store, str(tmp_path / "ck")).awaitTermination(60)
     assert {tuple(r) for r in load().collect()} == {(1, 7, 0.7), (2, 9, 2.5)}
+
+
+def test_trie_histograms_and_include_join(spark):
+    rng = random.Random(31)
+    keys = {(rng.choice([-1, 1]) * rng.randrange(1 << rng.choice([3, 20, 62])), rng.randrange(1 << 12)) for _ in range(300)}
+    sizes, infixes = Counter(), Counter()
+
+    def walk(group, parent):
+        first, level = group[0], 63
+        if parent is not None:
+            level = max(((x ^ y) & (1 << 64) - 1).bit_length() - 1 for k in group for x, y in zip(k, first, strict=True))
+        children = defaultdict(list)
+        for k in group:
+            children[tuple(x >> level & 1 for x in k)].append(k)
+        sizes[len(children).bit_length()] += 1
+        infixes[0 if parent is None else parent - level - 1] += 1
+        for child in children.values():
+            if len(child) > 1:
+                walk(child, level)
+
+    walk(sorted(keys), None)
+    frame = spark.createDataFrame(sorted(keys), "x long, y long")
+    assert {r.size_log: r.n_nodes for r in stats.node_sizes(frame, ["x", "y"]).collect()} == sizes
+    assert {r.infix_len: r.n_nodes for r in stats.infix_lengths(frame, ["x", "y"]).collect()} == infixes
+
+    def boxes(n, most):
+        return [(i, x, y, x + rng.random() * most, y + rng.random() * most) for i in range(n) for x, y in [(rng.random() * 9, rng.random() * 9)]]
+
+    small, big = [*boxes(150, 1), (900, 2.0, 2.0, 3.0, 3.0)], [*boxes(80, 6), (901, 2.0, 2.0, 3.0, 3.0)]
+    left, right = (spark.createDataFrame(b, f"{s}i int, {s}x double, {s}y double, {s}u double, {s}v double") for b, s in ((small, "l"), (big, "r")))
+    got = joins.box_join(left, right, ["lx", "ly"], ["lu", "lv"], ["rx", "ry"], ["ru", "rv"], include=True).collect()
+    want = sorted((a[0], b[0]) for a in small for b in big if a[1] >= b[1] and a[2] >= b[2] and a[3] <= b[3] and a[4] <= b[4])
+    assert sorted((r.li, r.ri) for r in got) == want and (900, 901) in want and len(want) > 20
