@@ -19,25 +19,32 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cellframe.llm.common import keyed_text, shared_path, written
 
 CHUNK_BYTES = 4_000_000
 CHUNK_ROWS = 4096
+BUCKET_BYTES = 64_000_000
 #: From so many buckets on, chunks are dealt to their buckets before they are written.
 COMPACT_FROM = 2000
 REQUESTS = "bucket int, chunk long, payload binary"
 REPLIES = "bucket int, chunk long, reply binary"
 
 
-def buckets(frame: DataFrame) -> int:
-    """As many as shuffle partitions: the setting that follows the size of the input."""
-    return int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def buckets(docs: DataFrame, text_col: str = "text") -> int:
+    """As many as shuffle partitions, and at least one for each ``BUCKET_BYTES`` of text.
+
+    A bucket's task holds about as many bytes as its share of the text, so the number
+    follows the measured size of the input where the setting does not.
+    """
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
 
 
-def chunk_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(chunk, doc_id, text): neighbouring rows of a partition, up to 4 MB or 4096 rows to a chunk.
+def chunk_table(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(chunk, doc_id, text) in ``n`` buckets: neighbouring rows of a partition, up to 4 MB or 4096 rows to a chunk.
 
     A task writes a file for each of its chunks. On inputs with thousands of buckets that
     would be millions of small files; there the text is shuffled once, to one file a bucket.
@@ -60,10 +67,17 @@ def chunk_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     kind = docs.schema[id_col].dataType.simpleString()
     name = f"chunks_{uuid.uuid4().hex}"
     numbered = keyed_text(docs, id_col, text_col).mapInArrow(run, f"chunk long, doc_id {kind}, text string")
-    if buckets(docs) >= COMPACT_FROM:
-        numbered = numbered.repartition(buckets(docs), "chunk")
-    numbered.write.bucketBy(buckets(docs), "chunk").option("compression", "zstd").option("path", shared_path(spark, "chunks")).saveAsTable(name)
-    return spark.table(name)
+    if n >= COMPACT_FROM:
+        numbered = numbered.repartition(n, "chunk")
+    numbered.write.bucketBy(n, "chunk").option("compression", "zstd").option("path", shared_path(spark, "chunks")).saveAsTable(name)
+    return forgotten(spark, name)
+
+
+def forgotten(spark: SparkSession, name: str) -> DataFrame:
+    """The external table as a frame that keeps its buckets, with its name taken off the catalogue; its files stay."""
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return table
 
 
 def ask(chunks: DataFrame, question: Callable[[pa.Table], Iterator[tuple[int, bytes]]]) -> DataFrame:

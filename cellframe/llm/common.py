@@ -6,23 +6,25 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
 SLICE = 500
+SLICE_BYTES = 4_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; one of our own only where it is unset."""
+    """The folder in ``spark.checkpoint.dir``; one of our own only where it is unset and the master is local."""
     context = spark.sparkContext
-    folder = context.getConf().get("spark.checkpoint.dir", None)
+    folder = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        folder = context.getCheckpointDir()
-        if not folder:
-            folder = tempfile.mkdtemp(prefix="cellframe-")
-            context.setCheckpointDir(folder)
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="cellframe-")
+        context.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
@@ -39,17 +41,31 @@ def written(frame: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of up to ``SLICE`` rows and ``SLICE_BYTES`` bytes of strings, one row at least."""
+    sizes = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type) or pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type):
+            sizes += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes)
+    start = 0
+    while start < batch.num_rows:
+        reach = int(np.searchsorted(ends, (ends[start - 1] if start else 0) + SLICE_BYTES, side="right"))
+        end = max(start + 1, min(start + SLICE, reach))
+        yield batch.slice(start, end - start)
+        start = end
+
+
 def map_batches(frame: DataFrame, build: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` of a batch function made once for each task by ``build``.
 
-    Batches are cut to ``SLICE`` rows, so that a worker holds few texts at a time.
+    Batches are cut by rows and bytes, so that a worker converts few texts at a time.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         convert = build()
         for batch in batches:
-            for start in range(0, batch.num_rows, SLICE):
-                yield convert(batch.slice(start, SLICE))
+            yield from map(convert, pieces(batch))
 
     return frame.mapInArrow(run, schema)
 
