@@ -1,22 +1,23 @@
-"""Removal of repeated 50-byte strings by prefix-free parsing.
+"""Removal of repeated 50-byte strings by prefix-free parsing, on two levels.
 
-A rolling hash over 24 bytes triggers phrase ends: of the 27 places of a 50-byte string
-the one with the least hash (leftmost among equals) is its trigger, so all occurrences of
-the string, in whatever document, hang on the same trigger. The strings that start in one
-stretch and share a trigger make a phrase, which carries the 49 bytes that follow its last
-start: neighbouring phrases overlap, and the parse's suffix order is needed no deeper than
-that overlap. A chunk of documents has a dictionary (distinct phrases, each with its least
-document id) and a parse (which phrase every document has where).
+Across the corpus, a rolling hash over 24 bytes triggers phrase ends: of the 27 places of a
+50-byte string the one with the least hash (leftmost among equals) is its trigger, so all
+occurrences of the string, in whatever document, hang on the same trigger. The strings that
+start in one stretch and share a trigger make a phrase, which carries the 49 bytes that
+follow its last start. A chunk of documents has a dictionary (distinct phrases, each with
+its least document id) and a parse (which phrase every document has where).
 
 Buckets, by trigger string, merge the dictionaries in three steps: triggers that one
 phrase alone has are done; phrases equal everywhere need only their least document id;
-where different phrases share a trigger, the suffix array of the merged dictionary, to
-depth 50, puts their strings in corpus order, and runs of equal strings give each string's
-least document id. Chunks read the answers back through their parse, so a passage in a
-third of all documents costs a bucket one entry for each chunk.
-
-Equality is of bytes for strings in different phrases, and of 64-bit hashes (within one
-24-byte trigger string) for whole phrases; 40 plus 32 bits only decide who compares.
+where different phrases share a trigger, they are the text of a second prefix-free
+parsing (``corpus_order``): its rolling hash cuts them into short phrases, the suffix array
+of the dictionary of those and the suffix array of their parse are combined into the order
+of all strings, and runs of strings with equal bytes give each string's least document id.
+Chunks read the answers back through their parse, so a passage in a third of all documents
+costs a bucket one entry for each chunk.
+
+Whole phrases are equal if their 64-bit hashes are (within one 24-byte trigger string, and
+short phrases within one batch); strings of different phrases are compared as bytes.
 """
 
 from __future__ import annotations
@@ -35,10 +36,16 @@ from cellframe.llm.shingles import mixed
 LENGTH = 50
 SEED = 24
 PLACES = LENGTH - SEED + 1
-SPAN = LENGTH + PLACES - 1
 SEGMENT = 1 << 16
 ALONE, SAME, MIXED = 0, 1, 2
+#: Window and mean length of the short phrases, and bytes of text ordered at a time.
+SHORT_WINDOW, SHORT_EVERY, BATCH = 6, 8, 1_000_000
+_WORDS = (0, 8, 16, 24, 32, 40, LENGTH - 8)
+_ALL = np.uint32((1 << 32) - 1)
 _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
+_BASE = 0x5851F42D4C957F2D
+_POWERS = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(SEGMENT + LENGTH, _BASE, np.uint64)]), dtype=np.uint64)
+_INVERSES = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(SEGMENT + LENGTH, pow(_BASE, -1, 1 << 64), np.uint64)]), dtype=np.uint64)
 
 
 def words_at(data: np.ndarray) -> np.ndarray:
@@ -46,23 +53,19 @@ def words_at(data: np.ndarray) -> np.ndarray:
     return np.ndarray((max(len(data) - 7, 0),), "<u8", data, strides=(1,))
 
 
-def triggers(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each place where a 50-byte string can start: (the place of its trigger, the hash there)."""
-    starts = max(len(data) - LENGTH + 1, 0)
-    place, value = np.empty(starts, np.int64), np.empty(starts, np.uint64)
-    words = words_at(data)
-    low = np.uint64(SEGMENT * 2 - 1)
-    for begin in range(0, starts, SEGMENT):
-        end = min(begin + SEGMENT, starts)
-        hi = end + PLACES - 1
-        h = mixed(words[begin:hi] * _K[0] + words[begin + 8 : hi + 8] * _K[1] + words[begin + 16 : hi + 16] * _K[2])
-        key = (h & ~low) | np.arange(hi - begin, dtype=np.uint64)
-        for step in (1, 2, 4, 8, PLACES - 16):
-            key = np.minimum(key[:-step], key[step:])
-        at = (key & low).astype(np.int64)
-        place[begin:end] = at + begin
-        value[begin:end] = h[at]
-    return place, value
+def rolling(data: np.ndarray, window: int) -> np.ndarray:
+    """The polynomial hash, modulo 2^64, of the window at every place of up to a segment.
+
+    It rolls as differences of running sums: what leaves is taken off, what enters added,
+    and the power of the place divided out.
+    """
+    terms = (data.astype(np.uint64) + np.uint64(1)) * _POWERS[: len(data)]
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)])
+    places = max(len(data) - window + 1, 0)
+    return mixed((sums[window:] - sums[:places]) * _INVERSES[:places])
+
+
+# --- phrases of a chunk ---
 
 
 class Parse:
@@ -74,22 +77,19 @@ class Parse:
         self.sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         self.ends = np.cumsum(self.sizes)
         self.data = np.frombuffer(b"".join(texts), np.uint8)
-        place, value = triggers(self.data)
+        del texts
         known = np.array([i is not None for i in self.ids], bool)
-        room = np.where(known, np.maximum(self.sizes - LENGTH + 1, 0), 0)
-        owner = np.repeat(np.arange(len(texts)), room)
-        starts = np.arange(len(owner)) + np.repeat(self.ends - self.sizes - (np.cumsum(room) - room), room)
-        place, value = place[starts], value[starts]
-        edge = np.flatnonzero(np.diff(place, prepend=-1))
-        #: One entry for each phrase in place: first start, number of starts, row.
-        self.first = starts[edge]
-        self.many = np.diff(np.append(edge, len(starts)))
-        self.row = owner[edge]
-        seed, lead = value[edge], (place[edge] - self.first).astype(np.uint64)
+        #: Strings start before this place of each row.
+        behind = np.where(known, self.ends - LENGTH + 1, 0)
+        seed, place = self._cut(behind)
+        following = np.append(self.first[1:], len(self.data))
+        last_of_row = np.append(self.row[1:] != self.row[:-1], True) if len(self.row) else np.zeros(0, bool)
+        self.many = np.where(last_of_row, behind[self.row], following[: len(self.row)]) - self.first
+        lead = (place - self.first).astype(np.uint64)
         last = self.first + self.many - 1
         words = words_at(self.data)
         phrase = self.many.astype(np.uint64) * _K[5] + lead * _K[6]
-        for k, offset in enumerate((0, 8, 16, 24, 32, 40, 42)):
+        for k, offset in enumerate(_WORDS):
             phrase = phrase + words[self.first + offset] * _K[k]
             phrase = mixed(phrase + words[last + offset] * _K[6 - k])
         doc = np.array([i if i is not None else 0 for i in self.ids], np.int64)[self.row]
@@ -106,14 +106,38 @@ class Parse:
         self.entry[order] = np.cumsum(fresh) - 1
         self.starts = np.searchsorted(bucket[fresh], np.arange(buckets + 1))
 
+    def _cut(self, behind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sets first start and row of each phrase in place; (trigger hash, trigger place) of each."""
+        firsts, rows, seeds, places = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        starts = max(len(self.data) - LENGTH + 1, 0)
+        low = np.uint64(SEGMENT * 2 - 1)
+        place_before, row_before = -1, -1
+        for begin in range(0, starts, SEGMENT):
+            end = min(begin + SEGMENT, starts)
+            h = rolling(self.data[begin : end + LENGTH - 1], SEED)
+            key = (h & ~low) | np.arange(len(h), dtype=np.uint64)
+            for step in (1, 2, 4, 8, PLACES - 16):
+                key = np.minimum(key[:-step], key[step:])
+            at = (key & low).astype(np.int64)
+            row = np.searchsorted(self.ends, np.arange(begin, end), side="right")
+            place = at + begin
+            edge = np.flatnonzero(((np.diff(place, prepend=place_before) != 0) | (np.diff(row, prepend=row_before) != 0)) & (np.arange(begin, end) < behind[row]))
+            firsts.append(edge + begin)
+            rows.append(row[edge])
+            seeds.append(h[at[edge]])
+            places.append(place[edge])
+            place_before, row_before = int(place[-1]), int(row[-1])
+        self.first, self.row = np.concatenate(firsts), np.concatenate(rows)
+        return np.concatenate(seeds), np.concatenate(places)
+
     def ranges(self) -> Iterator[tuple[int, slice]]:
         for b in np.flatnonzero(np.diff(self.starts)).tolist():
             yield b, slice(self.starts[b], self.starts[b + 1])
 
     def names(self) -> Iterator[tuple[int, bytes]]:
-        """First question: the name of each entry's trigger and phrase."""
+        """First question: the name of each entry's trigger and the hash of its phrase."""
         for b, own in self.ranges():
-            yield b, ck.pack40(self.seed[own]) + (self.phrase[own] >> np.uint64(32)).astype("<u4").tobytes()
+            yield b, ck.pack40(self.seed[own]) + self.phrase[own].astype("<u8").tobytes()
 
     def kinds(self, replies: dict[int, bytes]) -> np.ndarray:
         out = np.zeros(len(self.seed), np.uint8)
@@ -121,12 +145,12 @@ class Parse:
             out[own] = np.frombuffer(replies[b], np.uint8)
         return out
 
-    def content(self, entries: np.ndarray) -> np.ndarray:
-        """The bytes of phrases, zeros behind their ends."""
+    def content(self, entries: np.ndarray) -> bytes:
+        """The bytes of phrases, one behind the other."""
         at = self.shown[entries]
-        place = self.first[at][:, None] + np.arange(SPAN)
-        inside = np.arange(SPAN) < (self.many[at] + LENGTH - 1)[:, None]
-        return np.where(inside, self.data[np.minimum(place, len(self.data) - 1)], 0).astype(np.uint8)
+        size = self.many[at] + LENGTH - 1
+        offset = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        return self.data[np.repeat(self.first[at], size) + offset].tobytes()
 
     def details(self, replies: dict[int, bytes]) -> Iterator[tuple[int, bytes]]:
         """Second question: hashes of the phrases that are equal everywhere, bytes of the others."""
@@ -136,7 +160,7 @@ class Parse:
             mixed_up = np.flatnonzero(kinds[own] == MIXED) + own.start
             if len(same) or len(mixed_up):
                 body = [struct.pack("<II", len(same), len(mixed_up)), self.phrase[same].tobytes(), self.least[same].tobytes()]
-                body += [self.least[mixed_up].tobytes(), self.many[self.shown[mixed_up]].astype(np.uint8).tobytes(), self.content(mixed_up).tobytes()]
+                body += [self.least[mixed_up].tobytes(), self.many[self.shown[mixed_up]].astype(np.uint8).tobytes(), ck.pack40(self.seed[mixed_up]), self.content(mixed_up)]
                 yield b, b"".join(body)
 
     def removed(self, first: dict[int, bytes], second: dict[int, bytes]) -> np.ndarray:
@@ -148,24 +172,29 @@ class Parse:
                 same = np.flatnonzero(kinds[own] == SAME) + own.start
                 mixed_up = np.flatnonzero(kinds[own] == MIXED) + own.start
                 least = np.frombuffer(second[b], np.int64, len(same))
-                earlier[same] = np.where(least < self.least[same], np.uint32((1 << 32) - 1), np.uint32(0))
+                earlier[same] = np.where(least < self.least[same], _ALL, np.uint32(0))
                 earlier[mixed_up] = np.frombuffer(second[b], "<u4", offset=8 * len(same))
-        mask = np.where(self.doc > self.least[self.entry], np.uint32((1 << 32) - 1), earlier[self.entry])
-        hit = np.flatnonzero(mask)
-        number = self.many[hit]
+        mask = np.where(self.doc > self.least[self.entry], _ALL, earlier[self.entry])
+        whole = mask == _ALL
+        step = np.bincount(self.first[whole], minlength=len(self.data) + LENGTH + 1).astype(np.int32)
+        step -= np.bincount(self.first[whole] + self.many[whole] + LENGTH - 1, minlength=len(step)).astype(np.int32)
+        part = np.flatnonzero((mask != 0) & ~whole)
+        number = self.many[part]
         offset = np.arange(number.sum()) - np.repeat(np.cumsum(number) - number, number)
-        starts = (np.repeat(self.first[hit], number) + offset)[(np.repeat(mask[hit], number) >> offset.astype(np.uint32)) & np.uint32(1) == 1]
-        step = np.zeros(len(self.data) + LENGTH + 1, np.int32)
+        starts = (np.repeat(self.first[part], number) + offset)[(np.repeat(mask[part], number) >> offset.astype(np.uint32)) & np.uint32(1) == 1]
         step[starts] += 1
         step[starts + LENGTH] -= 1
-        return np.cumsum(step)[: len(self.data)] > 0
+        return np.cumsum(step, dtype=np.int32)[: len(self.data)] > 0
+
+
+# --- buckets ---
 
 
 def name_answer(payloads: list[bytes]) -> list[bytes]:
     """For each entry whether its trigger has one entry, equal phrases or different ones, over all chunks."""
-    counts = [len(p) // 9 for p in payloads]
+    counts = [len(p) // 13 for p in payloads]
     seeds = np.concatenate([ck.unpack40(p[: 5 * n]) for p, n in zip(payloads, counts, strict=True)])
-    names = np.concatenate([np.frombuffer(p, "<u4", n, 5 * n) for p, n in zip(payloads, counts, strict=True)])
+    names = np.concatenate([np.frombuffer(p, "<u8", n, 5 * n) for p, n in zip(payloads, counts, strict=True)])
     order = np.argsort(seeds, kind="stable")
     ranked, named = seeds[order], names[order]
     begin = np.flatnonzero(np.diff(ranked, prepend=ranked[:1] + np.uint64(1)))
@@ -177,41 +206,136 @@ def name_answer(payloads: list[bytes]) -> list[bytes]:
     return [x.tobytes() for x in np.split(out, np.cumsum(counts)[:-1])]
 
 
-def suffix_runs(content: np.ndarray, many: np.ndarray, least: np.ndarray, slab: int = 1 << 20) -> np.ndarray:
-    """For each phrase a bit mask of its starts whose string an earlier document has.
+def dense(values: np.ndarray) -> np.ndarray:
+    """Ranks from 1 on; equal values share theirs."""
+    order = np.argsort(values, kind="stable")
+    ranked = values[order]
+    out = np.empty(len(values), np.int64)
+    out[order] = np.cumsum(np.append(True, ranked[1:] != ranked[:-1])[: len(values)])
+    return out
+
+
+def parse_ranks(words: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """The inverse suffix array of many sequences of ranks laid end to end, by prefix doubling.
 
-    The strings of all phrases are sorted as bytes (the dictionary's suffix array to depth
-    50, in corpus order); equal neighbours share their least document id.
+    ``left`` is how many words of the own sequence start at each place. Equal suffixes share
+    a rank; an end comes before any word.
+    """
+    ranks, depth, longest = dense(words), 1, int(left.max(initial=0))
+    while depth < longest:
+        following = np.zeros(len(ranks), np.int64)
+        more = np.flatnonzero(left > depth)
+        following[more] = ranks[more + depth]
+        ranks = dense(ranks * (len(ranks) + 1) + following)
+        depth *= 2
+    return ranks
+
+
+def dictionary_ranks(text: np.ndarray, place: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """The inverse suffix array, to depth ``LENGTH``, of phrase suffixes that start at ``place`` with ``left`` bytes."""
+    strings = np.lib.stride_tricks.sliding_window_view(np.append(text, np.zeros(LENGTH, np.uint8)), LENGTH)[place]
+    strings[np.arange(LENGTH) >= left[:, None]] = 0
+    return dense(strings.view(f"S{LENGTH}").ravel())
+
+
+def corpus_order(text: np.ndarray, sizes: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """The places ``asked`` in the order of the ``LENGTH`` bytes that start there.
+
+    ``text`` holds sequences of the given sizes end to end; each place asked has that many
+    bytes of its own sequence. Windows whose rolling hash has a zero remainder cut the
+    sequences into phrases that overlap by a window, so none of the phrase suffixes that are
+    compared is a prefix of another: their order in the dictionary's suffix array decides,
+    and among equal ones that of what follows, in the parse's suffix array.
     """
+    ends = np.cumsum(sizes)
+    begins = ends - sizes
+    hit = np.zeros(len(text), bool)
+    for at in range(0, len(text), SEGMENT):
+        h = rolling(text[at : at + SEGMENT + SHORT_WINDOW - 1], SHORT_WINDOW)
+        hit[at : at + len(h)] = h % np.uint64(SHORT_EVERY) == 0
+    for back in range(1, SHORT_WINDOW + 1):
+        hit[ends - back] = False
+    hit[begins] = True
+    first = np.flatnonzero(hit)
+    row = np.searchsorted(ends, first, side="right")
+    is_last = np.append(row[1:] != row[:-1], True)
+    length = np.where(is_last, ends[row], np.append(first[1:], 0) + SHORT_WINDOW) - first
+    # phrases are named by hashes of their bytes and lengths
+    begin = np.cumsum(length) - length
+    place = np.arange(length.sum()) - np.repeat(begin, length)
+    letters = (text[np.repeat(first, length) + place].astype(np.uint64) + np.uint64(1)) * _POWERS[place]
+    name = mixed(np.add.reduceat(letters, begin) + length.astype(np.uint64) * _K[1])
+    _, shown, word = np.unique(name, return_index=True, return_inverse=True)
+    # suffixes of the dictionary: of every phrase the whole, and those that start at a place asked
+    mine = np.searchsorted(first, asked, side="right") - 1
+    base = np.cumsum(length[shown]) - length[shown]
+    entry = base[word[mine]] + asked - first[mine]
+    wanted = np.zeros(length[shown].sum(), bool)
+    wanted[base] = True
+    wanted[entry] = True
+    held = np.flatnonzero(wanted)
+    phrase = np.searchsorted(base, held, side="right") - 1
+    ranks = np.zeros(len(wanted), np.int64)
+    ranks[held] = dictionary_ranks(text, first[shown][phrase] + held - base[phrase], length[shown][phrase] - held + base[phrase])
+    # suffixes of the parse, in the order of whole phrases
+    after = parse_ranks(ranks[base][word], np.searchsorted(row, row, side="right") - np.arange(len(row)))
+    following = np.append(after, 0)[mine + 1]
+    following[is_last[mine]] = 0
+    return np.argsort(ranks[entry] * (len(first) + 1) + following)
+
+
+def repeated_masks(text: np.ndarray, many: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """For each phrase a bit mask of its starts whose string a phrase with a smaller document id has."""
+    sizes = many + LENGTH - 1
+    begins = np.cumsum(sizes) - sizes
     phrase = np.repeat(np.arange(len(many)), many)
     start = np.arange(len(phrase)) - np.repeat(np.cumsum(many) - many, many)
-    strings = np.empty((len(phrase), LENGTH), np.uint8)
-    for lo in range(0, len(phrase), slab):
-        part = slice(lo, lo + slab)
-        strings[part] = content[phrase[part][:, None], start[part][:, None] + np.arange(LENGTH)]
-    keys = strings.view(f"S{LENGTH}").ravel()
-    order = np.argsort(keys, kind="stable")
-    ranked = keys[order]
-    begin = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
+    asked = begins[phrase] + start
+    order = corpus_order(text, sizes, asked)
+    words = words_at(text)
+    differs = np.zeros(max(len(order) - 1, 0), bool)
+    for offset in _WORDS:
+        own = words[asked[order] + offset]
+        differs |= own[1:] != own[:-1]
+    begin = np.flatnonzero(np.append(True, differs))
     size = np.diff(np.append(begin, len(order)))
-    lowest = np.repeat(np.minimum.reduceat(least[phrase[order]], begin), size)
-    hit = lowest < least[phrase[order]]
+    docs = least[phrase[order]]
+    hit = np.repeat(np.minimum.reduceat(docs, begin), size) < docs
     masks = np.zeros(len(many), np.uint32)
     np.bitwise_or.at(masks, phrase[order][hit], np.uint32(1) << start[order][hit].astype(np.uint32))
-    return masks
+    return np.where(masks == (np.uint64(1) << many.astype(np.uint64)) - np.uint64(1), _ALL, masks).astype(np.uint32)
+
+
+def batched_masks(seeds: np.ndarray, many: np.ndarray, least: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """``repeated_masks`` of whole triggers, ``BATCH`` bytes and the rest of a trigger at a time."""
+    sizes = many + LENGTH - 1
+    begins = np.cumsum(sizes) - sizes
+    order = np.argsort(seeds, kind="stable")
+    edges = np.flatnonzero(np.append(np.diff(seeds[order], prepend=seeds[order][:1]) != 0, True))
+    reach = np.cumsum(sizes[order])
+    out, lo = np.zeros(len(many), np.uint32), 0
+    while lo < len(order):
+        full = np.searchsorted(reach, (reach[lo - 1] if lo else 0) + BATCH)
+        hi = int(edges[min(np.searchsorted(edges, max(full, lo + 1)), len(edges) - 1)])
+        own = order[lo:hi]
+        offset = np.arange(sizes[own].sum()) - np.repeat(np.cumsum(sizes[own]) - sizes[own], sizes[own])
+        out[own] = repeated_masks(text[np.repeat(begins[own], sizes[own]) + offset], many[own], least[own])
+        lo = hi
+    return out
 
 
 def detail_answer(payloads: list[bytes]) -> list[bytes]:
     """Least document ids of equal phrases, masks of the others."""
     sizes = [struct.unpack_from("<II", p) for p in payloads]
-    hashes, leasts, docs, manys, contents = [], [], [], [], []
+    hashes, leasts, docs, manys, seeds, texts = [], [], [], [], [], []
     for p, (n, m) in zip(payloads, sizes, strict=True):
         at = 8
         hashes.append(np.frombuffer(p, np.uint64, n, at))
         leasts.append(np.frombuffer(p, np.int64, n, at := at + 8 * n))
         docs.append(np.frombuffer(p, np.int64, m, at := at + 8 * n))
         manys.append(np.frombuffer(p, np.uint8, m, at := at + 8 * m))
-        contents.append(np.frombuffer(p, np.uint8, SPAN * m, at + m).reshape(m, SPAN))
+        seeds.append(ck.unpack40(p[at + m : at + 6 * m]))
+        texts.append(np.frombuffer(p, np.uint8, offset=at + 6 * m) if m else np.zeros(0, np.uint8))
     every, least = np.concatenate(hashes), np.concatenate(leasts)
     lowest = least
     if len(every):
@@ -219,7 +343,7 @@ def detail_answer(payloads: list[bytes]) -> list[bytes]:
         begin = np.flatnonzero(np.append(True, every[order][1:] != every[order][:-1]))
         lowest = np.empty_like(least)
         lowest[order] = np.repeat(np.minimum.reduceat(least[order], begin), np.diff(np.append(begin, len(order))))
-    masks = suffix_runs(np.concatenate(contents), np.concatenate(manys).astype(np.int64), np.concatenate(docs)) if sum(m for _, m in sizes) else np.zeros(0, np.uint32)
+    masks = batched_masks(np.concatenate(seeds), np.concatenate(manys).astype(np.int64), np.concatenate(docs), np.concatenate(texts))
     out, i, j = [], 0, 0
     for n, m in sizes:
         out.append(lowest[i : i + n].tobytes() + masks[j : j + m].tobytes())
@@ -227,6 +351,9 @@ def detail_answer(payloads: list[bytes]) -> list[bytes]:
     return out
 
 
+# --- tables ---
+
+
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, spans, kept) for every row.
 
@@ -237,8 +364,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     null keeps all its bytes and removes none. Other columns are left out.
     """
     docs = docs.withColumn(id_col, F.col(id_col).cast("long"))
-    n = ck.buckets(docs)
-    table = ck.chunk_table(docs, id_col, text_col)
+    n = ck.buckets(docs, text_col)
+    table = ck.chunk_table(docs, n, id_col, text_col)
     names = ck.resolve(ck.ask(table, lambda t: Parse(t, n).names()), name_answer, "phrase-kinds")
     details = ck.resolve(ck.ask_again(table, names, lambda t, r: Parse(t, n).details(r)), detail_answer, "phrase-details")
 

@@ -59,6 +59,41 @@ def test_many_buckets(spark, monkeypatch):
     assert got(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3)) == wanted(rows)
 
 
+def test_names_that_agree_in_part_are_told_apart(spark, monkeypatch):
+    """Phrases of one trigger whose hashes agree in their upper halves are compared as what they are."""
+    plain = suffix_dedup.Parse.__init__
+
+    def halved(self, table, buckets):
+        plain(self, table, buckets)
+        self.phrase = self.phrase & np.uint64((1 << 32) - 1)
+
+    monkeypatch.setattr(suffix_dedup.Parse, "__init__", halved)
+    passage = "one and the same passage that is long enough to hold several strings of fifty bytes"
+    rows = [(k, f"{'abc'[k % 3] * k} {passage} {'xyz'[k % 3] * (k // 2)}") for k in range(24)]
+    assert got(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3)) == wanted(rows)
+
+
+def test_rolling_hash_depends_on_the_window_alone():
+    data = np.random.default_rng(1).integers(0, 256, 500, np.uint8)
+    assert (suffix_dedup.rolling(data, 24)[123:] == suffix_dedup.rolling(data[123:], 24)).all()
+    assert len(suffix_dedup.rolling(data[:10], 24)) == 0
+
+
+def test_dictionary_and_parse_give_the_corpus_order():
+    rng = random.Random(5)
+    for kind in range(40):
+        letters = [b"ab", b"a", bytes(range(256)), b"the cat sat on a mat \0"][kind % 4]
+        many = np.array([rng.randrange(1, 28) for _ in range(rng.randrange(1, 60))])
+        base = bytes(rng.choices(letters, k=200))
+        texts = [(base[rng.randrange(100) :] if rng.random() < 0.6 else bytes(rng.choices(letters, k=90)))[: m + 49] for m in many]
+        sizes = np.array(list(map(len, texts)))
+        text = np.frombuffer(b"".join(texts), np.uint8)
+        begins = np.cumsum(sizes) - sizes
+        asked = np.concatenate([np.arange(b, b + m) for b, m in zip(begins, many, strict=True)])
+        ordered = [text[a : a + 50].tobytes() for a in asked[suffix_dedup.corpus_order(text, sizes, asked)]]
+        assert ordered == sorted(ordered)
+
+
 def test_query(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     assert sorted(map(tuple, QUERIES["op3_suffix_dedup"](spark, "/root/testdata/sf0.001").collect()), key=repr) == wanted(rows)
