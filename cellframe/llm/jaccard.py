@@ -14,7 +14,7 @@ at least 0.8. Equal sets are one class from the start. Then
    edges leave in one component is done, and only lists that still hold several
    components compare their remaining pairs across them;
 4. the boundary minimises the summed cost of enumerating and of scanning and verifying,
-   from the counts of set sizes.
+   from the counts of set sizes and the measured length of the inverted lists.
 
 Components of the verified edges are taken on the executors.
 """
@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, islice
 from math import ceil, comb
 
 import numpy as np
@@ -38,6 +38,8 @@ from cellframe.llm.graph import components
 
 #: The largest light set that is ever considered; subsets grow steeply with size.
 MOST_LIGHT = 24
+#: Subsets that a task holds at a time, and entries of a block of a long inverted list.
+SUBSETS, BLOCK = 100_000, 512
 _A, _B = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 
 
@@ -127,8 +129,8 @@ def classes_of_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(doc_id, n_shingles, rep, tokens): the least id with an equal set, and for sets that
     may link with others, on the row of that id, their shared shingles, rarest first."""
     docs = docs.withColumn(id_col, F.col(id_col).cast("long"))
-    n = ck.buckets(docs)
-    table = ck.chunk_table(docs, id_col, text_col)
+    n = ck.buckets(docs, text_col)
+    table = ck.chunk_table(docs, n, id_col, text_col)
     replies = ck.resolve(ck.ask(table, lambda t: Parsed(t, n).lists(n)), answer, "shared-shingles")
 
     def finish(rows: pa.Table, replied: dict[int, bytes]) -> pa.Table:
@@ -158,28 +160,37 @@ def classes_of_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 # --- light and heavy ---
 
 
-def boundary(counts: dict[int, int]) -> int:
-    """The largest light size: up to it, enumerating costs no more than scanning.
+def light_cost(n: int, most: int) -> int:
+    """Subsets that a set of size ``n`` enumerates if sets up to ``most`` are light."""
+    return sum(comb(n, needed(n, m)) for m in partners(n) if m <= most and needed(n, m) <= min(n, m)) if n <= most else 0
 
-    Enumerating costs one unit for each subset; scanning a set costs, for each prefix
-    entry, the entry and the verification of one candidate of about the same size.
+
+def heavy_cost(n: int, most: int, listed: float) -> float:
+    """Work of a set of size ``n`` that can link with one above ``most``: its prefix entries and what they meet."""
+    return (n - ceil(4 * n / 5) + 1) * (1 + n * listed) if 5 * n // 4 > most else 0
+
+
+def boundary(counts: dict[int, int], listed: float = 1.0) -> int:
+    """The largest light size: that of the least summed cost, the smallest such.
+
+    ``counts`` holds how many sets have each size, ``listed`` how many others an entry of an
+    inverted list meets on average. Enumerating costs one unit for each subset; scanning
+    costs, for each prefix entry, the entry and the verification of what it meets, by size.
     """
-    best, light, heavy = 0, 0, 0
-    for n in range(1, MOST_LIGHT + 1):
-        many = counts.get(n, 1)
-        light += many * sum(comb(n, needed(n, m)) for m in partners(n) if needed(n, m) <= min(n, m))
-        heavy += many * (n - ceil(4 * n / 5) + 1) * (1 + n)
-        if light <= heavy:
-            best = n
-    return best
+    sizes = [n for n in counts if n <= 5 * MOST_LIGHT // 4]
+    cost = [sum(counts[n] * (light_cost(n, most) + heavy_cost(n, most, listed)) for n in sizes) for most in range(MOST_LIGHT + 1)]
+    return cost.index(min(cost))
 
 
 def light_edges(sets: DataFrame, most: int) -> DataFrame:
     """Edges (a, b) between sets of up to ``most`` shingles, as stars."""
 
+    def flushed(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], ["key", "side", "rep"])
+
     def enumerate_subsets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple[int, int, int]] = []
         for batch in batches:
-            rows: list[tuple[int, int, int]] = []
             for rep, n, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 tokens = [int(x) for x in shingles.mixed(np.frombuffer(packed, np.uint64))]
                 for m in partners(n):
@@ -188,8 +199,13 @@ def light_edges(sets: DataFrame, most: int) -> DataFrame:
                         continue
                     side = (n > m) - (n < m)
                     salt = (lo << 8 | hi) * 0x9E3779B97F4A7C15
-                    rows += [((sum(c) * 0xD6E8FEB86659FD93 + salt) % (1 << 64) - (1 << 63), side, rep) for c in combinations(tokens, size)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], ["key", "side", "rep"])
+                    subsets = combinations(tokens, size)
+                    while part := list(islice(subsets, SUBSETS - len(rows))):
+                        rows += [((sum(c) * 0xD6E8FEB86659FD93 + salt) % (1 << 64) - (1 << 63), side, rep) for c in part]
+                        if len(rows) == SUBSETS:
+                            yield flushed(rows)
+                            rows = []
+        yield flushed(rows)
 
     keys = sets.filter(F.col("n") <= most).select("rep", "n", "tokens").mapInArrow(enumerate_subsets, "key long, side long, rep long")
     ends = keys.groupBy("key").agg(F.min(F.when(F.col("side") <= 0, F.col("rep"))).alias("low"), F.min(F.when(F.col("side") >= 0, F.col("rep"))).alias("high"))
@@ -217,6 +233,12 @@ def prefix_entries(sets: DataFrame, most: int) -> DataFrame:
     return wide.mapInArrow(prefixes, "token long, rep long, n long, rest long")
 
 
+def list_length(sets: DataFrame) -> float:
+    """How many others an entry of these sets' inverted lists meets on average."""
+    lists = prefix_entries(sets, 0).groupBy("token").agg(F.count("*").cast("double").alias("many"))
+    return lists.agg(F.sum(F.col("many") * (F.col("many") - 1)) / F.sum("many")).first()[0] or 0.0
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) that link."""
     own = sets.select("rep", "n", "tokens")
@@ -258,13 +280,15 @@ def heavy_edges(sets: DataFrame, most: int, light: DataFrame) -> DataFrame:
 
     known = components(edges.unionByName(light))
     labelled = entries.join(known.withColumnRenamed("node", "rep"), "rep", "left").select("token", "rep", "n", "rest", F.coalesce("comp", "rep").alias("comp"))
-    open_lists = labelled.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("token")
-    unsettled = written(labelled.join(open_lists, "token"), "unsettled")
-    x = unsettled.select("token", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("rest").alias("rest_a"), F.col("comp").alias("comp_a"))
-    y = unsettled.select("token", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("rest").alias("rest_b"), F.col("comp").alias("comp_b"))
+    open_lists = labelled.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("many")).filter("low <> high")
+    unsettled = written(labelled.join(open_lists.select("token", F.ceil(F.col("many") / BLOCK).alias("blocks")).hint("merge"), "token"), "unsettled")
+    # a long list is cut into blocks, and its pairs of blocks are dealt to as many tasks
+    own, every_block = F.pmod(F.xxhash64("rep"), F.col("blocks")), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    x = unsettled.select("token", own.alias("i"), every_block.alias("j"), F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("rest").alias("rest_a"), F.col("comp").alias("comp_a"))
+    y = unsettled.select("token", every_block.alias("i"), own.alias("j"), F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("rest").alias("rest_b"), F.col("comp").alias("comp_b"))
     # no shared shingle comes before the first one in either prefix, so at most 1 + rest are common
     reach = (F.least("rest_a", "rest_b") + 1) * 9 >= 4 * (F.col("n_a") + F.col("n_b"))
-    cross = x.join(y, "token").filter((F.col("a") < F.col("b")) & (F.col("comp_a") != F.col("comp_b")) & fits("n_a", "n_b") & reach)
+    cross = x.join(y, ["token", "i", "j"]).filter((F.col("a") < F.col("b")) & (F.col("comp_a") != F.col("comp_b")) & fits("n_a", "n_b") & reach)
     late = written(cross.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "late-pairs")
     return edges.unionByName(verified(late, sets))
 
@@ -280,8 +304,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows = classes_of_sets(docs, id_col, text_col)
     sets = rows.filter("tokens IS NOT NULL").select("rep", F.col("n_shingles").alias("n"), "tokens")
-    counts = {r[0]: r[1] for r in sets.filter(F.col("n") <= MOST_LIGHT).groupBy("n").count().collect()}
-    most = boundary(counts)
+    small = sets.filter(F.col("n") <= 5 * MOST_LIGHT // 4)
+    counts = {r[0]: r[1] for r in small.groupBy("n").count().collect()}
+    most = boundary(counts, list_length(small)) if counts else 0
     light = written(light_edges(sets, most), "light-edges")
     twice = rows.filter("rep IS NOT NULL").groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low <> high").select(F.col("low").alias("a"), F.col("high").alias("b"))
     edges = heavy_edges(sets, most, light).unionByName(light)
