@@ -1,5 +1,6 @@
 import random
 import re
+from itertools import combinations
 
 from cellframe.llm import decontaminate, jaccard
 from cellframe.llm.graph import components
@@ -94,7 +95,43 @@ def test_sizes():
                 assert m in jaccard.partners(n)
             else:
                 assert m not in jaccard.partners(n)
-    assert 5 <= jaccard.boundary({n: 100 for n in range(1, 25)}) <= 12
+
+
+def test_boundary_is_the_cheapest():
+    def cost(counts, listed, most):
+        total = 0
+        for n, many in counts.items():
+            if n <= most:
+                for m in range(1, most + 1):
+                    common = jaccard.needed(n, m)
+                    if common <= min(n, m):
+                        total += many * len(list(combinations(range(n), common)))
+            if any(jaccard.needed(n, m) <= min(n, m) for m in range(most + 1, 2 * n + 1)):
+                total += many * sum(1 + n * listed for _ in range(n - -(-4 * n // 5) + 1))
+        return total
+
+    rng = random.Random(8)
+    for counts, listed in [({7: 10**7}, 1.0), ({n: 100 for n in range(1, 16)}, 2.0), ({5: 3, 12: 900}, 40.0), ({rng.randrange(1, 14): rng.randrange(1000) for _ in range(6)}, 0.0)]:
+        costs = [cost(counts, listed, most) for most in range(jaccard.MOST_LIGHT + 1)]
+        assert costs[jaccard.boundary(counts, listed)] == min(costs)
+    assert jaccard.boundary({7: 10**7}) <= 8
+
+
+def test_long_lists_in_blocks_and_subsets_in_slices(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 7)
+    monkeypatch.setattr(jaccard, "SUBSETS", 11)
+    rng = random.Random(9)
+    rows = []
+    for group in range(6):
+        words = [f"g{group % 2}x{k}" for k in range(60)]
+        for _ in range(25):
+            own = list(words)
+            for _ in range(rng.randrange(0, 9)):
+                own[rng.randrange(60)] = f"new{rng.randrange(4)}"
+            rows.append((len(rows), " ".join(own)))
+    rows += [(1000 + k, " ".join(f"s{(k // 4) * 3 + j}" for j in range(9 + k % 3))) for k in range(40)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted(map(tuple, jaccard.near_duplicates(frame).collect()), key=repr) == brute(rows)
 
 
 def test_components(spark):
@@ -149,9 +186,22 @@ def test_decontamination(spark):
     assert decontaminate.contained(frame.limit(0), table).collect() == []
 
 
-def test_items_in_blocks(spark, monkeypatch):
-    docs = spark.createDataFrame([(1, "a b c d e f g h"), (2, "p q r s t u v w")], "doc_id long, text string")
-    items = spark.createDataFrame([(1, "b c d e f"), (2, "q r s t u v"), (3, "zz")], "item_id long, text string")
+def test_more_items_than_are_broadcast(spark, monkeypatch):
+    """The join gives what the index gives, with clashing columns and repeated rows."""
+    rng = random.Random(6)
+    vocabulary = [f"w{k}" for k in range(200)]
+    items = [(k, " ".join(rng.choices(vocabulary, k=rng.choice([1, 3, 5, 6, 9, 40])))) for k in range(30)] + [(30, None), (None, "w1 w2")]
+    docs = [(k, " ".join(rng.choices(vocabulary, k=60)) + " " + items[k % 30][1], k) for k in range(60)] + [(None, items[3][1], 0), (7, items[5][1], 0), (7, items[5][1], 0), (8, None, 0)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, row int")
+    table = spark.createDataFrame(items, "item_id long, text string")
+    want = sorted(map(tuple, decontaminate.contained(frame, table).collect()), key=repr)
+    clean = sorted(map(tuple, decontaminate.clean(frame, table).collect()), key=repr)
     monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 10)
-    assert sorted((r.doc_id, r.item_id) for r in decontaminate.contained(docs, items).collect()) == [(1, 1), (2, 2)]
-    assert decontaminate.clean(docs, items).collect() == []
+    assert sorted(map(tuple, decontaminate.contained(frame, table).collect()), key=repr) == want and len(want) > 60
+    kept = decontaminate.clean(frame, table)
+    assert kept.columns == frame.columns and sorted(map(tuple, kept.collect()), key=repr) == clean
+
+
+def test_sketches_miss_nothing():
+    for size in (1, 4, 5, 31, 63, 127, 1023):
+        assert decontaminate.sketch_size(size.bit_length(), 0.8) > 0.2 * size - 1e-9
