@@ -2,8 +2,9 @@
 
 A text is cut into sentences, each is normalised and mapped to the identifier of a
 known licence sentence, and ordered rules are matched against the text's sequence of
-identifiers. The first rule that matches takes its identifiers away, so that a later,
-more general one cannot use them again. Identifiers that no rule takes are reported as
+identifiers. The first rule that matches blanks its identifiers, so that a later, more
+general one cannot use them again, nor join what stands before them to what stands
+behind. Identifiers that no rule takes are reported as
 left over. The main path has no Python on the executors.
 """
 
@@ -22,8 +23,14 @@ SPDX = [
     ("GPL-2.0-or-later", "gpl-2[.]0(-or-later|[+])"),
     ("GPL-3.0", "gpl-3[.]0(-only)?"),
     ("GPL-3.0-or-later", "gpl-3[.]0(-or-later|[+])"),
-    ("AGPL-3.0", "agpl-3[.]0(-only|-or-later|[+])?"),
-    ("LGPL", "lgpl-(2[.][01]|3[.]0)(-only|-or-later|[+])?"),
+    ("AGPL-3.0", "agpl-3[.]0(-only)?"),
+    ("AGPL-3.0-or-later", "agpl-3[.]0(-or-later|[+])"),
+    ("LGPL-2.0", "lgpl-2[.]0(-only)?"),
+    ("LGPL-2.0-or-later", "lgpl-2[.]0(-or-later|[+])"),
+    ("LGPL-2.1", "lgpl-2[.]1(-only)?"),
+    ("LGPL-2.1-or-later", "lgpl-2[.]1(-or-later|[+])"),
+    ("LGPL-3.0", "lgpl-3[.]0(-only)?"),
+    ("LGPL-3.0-or-later", "lgpl-3[.]0(-or-later|[+])"),
     ("BSD-2-Clause", "bsd-2-clause"),
     ("BSD-3-Clause", "bsd-3-clause"),
     ("ISC", "isc"),
@@ -33,6 +40,12 @@ SPDX = [
     ("CC-BY-SA-4.0", "cc-by-sa-4[.]0"),
     ("CC-BY-4.0", "cc-by-4[.]0"),
     ("CC0-1.0", "cc0-1[.]0"),
+    ("Unlicense", "unlicense"),
+    ("Zlib", "zlib"),
+    ("BSL-1.0", "bsl-1[.]0"),
+    ("0BSD", "0bsd"),
+    ("EPL-2.0", "epl-2[.]0"),
+    ("WTFPL", "wtfpl"),
 ]
 
 # Identifier and pattern of a normalised licence sentence (lower case, one
@@ -45,9 +58,14 @@ SENTENCES = [
     ("GplVersionOrLater", "(.* )?(redistribute it and|modify it under|under the terms of) .*gnu general public license.* either version [0-9.]+.*or .*any later version.*"),
     ("Gpl2OrLater", "(.* )?(licensed under|under the terms of|released under) the gnu general public license,? (v|version )2([.]0)?,? or .*(later|newer).*"),
     ("Gpl3OrLater", "(.* )?(licensed under|under the terms of|released under) the gnu general public license,? (v|version )3([.]0)?,? or .*(later|newer).*"),
-    ("LgplVersion", "(.* )?(licensed under|under the terms of|released under) .*gnu (lesser|library) general public license,?( as published by the free software foundation)?[,;]? (either )?(v|version )[0-9.]+.*"),
+    *[
+        (f"Lgpl{name}{tail}", f"(.* )?(licensed under|under the terms of|released under) .*gnu (lesser|library) general public license,?( as published by the free software foundation)?[,;]? (either )?(v|version ){number}( of the license)?{later}.*")
+        for name, number in (("21", "2[.]1"), ("2", "2([.]0)?"), ("3", "3([.]0)?"))
+        for tail, later in (("OrLater", ",? or .*(later|newer)"), ("", "([ ,;(-]|$)"))
+    ],
     ("LgplTerms", "(.* )?under the terms of the gnu (lesser|library) general public license( as published by the free software foundation)?"),
-    ("AgplVersion", "(.* )?(licensed under|under the terms of|released under) the gnu affero general public license,?( as published by the free software foundation,?)? (either )?(v|version )3.*"),
+    ("Agpl3OrLater", "(.* )?(licensed under|under the terms of|released under) the gnu affero general public license,?( as published by the free software foundation,?)? (either )?(v|version )3([.]0)?( of the license)?,? or .*(later|newer).*"),
+    ("Agpl3", "(.* )?(licensed under|under the terms of|released under) the gnu affero general public license,?( as published by the free software foundation,?)? (either )?(v|version )3.*"),
     ("AgplTerms", "(.* )?under the terms of the gnu affero general public license( as published by the free software foundation)?"),
     ("GplVersion3", "(.* )?(licensed under|under the terms of|released under) (the gnu general public license,? (v|version )3|version 3 of the gnu general public license).*"),
     ("GplVersion2", "(.* )?(licensed under|under the terms of|released under) (the gnu general public license,? (v|version )2|version 2 of the gnu general public license).*"),
@@ -72,6 +90,15 @@ SENTENCES = [
     ("BsdNoEndorse", "(.* )?((neither the name|nor the names) of .* may be used|the names? of .* may not be used) to endorse or promote products derived from this software without specific prior written permission.*"),
     ("BsdReleased", "(.* )?(licensed|released) under the (terms of the )?((3-clause|new|modified) bsd|bsd 3-clause) licen[cs]e([ ,(-].*)?"),
     ("Bsd2Released", "(.* )?(licensed|released) under the (terms of the )?((2-clause|simplified) bsd|bsd 2-clause) licen[cs]e([ ,(-].*)?"),
+    ("Unlicense", "(.* )?this is free and unencumbered software released into the public domain.*"),
+    ("UnlicenseAnyone", "(.* )?anyone is free to copy, modify, publish, use, compile, sell,? or distribute this software.*"),
+    ("ZlibAsIs", "(.* )?this software is provided 'as-is', without any express or implied warranty.*"),
+    ("ZlibGrant", "(.* )?permission is granted to anyone to use this software for any purpose, including commercial applications.*"),
+    ("BoostGrant", "(.* )?permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license.*"),
+    ("BoostReleased", "(.* )?(distributed|licensed|released) under the boost software license,? v(ersion )?1[.]0.*"),
+    ("Epl2", "(.* )?(made available|licensed|released) under the (terms of the )?eclipse public license,?( -)?( v| v[.]| version)? ?2[.]0.*"),
+    ("ZeroBsdGrant", "(.* )?permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+    ("WtfplTerms", "(.* )?do what the f[a-z*]+ you want to public license.*"),
     ("IscGrant", "(.* )?permission to use, copy, modify, and(/or)? distribute this software for any purpose with or without fee is hereby granted.*"),
     ("MplNotice", "(.* )?this source code form is subject to the terms of the mozilla public license,? v(ersion 2[.0]*)?"),
     ("CcByNcSa4", "(.* )?(licensed|released) under (a |the )?(cc|creative commons) by-nc-sa 4[.0]*.*"),
@@ -101,12 +128,18 @@ RULES = [
             ("GPL-2.0-or-later", ["GplTerms", "Later2"]),
             ("GPL-3.0-or-later", ["Gpl3OrLater"]),
             ("GPL-3.0-or-later", ["GplTerms", "Later3"]),
-            ("AGPL-3.0", ["AgplVersion"]),
-            ("AGPL-3.0", ["AgplTerms", "Later3"]),
-            ("LGPL", ["LgplVersion"]),
-            ("LGPL", ["LgplTerms", "Later2"]),
-            ("LGPL", ["LgplTerms", "Later21"]),
-            ("LGPL", ["LgplTerms", "Later3"]),
+            ("AGPL-3.0-or-later", ["Agpl3OrLater"]),
+            ("AGPL-3.0-or-later", ["AgplTerms", "Later3"]),
+            ("AGPL-3.0", ["Agpl3"]),
+            ("LGPL-2.0-or-later", ["Lgpl2OrLater"]),
+            ("LGPL-2.0-or-later", ["LgplTerms", "Later2"]),
+            ("LGPL-2.0", ["Lgpl2"]),
+            ("LGPL-2.1-or-later", ["Lgpl21OrLater"]),
+            ("LGPL-2.1-or-later", ["LgplTerms", "Later21"]),
+            ("LGPL-2.1", ["Lgpl21"]),
+            ("LGPL-3.0-or-later", ["Lgpl3OrLater"]),
+            ("LGPL-3.0-or-later", ["LgplTerms", "Later3"]),
+            ("LGPL-3.0", ["Lgpl3"]),
         ]
     ],
     ("GPL-3.0", ["GplVersion3", "GplNoWarranty", "GplSeeCopy"]),
@@ -119,7 +152,15 @@ RULES = [
     ("BSD-2-Clause", ["BsdGrant", "BsdSource", "BsdBinary"]),
     ("BSD-3-Clause", ["BsdReleased"]),
     ("BSD-2-Clause", ["Bsd2Released"]),
+    ("0BSD", ["ZeroBsdGrant"]),
     ("ISC", ["IscGrant"]),
+    ("Unlicense", ["Unlicense", "UnlicenseAnyone"]),
+    ("Unlicense", ["Unlicense"]),
+    ("Zlib", ["ZlibAsIs", "ZlibGrant"]),
+    ("BSL-1.0", ["BoostGrant"]),
+    ("BSL-1.0", ["BoostReleased"]),
+    ("EPL-2.0", ["Epl2"]),
+    ("WTFPL", ["WtfplTerms"]),
     ("MPL-2.0", ["MplNotice"]),
     ("CC-BY-NC-SA-4.0", ["CcByNcSa4"]),
     ("CC-BY-NC-4.0", ["CcByNc4"]),
@@ -130,7 +171,7 @@ RULES = [
 ]
 
 #: A sentence that holds none of these cannot be a known one; the check is cheap.
-HINTS = ("licen", "copyright", "©", "permi", "warranty", "redistribut", "all rights", "endorse", "copy of the", "public domain", "cc0", "applicable law", "spdx", "any later version", "in the hope")
+HINTS = ("licen", "copyright", "©", "permi", "warranty", "redistribut", "all rights", "endorse", "copy of the", "public domain", "cc0", "applicable law", "spdx", "any later version", "in the hope", "as-is", "anyone is free")
 SPLIT = r"\n[ \t\r\f\x0B]*\n|[.!?;:](?:[ \t\r\n\f\x0B]|$)"
 #: Line ends with the comment signs that start the next line; the rest of an SPDX tag, whose colon ends no sentence.
 WRAPS = r"\n[ \t]*(?:#+|\*+|//+|;+|--)[ \t]*|-license-identifier:[ \t]*"
@@ -173,7 +214,7 @@ def recognise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
     def apply(state: Column, rule: Column) -> Column:
         met = F.contains(state["rest"], rule["form"])
-        rest = F.when(met, F.replace(state["rest"], rule["form"], F.lit(""))).otherwise(state["rest"])
+        rest = F.when(met, F.replace(state["rest"], rule["form"], F.lit("_"))).otherwise(state["rest"])
         names = F.when(met & ~F.array_contains(state["names"], rule["name"]), F.concat(state["names"], F.array(rule["name"]))).otherwise(state["names"])
         return F.struct(rest.alias("rest"), names.alias("names"))
 
@@ -191,7 +232,7 @@ def oracle() -> str:
     for k, (name, ids) in enumerate(RULES):
         form = quoted("," + ",,".join(ids) + ",")
         met = f"contains(rest, {form})"
-        steps.append(f"r{k} AS (SELECT doc_id, ids, CASE WHEN {met} THEN replace(rest, {form}, '') ELSE rest END AS rest, CASE WHEN {met} AND NOT list_contains(names, {quoted(name)}) THEN list_append(names, {quoted(name)}) ELSE names END AS names FROM {last})")
+        steps.append(f"r{k} AS (SELECT doc_id, ids, CASE WHEN {met} THEN replace(rest, {form}, '_') ELSE rest END AS rest, CASE WHEN {met} AND NOT list_contains(names, {quoted(name)}) THEN list_append(names, {quoted(name)}) ELSE names END AS names FROM {last})")
         last = f"r{k}"
     return f"""
 WITH cut AS (
