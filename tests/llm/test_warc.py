@@ -1,12 +1,14 @@
 import base64
 import hashlib
 
+import duckdb
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
 from cellframe.llm import warc
 from cellframe.llm.common import shared_path
-from cellframe.llm.registry import QUERIES
+from cellframe.llm.registry import ORACLES, QUERIES
 
 
 def wanted(rows, least=0):
@@ -44,6 +46,9 @@ def test_records_and_storage(spark):
     records = {r.page_id: r for r in warc.read_records(spark, path).collect() if r.page_id != 5}
     head, body, end = records[2].record.split(b"\r\n\r\n", 2)
     assert b"WARC-Type: response" in head and b"WARC-Target-URI: http://b/%20x%20%20y" in head
+    assert records[2].url == "http://b/ x\r\ny" and records[1].url == "http://a/" and records[3].url == "about:blank"
+    block = base64.b32encode(hashlib.sha1(body + b"\r\n\r\n" + "<p>é</p>".encode()).digest())
+    assert b"WARC-Block-Digest: sha1:" + block + b"\r\n" in head
     assert end == "<p>é</p>".encode() + b"\r\n\r\n"
     length = int(head.split(b"\r\nContent-Length: ")[1])
     assert len(body) + 4 + len("<p>é</p>".encode()) == length
@@ -54,11 +59,32 @@ def test_records_and_storage(spark):
 def test_damage_is_noticed(spark):
     path = shared_path(spark, "test")
     warc.write_archive(spark.createDataFrame([(1, "u", "a")], "page_id long, url string, html string"), path)
-    spark.createDataFrame([(hashlib.sha256(b"a").hexdigest(), b"b")], "digest string, payload binary").write.mode("overwrite").parquet(f"{path}/payloads")
-    with pytest.raises(PySparkException, match="does not match"):
+    heads = spark.read.parquet(f"{path}/headers").collect()
+    spark.createDataFrame(heads, "digest string, keep long, head string").withColumn("head", F.regexp_replace("head", "200 OK", "200 Ok")).write.mode("overwrite").parquet(f"{path}/headers")
+    with pytest.raises(PySparkException, match="block does not match"):
         warc.read_records(spark, path).collect()
+    spark.createDataFrame([(hashlib.sha256(b"a").hexdigest(), 1, b"b")], "digest string, keep long, payload binary").write.mode("overwrite").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "digest", "keep").option("path", f"{path}/payloads").saveAsTable("damaged")
+    spark.sql("DROP TABLE damaged")
+    with pytest.raises(PySparkException, match="payload does not match"):
+        warc.read_records(spark, path).collect()
+
+
+def test_hot_payload(spark):
+    """Copies of one payload are many keys, and joins from their heads are salted; nothing moves payloads when reading."""
+    rows = [(k, f"u{k}", None if k % 3 else f"own {k}") for k in range(600)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    records = warc.archive(pages)
+    assert sorted(map(tuple, records.select(*COLUMNS).collect()), key=repr) == wanted(rows)
+    assert records.select("record").distinct().count() == 600
+    salts = warc.to_many(pages.withColumn("digest", F.lit("x")), spark.createDataFrame([("x", 1)], "digest string, fact int"), "digest", "page_id")
+    assert salts.count() == 600 and spark.catalog.listTables() == []
 
 
 def test_query(spark):
     rows = [(r.page_id, r.url, r.html) for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()]
-    assert sorted(map(tuple, QUERIES["op8_warc"](spark, "/root/testdata/sf0.001").collect()), key=repr) == wanted(rows)
+    got = QUERIES["op8_warc"](spark, "/root/testdata/sf0.001")
+    assert sorted(map(tuple, got.select(*COLUMNS).collect()), key=repr) == wanted(rows)
+    duck = duckdb.connect()
+    duck.sql("CREATE VIEW pages AS SELECT * FROM '/root/testdata/sf0.001/pages.parquet'")
+    want = duck.sql(ORACLES["op8_warc"])
+    assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(want.fetchall())
