@@ -2,15 +2,18 @@
 
 The battery looks at strings of 20 and more characters of the base64 alphabets that no
 pattern has taken. The smallest known alphabet with all their characters is inferred;
-over its symbol numbers run a chi-squared test of uniformity, a runs test about the
-middle and a lag-1 serial correlation test. A string is a candidate secret if none of
-the three, Bonferroni-combined, speaks against randomness. Since short strings pass
-such tests easily, each also gets a p-value against the hypothesis that it is ordinary
-structured text: the ratio of its likelihoods as text and as uniform symbols, which needs
-no approximation at any length, and for decimal and hex strings the exact tail of the
-number of coincidences (pairs of equal symbols) as well; Benjamini-Hochberg over the strings of a text, apart for
-each length stratum, then bounds the rate of false discoveries. Detection by length and
-encoding is in the README.
+over its symbol numbers run a chi-squared test of uniformity (by its exact distribution up
+to ``EXACT`` characters), a runs test about the middle and a lag-1 serial correlation test.
+A string is a candidate secret if none of the three, Bonferroni-combined, speaks against
+randomness. Since short strings pass such tests easily, each also gets a p-value against
+the hypothesis that it is ordinary structured text: the ratio of its likelihoods as text
+and as uniform symbols, which needs no approximation at any length, and for decimal and hex
+strings the exact tail of the number of coincidences (pairs of equal symbols) as well.
+
+Benjamini-Hochberg then bounds the rate of false discoveries over the whole table, apart
+for each length stratum: one pass counts candidates by stratum and p-value, a second one
+reports those up to the stratum's threshold. Detection by length and encoding is in the
+README.
 """
 
 from __future__ import annotations
@@ -19,14 +22,17 @@ import hashlib
 import math
 import re
 import string
+from bisect import bisect_left
 from collections import Counter
+from collections.abc import Iterable, Iterator
 from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from cellframe.llm.common import keyed_text, map_batches
+from cellframe.llm.common import keyed_text, map_batches, pieces
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -53,6 +59,11 @@ ENCODINGS = {
 }
 NUMBERS = {name: {c: i for i, c in enumerate(chars)} for name, chars in ENCODINGS.items()}
 STRATA = (20, 32, 48, 64, 128)
+#: p-values are counted on a grid of this many steps for each factor of e, down to e to the minus ``FLOOR``.
+STEPS_PER_E, FLOOR = 16, 100
+EXACT = 96
+#: Share of false ones among the strings that the battery reports.
+RATE = 0.01
 
 #: Share of each letter in text, in per mille: the mean of English, German, French and Spanish.
 LETTERS = dict(zip(LOWER, (87, 14, 33, 45, 142, 14, 19, 31, 71, 4, 6, 45, 28, 76, 61, 19, 6, 66, 74, 68, 40, 12, 11, 2, 8, 5), strict=True))
@@ -97,8 +108,14 @@ def upper_tail(z: float) -> float:
 
 
 def chi_squared_p(counts: list[int], size: int) -> float:
-    """P(uniform symbols are at least this uneven), by the cube-root normal approximation."""
+    """P(uniform symbols are at least this uneven): exact up to ``EXACT`` symbols, above by the cube-root normal approximation.
+
+    With the number of symbols given, chi-squared is the number of coincidences on another scale.
+    """
     n, df = sum(counts), size - 1
+    if n <= EXACT:
+        tails, pairs = uniform_tails(n, size), sum(c * (c - 1) for c in counts) // 2
+        return float(1 - tails[pairs - 1]) if 0 < pairs <= len(tails) else 1.0 if not pairs else 0.0
     x = sum(c * c for c in counts) * size / n - n
     z = ((x / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df))
     return upper_tail(z)
@@ -153,28 +170,42 @@ def skewed_log(counts: list[int], size: int, prior: float = 0.3) -> float:
     return math.lgamma(whole) - math.lgamma(whole + n) + sum(math.lgamma(prior + c) - math.lgamma(prior) for c in counts)
 
 
-@lru_cache(maxsize=256)
-def coincidence_tails(n: int, size: int, prior: float = 0.3) -> np.ndarray:
-    """P(at most k pairs of equal symbols among n) under the same uneven rates, exact.
-
-    Up to 1.5 times the pairs and n / 2 more than uniform symbols have on average; strings
-    with more never pass the chi-squared test.
-    """
-    top = int(0.75 * n * (n - 1) / size + n / 2) + 1
+def pair_ways(n: int, size: int, top: int, weight: list[float]) -> np.ndarray:
+    """Weighted ways to give ``n`` symbols to ``size`` values, by the number of pairs of equal symbols up to ``top``."""
     ways = np.zeros((n + 1, top + 1))
     ways[0, 0] = 1
     for _ in range(size):
-        more, weight = ways.copy(), 1.0
+        more = ways.copy()
         for c in range(1, n + 1):
             pairs = c * (c - 1) // 2
             if pairs > top:
                 break
-            weight *= (prior + c - 1) / c
-            more[c:, pairs:] += weight * ways[: n + 1 - c, : top + 1 - pairs]
+            more[c:, pairs:] += weight[c] * ways[: n + 1 - c, : top + 1 - pairs]
         ways = more
+    return ways[n]
+
+
+@lru_cache(maxsize=4096)
+def coincidence_tails(n: int, size: int, prior: float = 0.3) -> np.ndarray:
+    """P(at most k pairs of equal symbols among n) under the same uneven rates, exact.
+
+    Up to 1.5 times the pairs and n / 2 more than uniform symbols have on average; strings
+    with more never pass the chi-squared test.
+    """
+    weight = [1.0]
+    for c in range(1, n + 1):
+        weight.append(weight[-1] * (prior + c - 1) / c)
     whole = prior * size
     log_all = math.lgamma(whole + n) - math.lgamma(whole) - math.lgamma(n + 1)
-    return np.cumsum(ways[n]) * math.exp(-log_all)
+    return np.cumsum(pair_ways(n, size, int(0.75 * n * (n - 1) / size + n / 2) + 1, weight)) * math.exp(-log_all)
+
+
+@lru_cache(maxsize=4096)
+def uniform_tails(n: int, size: int) -> np.ndarray:
+    """P(at most k pairs of equal symbols among n uniform ones), exact, as far up as ``coincidence_tails``."""
+    weight = [math.exp(-math.lgamma(c + 1)) for c in range(n + 1)]
+    log_all = n * math.log(size) - math.lgamma(n + 1)
+    return np.cumsum(pair_ways(n, size, int(0.75 * n * (n - 1) / size + n / 2) + 1, weight)) * math.exp(-log_all)
 
 
 def structured_p(token: str, name: str, counts: list[int]) -> float:
@@ -207,37 +238,61 @@ def battery(token: str) -> tuple[float, float]:
     return random, structured_p(token, name, counts)
 
 
-def discoveries(ps: list[float], rate: float) -> float:
-    """The Benjamini-Hochberg threshold: p-values up to it are discoveries."""
-    best = -1.0
-    for rank, p in enumerate(sorted(ps), 1):
-        if p <= rate * rank / len(ps):
-            best = p
-    return best
+def step_of(p: float) -> int:
+    """The place of a p-value on the grid, rounded up to the next larger one."""
+    return min(int(-math.log(p) * STEPS_PER_E), FLOOR * STEPS_PER_E) if p > 0 else FLOOR * STEPS_PER_E
 
 
-def random_spans(text: str, taken: list[tuple[int, int, str]], alpha: float = 0.01, rate: float = 0.005) -> list[tuple[int, int, str]]:
-    strata: dict[int, list[tuple[float, int, int]]] = {}
+def discoveries(counts: dict[int, int], rate: float) -> int:
+    """The Benjamini-Hochberg threshold of p-values counted by step: the least step that is a discovery.
+
+    A step stands for its largest p-value, so the rate is kept.
+    """
+    total, held, least = sum(counts.values()), 0, FLOOR * STEPS_PER_E + 1
+    for step in sorted(counts, reverse=True):
+        held += counts[step]
+        if math.exp(-step / STEPS_PER_E) <= rate * held / total:
+            least = step
+    return least
+
+
+def candidates(text: str, taken: list[tuple[int, int, str]], alpha: float = 0.01) -> list[tuple[int, int, int, int]]:
+    """(length stratum, step, start, end) of the strings outside ``taken`` spans that pass for random."""
+    merged: list[list[int]] = []
+    for start, end, _ in sorted(taken):
+        if merged and start <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], end)
+        else:
+            merged.append([start, end])
+    begins, found = [m[0] for m in merged], []
     for m in LONG.finditer(text):
         start, end = m.span()
-        if any(s < end and start < e for s, e, _ in taken):
+        before = bisect_left(begins, end) - 1
+        if before >= 0 and merged[before][1] > start:
             continue
-        token = m.group()
-        random, structured = battery(token)
+        random, structured = battery(m.group())
         if random >= alpha:
-            strata.setdefault(sum(end - start >= x for x in STRATA), []).append((structured, start, end))
-    found = []
-    for group in strata.values():
-        limit = discoveries([p for p, _, _ in group], rate)
-        found += [(start, end, "random") for p, start, end in group if p <= limit]
+            found.append((sum(end - start >= x for x in STRATA), step_of(structured), start, end))
     return found
 
 
-def scan(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
-    """(base spans, all spans), each by start, then kind as listed."""
+def thresholds(counted: Iterable[tuple[int, int, int]], rate: float) -> dict[int, int]:
+    """The threshold of each length stratum, from (stratum, step, number of candidates)."""
+    strata: dict[int, dict[int, int]] = {}
+    for stratum, step, n in counted:
+        strata.setdefault(stratum, {})[step] = n
+    return {stratum: discoveries(counts, rate) for stratum, counts in strata.items()}
+
+
+def scan(text: str, limits: dict[int, int] | None = None) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
+    """(base spans, all spans), each by start, then kind as listed; without limits the text is its own table."""
     order = lambda span: (span[0], KINDS.index(span[2]))
     base = sorted(base_spans(text), key=order)
-    return base, sorted(base + random_spans(text, base), key=order)
+    tried = candidates(text, base)
+    if limits is None:
+        limits = thresholds(((s, k, n) for (s, k), n in Counter((s, k) for s, k, _, _ in tried).items()), RATE)
+    found = [(start, end, "random") for stratum, step, start, end in tried if step >= limits[stratum]]
+    return base, sorted(base + found, key=order)
 
 
 def shown(spans: list[tuple[int, int, str]]) -> str:
@@ -261,18 +316,37 @@ def redacted(text: str, spans: list[tuple[int, int, str]]) -> str:
     return "".join([*out, text[at:]])
 
 
+def limits_of(docs: DataFrame, text_col: str = "text", rate: float = RATE) -> dict[int, int]:
+    """The thresholds over all texts of a table; the driver gets a count for each stratum and step at most."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+        for batch in batches:
+            for part in pieces(batch):
+                for text in part.column(0).to_pylist():
+                    if text:
+                        counts.update((s, k) for s, k, _, _ in candidates(text, base_spans(text)))
+        rows = [(s, k, n) for (s, k), n in counts.items()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], ["stratum", "step", "n"])
+
+    counted = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "stratum long, step long, n long")
+    return thresholds(((r[0], r[1], r[2]) for r in counted.groupBy("stratum", "step").agg(F.sum("n")).collect()), rate)
+
+
 def scan_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, n_random, base_sha256, spans) for every row.
 
     A null or empty text has no spans. Offsets count code points, ends are exclusive.
-    Repeated rows and null ids stay; other columns are left out; texts are scanned whole.
+    Repeated rows and null ids stay; other columns are left out; texts are scanned whole,
+    once for the thresholds of the battery and once for the spans.
     """
+    limits = limits_of(docs, text_col)
 
     def build():
         def convert(batch: pa.RecordBatch) -> pa.RecordBatch:
             rows: dict[str, list] = {name: [] for name in ("n_assign", "n_access", "n_hex", "n_random", "base_sha256", "spans")}
             for text in batch.column(1).to_pylist():
-                base, spans = scan(text or "")
+                base, spans = scan(text or "", limits)
                 for kind in KINDS:
                     rows[f"n_{kind}"].append(sum(k == kind for _, _, k in spans))
                 rows["base_sha256"].append(hashlib.sha256(shown(base).encode()).hexdigest())
@@ -294,13 +368,14 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_
     """
     names = docs.columns
     has_length = length_col in names
+    limits = limits_of(docs, text_col)
 
     def build():
         def convert(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = batch.column(names.index(text_col)).to_pylist()
             lengths = batch.column(names.index(length_col)).to_pylist() if has_length else []
             for i, text in enumerate(texts):
-                spans = scan(text)[1] if text else []
+                spans = scan(text, limits)[1] if text else []
                 if spans:
                     texts[i] = redacted(text, spans)
                     if has_length:
