@@ -27,6 +27,8 @@ WIDTH = 192
 ROWS = 1024
 GREY = np.repeat(np.arange(256, dtype=np.uint8)[:, None], 3, axis=1)
 LITERALS = 254
+#: A canvas of more pixels is refused: its four bytes a pixel would come from the header alone.
+MOST_PIXELS = 1 << 26
 
 
 @dataclass
@@ -80,7 +82,7 @@ def unpack_literals(data: bytes, n: int) -> np.ndarray | None:
     """The pixels of a stream of the form above, else None."""
     groups = -(-n // LITERALS)
     total = n + groups + 1
-    if not n or len(data) < -(-9 * total // 8):
+    if not n or len(data) < -(-9 * total // 8):  # nothing is allocated for a stream too short
         return None
     blocks = -(-total // 8)
     raw = np.zeros(blocks * 9, np.uint8)
@@ -136,7 +138,9 @@ def _code_runs(data: bytes, min_size: int) -> Iterator[list[int]]:
 
 
 def decode_lzw(data: bytes, min_size: int, n: int) -> np.ndarray:
-    """``n`` pixels of any code stream; a stream that ends early leaves zeros, what is too much is left out.
+    """``n`` pixels of any code stream; one that ends early raises, what is too much is left out.
+
+    Memory follows what the stream holds, not what its header claims.
 
     Bits become codes a run at a time, since their widths follow from their places after
     the clear code; codes become strings one by one. A code beyond the table raises.
@@ -173,10 +177,9 @@ def decode_lzw(data: bytes, min_size: int, n: int) -> np.ndarray:
         joined = b"".join(strings)
         length += len(joined)
         out.append(joined)
-    pixels = np.zeros(n, np.uint8)
-    got = np.frombuffer(b"".join(out), np.uint8)[:n]
-    pixels[: len(got)] = got
-    return pixels
+    if length < n:
+        raise ValueError("the code stream ends early")
+    return np.frombuffer(b"".join(out), np.uint8)[:n].copy()
 
 
 def encode_lzw(pixels: bytes, min_size: int = 8) -> bytes:
@@ -336,7 +339,9 @@ def parse(data: bytes) -> Gif:
 
 
 def composed(gif: Gif) -> Iterator[tuple[int, np.ndarray]]:
-    """(delay in ms, canvas) of each frame; the canvas is RGBA and is reused."""
+    """(delay in ms, canvas) of each frame; the canvas is RGBA and is reused. Over ``MOST_PIXELS`` raises ValueError."""
+    if gif.width * gif.height > MOST_PIXELS:
+        raise ValueError("the canvas is too large")
     canvas = np.zeros((gif.height, gif.width, 4), np.uint8)
     for f in gif.frames:
         bottom, right = min(f.top + f.height, gif.height), min(f.left + f.width, gif.width)
@@ -429,21 +434,22 @@ def read_media(stored: DataFrame) -> DataFrame:
 def frames_table(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
     """One row for each timed frame: start and delay in ms, rectangle, disposal, colour histogram.
 
-    Null media and what is not a whole GIF give no rows.
+    Null media, what is not a whole GIF, and a canvas over ``MOST_PIXELS`` give no rows.
     """
 
     def build():
         def convert(batch: pa.RecordBatch) -> pa.RecordBatch:
             rows = []
             for key, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own, start = [], 0
                 try:
                     gif = parse(data or b"")
+                    for i, ((delay, canvas), f) in enumerate(zip(composed(gif), gif.frames, strict=True)):
+                        own.append((key, i, start, delay, f.left, f.top, f.width, f.height, f.disposal, histogram(canvas).tolist()))
+                        start += delay
                 except ValueError:
                     continue
-                start = 0
-                for i, ((delay, canvas), f) in enumerate(zip(composed(gif), gif.frames, strict=True)):
-                    rows.append((key, i, start, delay, f.left, f.top, f.width, f.height, f.disposal, histogram(canvas).tolist()))
-                    start += delay
+                rows += own
             names = ["media_id", "frame", "start_ms", "delay_ms", "left", "top", "width", "height", "disposal", "histogram"]
             kinds = [batch.schema.field(0).type, *[pa.int32()] * 8, pa.list_(pa.int64())]
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names)

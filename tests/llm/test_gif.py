@@ -30,11 +30,14 @@ def test_code_streams(min_size):
         assert gif.decode_lzw(gif.encode_lzw(pixels, min_size), min_size, n).tobytes() == pixels
 
 
-def test_literal_streams_decode_code_by_code_too():
+def test_literal_streams_decode_code_by_code_too(monkeypatch):
     pixels = bytes(range(256)) * 5
     data = gif.pack_literals(np.frombuffer(pixels, np.uint8))
     assert gif.unpack_literals(data, len(pixels)).tobytes() == pixels
-    assert gif.decode_lzw(data + b"\0", 8, len(pixels) + 1).tobytes() == pixels + b"\0"
+    with pytest.raises(ValueError):
+        gif.decode_lzw(data + b"\0", 8, len(pixels) + 1)
+    monkeypatch.setattr(gif, "unpack_literals", lambda data, n: None)
+    assert gif.decode_lzw(data, 8, len(pixels)).tobytes() == pixels
 
 
 @settings(max_examples=200, deadline=None)
@@ -108,6 +111,17 @@ def test_broken_files():
             gif.parse(bad)
 
 
+def test_headers_that_claim_too_much(spark):
+    huge = gif.screen(65535, 65535, gif.GREY.tobytes()) + gif.image(0, 0, 65535, 65535, b"abc") + b"\x3b"
+    with pytest.raises(ValueError, match="early"):
+        gif.parse(huge)
+    canvas = gif.screen(65535, 65535, gif.GREY.tobytes()) + gif.image(0, 0, 1, 1, b"a") + b"\x3b"
+    with pytest.raises(ValueError, match="canvas"):
+        gif.features(gif.parse(canvas))
+    media = spark.createDataFrame([(1, huge), (2, canvas), (3, gif.write_bytes(b"x" * 192))], "doc_id long, media binary")
+    assert [r.media_id for r in gif.frames_table(media).collect()] == [3]
+
+
 def test_tables(spark):
     rows = [(1, "text", "m"), (2, None, "m"), (2, None, "m"), (None, "", "m"), (3, "é" * 150_000, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, media string")
