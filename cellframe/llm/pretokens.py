@@ -9,12 +9,16 @@ from typing import Any
 import regex
 
 
+# Fixed value: the split pattern of the byte-level vocabularies.
+SPACED = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
 class SegmentCache:
     """Maps texts to values of their pre-tokens, computing each distinct pre-token once.
 
-    A cut before a space that follows a non-space never lies inside a match of the
-    split pattern: a space only ever starts a match or belongs to a run of white
-    space. So ``text.split(" ")`` gives segments whose matches, each with its space
+    The pattern ``SPACED`` allows two shortcuts; texts under any other are split by it whole.
+    A cut before a space that follows a non-space never lies inside a match of it: a
+    space only ever starts a match or belongs to a run of white space. So ``text.split(" ")`` gives segments whose matches, each with its space
     put back, are those of the whole text. A text with two adjacent spaces is split
     by the pattern itself, since a run of spaces is then one match. A segment of
     letters, with or without ASCII marks behind, needs no pattern at all.
@@ -26,6 +30,7 @@ class SegmentCache:
 
     def __init__(self, pattern: str, compute: Callable[[list[str]], Iterable[Any]], combine: Callable[[list[Any]], Any], max_chars: int = 6_000_000):
         self.find = regex.compile(pattern).findall
+        self.spaced = pattern == SPACED
         self.compute = compute
         self.combine = combine
         self.max_chars = max_chars
@@ -35,6 +40,8 @@ class SegmentCache:
         self.held = 0
 
     def _split(self, segment: str) -> list[str]:
+        if not self.spaced:
+            return [segment]
         word = segment[1:] if segment[:1] == " " else segment
         bare = word.rstrip(MARKS)
         if bare.isalpha():
@@ -71,7 +78,7 @@ class SegmentCache:
         for lead, known in (("", self.whole), (" ", self.after_space)):
             get, late, missing = known.get, [], {}
             for row, text in enumerate(group):
-                double = "  " in text
+                double = not self.spaced or "  " in text
                 if not lead:
                     keys = self.find(text) if double else [text.partition(" ")[0]]
                     keys = keys if keys != [""] else []
