@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import islice
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellframe.functions import bits, encoding
-from cellframe.functions.metrics import L1, L2, Decoded
-from cellframe.operators import joins, mutate, stats
+from cellframe.functions import bits, encoding, udf
+from cellframe.functions.metrics import L1, L2, Custom, Decoded
+from cellframe.operators import joins, mutate, order, stats
 from cellframe.operators.tables import ArrayTable, BoxTable, MultiTable, SpatialTable, in_ball, same_prefix
 from cellframe.plans import bounded
+from cellframe.sources import clustered
+from cellframe.sources.shared import shared_path
+from cellframe.streaming import moving
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -91,6 +95,28 @@ def text_dump(spark, sf_dir):
     return SpatialTable(_read(spark, sf_dir, "lineitem"), ("l_partkey", "l_suppkey"), ("l_linenumber",)).dump()
 
 
+@query("SELECT 4 AS dim, 64 AS bit_depth, count(*) AS n FROM lineitem")
+def metadata(spark, sf_dir):
+    table = lines(spark, sf_dir)
+    return table.count().select(F.lit(table.dim).alias("dim"), F.lit(table.bit_depth).alias("bit_depth"), "n")
+
+
+@query(f"SELECT {LINE_SQL} FROM lineitem WHERE {WINDOW_SQL}")
+def persisted_window(spark, sf_dir):
+    """The table written in Z-order, read back and asked."""
+    path = shared_path(spark, "clustered")
+    clustered.write_clustered(lines(spark, sf_dir).extent(), path, LINE_KEYS)
+    return clustered.read_points(spark, path, LINE_KEYS, LINE_IDS).window(LOW, HIGH)
+
+
+@query("SELECT CAST(s_suppkey AS DOUBLE) AS k, CAST(s_nationkey AS DOUBLE) AS n FROM supplier")
+def token_file(spark, sf_dir):
+    """Numbers written as lines of text and read back as keys."""
+    path = shared_path(spark, "tokens")
+    _read(spark, sf_dir, "supplier").select(F.concat_ws("  ", "s_suppkey", "s_nationkey").alias("value")).write.text(path)
+    return clustered.read_tokens(spark, path, ["k", "n"])
+
+
 # --- windows ---
 
 
@@ -132,15 +158,33 @@ def query_all_list(spark, sf_dir):
     return lines(spark, sf_dir).query_all(LOW, HIGH)
 
 
+def by_part(spark, sf_dir) -> SpatialTable:
+    return SpatialTable(_read(spark, sf_dir, "lineitem"), ("l_partkey",), LINE_IDS)
+
+
 @query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE (l_partkey | 5) = l_partkey AND (l_partkey & 2047) = l_partkey")
 def masked_range(spark, sf_dir):
-    return _read(spark, sf_dir, "lineitem").filter(bits.in_mask(F.col("l_partkey"), 5, 2047)).select("l_orderkey", "l_linenumber", "l_partkey")
+    return by_part(spark, sf_dir).masked((5,), (2047,))
 
 
 @query("SELECT count(*) > 0 AS found FROM lineitem WHERE (l_partkey | 5) = l_partkey AND (l_partkey & 63) = l_partkey")
 def masked_any(spark, sf_dir):
-    hit = _read(spark, sf_dir, "lineitem").filter(bits.in_mask(F.col("l_partkey"), 5, 63))
-    return hit.limit(1).agg((F.count("*") > 0).alias("found"))
+    return by_part(spark, sf_dir).any_masked((5,), (63,))
+
+
+@query("SELECT p_size, p_partkey FROM part WHERE p_size BETWEEN 10 AND 12 UNION ALL SELECT p_size, p_partkey FROM part WHERE p_size BETWEEN 30 AND 31")
+def window_again(spark, sf_dir):
+    """One table asked twice, with other bounds."""
+    table = SpatialTable(_read(spark, sf_dir, "part"), ("p_size",), ("p_partkey",))
+    return table.window((10,), (12,)).unionByName(table.window((30,), (31,)))
+
+
+@query(f"SELECT l_orderkey, l_linenumber, l_extendedprice * 2 AS twice FROM lineitem WHERE {WINDOW_SQL} AND l_orderkey % 2 = 1")
+def window_by_callers_functions(spark, sf_dir):
+    """A Python filter and a Python mapper, in Arrow batches."""
+    odd = udf.predicate(lambda k: k % 2 == 1)
+    window = lines(spark, sf_dir).window(LOW, HIGH, where=odd(F.col("l_orderkey")))
+    return udf.mapped(window, lambda batch: batch.assign(twice=batch.l_extendedprice * 2)[["l_orderkey", "l_linenumber", "twice"]], "l_orderkey long, l_linenumber int, twice double")
 
 
 # --- lookups ---
@@ -174,9 +218,14 @@ def point_lacks(spark, sf_dir):
     return joins.lookup(_probes(spark, sf_dir), _read(spark, sf_dir, "part").select("p_partkey"), ["p_partkey"], "left_anti")
 
 
-@query("SELECT p_partkey FROM part WHERE p_size = 10 AND p_retailprice = 900.1")
+@query("SELECT p_size, p_name FROM part WHERE p_partkey = 7")
 def point_get_single(spark, sf_dir):
-    return parts(spark, sf_dir).get((10, 900.1))
+    return SpatialTable(_read(spark, sf_dir, "part"), ("p_partkey",), ("p_size", "p_name")).get((7,))
+
+
+@query("SELECT count(*) > 0 AS found FROM part WHERE p_partkey = 7")
+def point_contains_single(spark, sf_dir):
+    return SpatialTable(_read(spark, sf_dir, "part"), ("p_partkey",), ("p_size",)).holds((7,))
 
 
 # --- balls and neighbours ---
@@ -208,7 +257,39 @@ def knn_l2(spark, sf_dir):
 
 @query(f"SELECT p_size, p_retailprice, p_partkey, {DIST_P} AS dist FROM part ORDER BY dist, p_size, p_retailprice, p_partkey LIMIT 25")
 def knn_two_pass(spark, sf_dir):
-    return bounded.nearest(parts(spark, sf_dir), 25, (25.0, 910.0), share=0.1)
+    return bounded.nearest(parts(spark, sf_dir), 25, (25.0, 910.0))
+
+
+@query("""SELECT k, c_custkey, sqrt((k - 100.0) * (k - 100.0)) AS dist FROM (SELECT CASE WHEN c_custkey % 3 <> 0 THEN c_acctbal END AS k, c_custkey FROM customer)
+WHERE k IS NOT NULL ORDER BY dist, k, c_custkey LIMIT 15""")
+def knn_nulls(spark, sf_dir):
+    """Rows without a key are no neighbours."""
+    rows = _read(spark, sf_dir, "customer").select(F.when(F.col("c_custkey") % 3 != 0, F.col("c_acctbal")).alias("k"), "c_custkey")
+    return SpatialTable(rows, ("k",), ("c_custkey",)).nearest(15, (100.0,))
+
+
+@query(f"SELECT p_size, p_retailprice, p_partkey, {DIST_P} AS dist FROM part ORDER BY dist, p_size, p_retailprice, p_partkey LIMIT 40")
+def knn_incremental(spark, sf_dir):
+    """Neighbours pulled one by one, a few at a time, until the caller has enough."""
+    rows = list(islice(parts(spark, sf_dir).neighbours((25.0, 910.0), batch=15), 40))
+    return spark.createDataFrame(rows, "p_size int, p_retailprice double, p_partkey long, dist double")
+
+
+CHEBYSHEV = "greatest(abs(CAST(p_size AS DOUBLE) - 25.0), abs(p_retailprice - 910.0))"
+
+
+@query(f"SELECT p_size, p_retailprice, p_partkey, {CHEBYSHEV} AS dist FROM part ORDER BY dist, p_size, p_retailprice, p_partkey LIMIT 25")
+def knn_own_metric(spark, sf_dir):
+    """A metric given as a Column builder."""
+    largest = Custom(lambda p, c: F.greatest(*[F.abs(x.cast("double") - y) for x, y in zip(p, c, strict=True)]))
+    return parts(spark, sf_dir).nearest(25, (25.0, 910.0), largest)
+
+
+@query(f"SELECT p_size, p_retailprice, p_partkey, {CHEBYSHEV} AS dist FROM part ORDER BY dist, p_size, p_retailprice, p_partkey LIMIT 25")
+def knn_python_metric(spark, sf_dir):
+    """A metric given as a Python function, in Arrow batches."""
+    largest = udf.metric(lambda p, c: (p[0] - c[0]).abs().combine((p[1] - c[1]).abs(), max), 2)
+    return parts(spark, sf_dir).nearest(25, (25.0, 910.0), largest)
 
 
 @query("SELECT p_size, p_retailprice, p_partkey, abs(CAST(p_size AS DOUBLE) - 25.0) + abs(p_retailprice - 910.0) AS dist FROM part ORDER BY dist, p_size, p_retailprice, p_partkey LIMIT 25")
@@ -237,7 +318,7 @@ SELECT vec_id, round(list_distance(CAST(embedding AS DOUBLE[]), q.e), 6) AS dist
 def knn_embedding(spark, sf_dir):
     table = _read(spark, sf_dir, "embeddings")
     first = table.orderBy("vec_id").select("embedding").first()
-    return ArrayTable(table, "embedding", ("vec_id",)).nearest(20, first[0], decimals=6)
+    return ArrayTable(table, "embedding", ("vec_id",)).nearest(20, first[0], decimals=6).select("vec_id", "dist")
 
 
 @query("""WITH q AS (SELECT CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings))
@@ -245,7 +326,51 @@ SELECT * FROM (SELECT vec_id, round(list_distance(CAST(embedding AS DOUBLE[]), q
 def range_embedding(spark, sf_dir):
     table = _read(spark, sf_dir, "embeddings")
     first = table.orderBy("vec_id").select("embedding").first()
-    return ArrayTable(table, "embedding", ("vec_id",)).within(first[0], 1.2, decimals=6)
+    return ArrayTable(table, "embedding", ("vec_id",)).within(first[0], 1.2, decimals=6).select("vec_id", "dist")
+
+
+EVEN_ODD = """WITH e AS (SELECT vec_id, embedding FROM embeddings), c AS (SELECT embedding, max(-vec_id) AS vec_id FROM e WHERE vec_id % 5 = 0 GROUP BY embedding)"""
+
+
+def vectors(spark, sf_dir) -> DataFrame:
+    return _read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+
+
+@query("SELECT vec_id FROM embeddings WHERE embedding = (SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1)")
+def embedding_get(spark, sf_dir):
+    table = vectors(spark, sf_dir)
+    first = table.orderBy("vec_id").select("embedding").first()
+    return ArrayTable(table, "embedding", ("vec_id",)).get(first[0])
+
+
+@query(f"{EVEN_ODD} SELECT vec_id FROM c UNION ALL SELECT vec_id FROM e WHERE embedding NOT IN (SELECT embedding FROM c)")
+def embedding_put(spark, sf_dir):
+    """Upsert at array keys."""
+    table = vectors(spark, sf_dir)
+    return mutate.put(table, table.filter("vec_id % 5 = 0").withColumn("vec_id", -F.col("vec_id")), ["embedding"]).select("vec_id")
+
+
+@query(f"{EVEN_ODD} SELECT vec_id FROM e WHERE embedding NOT IN (SELECT embedding FROM c)")
+def embedding_remove(spark, sf_dir):
+    table = vectors(spark, sf_dir)
+    return mutate.remove(table, table.filter("vec_id % 5 = 0").select("embedding"), ["embedding"]).select("vec_id")
+
+
+@query("SELECT vec_id, CASE WHEN vec_id % 5 = 0 THEN len(embedding) + 1 ELSE len(embedding) END AS dims FROM embeddings")
+def embedding_move(spark, sf_dir):
+    """Keys moved to points of one more dimension."""
+    table = vectors(spark, sf_dir)
+    moves = table.filter("vec_id % 5 = 0").select("embedding", F.array_append("embedding", F.lit(9.0).cast("float")).alias("to"))
+    return mutate.move(table, moves, ["embedding"], ["to"]).select("vec_id", F.size("embedding").alias("dims"))
+
+
+@query("""WITH q AS (SELECT CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings))
+SELECT vec_id, round(list_distance(CAST(embedding AS DOUBLE[]), q.e), 6) AS dist FROM embeddings, q WHERE vec_id % 2 = 1 ORDER BY dist, vec_id LIMIT 5""")
+def knn_embedding_filtered(spark, sf_dir):
+    table = vectors(spark, sf_dir)
+    first = table.orderBy("vec_id").select("embedding").first()
+    near = ArrayTable(table, "embedding", ("vec_id",)).nearest(5, first[0], decimals=6, where=F.col("vec_id") % 2 == 1)
+    return near.select("vec_id", "dist")
 
 
 @query("SELECT vec_id FROM embeddings WHERE len(list_filter(embedding, lambda x: x < -0.3 OR x > 0.3)) = 0")
@@ -273,6 +398,15 @@ def knn_decoded(spark, sf_dir):
     return SpatialTable(stored, ("a", "b"), ("p_partkey",), fixed).nearest(15, (25.0, 910.0), Decoded(fixed))
 
 
+@query("""SELECT k AS c_acctbal, c_custkey, sqrt((k - 100.0) * (k - 100.0)) AS dist FROM (SELECT c_acctbal AS k, c_custkey FROM customer) WHERE sqrt((k - 100.0) * (k - 100.0)) <= 250.0""")
+def range_decoded(spark, sf_dir):
+    """Keys stored as sortable bits; the ball's box is encoded too, so the scan can skip."""
+    bits_of = encoding.Ieee()
+    stored = _read(spark, sf_dir, "customer").select(bits_of.pre(F.col("c_acctbal"), 0).alias("k"), "c_custkey")
+    near = SpatialTable(stored, ("k",), ("c_custkey",), bits_of).within((100.0,), 250.0, Decoded(bits_of))
+    return near.select(bits_of.post(F.col("k"), 0).alias("c_acctbal"), "c_custkey", "dist")
+
+
 # --- boxes ---
 
 
@@ -312,6 +446,31 @@ def box_knn_center(spark, sf_dir):
     return order_boxes(spark, sf_dir).nearest(20, (800_000_000, 30_000.0), metric="center")
 
 
+@query(f"WITH {BOX_SQL}, one AS (SELECT * FROM boxes ORDER BY l_orderkey LIMIT 1) SELECT b.l_orderkey FROM boxes b JOIN one USING (lo0, lo1, hi0, hi1)")
+def box_get(spark, sf_dir):
+    """A box found by its own bounds, given as an entry."""
+    boxes = order_boxes(spark, sf_dir)
+    return boxes.get(boxes.extent().orderBy("l_orderkey").first())
+
+
+@query(f"WITH {BOX_SQL}, one AS (SELECT * FROM boxes ORDER BY l_orderkey LIMIT 1) SELECT b.* FROM boxes b, one WHERE b.lo0 <= one.hi0 AND b.hi0 >= one.lo0 AND b.lo1 <= one.hi1 AND b.hi1 >= one.lo1")
+def box_intersect_entry(spark, sf_dir):
+    boxes = order_boxes(spark, sf_dir)
+    return boxes.intersect(boxes.extent().orderBy("l_orderkey").first())
+
+
+@query(f"""WITH {BOX_SQL}, d AS (SELECT *, greatest(800000000.0 - hi0, lo0 - 800000000.0, 0.0) AS g0, greatest(30000.0 - hi1, lo1 - 30000.0, 0.0) AS g1 FROM boxes)
+SELECT * FROM (SELECT lo0, lo1, hi0, hi1, l_orderkey, sqrt(g0 * g0 + g1 * g1) AS dist FROM d) WHERE dist <= 2000000.0""")
+def box_within_edge(spark, sf_dir):
+    return order_boxes(spark, sf_dir).within(2_000_000.0, (800_000_000, 30_000.0))
+
+
+@query(f"""WITH {BOX_SQL}, d AS (SELECT *, ((lo0 - 800000000::DOUBLE) + (hi0 - 800000000::DOUBLE)) / 2 AS g0, ((lo1 - 30000::DOUBLE) + (hi1 - 30000::DOUBLE)) / 2 AS g1 FROM boxes)
+SELECT * FROM (SELECT lo0, lo1, hi0, hi1, l_orderkey, sqrt(g0 * g0 + g1 * g1) AS dist FROM d) WHERE dist <= 9000000.0""")
+def box_within_center(spark, sf_dir):
+    return order_boxes(spark, sf_dir).within(9_000_000.0, (800_000_000, 30_000.0), metric="center")
+
+
 # --- multimaps ---
 
 
@@ -359,10 +518,9 @@ def multimap_collect(spark, sf_dir):
     return table.grouped((7,)).select(F.transform("values", lambda v: v["p_name"]).alias("names"))
 
 
-@query("SELECT count(*) > 0 AS found FROM lineitem WHERE l_quantity = 17.0 AND l_discount = 0.05 AND l_orderkey % 2 = 0")
+@query("SELECT count(*) > 0 AS found FROM lineitem WHERE l_quantity = 17.0 AND l_linenumber = 3")
 def multimap_contains(spark, sf_dir):
-    hit = bag(spark, sf_dir).df.filter((F.col("l_quantity") == 17.0) & (F.col("l_discount") == 0.05) & (F.col("l_orderkey") % 2 == 0))
-    return hit.limit(1).agg((F.count("*") > 0).alias("found"))
+    return MultiTable(_read(spark, sf_dir, "lineitem"), ("l_quantity",), ("l_linenumber",)).holds_pair((17.0,), 3)
 
 
 # --- mutations ---
@@ -525,6 +683,74 @@ def bag_compute(spark, sf_dir):
     return mutate.bag_compute(pairs, asked, ["l_quantity"], "l_linenumber", lambda v: F.when(v != 1, v + 50))
 
 
+PAIRS = "b AS (SELECT l_quantity, l_linenumber FROM lineitem), a AS (SELECT DISTINCT l_quantity, l_linenumber + 4 AS l_linenumber FROM b WHERE l_quantity < 10)"
+
+
+def _asked_pairs(pairs):
+    """Pairs of which about half are in the bag."""
+    return pairs.filter("l_quantity < 10").withColumn("l_linenumber", F.col("l_linenumber") + 4).distinct()
+
+
+@query(f"WITH {PAIRS} SELECT * FROM b UNION ALL SELECT * FROM a ANTI JOIN b USING (l_quantity, l_linenumber)")
+def bag_put_if_absent(spark, sf_dir):
+    pairs = _pairs(spark, sf_dir)
+    return mutate.bag_put_if_absent(pairs, _asked_pairs(pairs))
+
+
+NUMBERED = "n AS (SELECT l_quantity, l_linenumber, row_number() OVER (PARTITION BY l_quantity, l_linenumber) AS k FROM b)"
+
+
+@query(f"WITH {PAIRS}, {NUMBERED} SELECT l_quantity, CASE WHEN k = 1 AND l_quantity < 10 AND l_linenumber > 4 THEN -l_linenumber ELSE l_linenumber END AS l_linenumber FROM n")
+def bag_replace(spark, sf_dir):
+    pairs = _pairs(spark, sf_dir)
+    changes = _asked_pairs(pairs).select("l_quantity", F.col("l_linenumber").alias("old"), (-F.col("l_linenumber")).alias("new"))
+    return mutate.bag_replace(pairs, changes, ["l_quantity"], "l_linenumber", "old", "new")
+
+
+@query(f"WITH {PAIRS} SELECT * FROM b UNION ALL SELECT l_quantity, l_linenumber * 10 FROM a ANTI JOIN b USING (l_quantity, l_linenumber) WHERE l_linenumber <> 9")
+def bag_compute_if_absent(spark, sf_dir):
+    pairs = _pairs(spark, sf_dir)
+    return mutate.bag_compute_if_absent(pairs, _asked_pairs(pairs), ["l_quantity"], "l_linenumber", lambda v: F.when(v != 9, v * 10))
+
+
+@query(f"""WITH {PAIRS}, {NUMBERED} SELECT l_quantity, CASE WHEN k = 1 AND l_quantity < 10 AND l_linenumber > 4 THEN l_linenumber + 50 ELSE l_linenumber END AS l_linenumber FROM n
+UNION ALL SELECT l_quantity, l_linenumber * 10 FROM a ANTI JOIN b USING (l_quantity, l_linenumber)""")
+def bag_compute_always(spark, sf_dir):
+    """One function for pairs that are held, another for those that are not."""
+    pairs = _pairs(spark, sf_dir)
+    return mutate.bag_compute(pairs, _asked_pairs(pairs), ["l_quantity"], "l_linenumber", lambda v: v + 50, absent=lambda v: v * 10)
+
+
+@query("SELECT l_quantity, l_linenumber FROM lineitem WHERE l_quantity >= 10")
+def bag_remove_key(spark, sf_dir):
+    pairs = _pairs(spark, sf_dir)
+    return mutate.remove(pairs, pairs.filter("l_quantity < 10").select("l_quantity").distinct(), ["l_quantity"])
+
+
+@query("""WITH t AS (SELECT DISTINCT l_extendedprice, l_tax, 0 AS v FROM lineitem), c AS (SELECT DISTINCT l_extendedprice, 0.01::DOUBLE AS l_tax, 1 AS v FROM lineitem WHERE l_discount = 0.05)
+SELECT * FROM t ANTI JOIN c USING (l_extendedprice, l_tax) UNION ALL SELECT * FROM c""")
+def put_float_keys(spark, sf_dir):
+    """Upsert at floating-point keys; the batch repeats keys."""
+    rows = _read(spark, sf_dir, "lineitem")
+    table = rows.select("l_extendedprice", "l_tax", F.lit(0).alias("v")).distinct()
+    return mutate.put(table, rows.filter("l_discount = 0.05").select("l_extendedprice", F.lit(0.01).alias("l_tax"), F.lit(1).alias("v")), ["l_extendedprice", "l_tax"])
+
+
+@query(f"WITH {BASE}, r AS (SELECT p_partkey % 97 AS p_partkey, max(struct_pack(a := p_size, b := p_retailprice)) AS m FROM changes GROUP BY 1) SELECT * FROM base ANTI JOIN r USING (p_partkey) UNION ALL SELECT p_partkey, m.a, m.b FROM r")
+def put_repeated_keys(spark, sf_dir):
+    """A batch that changes keys several times, without a sequence: the greatest values count. Null keys are left out."""
+    changes = _changes(spark, sf_dir).withColumn("p_partkey", F.col("p_partkey") % 97)
+    return mutate.put(_base(spark, sf_dir), changes.unionByName(changes.limit(1).withColumn("p_partkey", F.lit(None).cast("long"))), K)
+
+
+@query(f"WITH {BASE} SELECT (SELECT count(*) FROM base) AS n_before, (SELECT count(*) FROM base) + (SELECT count(*) FROM changes ANTI JOIN base USING (p_partkey)) AS n_after")
+def snapshot(spark, sf_dir):
+    """The table as it was is still there after a change of it."""
+    before = _base(spark, sf_dir)
+    after = mutate.put(before, _changes(spark, sf_dir), K)
+    return before.agg(F.count("*").alias("n_before")).join(after.agg(F.count("*").alias("n_after")))
+
+
 @query("SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_partkey % 3 <> 0")
 def set_insert_delete(spark, sf_dir):
     rows = _read(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey")
@@ -574,14 +800,65 @@ def knn_join(spark, sf_dir):
     return joins.nearest_join(c, s, ["c_acctbal"], ["s_acctbal"], "s_suppkey", ["c_custkey"], 5).select("s_suppkey", "c_custkey", "dist", "rank")
 
 
+@query(f"WITH {WINDOWS} SELECT x.s_suppkey AS x, y.s_suppkey AS y FROM w x JOIN w y ON x.a0 >= y.a0 AND x.b0 <= y.b0 AND x.a1 >= y.a1 AND x.b1 <= y.b1")
+def box_include_join(spark, sf_dir):
+    w = _windows(spark, sf_dir)
+    x = w.select(*[F.col(c).alias(f"x_{c}") for c in w.columns])
+    y = w.select(*[F.col(c).alias(f"y_{c}") for c in w.columns])
+    met = joins.box_join(x, y, ["x_a0", "x_a1"], ["x_b0", "x_b1"], ["y_a0", "y_a1"], ["y_b0", "y_b1"], units=[1.0, 10.0], include=True)
+    return met.select(F.col("x_s_suppkey").alias("x"), F.col("y_s_suppkey").alias("y"))
+
+
+@query(f"WITH {WINDOWS} SELECT s_suppkey, p_partkey FROM w JOIN part ON p_size BETWEEN a0 AND b0 AND p_retailprice BETWEEN a1 AND b1")
+def box_join_points(spark, sf_dir):
+    """Points as boxes without a width."""
+    p = _read(spark, sf_dir, "part").select("p_partkey", *[F.col(c).cast("double").alias(f"{side}{i}") for side in ("lo", "hi") for i, c in enumerate(("p_size", "p_retailprice"))])
+    met = joins.box_join(p, _windows(spark, sf_dir), ["lo0", "lo1"], ["hi0", "hi1"], ["a0", "a1"], ["b0", "b1"], units=[1.0, 10.0])
+    return met.select("s_suppkey", "p_partkey")
+
+
+@query("SELECT a.p_partkey AS a, b.p_partkey AS b FROM part a JOIN part b ON a.p_size = b.p_size AND a.p_retailprice = b.p_retailprice")
+def window_join_points(spark, sf_dir):
+    """Windows without a width are lookups."""
+    p = _read(spark, sf_dir, "part")
+    windows = p.select(F.col("p_partkey").alias("a"), F.col("p_size").alias("s"), F.col("p_retailprice").alias("r"))
+    points = p.select(F.col("p_partkey").alias("b"), "p_size", "p_retailprice")
+    return joins.window_join(points, windows, ["p_size", "p_retailprice"], ["s", "r"], ["s", "r"]).select("a", "b")
+
+
+@query("SELECT s_suppkey, c_custkey, 0.0::DOUBLE AS dist FROM supplier JOIN customer ON c_nationkey = s_nationkey")
+def distance_join_zero(spark, sf_dir):
+    s = _read(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    c = _read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    return joins.distance_join(c, s, ["c_nationkey"], ["s_nationkey"], 0.0).select("s_suppkey", "c_custkey", "dist")
+
+
+L1_2D = "abs(CAST(p_size AS DOUBLE) - x) + abs(p_retailprice - y)"
+
+
+@query(f"""WITH q AS (SELECT s_suppkey, CAST(s_nationkey AS DOUBLE) * 4 - 20 AS x, 800 + s_acctbal / 20 AS y FROM supplier)
+SELECT s_suppkey, p_partkey, dist, rank FROM (SELECT s_suppkey, p_partkey, {L1_2D} AS dist, CAST(row_number() OVER (PARTITION BY s_suppkey ORDER BY {L1_2D}, p_partkey) AS INTEGER) AS rank FROM q, part) WHERE rank <= 3""")
+def knn_join_2d(spark, sf_dir):
+    """Manhattan neighbours of places inside and far outside the table's extent."""
+    q = _read(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_nationkey").cast("double") * 4 - 20).alias("x"), (800 + F.col("s_acctbal") / 20).alias("y"))
+    p = _read(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice")
+    return joins.nearest_join(p, q, ["p_size", "p_retailprice"], ["x", "y"], "s_suppkey", ["p_partkey"], 3, L1()).select("s_suppkey", "p_partkey", "dist", "rank")
+
+
 # --- encodings, bits, statistics ---
 
 
 @query("SELECT c_custkey, c_acctbal AS decoded, row_number() OVER (ORDER BY c_acctbal, c_custkey) AS place FROM customer")
 def encode_roundtrip(spark, sf_dir):
-    table = _read(spark, sf_dir, "customer").withColumn("key", encoding.sortable_long(F.col("c_acctbal")))
-    place = F.row_number().over(Window.orderBy("key", "c_custkey")).cast("long")
-    return table.select("c_custkey", encoding.from_sortable_long(F.col("key")).alias("decoded"), place.alias("place"))
+    table = _read(spark, sf_dir, "customer").select("c_custkey", encoding.sortable_long(F.col("c_acctbal")).alias("key"))
+    return order.places(table, ["key", "c_custkey"]).select("c_custkey", encoding.from_sortable_long(F.col("key")).alias("decoded"), "place")
+
+
+@query("SELECT c_custkey, CAST(CAST(c_acctbal AS FLOAT) AS DOUBLE) AS decoded FROM customer")
+def encode_float(spark, sf_dir):
+    """32-bit floats as keys and back."""
+    key = encoding.sortable_int(F.col("c_acctbal").cast("float"))
+    return _read(spark, sf_dir, "customer").select("c_custkey", encoding.from_sortable_int(key).cast("double").alias("decoded"))
 
 
 @query("SELECT c_custkey, CAST(trunc(c_acctbal * 100.0::DOUBLE) AS BIGINT) AS key, CAST(trunc(c_acctbal * 100.0::DOUBLE) AS BIGINT) * (1 / 100.0::DOUBLE) AS decoded FROM customer")
@@ -609,10 +886,17 @@ ADDRESS = " + ".join(f"((((p_size >> {b}) & 1) * 2 + ((p_partkey >> {b}) & 1)) <
 
 @query(f"SELECT p_partkey, CAST({ADDRESS} AS BIGINT) AS z, CAST(row_number() OVER (ORDER BY {ADDRESS}, p_partkey) AS BIGINT) AS place FROM (SELECT p_partkey, CAST(p_size AS BIGINT) AS p_size FROM part)")
 def zorder_rank(spark, sf_dir):
-    table = _read(spark, sf_dir, "part")
     keys = [F.col("p_size").cast("long"), F.col("p_partkey")]
-    place = F.row_number().over(Window.orderBy(bits.path(keys), "p_partkey")).cast("long")
-    return table.select("p_partkey", bits.interleave(keys, 16).alias("z"), place.alias("place"))
+    table = _read(spark, sf_dir, "part").select("p_partkey", bits.interleave(keys, 16).alias("z"))
+    return order.places(table, ["z", "p_partkey"])
+
+
+@query(f"SELECT p_partkey, CAST({ADDRESS} AS BIGINT) AS z FROM (SELECT p_partkey, CAST(p_size AS BIGINT) AS p_size FROM part) ORDER BY z, p_partkey LIMIT 50")
+def zorder_first(spark, sf_dir):
+    """The first rows in Z-order."""
+    keys = [F.col("p_size").cast("long"), F.col("p_partkey")]
+    rows = _read(spark, sf_dir, "part").select("p_partkey", "p_size", bits.interleave(keys, 16).alias("z"))
+    return stats.order_by_z(rows, keys).limit(50).select("p_partkey", "z")
 
 
 @query("SELECT p_partkey, CAST(p_size AS BIGINT) AS a, p_partkey AS b FROM part")
@@ -628,6 +912,36 @@ def bit_functions(spark, sf_dir):
     return _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", bits.conflicting_bits([a], [b]).alias("conflict"), bits.free_bits(a, b).cast("int").alias("open"), bits.next_address(a, 1, 1279).alias("following"))
 
 
+REVERSED = " + ".join(f"(((p_partkey >> {b}) & 1) << {19 - b})" for b in range(20))
+
+
+@query(f"SELECT p_partkey, CAST({REVERSED} AS BIGINT) AS reversed, CAST(p_size AS BIGINT) AS a, p_partkey AS b, CAST((p_partkey & ~4) + 4 * ((p_size >> 1) & 1) AS BIGINT) AS applied, CAST(p_partkey | 1024 AS BIGINT) AS raised FROM part")
+def bit_moves(spark, sf_dir):
+    """Reversal, interleaving and back, one bit taken from an address, one bit set."""
+    size, key = F.col("p_size").cast("long"), F.col("p_partkey")
+    a, b = bits.deinterleave(bits.interleave([size, key], 20), 2, 20)
+    return _read(spark, sf_dir, "part").select("p_partkey", bits.reverse(key, 20).alias("reversed"), a.alias("a"), b.alias("b"), bits.apply_address(key, size, 2, 0, 2).alias("applied"), bits.with_bit(key, 10, True).alias("raised"))
+
+
+@query("SELECT p_partkey, p_size >= p_partkey % 50 AND p_partkey % 64 >= p_size AS dominates FROM part")
+def z_dominance(spark, sf_dir):
+    """Whether one point is at least another in both dimensions, told from their addresses."""
+    path = lambda x, y: [bits.address([x.cast("long"), y.cast("long")], level) for level in range(7, -1, -1)]
+    size, key = F.col("p_size"), F.col("p_partkey")
+    return _read(spark, sf_dir, "part").select("p_partkey", bits.dominates(path(size, key % 64), path(key % 50, size)).alias("dominates"))
+
+
+@query("""SELECT p_partkey, CAST(bit_count(xor(p_partkey, CAST(p_size AS BIGINT))) + bit_count(xor(CAST(p_size AS BIGINT), p_partkey % 7)) AS INTEGER) AS differing,
+  p_partkey < p_size OR (p_partkey = p_size AND p_size < p_partkey % 7) AS is_less, p_partkey AS up_high, p_size + 1 AS up_low,
+  CASE WHEN p_partkey % 7 = 0 THEN p_size - 1 ELSE CAST(p_size AS BIGINT) END AS down_high, CASE WHEN p_partkey % 7 = 0 THEN -1 ELSE p_partkey % 7 - 1 END AS down_low FROM part""")
+def long_addresses(spark, sf_dir):
+    """Addresses of 128 bits: differing bits, order, the next one and the one before."""
+    size, key = F.col("p_size").cast("long"), F.col("p_partkey")
+    a, b = F.array(key, size), F.array(size, key % 7)
+    up, down = bits.long_increment(a), bits.long_decrement(b)
+    return _read(spark, sf_dir, "part").select("p_partkey", bits.long_xor_count(a, b).alias("differing"), bits.long_less(a, b).alias("is_less"), up[0].alias("up_high"), up[1].alias("up_low"), down[0].alias("down_high"), down[1].alias("down_low"))
+
+
 LEVEL_ROWS = f"""levels AS (SELECT unnest(range(0, 64)) AS level),
 cells AS (SELECT level, CASE WHEN level < 63 THEN l_partkey >> (level + 1) ELSE 0 END AS p0, CASE WHEN level < 63 THEN l_suppkey >> (level + 1) ELSE 0 END AS p1,
   ((l_partkey >> level) & 1) * 2 + ((l_suppkey >> level) & 1) AS child FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem), levels),
@@ -639,6 +953,31 @@ def tree_stats(spark, sf_dir):
     return stats.tree_stats(_read(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").distinct(), ["l_partkey", "l_suppkey"])
 
 
+def _key_pairs(spark, sf_dir):
+    return _read(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").distinct()
+
+
+@query(f"WITH {LEVEL_ROWS} SELECT CAST(length(bin(children)) AS INTEGER) AS size_log, count(*) AS n_nodes FROM nodes WHERE children > 1 OR level = 63 GROUP BY size_log")
+def node_sizes(spark, sf_dir):
+    return stats.node_sizes(_key_pairs(spark, sf_dir), ["l_partkey", "l_suppkey"])
+
+
+BELOW_ROWS = f"""{LEVEL_ROWS}, n AS (SELECT level, p0, p1 FROM nodes WHERE children > 1 OR level = 63),
+up AS (SELECT n.level, p0, p1, l.level AS u, p0 >> (l.level - n.level) AS u0, p1 >> (l.level - n.level) AS u1 FROM n, levels l WHERE l.level > n.level AND l.level < 63
+  UNION ALL SELECT level, p0, p1, 63, 0, 0 FROM n WHERE level < 63),
+below AS (SELECT up.level, CAST(min(u) - up.level - 1 AS INTEGER) AS infix_len FROM up JOIN n ON n.level = u AND n.p0 = u0 AND n.p1 = u1 GROUP BY up.level, up.p0, up.p1 UNION ALL SELECT 63, 0)"""
+
+
+@query(f"WITH {BELOW_ROWS} SELECT infix_len, count(*) AS n_nodes FROM below GROUP BY infix_len")
+def infix_lengths(spark, sf_dir):
+    return stats.infix_lengths(_key_pairs(spark, sf_dir), ["l_partkey", "l_suppkey"])
+
+
+@query(f"WITH {BELOW_ROWS} SELECT CAST(63 - level - infix_len AS INTEGER) AS depth, count(*) AS n_nodes FROM below GROUP BY depth")
+def node_depths(spark, sf_dir):
+    return stats.node_depths(_key_pairs(spark, sf_dir), ["l_partkey", "l_suppkey"])
+
+
 DEPTH_ROWS = """levels AS (SELECT unnest(range(0, 64)) AS level), keys AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem),
 cells AS (SELECT level, l_partkey >> level AS p0, l_suppkey >> level AS p1, count(*) AS n, min(l_partkey) AS a, min(l_suppkey) AS b FROM keys, levels GROUP BY ALL),
 depths AS (SELECT max(level) AS level FROM cells WHERE n = 1 GROUP BY a, b)"""
@@ -659,3 +998,29 @@ def average_depth(spark, sf_dir):
 def window_then_group(spark, sf_dir):
     table = SpatialTable(_read(spark, sf_dir, "events"), ("value",), ("user_id",))
     return table.window((10.0,), (60.0,)).groupBy("user_id").agg(F.count("*").alias("n_events"), F.max("value").alias("top"))
+
+
+# --- streams ---
+
+
+def _event_stream(spark, sf_dir) -> DataFrame:
+    return spark.readStream.schema(_read(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/event[s].parquet")
+
+
+@query("SELECT event_id, ts, user_id, event_type, value, props FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1")
+def stream_latest(spark, sf_dir):
+    """The newest event of each user, kept from a stream."""
+    path, events = shared_path(spark, "latest"), _event_stream(spark, sf_dir)
+    moving.maintain_buckets(events, "user_id", "ts", path, 8, shared_path(spark, "stream")).awaitTermination()
+    return moving.read_buckets(spark, path, events.withColumn("bucket", F.lit(0)).schema).drop("bucket")
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS hour, event_type, count(*) AS n FROM events GROUP BY ALL")
+def stream_windows(spark, sf_dir):
+    """Counts by hour and type, from a stream."""
+    path = shared_path(spark, "windows")
+    events = _event_stream(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    counts = moving.windowed_counts(events, "ts", "1 day", "1 hour", "event_type").select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "event_type", "n")
+    store = lambda batch, number: batch.write.mode("overwrite").parquet(path)
+    counts.writeStream.outputMode("complete").foreachBatch(store).option("checkpointLocation", shared_path(spark, "stream")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(path)

@@ -121,3 +121,53 @@ def in_mask(key: Column, low: int, high: int) -> Column:
 def free_bits(low: Column, high: Column) -> Column:
     """How many bits two masks leave open."""
     return F.bit_count(low.bitwiseXOR(high))
+
+
+# --- addresses of any number of bits, as arrays of 64-bit words, the highest word first ---
+
+
+def _unsigned(word: Column) -> Column:
+    return word.bitwiseXOR(F.lit(-(1 << 63)))
+
+
+def long_less(a: Column, b: Column) -> Column:
+    """Whether address ``a`` comes before ``b``, words being unsigned."""
+    return F.transform(a, _unsigned) < F.transform(b, _unsigned)
+
+
+def long_xor_count(a: Column, b: Column) -> Column:
+    """How many bits differ."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n)
+
+
+def long_in_mask(key: Column, low: Column, high: Column) -> Column:
+    """Whether the address has all bits of ``low`` and none outside ``high``."""
+    bounds = F.arrays_zip(key.alias("k"), low.alias("a"), high.alias("b"))
+    return F.forall(bounds, lambda x: (x["k"].bitwiseOR(x["a"]) == x["k"]) & (x["k"].bitwiseAND(x["b"]) == x["k"]))
+
+
+def _carried(words: Column, step: int) -> Column:
+    """``words`` plus or minus one, wrapping round."""
+    word = F.lit(-1 if step > 0 else 0).cast("long")  # the word that passes the carry on
+    start = F.struct(F.lit(True).alias("carry"), F.array().cast("array<bigint>").alias("out"))
+
+    def step_one(state: Column, w: Column) -> Column:
+        turned = F.when(w == word, F.lit(0 if step > 0 else -1).cast("long")).when(w == F.lit((1 << 63) - 1 if step > 0 else -(1 << 63)), F.lit(-(1 << 63) if step > 0 else (1 << 63) - 1).cast("long")).otherwise(F.try_add(w, F.lit(step).cast("long")))
+        out = F.when(state["carry"], turned).otherwise(w)
+        return F.struct((state["carry"] & (w == word)).alias("carry"), F.concat(F.array(out), state["out"]).alias("out"))
+
+    return F.aggregate(F.reverse(words), start, step_one, lambda state: state["out"])
+
+
+def long_increment(words: Column) -> Column:
+    return _carried(words, 1)
+
+
+def long_decrement(words: Column) -> Column:
+    return _carried(words, -1)
+
+
+def long_next_address(v: Column, low: Column, high: Column) -> Column:
+    """``next_address`` of addresses of any number of bits; after the last it is ``low``."""
+    fixed_ones = F.zip_with(v, high, lambda x, h: x.bitwiseOR(h.bitwiseXOR(F.lit(-1).cast("long"))))
+    return F.zip_with(F.zip_with(long_increment(fixed_ones), high, lambda x, h: x.bitwiseAND(h)), low, lambda x, lo: x.bitwiseOR(lo))

@@ -7,6 +7,7 @@ and NaN is an ordinary one above infinity. Everything is a Column expression.
 from __future__ import annotations
 
 import math
+import struct
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -64,8 +65,17 @@ def saturating_long(x: Column) -> Column:
     return F.when(F.isnan(x), F.lit(0).cast("long")).when(x >= 9.223372036854775807e18, F.lit(ALL_BUT_SIGN)).when(x <= -9.223372036854775808e18, F.lit(LONG_MIN)).otherwise(x.cast("long"))
 
 
+def double_key(x: float) -> int:
+    """``sortable_long`` of a number at hand."""
+    bits = struct.unpack("<q", struct.pack("<d", x))[0]
+    return bits if bits >= 0 else bits ^ ALL_BUT_SIGN
+
+
 class Encoding:
-    """A pair of Column builders for each dimension: ``pre`` encodes, ``post`` decodes."""
+    """A pair of Column builders for each dimension: ``pre`` encodes, ``post`` decodes; ``key`` encodes a number at hand."""
+
+    def key(self, x: float, dim: int) -> int:
+        raise NotImplementedError
 
     def pre(self, x: Column, dim: int) -> Column:
         raise NotImplementedError
@@ -78,6 +88,9 @@ class Encoding:
 class Plain(Encoding):
     """Integers, kept as they are."""
 
+    def key(self, x: float, dim: int) -> int:
+        return max(LONG_MIN, min(ALL_BUT_SIGN, math.floor(x)))
+
     def pre(self, x: Column, dim: int) -> Column:
         return x.cast("long")
 
@@ -94,6 +107,9 @@ class Ieee(Encoding):
     def _of(self, dim: int) -> float:
         return self.shift[dim] if isinstance(self.shift, tuple) else self.shift
 
+    def key(self, x: float, dim: int) -> int:
+        return double_key(x + self._of(dim))
+
     def pre(self, x: Column, dim: int) -> Column:
         return sortable_long(x + F.lit(self._of(dim))) if self._of(dim) else sortable_long(x)
 
@@ -108,6 +124,9 @@ class Multiply(Encoding):
     factor: float
     shift: float = 0.0
 
+    def key(self, x: float, dim: int) -> int:
+        return max(LONG_MIN, min(ALL_BUT_SIGN, math.trunc((x + self.shift) * self.factor)))
+
     def pre(self, x: Column, dim: int) -> Column:
         return saturating_long((x + F.lit(self.shift)) * F.lit(self.factor) if self.shift else x * F.lit(self.factor))
 

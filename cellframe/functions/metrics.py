@@ -20,7 +20,10 @@ def _sum(terms: Sequence[Column]) -> Column:
 
 
 class Metric:
-    """``distance`` between a point and a centre; ``reach`` bounds a ball on one axis, or None."""
+    """``distance`` between a point and a centre, and ``box``, the bounding box of a ball."""
+
+    #: Whether distances depend on the gaps on the axes alone and grow with each.
+    by_gaps = False
 
     def distance(self, point: Sequence[Column], center: Sequence[Column]) -> Column:
         raise NotImplementedError
@@ -45,6 +48,8 @@ class Metric:
 class L2(Metric):
     """Euclidean, on doubles (integers are cast first); the default."""
 
+    by_gaps = True
+
     def distance(self, point: Sequence[Column], center: Sequence[Column]) -> Column:
         gaps = [p.cast("double") - c.cast("double") for p, c in zip(point, center, strict=True)]
         return F.sqrt(_sum([g * g for g in gaps]))
@@ -54,6 +59,8 @@ class L2(Metric):
 class L1(Metric):
     """Manhattan."""
 
+    by_gaps = True
+
     def distance(self, point: Sequence[Column], center: Sequence[Column]) -> Column:
         return _sum([F.abs(p.cast("double") - c.cast("double")) for p, c in zip(point, center, strict=True)])
 
@@ -68,8 +75,13 @@ class Decoded(Metric):
     def distance(self, point: Sequence[Column], center: Sequence[Column]) -> Column:
         return self.inner.distance([self.encoding.post(p, d) for d, p in enumerate(point)], center)
 
-    def box(self, center: Sequence, radius) -> None:
-        return None
+    def box(self, center: Sequence, radius) -> list[tuple] | None:
+        """The inner metric's box as keys, a step wider on each side: encodings keep the order but may truncate."""
+        plain = self.inner.box(center, radius)
+        if plain is None or any(isinstance(x, Column) for bounds in plain for x in bounds):
+            return None
+        keys = [(self.encoding.key(float(a), d), self.encoding.key(float(b), d)) for d, (a, b) in enumerate(plain)]
+        return [(max(a - 1, -(1 << 63)), min(b + 1, (1 << 63) - 1)) for a, b in keys]
 
 
 @dataclass(frozen=True)
@@ -86,8 +98,8 @@ class Custom(Metric):
 
 
 def edge_distance(low: Sequence[Column], high: Sequence[Column], q_low: Sequence[Column], q_high: Sequence[Column]) -> Column:
-    """Euclidean gap between boxes, 0 where they overlap."""
-    gaps = [F.greatest(ql - h, lo - qh, F.lit(0.0)) for lo, h, ql, qh in zip(low, high, q_low, q_high, strict=True)]
+    """Euclidean gap between boxes, 0 where they overlap; null if a bound is."""
+    gaps = [F.when((ql - h).isNotNull() & (lo - qh).isNotNull(), F.greatest(ql - h, lo - qh, F.lit(0.0))) for lo, h, ql, qh in zip(low, high, q_low, q_high, strict=True)]
     return F.sqrt(_sum([g * g for g in gaps]))
 
 
@@ -100,6 +112,16 @@ def center_distance(low: Sequence[Column], high: Sequence[Column], q_low: Sequen
 BOX_METRICS = {"edge": edge_distance, "center": center_distance}
 
 
+def box_reach(low: Sequence[Column], high: Sequence[Column], q_low: Sequence[float], q_high: Sequence[float], radius: float) -> list[Column]:
+    """What a box within ``radius`` of another by either box metric must meet on each axis.
+
+    The gap between the boxes is at most the radius, and so is that between their centres,
+    which lie inside them.
+    """
+    slack = [radius + (abs(a) + abs(b) + abs(radius)) * 1e-15 for a, b in zip(q_low, q_high, strict=True)]
+    return [(lo <= F.lit(b + r)) & (h >= F.lit(a - r)) for lo, h, a, b, r in zip(low, high, q_low, q_high, slack, strict=True)]
+
+
 def array_l2(point: Column, center: Column) -> Column:
     """Euclidean between array columns of any length, added from the left."""
     squares = F.zip_with(point, center, lambda p, c: (p.cast("double") - c.cast("double")) * (p.cast("double") - c.cast("double")))

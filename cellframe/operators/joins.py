@@ -1,17 +1,21 @@
 """Batched queries: one lookup, window, ball or neighbour search for each row of a table.
 
 The spatial joins put both sides on a hierarchy of grids whose cell widths are powers of
-two. A query box is listed on the level whose cells are no narrower than the box, so it
-meets at most two cells on each axis, whatever its size; a point is listed once for each
-level that some box uses (few: levels are exponents). The join is then an equi-join on
-level and cell with the exact predicate behind it, and no side needs to be broadcast.
+two. The finest grid follows the data: about ``PER_CELL`` points to a cell over the middle
+of their distribution, so boxes without a width (points, balls of radius 0) meet cells of a
+few points and far outliers do not make it coarse. A box is listed on a level whose cells
+are no narrower than the box, where it meets at most two cells on each axis, or is cut into
+more cells of a finer level where that is cheaper than copying all points to one more level.
+The join is then an equi-join on level and cell with the exact predicate behind it, and no
+side needs to be broadcast. Extents and levels are found by jobs of their own; a few numbers
+reach the driver.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from math import prod
+from math import ceil, floor, log2, prod
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,7 +25,8 @@ from cellframe.operators.tables import conjunction
 
 #: Axes that go into the cell; more would only multiply the cells of a box.
 AXES = 3
-LEVELS = (-60, 60)
+#: Points that the finest cells hold on average, levels between two grids, and cells that a box is cut into at most.
+PER_CELL, STEP, MOST_CELLS = 8, 2, 1024
 
 
 def lookup(queries: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -39,10 +44,30 @@ def _cell(x: Column, level: Column, unit: float) -> Column:
     return F.floor(x / (F.lit(unit) * F.pow(F.lit(2.0), level))).cast("long")
 
 
-def _level(lows: Sequence[Column], highs: Sequence[Column], units: Sequence[float]) -> Column:
-    widest = reduce(F.greatest, [(h - lo) / u for lo, h, u in zip(lows, highs, units, strict=True)]) if len(lows) > 1 else (highs[0] - lows[0]) / units[0]
-    level = F.when(widest > 0, F.ceil(F.log2(widest))).otherwise(F.lit(LEVELS[0]))
-    return F.least(F.greatest(level, F.lit(LEVELS[0])), F.lit(LEVELS[1])).cast("int")
+def finest_level(frame: DataFrame, columns: Sequence[str], units: Sequence[float]) -> tuple[int, int]:
+    """(the level of the finest grid for these coordinates, number of rows), by one pass over them.
+
+    Widths come from the middle 98 % of each axis; cell numbers of the farthest rows stay exact.
+    """
+    ends = [e for c in columns for x in [F.col(c).cast("double")] for e in (F.percentile_approx(x, F.array(F.lit(0.01), F.lit(0.99)), F.lit(1000)), F.max(F.abs(x)))]
+    got = frame.agg(F.count("*"), *ends).first()
+    spans, far = [], 0.0
+    for i, u in enumerate(units):
+        middle, most = got[1 + 2 * i], got[2 + 2 * i]
+        if middle is not None:
+            spans.append((middle[1] - middle[0]) / u)
+            far = max(far, abs(most) / u if most == most else 0.0)
+    spread = [x for x in spans if 0 < x < float("inf")]
+    level = floor(log2(prod(x / max(spread) for x in spread) * PER_CELL / max(got[0], 1)) / len(spread) + log2(max(spread))) if spread else -40
+    return max(level, ceil(log2(far)) - 50 if 0 < far < float("inf") else -1000), got[0]
+
+
+def _level(lows: Sequence[Column], highs: Sequence[Column], units: Sequence[float], finest: int) -> Column:
+    """The lowest of the levels, ``STEP`` apart from the finest on, whose cells are no narrower than the box."""
+    widths = [(h - lo) / F.lit(u) for lo, h, u in zip(lows, highs, units, strict=True)]
+    widest = reduce(F.greatest, widths) if len(widths) > 1 else widths[0]
+    steps = F.least(F.ceil((F.log2(widest) - F.lit(float(finest))) / STEP), F.lit(1100).cast("long"))
+    return F.when(widest > 2.0**finest, steps * STEP + finest).otherwise(F.lit(finest)).cast("int")
 
 
 def _cells(lows: Sequence[Column], highs: Sequence[Column], level: Column, units: Sequence[float]) -> Column:
@@ -58,21 +83,43 @@ def _longer(cells: Column, span: Column) -> Column:
     return F.flatten(F.transform(cells, lambda cell: F.transform(span, lambda x: F.array_append(cell, x))))
 
 
+def listing_levels(boxes: dict[int, int], points: int, axes: int) -> dict[int, int]:
+    """The level on which the boxes of each level are listed, from how many there are.
+
+    One more level costs a copy of all points; listing on a finer one costs more cells for
+    each box. The cheaper is taken, from the finest level up.
+    """
+    listed: dict[int, int] = {}
+    for level in sorted(boxes):
+        below = max(listed.values(), default=level)
+        cells = (2 ** min(level - below, 64) + 1) ** axes
+        listed[level] = below if cells <= MOST_CELLS and cells * boxes[level] <= points else level
+    return listed
+
+
+def _doubles(columns: Sequence[str]) -> list[Column]:
+    return [F.col(c).cast("double") for c in columns]
+
+
 def window_join(points: DataFrame, boxes: DataFrame, keys: Sequence[str], lows: Sequence[str], highs: Sequence[str], units: Sequence[float] | None = None) -> DataFrame:
     """Every (point, box) with the point inside the box, bounds included; all columns of both sides.
 
-    ``units`` scale the axes against each other; they affect cost only.
+    ``units`` scale the axes against each other; they affect cost only. Points and boxes with
+    a null coordinate, and boxes with a bound above the other, meet nothing.
     """
     n = min(AXES, len(keys))
     units = list(units or [1.0] * n)[:n]
+    finest, count = finest_level(points, keys[:n], units)
     well = conjunction([F.col(lo) <= F.col(h) for lo, h in zip(lows, highs, strict=True)])
-    low_columns, high_columns = [F.col(c).cast("double") for c in lows[:n]], [F.col(c).cast("double") for c in highs[:n]]
-    listed = boxes.filter(well).withColumn("_level", _level(low_columns, high_columns, units))
-    levels = sorted(r[0] for r in listed.select("_level").distinct().collect())  # at most 121
-    listed = listed.withColumn("_cell", F.explode(_cells(low_columns, high_columns, F.col("_level").cast("double"), units)))
-    placed = points.withColumn("_level", F.explode(F.array(*[F.lit(x) for x in levels]).cast("array<int>")))
-    placed = placed.withColumn("_cell", F.array(*[_cell(F.col(k).cast("double"), F.col("_level").cast("double"), u) for k, u in zip(keys[:n], units, strict=True)]))
-    met = placed.join(listed, ["_level", "_cell"])
+    sized = boxes.filter(well).withColumn("_level", _level(_doubles(lows[:n]), _doubles(highs[:n]), units, finest))
+    found = {r[0]: r[1] for r in sized.groupBy("_level").count().collect()}
+    listed = listing_levels(found, count, n)
+    place = F.create_map(*[F.lit(x) for pair in listed.items() for x in pair])[F.col("_level")] if listed else F.col("_level")
+    sized = sized.withColumn("_level", place)
+    sized = sized.withColumn("_cell", F.explode(_cells(_doubles(lows[:n]), _doubles(highs[:n]), F.col("_level").cast("double"), units)))
+    placed = points.withColumn("_level", F.explode(F.array(*[F.lit(x) for x in sorted(set(listed.values()))]).cast("array<int>")))
+    placed = placed.withColumn("_cell", F.array(*[_cell(x, F.col("_level").cast("double"), u) for x, u in zip(_doubles(keys[:n]), units, strict=True)]))
+    met = placed.join(sized, ["_level", "_cell"])
     return met.filter(conjunction([F.col(k).between(F.col(lo), F.col(h)) for k, lo, h in zip(keys, lows, highs, strict=True)])).drop("_level", "_cell")
 
 
@@ -84,10 +131,11 @@ def box_join(left: DataFrame, right: DataFrame, left_low: Sequence[str], left_hi
     """
     n = min(AXES, len(left_low))
     units = list(units or [1.0] * n)[:n]
+    finest = min(finest_level(left, left_low[:n], units)[0], finest_level(right, right_low[:n], units)[0])
 
     def placed(frame: DataFrame, low: Sequence[str], high: Sequence[str], own: str) -> DataFrame:
         well = conjunction([F.col(a) <= F.col(b) for a, b in zip(low, high, strict=True)])
-        return frame.filter(well).withColumn(own, _level([F.col(c).cast("double") for c in low[:n]], [F.col(c).cast("double") for c in high[:n]], units))
+        return frame.filter(well).withColumn(own, _level(_doubles(low[:n]), _doubles(high[:n]), units, finest))
 
     a, b = placed(left, left_low, left_high, "_la"), placed(right, right_low, right_high, "_lb")
     levels = sorted({r[0] for frame, c in ((a, "_la"), (b, "_lb")) for r in frame.select(c).distinct().collect()})
@@ -95,61 +143,93 @@ def box_join(left: DataFrame, right: DataFrame, left_low: Sequence[str], left_hi
 
     def spread(frame: DataFrame, low: Sequence[str], high: Sequence[str], own: str) -> DataFrame:
         up = frame.withColumn("_level", F.explode(F.filter(ladder, lambda x: x >= F.col(own))))
-        return up.withColumn("_cell", F.explode(_cells([F.col(c).cast("double") for c in low[:n]], [F.col(c).cast("double") for c in high[:n]], F.col("_level").cast("double"), units)))
+        return up.withColumn("_cell", F.explode(_cells(_doubles(low[:n]), _doubles(high[:n]), F.col("_level").cast("double"), units)))
 
     met = spread(a, left_low, left_high, "_la").join(spread(b, right_low, right_high, "_lb"), ["_level", "_cell"])
     overlap = conjunction([(F.col(al) <= F.col(bh)) & (F.col(ah) >= F.col(bl)) for al, ah, bl, bh in zip(left_low, left_high, right_low, right_high, strict=True)])
     if include:
         overlap = conjunction([(F.col(al) >= F.col(bl)) & (F.col(ah) <= F.col(bh)) for al, ah, bl, bh in zip(left_low, left_high, right_low, right_high, strict=True)])
-    corner = F.array(*[_cell(F.greatest(F.col(al).cast("double"), F.col(bl).cast("double")), F.col("_level").cast("double"), u) for al, bl, u in zip(left_low[:n], right_low[:n], units, strict=True)])
+    corner = F.array(*[_cell(F.greatest(x, y), F.col("_level").cast("double"), u) for x, y, u in zip(_doubles(left_low[:n]), _doubles(right_low[:n]), units, strict=True)])
     once = (F.col("_level") == F.greatest("_la", "_lb")) & (F.col("_cell") == corner)
     return met.filter(overlap & once).drop("_level", "_cell", "_la", "_lb")
 
 
-def distance_join(points: DataFrame, queries: DataFrame, keys: Sequence[str], centers: Sequence[str], radius: float, metric: Metric | None = None) -> DataFrame:
-    """Every (point, query) at most ``radius`` apart, with ``dist``; columns of both sides, whose names must differ."""
-    metric = metric or L2()
-    slack = abs(radius) * 1e-9
-    reach = queries.withColumns({f"_lo{i}": F.col(c) - F.lit(radius + slack) for i, c in enumerate(centers)} | {f"_hi{i}": F.col(c) + F.lit(radius + slack) for i, c in enumerate(centers)})
+def _ball_join(points: DataFrame, queries: DataFrame, keys: Sequence[str], centers: Sequence[str], radius: Column, metric: Metric) -> DataFrame:
+    """Every (point, query) at most the query's radius apart, with ``dist``."""
+    slack = [radius + radius * 1e-9 + F.abs(F.col(c)) * 1e-15 for c in centers]
     lows, highs = [f"_lo{i}" for i in range(len(centers))], [f"_hi{i}" for i in range(len(centers))]
+    reach = queries.withColumns({lo: F.col(c) - s for lo, c, s in zip(lows, centers, slack, strict=True)} | {h: F.col(c) + s for h, c, s in zip(highs, centers, slack, strict=True)})
     near = window_join(points, reach, keys, lows, highs).drop(*lows, *highs)
-    far = near.withColumn("dist", metric.distance([F.col(k) for k in keys], [F.col(c) for c in centers]))
-    return far.filter(F.col("dist") <= radius)
+    return near.withColumn("dist", metric.distance([F.col(k) for k in keys], [F.col(c) for c in centers])).filter(F.col("dist") <= radius)
 
 
-def nearest_join(points: DataFrame, queries: DataFrame, keys: Sequence[str], centers: Sequence[str], query_id: str, tie: Sequence[str], n: int, start_radius: float | None = None, metric: Metric | None = None) -> DataFrame:
+def _needs_gaps(metric: Metric | None) -> Metric:
+    metric = metric or L2()
+    if not metric.by_gaps:
+        raise ValueError("only metrics of the gaps on the axes (L1, L2) can be joined")
+    return metric
+
+
+def distance_join(points: DataFrame, queries: DataFrame, keys: Sequence[str], centers: Sequence[str], radius: float, metric: Metric | None = None) -> DataFrame:
+    """Every (point, query) at most ``radius`` apart, with ``dist``; columns of both sides, whose names must differ."""
+    return _ball_join(points, queries, keys, centers, F.lit(float(radius)), _needs_gaps(metric))
+
+
+def neighbour_radii(points: DataFrame, queries: DataFrame, keys: Sequence[str], centers: Sequence[str], n: int, metric: Metric) -> DataFrame | None:
+    """The queries with ``_radius``: within it lie ``n`` points, or all if there are fewer; None without points.
+
+    Points are counted by cells of a grid over their extent, finest cells first and coarser
+    ones from those. A query, moved to the nearest place of the extent, takes the finest of
+    its cells that holds ``n`` points; none of them is farther than that cell's far corner.
+    """
+    d = len(keys)
+    whole = conjunction([F.col(k).isNotNull() & ~F.isnan(F.col(k).cast("double")) for k in keys])
+    known = points.filter(whole)
+    ends = known.agg(F.count("*"), *[F.min(F.col(k).cast("double")) for k in keys], *[F.max(F.col(k).cast("double")) for k in keys]).first()
+    if not ends[0]:
+        return None
+    lows, highs = list(ends[1 : d + 1]), list(ends[d + 1 :])
+    spans = [(h - lo) or 1.0 for lo, h in zip(lows, highs, strict=True)]
+    depth = max(0, min(20, ceil(log2(max(ends[0] / max(n, 1), 1)) / d) + 2))
+
+    def cell(x: Column, i: int) -> Column:
+        """The finest cell of an axis, the extent being cut into 2^depth."""
+        return F.least(F.floor((x - F.lit(lows[i])) / F.lit(spans[i]) * F.lit(float(1 << depth))), F.lit((1 << depth) - 1)).cast("long")
+
+    finest = known.groupBy(*[cell(F.col(k).cast("double"), i).alias(f"_c{i}") for i, k in enumerate(keys)]).agg(F.count("*").alias("_n"))
+    up = F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("_up")
+    names = [f"_c{i}" for i in range(d)]
+    raised = lambda frame: frame.select("*", up).withColumns({c: F.expr(f"shiftright({c}, _up)") for c in names})
+    held = raised(finest).groupBy("_up", *names).agg(F.sum("_n").alias("_n")).filter(F.col("_n") >= n).select("_up", *names)
+
+    numbered = queries.withColumns({f"_q{i}": F.col(c).cast("double") for i, c in enumerate(centers)})
+    inside = numbered.withColumns({f"_c{i}": cell(F.least(F.greatest(F.col(f"_q{i}"), F.lit(lows[i])), F.lit(highs[i])), i) for i in range(d)})
+    at = inside.select(*[f"_q{i}" for i in range(d)], *names).distinct()
+    reached = raised(at).join(held, ["_up", *names], "left_semi")
+    places = [f"_q{i}" for i in range(d)]
+    levels = reached.groupBy(*places).agg(F.min("_up").alias("_up"))
+    gaps = []
+    for i in range(d):
+        shift = F.col("_up").cast("int")
+        low = F.expr(f"shiftright(_c{i}, _up)").cast("double") * F.pow(F.lit(2.0), shift) * F.lit(spans[i] / (1 << depth)) + F.lit(lows[i])
+        high = low + F.pow(F.lit(2.0), shift) * F.lit(spans[i] / (1 << depth))
+        gaps.append(F.greatest(F.abs(F.col(f"_q{i}") - low), F.abs(F.col(f"_q{i}") - high)) + F.lit((abs(lows[i]) + abs(highs[i])) * 1e-12))
+    found = inside.join(levels, places, "left").withColumn("_up", F.coalesce("_up", F.lit(depth)))
+    radius = metric.distance(gaps, [F.lit(0.0)] * d) * F.lit(1 + 1e-9)
+    return found.withColumn("_radius", radius).filter(F.col("_radius").isNotNull()).drop("_up", *names, *places)
+
+
+def nearest_join(points: DataFrame, queries: DataFrame, keys: Sequence[str], centers: Sequence[str], query_id: str, tie: Sequence[str], n: int, metric: Metric | None = None) -> DataFrame:
     """The ``n`` nearest points of each query, with ``dist`` and ``rank``; ties by ``tie``.
 
-    Radii grow fourfold: a query is done once ``n`` points lie within the radius, since no
-    point outside can be nearer. Queries that outgrow the table's diameter take what there
-    is. The first radius is that of a ball which, were points even, held about 4n of them.
-    Each round is a distance join of the queries still open; a round's rows are kept in
-    executor storage and can be made again from their lineage.
+    Every query gets a radius of its own that is sure to hold ``n`` points, and one window
+    join over those balls. Queries with a null centre and points with a null key have no
+    neighbours. ``query_id`` must be unique.
     """
-    metric = metric or L2()
-    ends = points.agg(*[F.min(k).alias(f"a{i}") for i, k in enumerate(keys)], *[F.max(k).alias(f"b{i}") for i, k in enumerate(keys)], F.count("*").alias("n")).first()
-    if ends[0] is None or n <= 0:
+    metric = _needs_gaps(metric)
+    sized = neighbour_radii(points, queries, keys, centers, n, metric) if n > 0 else None
+    if sized is None:
         return distance_join(points, queries, keys, centers, 0.0, metric).limit(0).withColumn("rank", F.lit(0))
-    qs = queries.agg(*[F.min(c) for c in centers], *[F.max(c) for c in centers]).first()
-    widest = 0.0
-    if qs[0] is not None:
-        d = len(keys)
-        widest = sum(max(float(ends[d + i]), float(qs[d + i])) - min(float(ends[i]), float(qs[i])) for i in range(d))
-    spread = [float(ends[len(keys) + i]) - float(ends[i]) for i in range(len(keys))]
-    even = (prod(x or 1.0 for x in spread) * 4 * n / ends["n"]) ** (1 / len(keys))
+    near = _ball_join(points, sized, keys, centers, F.col("_radius"), metric).drop("_radius")
     order = Window.partitionBy(query_id).orderBy("dist", *tie)
-    open_, radius, done = queries, start_radius or even, None
-    while True:
-        last = radius >= widest
-        near = distance_join(points, open_, keys, centers, max(radius, widest) if last else radius, metric)
-        ranked = near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
-        if last:
-            return ranked if done is None else done.unionByName(ranked)
-        ranked = ranked.persist()
-        full = ranked.groupBy(query_id).agg(F.max("rank").alias("_n")).filter(F.col("_n") == n).select(query_id)
-        settled = ranked.join(full, query_id, "left_semi")
-        done = settled if done is None else done.unionByName(settled)
-        open_ = open_.join(full, query_id, "left_anti").persist()
-        if open_.isEmpty():
-            return done
-        radius *= 4
+    return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)

@@ -1,8 +1,10 @@
 """Map-style mutations as functions from tables to tables.
 
-A batch of changes is applied as a whole. Where a batch may hold several changes of one
-key, ``sequence`` names a column and the last one counts. ``keys`` are the key columns;
-all others are values. Row presence, not a non-null value, is existence.
+A batch of changes is applied as a whole, one change for each key: that with the greatest
+``sequence``, where a column is named for it, and among equals the greatest by the other
+columns in their order. A change whose key holds a null is none. ``keys`` are the key
+columns; all others are values. Row presence, not a non-null value, is existence. Keys may
+be arrays (points of any number of dimensions); columns of changes must be orderable.
 """
 
 from __future__ import annotations
@@ -13,17 +15,27 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def last_writes(changes: DataFrame, keys: Sequence[str], sequence: str | None) -> DataFrame:
-    """One change for each key: that with the greatest sequence."""
-    if sequence is None:
-        return changes
-    order = Window.partitionBy(*keys).orderBy(F.col(sequence).desc())
-    return changes.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n", sequence)
+def keyed(frame: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows whose key is whole."""
+    for k in keys:
+        frame = frame.filter(F.col(k).isNotNull())
+    return frame
+
+
+def last_writes(changes: DataFrame, keys: Sequence[str], sequence: str | None = None) -> DataFrame:
+    """One change for each key, by one map-side combined aggregation: a key that changes often is no hot group."""
+    rest = [c for c in changes.columns if c not in keys and c != sequence]
+    whole = keyed(changes, keys)
+    if not rest and sequence is None:
+        return whole.select(*keys).distinct()
+    order = F.struct(*([sequence] if sequence else []), *rest)
+    last = whole.groupBy(*keys).agg(F.max(order).alias("_last"))
+    return last.select(*keys, *[F.col("_last")[c].alias(c) for c in rest])
 
 
 def put(table: DataFrame, changes: DataFrame, keys: Sequence[str], sequence: str | None = None) -> DataFrame:
     """Upsert."""
-    new = last_writes(changes, keys, sequence).select(*table.columns)
+    new = last_writes(changes.select(*table.columns, *([sequence] if sequence else [])), keys, sequence).select(*table.columns)
     return table.join(new, list(keys), "left_anti").select(*table.columns).unionByName(new)
 
 
@@ -35,11 +47,12 @@ def previous(table: DataFrame, changes: DataFrame, keys: Sequence[str], value: s
 
 
 def put_if_absent(table: DataFrame, changes: DataFrame, keys: Sequence[str], sequence: str | None = None) -> DataFrame:
-    new = last_writes(changes, keys, sequence).select(*table.columns)
+    new = last_writes(changes.select(*table.columns, *([sequence] if sequence else [])), keys, sequence)
     return table.unionByName(new.join(table, list(keys), "left_anti").select(*table.columns))
 
 
 def remove(table: DataFrame, gone: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Without the keys of ``gone``; of a bag, all values at them go."""
     return table.join(gone, list(keys), "left_anti")
 
 
@@ -52,16 +65,17 @@ def remove_pairs(table: DataFrame, gone: DataFrame, keys: Sequence[str], value:
     return table.join(right, same, "left_anti")
 
 
-def replace(table: DataFrame, changes: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+def replace(table: DataFrame, changes: DataFrame, keys: Sequence[str], value: str, sequence: str | None = None) -> DataFrame:
     """New values for keys that exist."""
-    new = changes.select(*keys, F.col(value).alias("_new"), F.lit(True).alias("_hit"))
+    last = last_writes(changes.select(*keys, value, *([sequence] if sequence else [])), keys, sequence)
+    new = last.select(*keys, F.col(value).alias("_new"), F.lit(True).alias("_hit"))
     joined = table.join(new, list(keys), "left")
     return joined.withColumn(value, F.when(F.col("_hit"), F.col("_new")).otherwise(F.col(value))).select(*table.columns)
 
 
 def compare_and_set(table: DataFrame, changes: DataFrame, keys: Sequence[str], value: str, old: str, new: str) -> DataFrame:
     """``new`` where the stored value equals ``old``, null-safe."""
-    given = changes.select(*keys, F.col(old).alias("_old"), F.col(new).alias("_new"), F.lit(True).alias("_hit"))
+    given = last_writes(changes.select(*keys, old, new), keys).select(*keys, F.col(old).alias("_old"), F.col(new).alias("_new"), F.lit(True).alias("_hit"))
     joined = table.join(given, list(keys), "left")
     swap = F.coalesce(F.col("_hit"), F.lit(False)) & F.col(value).eqNullSafe(F.col("_old"))
     return joined.withColumn(value, F.when(swap, F.col("_new")).otherwise(F.col(value))).select(*table.columns)
@@ -72,13 +86,14 @@ def move(table: DataFrame, moves: DataFrame, keys: Sequence[str], new_keys: Sequ
 
     A key that does not exist is not moved. A move onto a key that an entry holds is
     rejected, or with ``overwrite`` takes its place. All moves read the table as it was;
-    of several onto one new key, the one with the smallest old key counts.
+    of several onto one new key, the one with the smallest old key counts, and of several
+    moves of one entry that to the greatest new key.
     """
     keys, new_keys = list(keys), list(new_keys)
     values = [c for c in table.columns if c not in keys]
-    wanted = moves.select(*keys, *new_keys).join(table, keys)
-    order = Window.partitionBy(*new_keys).orderBy(*keys)
-    wanted = wanted.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
+    asked = keyed(last_writes(moves.select(*keys, *new_keys), keys), new_keys).join(keyed(table, keys).select(*keys), keys, "left_semi")
+    first = asked.groupBy(*new_keys).agg(F.min(F.struct(*keys)).alias("_first"))
+    wanted = first.select(*new_keys, *[F.col("_first")[k].alias(k) for k in keys]).join(table, keys)
     stay = F.lit(True)
     for k, new in zip(keys, new_keys, strict=True):
         stay = stay & (F.col(k) == F.col(new))
@@ -103,6 +118,7 @@ def compute(table: DataFrame, asked: DataFrame, keys: Sequence[str], value: str,
     """
     columns = table.columns
     args = [c for c in asked.columns if c not in keys]
+    asked = last_writes(asked, keys)
     held = table.withColumn("_held", F.lit(True))
     both = held.join(asked.withColumn("_asked", F.lit(True)), list(keys), "full_outer")
     stored, wanted = F.coalesce("_held", F.lit(False)), F.coalesce("_asked", F.lit(False))
@@ -142,18 +158,55 @@ def bag_move(bag: DataFrame, moves: DataFrame, keys: Sequence[str], new_keys: Se
     return both.select(*moved, *[F.col(f"_l_{v}").alias(v) for v in values]).select(*bag.columns)
 
 
-def bag_compute(bag: DataFrame, asked: DataFrame, keys: Sequence[str], value: str, result: Callable[[Column], Column]) -> DataFrame:
-    """For each asked (keys, value) one copy gets a new value; a null result removes it."""
+def bag_put_if_absent(bag: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Adds each given pair once unless the bag holds an equal one."""
+    new = pairs.select(*bag.columns).distinct()
+    return bag.unionByName(_without(new, bag, bag.columns))
+
+
+def bag_replace(bag: DataFrame, changes: DataFrame, keys: Sequence[str], value: str, old: str, new: str) -> DataFrame:
+    """One copy of each (keys, ``old``) gets the value ``new``, if there is one; a null ``new`` removes it."""
+    asked = changes.select(*keys, F.col(old).alias(value), F.col(new).alias("_new"))
+    return bag_compute(bag, asked, keys, value, lambda v: F.col("_new"))
+
+
+def bag_compute_if_absent(bag: DataFrame, asked: DataFrame, keys: Sequence[str], value: str, result: Callable[[Column], Column]) -> DataFrame:
+    """For each asked (keys, value) without an equal pair, ``result(value)`` is added at the keys, unless null."""
+    new = _without(last_writes(asked, [*keys, value]), bag, [*keys, value])
+    return bag.unionByName(new.withColumn(value, result(F.col(value))).filter(F.col(value).isNotNull()).select(*bag.columns))
+
+
+def bag_compute(bag: DataFrame, asked: DataFrame, keys: Sequence[str], value: str, result: Callable[[Column], Column], absent: Callable[[Column], Column] | None = None) -> DataFrame:
+    """For each asked (keys, value) that the bag holds, one copy gets a new value; a null result removes it.
+
+    Columns of ``asked`` beyond these can be used in ``result``. With ``absent``, pairs that
+    are not held are added as in ``bag_compute_if_absent``.
+    """
+    more = [c for c in asked.columns if c not in [*keys, value]]
+    once = asked.groupBy(*keys, value).agg(*[F.max(c).alias(c) for c in more]) if more else asked.select(*keys, value).distinct()
+    ask = once.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col(value).alias("_v"), *more, F.lit(True).alias("_hit"))
     order = Window.partitionBy(*keys, value).orderBy(F.lit(0))
     numbered = bag.withColumn("_n", F.row_number().over(order))
-    ask = asked.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col(value).alias("_v"), F.lit(True).alias("_hit")).distinct()
     same = F.col("_v").eqNullSafe(F.col(value)) & (F.col("_n") == 1)
     for k in keys:
         same = same & (F.col(f"_k_{k}") == F.col(k))
     both = numbered.join(ask, same, "left")
     hit = F.col("_hit").isNotNull()
     after = both.withColumn(value, F.when(hit, result(F.col(value))).otherwise(F.col(value)))
-    return after.filter(~hit | F.col(value).isNotNull()).select(*bag.columns)
+    after = after.filter(~hit | F.col(value).isNotNull()).select(*bag.columns)
+    if absent is None:
+        return after
+    new = _without(once, bag, [*keys, value]).withColumn(value, absent(F.col(value))).filter(F.col(value).isNotNull())
+    return after.unionByName(new.select(*bag.columns))
+
+
+def _without(rows: DataFrame, held: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows that agree with none of ``held`` in all ``columns``, nulls being equal."""
+    right = held.select(*[F.col(c).alias(f"_h_{c}") for c in columns])
+    same = F.lit(True)
+    for c in columns:
+        same = same & F.col(c).eqNullSafe(F.col(f"_h_{c}"))
+    return rows.join(right, same, "left_anti")
 
 
 # --- sets ---

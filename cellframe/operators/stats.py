@@ -56,8 +56,8 @@ def node_sizes(df: DataFrame, keys: Sequence[str], levels: Sequence[int] | None
     return nodes.groupBy(F.length(F.bin("children")).alias("size_log")).agg(F.count("*").alias("n_nodes"))
 
 
-def infix_lengths(df: DataFrame, keys: Sequence[str], levels: Sequence[int] | None = None) -> DataFrame:
-    """(infix_len, n_nodes): nodes by the number of bit levels between them and their parent; 0 for the root.
+def nodes_below(df: DataFrame, keys: Sequence[str], levels: Sequence[int] | None = None) -> DataFrame:
+    """(level, infix_len) of each node: the number of bit levels between it and its parent; 0 for the root.
 
     Each node looks for nodes on its prefix at every level above; the lowest is its parent.
     """
@@ -67,9 +67,19 @@ def infix_lengths(df: DataFrame, keys: Sequence[str], levels: Sequence[int] | No
     above = nodes.select("level", *names).withColumn("up", F.explode(F.filter(F.array(*[F.lit(x) for x in levels]), lambda x: x > F.col("level"))))
     above = above.select("up", *[F.expr(f"shiftrightunsigned({p}, up - level)").alias(f"u_{p}") for p in names], "level", *names)
     parents = above.join(nodes.select(F.col("level").alias("up"), *[F.col(p).alias(f"u_{p}") for p in names]), ["up", *[f"u_{p}" for p in names]])
-    found = parents.groupBy("level", *names).agg((F.min("up") - F.col("level") - 1).alias("infix_len")).select("infix_len")
-    root = nodes.filter(F.col("level") == DEPTH - 1).select(F.lit(0).alias("infix_len"))
-    return found.unionByName(root).groupBy("infix_len").agg(F.count("*").alias("n_nodes"))
+    found = parents.groupBy("level", *names).agg((F.min("up") - F.col("level") - 1).alias("infix_len")).select("level", "infix_len")
+    return found.unionByName(nodes.filter(F.col("level") == DEPTH - 1).select("level", F.lit(0).alias("infix_len")))
+
+
+def infix_lengths(df: DataFrame, keys: Sequence[str], levels: Sequence[int] | None = None) -> DataFrame:
+    """(infix_len, n_nodes): nodes by the length of their infix."""
+    return nodes_below(df, keys, levels).groupBy("infix_len").agg(F.count("*").alias("n_nodes"))
+
+
+def node_depths(df: DataFrame, keys: Sequence[str], levels: Sequence[int] | None = None) -> DataFrame:
+    """(depth, n_nodes): nodes by the number of bit levels above their infix; 0 for the root."""
+    depth = F.lit(DEPTH - 1) - F.col("level") - F.col("infix_len")
+    return nodes_below(df, keys, levels).groupBy(depth.alias("depth")).agg(F.count("*").alias("n_nodes"))
 
 
 def entry_depths(df: DataFrame, keys: Sequence[str], levels: Sequence[int] | None = None) -> DataFrame:
@@ -93,4 +103,5 @@ def dimension_ranges(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def order_by_z(df: DataFrame, keys: Sequence[Column]) -> DataFrame:
+    """All rows in Z-order, by a range-partitioned sort."""
     return df.orderBy(bits.signed_path(keys))

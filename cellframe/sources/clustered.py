@@ -11,26 +11,47 @@ from cellframe.functions import bits
 from cellframe.operators.tables import SpatialTable
 
 
-def grid_z(df: DataFrame, keys: Sequence[str], n_bits: int = 8) -> Column:
-    """Z-order number of min-max scaled grid cells, all keys in one BIGINT; a clustering key only."""
-    n_bits = min(n_bits, 62 // len(keys))
-    ends = df.agg(*[F.min(F.col(k).cast("double")).alias(f"a{i}") for i, k in enumerate(keys)], *[F.max(F.col(k).cast("double")).alias(f"b{i}") for i, k in enumerate(keys)]).first()
+#: Knots of the distribution function of each key, and the relative error of their ranks.
+KNOTS, RANK_ERROR = 64, 0.002
+
+
+def _share(x: Column, knots: Sequence[float]) -> Column:
+    """The share of rows below x, straight lines between the knots (quantiles in even steps); 0 to 1."""
+    out = F.when(x < knots[0], F.lit(0.0))
+    for i, (a, b) in enumerate(zip(knots, knots[1:], strict=False)):
+        if b > a:
+            out = out.when(x < b, (F.lit(float(i)) + (x - F.lit(a)) / F.lit(b - a)) / (len(knots) - 1))
+    return out.otherwise(F.lit(1.0))
+
+
+def grid_z(df: DataFrame, keys: Sequence[str], n_bits: int | None = None) -> Column:
+    """Z-order number of the cells that a key's quantiles cut, all keys in one BIGINT; a clustering key only.
+
+    Cells hold about as many rows each, so a few far values do not crowd the rest together.
+    """
+    n_bits = min(n_bits or 16, 62 // len(keys))
+    doubles = df.select(*[F.col(k).cast("double").alias(f"k{i}") for i, k in enumerate(keys)])
+    quantiles = doubles.approxQuantile([f"k{i}" for i in range(len(keys))], [i / KNOTS for i in range(KNOTS + 1)], RANK_ERROR)
     cells = []
-    for i, k in enumerate(keys):
-        low, high = ends[f"a{i}"], ends[f"b{i}"]
-        if low is None or high == low:
+    for k, knots in zip(keys, quantiles, strict=True):
+        if not knots or knots[0] == knots[-1]:
             cells.append(F.lit(0).cast("long"))
         else:
-            scaled = (F.col(k).cast("double") - F.lit(low)) * F.lit((1 << n_bits) / (high - low))
-            cells.append(F.least(F.greatest(F.floor(scaled), F.lit(0)), F.lit((1 << n_bits) - 1)).cast("long"))
+            share = _share(F.col(k).cast("double"), knots)
+            cells.append(F.least(F.floor(share * F.lit(float(1 << n_bits))), F.lit((1 << n_bits) - 1)).cast("long"))
     return bits.interleave(cells, n_bits)
 
 
-def write_clustered(df: DataFrame, path: str, keys: Sequence[str], files: int | None = None, n_bits: int = 8, mode: str = "errorifexists") -> None:
-    """Parquet whose files and row groups are ranges of Z-order: their statistics are tight in all keys."""
+def write_clustered(df: DataFrame, path: str, keys: Sequence[str], files: int | None = None, n_bits: int | None = None, mode: str = "errorifexists") -> None:
+    """Parquet whose files and row groups are ranges of Z-order: their statistics are tight in all keys.
+
+    Rows of one cell are told apart by a hash of the whole row, so a cell that holds a third of
+    all rows is spread over files as well.
+    """
     count = files or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    z = df.withColumn("_z", grid_z(df, keys, n_bits))
-    z.repartitionByRange(count, "_z").sortWithinPartitions("_z").drop("_z").write.mode(mode).parquet(path)
+    plain = [F.col(c) for c, kind in df.dtypes if not kind.startswith(("map", "variant"))]
+    z = df.withColumns({"_z": grid_z(df, keys, n_bits), "_tie": F.xxhash64(*plain)})
+    z.repartitionByRange(count, "_z", "_tie").sortWithinPartitions("_z", "_tie").drop("_z", "_tie").write.mode(mode).parquet(path)
 
 
 def read_points(spark: SparkSession, path: str, keys: Sequence[str], values: Sequence[str] = ()) -> SpatialTable:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from cellframe.operators.mutate import put
 
@@ -37,6 +39,42 @@ def maintain(events: DataFrame, key: str, time: str, load: Callable[[], DataFram
     return events.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def maintain_buckets(events: DataFrame, key: str, time: str, path: str, buckets: int, checkpoint: str) -> StreamingQuery:
+    """As ``maintain``, on a Parquet table in ``buckets`` folders by the key's hash.
+
+    A micro-batch reads and rewrites the folders that its keys fall in and no others. What is
+    written comes from a copy of those folders' new rows, so a batch that fails half-way is
+    given again to whole ones.
+    """
+    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+    def apply(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        new = latest(batch, key, time).withColumn("bucket", bucket)
+        touched = [r[0] for r in new.select("bucket").distinct().collect()]
+        if not touched:
+            return
+        held = read_buckets(spark, path, new.schema)
+        if held is not None:
+            new = latest(held.filter(F.col("bucket").isin(touched)).unionByName(new), key, time)
+        step = f"{path}.step"
+        new.write.mode("overwrite").partitionBy("bucket").parquet(step)
+        again = spark.read.schema(new.schema).parquet(step)
+        again.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+    return events.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_buckets(spark: SparkSession, path: str, schema: StructType) -> DataFrame | None:
+    """The table that ``maintain_buckets`` keeps, its bucket column included; None before the first batch."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
 def windowed_counts(events: DataFrame, time: str, late: str, width: str, *groups: str) -> DataFrame:
     """Counts of a stream in event-time windows, with a watermark."""
     return events.withWatermark(time, late).groupBy(F.window(time, width), *groups).agg(F.count("*").alias("n"))
