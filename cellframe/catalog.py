@@ -957,6 +957,13 @@ def _key_pairs(spark, sf_dir):
     return _read(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").distinct()
 
 
+@query(f"""WITH {LEVEL_ROWS.replace("count(DISTINCT child) AS children", "count(DISTINCT child) AS children, count(*) AS entries")}
+SELECT level || ' ' || right(lpad(bin(p0), 64, '0'), 63 - level) || ',' || right(lpad(bin(p1), 64, '0'), 63 - level) || ' children=' || children || ' entries=' || entries AS line
+FROM (SELECT CAST(level AS INTEGER) AS level, p0, p1, children, entries FROM nodes) WHERE children > 1 OR level = 63""")
+def tree_dump(spark, sf_dir):
+    return stats.tree_dump(_key_pairs(spark, sf_dir), ["l_partkey", "l_suppkey"])
+
+
 @query(f"WITH {LEVEL_ROWS} SELECT CAST(length(bin(children)) AS INTEGER) AS size_log, count(*) AS n_nodes FROM nodes WHERE children > 1 OR level = 63 GROUP BY size_log")
 def node_sizes(spark, sf_dir):
     return stats.node_sizes(_key_pairs(spark, sf_dir), ["l_partkey", "l_suppkey"])

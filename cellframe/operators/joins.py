@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from cellframe.functions.metrics import L2, Metric
 from cellframe.operators.tables import conjunction
+from cellframe.sources.shared import written
 
 #: Axes that go into the cell; more would only multiply the cells of a box.
 AXES = 3
@@ -222,14 +223,14 @@ def neighbour_radii(points: DataFrame, queries: DataFrame, keys: Sequence[str],
 def nearest_join(points: DataFrame, queries: DataFrame, keys: Sequence[str], centers: Sequence[str], query_id: str, tie: Sequence[str], n: int, metric: Metric | None = None) -> DataFrame:
     """The ``n`` nearest points of each query, with ``dist`` and ``rank``; ties by ``tie``.
 
-    Every query gets a radius of its own that is sure to hold ``n`` points, and one window
-    join over those balls. Queries with a null centre and points with a null key have no
+    Every query gets a radius of its own that is sure to hold ``n`` points (written to the
+    shared folder beside the query), and one window join runs over those balls. Queries with a null centre and points with a null key have no
     neighbours. ``query_id`` must be unique.
     """
     metric = _needs_gaps(metric)
     sized = neighbour_radii(points, queries, keys, centers, n, metric) if n > 0 else None
     if sized is None:
         return distance_join(points, queries, keys, centers, 0.0, metric).limit(0).withColumn("rank", F.lit(0))
-    near = _ball_join(points, sized, keys, centers, F.col("_radius"), metric).drop("_radius")
+    near = _ball_join(points, written(sized, "radii"), keys, centers, F.col("_radius"), metric).drop("_radius")
     order = Window.partitionBy(query_id).orderBy("dist", *tie)
     return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)

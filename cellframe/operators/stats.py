@@ -50,6 +50,14 @@ def tree_stats(df: DataFrame, keys: Sequence[str], levels: Sequence[int] | None
     return nodes.groupBy("level").agg(F.count("*").alias("n_nodes"), F.sum("children").alias("n_children"), F.max("children").alias("max_children"))
 
 
+def tree_dump(df: DataFrame, keys: Sequence[str], levels: Sequence[int] | None = None) -> DataFrame:
+    """(line): the trie as text, a line for each node: bit level, binary prefix of each key, children, entries."""
+    nodes = split_levels(df, keys, levels if levels is not None else varying_levels(df, keys))
+    depth = F.lit(DEPTH - 1) - F.col("level")
+    prefix = F.concat_ws(",", *[F.substring(bits.binary_text(F.col(f"p{i}")), F.lit(DEPTH + 1) - depth, depth) for i in range(len(keys))])
+    return nodes.select(F.concat_ws(" ", F.col("level"), prefix, F.concat(F.lit("children="), "children"), F.concat(F.lit("entries="), "entries")).alias("line"))
+
+
 def node_sizes(df: DataFrame, keys: Sequence[str], levels: Sequence[int] | None = None) -> DataFrame:
     """(size_log, n_nodes): nodes by the number of binary digits of their number of children."""
     nodes = split_levels(df, keys, levels if levels is not None else varying_levels(df, keys))

@@ -42,16 +42,16 @@ def grid_z(df: DataFrame, keys: Sequence[str], n_bits: int | None = None) -> Col
     return bits.interleave(cells, n_bits)
 
 
-def write_clustered(df: DataFrame, path: str, keys: Sequence[str], files: int | None = None, n_bits: int | None = None, mode: str = "errorifexists") -> None:
+def write_clustered(df: DataFrame, path: str, keys: Sequence[str], files: int | None = None, n_bits: int | None = None, mode: str = "errorifexists", row_group_bytes: int | None = None) -> None:
     """Parquet whose files and row groups are ranges of Z-order: their statistics are tight in all keys.
 
     Rows of one cell are told apart by a hash of the whole row, so a cell that holds a third of
-    all rows is spread over files as well.
+    all rows is spread over files as well. Smaller row groups skip more and read in smaller pieces.
     """
     count = files or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     plain = [F.col(c) for c, kind in df.dtypes if not kind.startswith(("map", "variant"))]
     z = df.withColumns({"_z": grid_z(df, keys, n_bits), "_tie": F.xxhash64(*plain)})
-    z.repartitionByRange(count, "_z", "_tie").sortWithinPartitions("_z", "_tie").drop("_z", "_tie").write.mode(mode).parquet(path)
+    z.repartitionByRange(count, "_z", "_tie").sortWithinPartitions("_z", "_tie").drop("_z", "_tie").write.mode(mode).options(**({"parquet.block.size": row_group_bytes} if row_group_bytes else {})).parquet(path)
 
 
 def read_points(spark: SparkSession, path: str, keys: Sequence[str], values: Sequence[str] = ()) -> SpatialTable:

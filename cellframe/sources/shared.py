@@ -1,11 +1,11 @@
-"""Folders that all executors can reach."""
+"""Folders that all executors can reach, and tables written there."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -23,3 +23,11 @@ def shared_dir(spark: SparkSession) -> str:
 def shared_path(spark: SparkSession, what: str) -> str:
     """A new path below the shared folder."""
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+
+
+def written(frame: DataFrame, what: str) -> DataFrame:
+    """The frame as a Parquet table in the shared folder: lineage ends here and a lost executor loses nothing."""
+    spark = frame.sparkSession
+    path = shared_path(spark, what)
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)
