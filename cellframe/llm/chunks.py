@@ -22,7 +22,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellframe.llm.common import keyed_text, shared_path, written
+from cellframe.llm.common import keyed_text, written
+from cellframe.sources.shared import shared_path
 
 CHUNK_BYTES = 4_000_000
 CHUNK_ROWS = 4096

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,35 +10,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cellframe.sources.shared import written  # noqa: F401  (for the text operators)
+
 SLICE = 500
 SLICE_BYTES = 4_000_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; one of our own only where it is unset and the master is local."""
-    context = spark.sparkContext
-    folder = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not folder:
-        if not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="cellframe-")
-        context.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
-def shared_path(spark: SparkSession, what: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-
-
-def written(frame: DataFrame, what: str) -> DataFrame:
-    """The frame as a Parquet table in the shared folder: lineage ends here and a lost executor loses nothing."""
-    spark = frame.sparkSession
-    path = shared_path(spark, what)
-    frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
-
-
 def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """The batch in slices of up to ``SLICE`` rows and ``SLICE_BYTES`` bytes of strings, one row at least."""
     sizes = np.zeros(batch.num_rows, np.int64)
