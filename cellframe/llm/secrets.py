@@ -63,7 +63,7 @@ STRATA = (20, 32, 48, 64, 128)
 STEPS_PER_E, FLOOR = 16, 100
 EXACT = 96
 #: Share of false ones among the strings that the battery reports.
-RATE = 0.01
+RATE = 0.005
 
 #: Share of each letter in text, in per mille: the mean of English, German, French and Spanish.
 LETTERS = dict(zip(LOWER, (87, 14, 33, 45, 142, 14, 19, 31, 71, 4, 6, 45, 28, 76, 61, 19, 6, 66, 74, 68, 40, 12, 11, 2, 8, 5), strict=True))
