@@ -16,6 +16,18 @@ SLICE = 500
 SLICE_BYTES = 4_000_000
 
 
+def to_many(rows: DataFrame, facts: DataFrame, key: str, by: str, salts: int = 64) -> DataFrame:
+    """``rows`` with the facts of their key, which is unique in ``facts`` and may be hot in ``rows``.
+
+    Rows are salted by a hash of ``by``; facts are copied for the salts that their key has, so
+    no task gets more than a share of a hot key's rows, whatever join Spark picks. Rows
+    without facts are left out.
+    """
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)))
+    copies = salted.select(key, "_salt").distinct().join(facts, key)
+    return salted.join(copies, [key, "_salt"]).drop("_salt")
+
+
 def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """The batch in slices of up to ``SLICE`` rows and ``SLICE_BYTES`` bytes of strings, one row at least."""
     sizes = np.zeros(batch.num_rows, np.int64)

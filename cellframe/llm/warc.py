@@ -20,11 +20,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellframe.llm.chunks import forgotten
-from cellframe.llm.common import shared_path, written
+from cellframe.llm.common import to_many, written
+from cellframe.sources.shared import shared_path
 
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 CRLF = "\r\n"
-SALTS = 64
+#: Stands for a null page_id in the columns that records are joined on.
+NO_PAGE = -(1 << 63)
+#: Payloads have a bucket for each shuffle partition, and at least one for so many bytes.
+BUCKET_BYTES = 128_000_000
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -71,16 +75,6 @@ def _head(record: Column, date: str) -> Column:
     return F.concat(F.concat_ws(CRLF, *lines), F.lit(CRLF * 2), http)  # concat_ws leaves nulls out
 
 
-def to_many(rows: DataFrame, facts: DataFrame, key: str, by: str) -> DataFrame:
-    """``rows`` with the facts of their key, which is unique in ``facts`` and may be hot in ``rows``.
-
-    Rows are salted by a hash of ``by``; facts are copied for the salts that their key has.
-    """
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)))
-    copies = salted.select(key, "_salt").distinct().join(facts, key)
-    return salted.join(copies, [key, "_salt"]).drop("_salt")
-
-
 def write_archive(pages: DataFrame, path: str, min_revisit_bytes: int = 0, date: str = "2024-01-01T00:00:00Z") -> None:
     """Writes ``path``/headers (one exact head for each row), ``path``/payloads (each payload once) and ``path``/layout.
 
@@ -103,13 +97,14 @@ def write_archive(pages: DataFrame, path: str, min_revisit_bytes: int = 0, date:
     is_response = F.col("page_id").eqNullSafe(F.col("keep")) | (F.col("payload_bytes") < min_revisit_bytes)
     records = to_many(digested, kept.drop("copies"), "digest", "page_id").withColumn("record_type", F.when(is_response, "response").otherwise("revisit"))
     row = F.struct("page_id", "url", "payload_digest", "block_digest", "payload_bytes", "record_type", "keep")
-    records.withColumn("row", row).select("digest", "keep", _head(F.col("row"), date).alias("head")).write.parquet(f"{path}/headers")
+    records.withColumn("row", row).select("digest", F.coalesce("keep", F.lit(NO_PAGE)).alias("keep"), _head(F.col("row"), date).alias("head")).write.parquet(f"{path}/headers")
 
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    chosen = page.withColumn("digest", F.sha2("payload", 256))
-    once = kept.select("digest", F.col("keep").alias("page_id"))
-    on = (chosen["digest"] == once["digest"]) & chosen["page_id"].eqNullSafe(once["page_id"])
-    stored = chosen.join(once, on, "left_semi").select("digest", F.col("page_id").alias("keep"), "payload")
+    chosen = page.select(F.sha2("payload", 256).alias("digest"), F.coalesce("page_id", F.lit(NO_PAGE)).alias("keep"), "payload")
+    wanted = -(-(digested.agg(F.sum("payload_bytes")).first()[0] or 0) // BUCKET_BYTES)
+    if wanted > buckets:
+        buckets, chosen = wanted, chosen.repartition(wanted, "digest", "keep")
+    stored = chosen.join(kept.select("digest", F.coalesce("keep", F.lit(NO_PAGE)).alias("keep")), ["digest", "keep"], "left_semi")
     if not kept.filter("copies > 1").isEmpty():
         stored = stored.dropDuplicates(["digest", "keep"])
     name = f"payloads_{uuid.uuid4().hex}"
@@ -136,8 +131,9 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     A payload or block whose bytes no longer give their digests raises. Only the columns
     that are asked for are moved: without ``record`` and ``payload`` the join is of digests.
     """
-    stored = payloads(spark, path)
-    stored = stored.select(_checked(F.col("digest"), F.sha2("payload", 256), "payload").alias("digest"), "keep", "payload", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest"))
+    # digest and keep stay as they are stored: the join needs no other placing of payloads than their buckets
+    sound = F.when(F.sha2("payload", 256) == F.col("digest"), base32_sha1(F.col("payload"))).otherwise(F.raise_error(F.concat(F.lit("payload does not match digest "), F.col("digest"))))
+    stored = payloads(spark, path).select("digest", "keep", "payload", F.octet_length("payload").cast("long").alias("payload_bytes"), sound.alias("payload_digest"))
     heads = spark.read.schema("digest string, keep long, head string").parquet(f"{path}/headers")
     field = lambda name, form: F.regexp_extract("head", rf"\r\n{name}: {form}\r\n", 1)
     exact = field("X-Exact-URI", "([A-Za-z0-9+/=]*)")
@@ -153,7 +149,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
         field("WARC-Block-Digest", "sha1:([A-Z2-7]+)").alias("block_digest"),
     )
     http = F.regexp_extract("head", r"(?s)\r\n\r\n(.*)$", 1).cast("binary")
-    responses = page.filter("record_type = 'response'").join(stored, (page["digest"] == stored["digest"]) & page["keep"].eqNullSafe(stored["keep"])).drop(stored["digest"], stored["keep"])
+    responses = page.filter("record_type = 'response'").join(stored, ["digest", "keep"])
     responses = responses.withColumn("block", F.concat(http, F.col("payload")))
     revisits = to_many(page.filter("record_type = 'revisit'"), stored.drop("keep"), "digest", "page_id").withColumn("block", http)
     joined = responses.unionByName(revisits)

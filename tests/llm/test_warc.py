@@ -7,8 +7,9 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from cellframe.llm import warc
-from cellframe.llm.common import shared_path
+from cellframe.llm.common import to_many
 from cellframe.llm.registry import ORACLES, QUERIES
+from cellframe.sources.shared import shared_path
 
 
 def wanted(rows, least=0):
@@ -69,6 +70,16 @@ def test_damage_is_noticed(spark):
         warc.read_records(spark, path).collect()
 
 
+def test_buckets_follow_the_size(spark, monkeypatch):
+    monkeypatch.setattr(warc, "BUCKET_BYTES", 300)
+    rows = [(k if k else None, f"u{k}", f"page {k % 25} " * 9) for k in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    path = shared_path(spark, "test")
+    warc.write_archive(pages, path)
+    assert spark.read.parquet(f"{path}/layout").first()[0] == -(-sum(len(html) for _, _, html in rows) // 300)
+    assert sorted(map(tuple, warc.read_records(spark, path).select(*COLUMNS).collect()), key=repr) == wanted(rows)
+
+
 def test_hot_payload(spark):
     """Copies of one payload are many keys, and joins from their heads are salted; nothing moves payloads when reading."""
     rows = [(k, f"u{k}", None if k % 3 else f"own {k}") for k in range(600)]
@@ -76,7 +87,12 @@ def test_hot_payload(spark):
     records = warc.archive(pages)
     assert sorted(map(tuple, records.select(*COLUMNS).collect()), key=repr) == wanted(rows)
     assert records.select("record").distinct().count() == 600
-    salts = warc.to_many(pages.withColumn("digest", F.lit("x")), spark.createDataFrame([("x", 1)], "digest string, fact int"), "digest", "page_id")
+    salts = to_many(pages.withColumn("digest", F.lit("x")), spark.createDataFrame([("x", 1)], "digest string, fact int"), "digest", "page_id")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    plan = records.select("page_id", "record")._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sum("payload#" in line and "Exchange" in line for line in plan.splitlines()) == 0 and "Bucketed: true" in plan
     assert salts.count() == 600 and spark.catalog.listTables() == []
 
 
