@@ -33,13 +33,15 @@ from pyspark.sql import functions as F
 
 from cellframe.llm import chunks as ck
 from cellframe.llm import shingles
-from cellframe.llm.common import written
+from cellframe.llm.common import to_many, written
 from cellframe.llm.graph import components
 
 #: The largest light set that is ever considered; subsets grow steeply with size.
 MOST_LIGHT = 24
 #: Subsets that a task holds at a time, and entries of a block of a long inverted list.
 SUBSETS, BLOCK = 100_000, 512
+#: Parts that the entries of an inverted list are dealt to.
+SALTS = 16
 _A, _B = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 
 
@@ -265,15 +267,15 @@ def fits(n: str, m: str) -> Column:
 def heavy_edges(sets: DataFrame, most: int, light: DataFrame) -> DataFrame:
     """Edges (a, b) of pairs with a set above ``most``; enough of them to connect what is linked."""
     every = written(prefix_entries(sets, most), "prefixes")
-    # sort-merge joins: a frequent shingle's partition can be split, which a shuffled side read for a broadcast cannot
+    # lists may be long, so what is known of a list is joined to its entries by salted tokens
     # an entry whose remaining shared shingles do not reach even the list's smallest set links with none there
     sizes = every.groupBy("token").agg(F.count("*").alias("many"), F.min("n").alias("least")).filter("many > 1")
-    useful = every.join(sizes.select("token", "least").hint("merge"), "token").filter((F.col("rest") + 1) * 9 >= 4 * (F.col("n") + F.col("least")))
+    useful = to_many(every, sizes.select("token", "least"), "token", "rep", SALTS).filter((F.col("rest") + 1) * 9 >= 4 * (F.col("n") + F.col("least")))
     entries = written(useful.select("token", "rep", "n", "rest"), "useful-prefixes")
     # the set that shares most of its shingles, as the original of a group of edited copies does
     ratio = (F.col("rest") + 1) / F.col("n")
     lists = entries.groupBy("token").agg(F.count("*").alias("many"), F.max(F.struct(ratio.alias("share"), (-F.col("rep")).alias("least"), "n")).alias("top")).filter("many > 1")
-    starred = entries.join(lists.select("token", (-F.col("top.least")).alias("pivot"), F.col("top.n").alias("m")).hint("merge"), "token")
+    starred = to_many(entries, lists.select("token", (-F.col("top.least")).alias("pivot"), F.col("top.n").alias("m")), "token", "rep", SALTS)
     stars = starred.filter((F.col("rep") != F.col("pivot")) & fits("n", "m")).select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
     tried = written(stars, "stars")
     edges = written(verified(tried, sets), "star-edges")
@@ -281,7 +283,7 @@ def heavy_edges(sets: DataFrame, most: int, light: DataFrame) -> DataFrame:
     known = components(edges.unionByName(light))
     labelled = entries.join(known.withColumnRenamed("node", "rep"), "rep", "left").select("token", "rep", "n", "rest", F.coalesce("comp", "rep").alias("comp"))
     open_lists = labelled.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("many")).filter("low <> high")
-    unsettled = written(labelled.join(open_lists.select("token", F.ceil(F.col("many") / BLOCK).alias("blocks")).hint("merge"), "token"), "unsettled")
+    unsettled = written(to_many(labelled, open_lists.select("token", F.ceil(F.col("many") / BLOCK).alias("blocks")), "token", "rep", SALTS), "unsettled")
     # a long list is cut into blocks, and its pairs of blocks are dealt to as many tasks
     own, every_block = F.pmod(F.xxhash64("rep"), F.col("blocks")), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     x = unsettled.select("token", own.alias("i"), every_block.alias("j"), F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("rest").alias("rest_a"), F.col("comp").alias("comp_a"))
