@@ -31,9 +31,11 @@ NO_PAGE = -(1 << 63)
 BUCKET_BYTES = 128_000_000
 
 
-def base32_sha1(payload: Column) -> Column:
-    """Upper-case base32 of the SHA-1: eight characters from each ten hexadecimal digits."""
-    digits = F.sha1(payload)
+def base32(digits: Column) -> Column:
+    """Upper-case base32 of a SHA-1 in hexadecimal: eight characters from each ten digits.
+
+    Give it a column, not an expression: it is used many times over.
+    """
     parts = []
     for start in range(1, 41, 10):
         number = F.conv(F.substring(digits, start, 10), 16, 10).cast("long")
@@ -65,8 +67,8 @@ def _head(record: Column, date: str) -> Column:
         F.lit(f"WARC-Date: {date}"),
         F.concat(F.lit("WARC-Target-URI: "), _plain(url)),
         F.when(_plain(url) != url, F.concat(F.lit("X-Exact-URI: "), F.base64(url.cast("binary")))),
-        F.concat(F.lit("WARC-Payload-Digest: sha1:"), record["payload_digest"]),
-        F.concat(F.lit("WARC-Block-Digest: sha1:"), F.when(is_revisit, base32_sha1(http.cast("binary"))).otherwise(record["block_digest"])),
+        F.concat(F.lit("WARC-Payload-Digest: sha1:"), base32(record["payload_sha1"])),
+        F.concat(F.lit("WARC-Block-Digest: sha1:"), base32(F.when(is_revisit, record["http_sha1"]).otherwise(record["block_sha1"]))),
         F.when(is_revisit, F.concat(F.lit("WARC-Refers-To: "), _urn(record["keep"]))),
         F.when(is_revisit, F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
         F.lit("Content-Type: application/http; msgtype=response"),
@@ -89,14 +91,15 @@ def write_archive(pages: DataFrame, path: str, min_revisit_bytes: int = 0, date:
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     page = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     size = F.octet_length("payload").cast("long")
-    block = base32_sha1(F.concat(_http(size).cast("binary"), F.col("payload")))
-    digested = written(page.select("page_id", "url", F.sha2("payload", 256).alias("digest"), base32_sha1(F.col("payload")).alias("payload_digest"), block.alias("block_digest"), size.alias("payload_bytes")), "warc-digests")
+    http = _http(size).cast("binary")
+    digests = F.sha2("payload", 256).alias("digest"), F.sha1("payload").alias("payload_sha1"), F.sha1(F.concat(http, F.col("payload"))).alias("block_sha1"), F.sha1(http).alias("http_sha1")
+    digested = written(page.select("page_id", "url", *digests, size.alias("payload_bytes")), "warc-digests")
     each = digested.groupBy("digest", "page_id").agg(F.count("*").alias("copies"))
     kept = each.groupBy("digest").agg(F.max(F.struct("page_id", "copies")).alias("top")).select("digest", F.col("top.page_id").alias("keep"), F.col("top.copies").alias("copies"))
 
     is_response = F.col("page_id").eqNullSafe(F.col("keep")) | (F.col("payload_bytes") < min_revisit_bytes)
     records = to_many(digested, kept.drop("copies"), "digest", "page_id").withColumn("record_type", F.when(is_response, "response").otherwise("revisit"))
-    row = F.struct("page_id", "url", "payload_digest", "block_digest", "payload_bytes", "record_type", "keep")
+    row = F.struct("page_id", "url", "payload_sha1", "block_sha1", "http_sha1", "payload_bytes", "record_type", "keep")
     records.withColumn("row", row).select("digest", F.coalesce("keep", F.lit(NO_PAGE)).alias("keep"), _head(F.col("row"), date).alias("head")).write.parquet(f"{path}/headers")
 
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -132,8 +135,9 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     that are asked for are moved: without ``record`` and ``payload`` the join is of digests.
     """
     # digest and keep stay as they are stored: the join needs no other placing of payloads than their buckets
-    sound = F.when(F.sha2("payload", 256) == F.col("digest"), base32_sha1(F.col("payload"))).otherwise(F.raise_error(F.concat(F.lit("payload does not match digest "), F.col("digest"))))
-    stored = payloads(spark, path).select("digest", "keep", "payload", F.octet_length("payload").cast("long").alias("payload_bytes"), sound.alias("payload_digest"))
+    stored = payloads(spark, path).withColumns({"sha2": F.sha2("payload", 256), "sha1": F.sha1("payload"), "payload_bytes": F.octet_length("payload").cast("long")})
+    sound = F.when(F.col("sha2") == F.col("digest"), base32(F.col("sha1"))).otherwise(F.raise_error(F.concat(F.lit("payload does not match digest "), F.col("digest"))))
+    stored = stored.select("digest", "keep", "payload", "payload_bytes", sound.alias("payload_digest"))
     heads = spark.read.schema("digest string, keep long, head string").parquet(f"{path}/headers")
     field = lambda name, form: F.regexp_extract("head", rf"\r\n{name}: {form}\r\n", 1)
     exact = field("X-Exact-URI", "([A-Za-z0-9+/=]*)")
@@ -152,10 +156,9 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     responses = page.filter("record_type = 'response'").join(stored, ["digest", "keep"])
     responses = responses.withColumn("block", F.concat(http, F.col("payload")))
     revisits = to_many(page.filter("record_type = 'revisit'"), stored.drop("keep"), "digest", "page_id").withColumn("block", http)
-    joined = responses.unionByName(revisits)
+    joined = responses.unionByName(revisits).withColumn("block_sha1", F.sha1("block"))
     before = F.regexp_extract("head", r"(?s)^(.*?\r\n\r\n)", 1).cast("binary")
-    found = base32_sha1(F.col("block"))
-    block = F.when(found == F.col("block_digest"), F.col("block")).otherwise(F.raise_error(F.concat(F.lit("block does not match digest "), F.col("block_digest"))))
+    block = F.when(base32(F.col("block_sha1")) == F.col("block_digest"), F.col("block")).otherwise(F.raise_error(F.concat(F.lit("block does not match digest "), F.col("block_digest"))))
     return joined.select("page_id", "url", "record_type", "refers_to", "payload_bytes", _checked(F.col("stated_digest"), F.col("payload_digest"), "payload").alias("payload_digest"), "payload", F.concat(before, block, F.lit(CRLF * 2).cast("binary")).alias("record"))
 
 
