@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellframe.sources.shared import written  # noqa: F401  (for the text operators)
+from cellframe.sources.shared import shared_path, written  # noqa: F401  (for the text operators)
 
 SLICE = 500
 SLICE_BYTES = 4_000_000

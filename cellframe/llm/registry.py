@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellframe.llm import bpe, decontaminate, gif, jaccard, langid, licenses, secrets, suffix_dedup, token_counts, warc
+from cellframe.llm import bpe, decontaminate, gif, jaccard, langid, licenses, packing, secrets, suffix_dedup, token_counts, warc
 from cellframe.llm.common import read
 
 
@@ -121,6 +121,12 @@ def op10_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif.read_media(gif.store_texts(read(spark, sf_dir, "documents")))
 
 
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2).pieces()
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_language_id": op2_language_id,
@@ -132,6 +138,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_secret_scan": op9_secret_scan,
     "op10_gif_media": op10_gif_media,
+    "op13_packing": op13_packing,
 }
 
 ORACLES: dict[str, str] = {
