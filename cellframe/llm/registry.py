@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellframe.llm import bpe, decontaminate, gif, jaccard, langid, licenses, packing, secrets, suffix_dedup, token_counts, warc
+from cellframe.llm import bpe, decontaminate, gif, hard_negatives, jaccard, langid, licenses, packing, secrets, suffix_dedup, token_counts, warc
 from cellframe.llm.common import read
 
 
@@ -121,6 +121,29 @@ def op10_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif.read_media(gif.store_texts(read(spark, sf_dir, "documents")))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = read(spark, sf_dir, "embeddings")
+    whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * 256).cast("double"))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table.select("vec_id", whole.alias("embedding"), label.alias("label")), F.col("vec_id") % 50 == 0)
+
+
+HARD_NEGATIVES_ORACLE = """
+WITH part AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+  FROM part a JOIN part b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+positives AS (SELECT * FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+found AS (
+  SELECT p.anchor_id, p.id AS positive_id, n.id AS negative_id, p.score AS positive_score, n.score AS negative_score,
+    CAST(row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY n.score DESC, n.id) AS INTEGER) AS rank
+  FROM positives p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.same AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM found WHERE rank <= 3"""
+
+
 def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -138,6 +161,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_secret_scan": op9_secret_scan,
     "op10_gif_media": op10_gif_media,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_packing": op13_packing,
 }
 
@@ -147,4 +171,5 @@ ORACLES: dict[str, str] = {
     "op5_jaccard_join": JACCARD_ORACLE,
     "op6_license_scan": LICENSE_ORACLE,
     "op8_warc": WARC_ORACLE,
+    "op12_hard_negatives": HARD_NEGATIVES_ORACLE,
 }
