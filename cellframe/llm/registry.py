@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellframe.llm import bpe, decontaminate, gif, hard_negatives, jaccard, langid, licenses, packing, secrets, suffix_dedup, token_counts, warc
+from cellframe.llm import bpe, decontaminate, gif, hard_negatives, jaccard, langid, licenses, packing, prefix_trie, secrets, suffix_dedup, token_counts, warc
 from cellframe.llm.common import read
 
 
@@ -121,6 +121,45 @@ def op10_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif.read_media(gif.store_texts(read(spark, sf_dir, "documents")))
 
 
+def rebuilt(lines: DataFrame) -> DataFrame:
+    """Conversation c with the first crc32(c) % 4 turns of conversation c - c % 20 in the place of its own."""
+    h = (F.crc32(F.col("conv_id").cast("string")) % 4).cast("int")
+    heads = lines.select(F.col("conv_id").alias("base"), F.slice("turns", 1, 3).alias("head"))
+    own = lines.withColumn("base", F.col("conv_id") - F.col("conv_id") % 20)
+    head = F.coalesce(F.slice("head", F.lit(1), h), F.slice("turns", 1, 0))
+    return own.join(heads, "base", "left").select("conv_id", F.concat(head, F.slice("turns", h + 1, F.size("turns"))).alias("turns"))
+
+
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(rebuilt(prefix_trie.turns(read(spark, sf_dir, "conversations"))))
+
+
+TRIE_ORACLE = r"""
+WITH own AS (
+  SELECT conv_id, list({'r': coalesce(role, ''), 't': coalesce(text, '')} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS t
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+crc AS (
+  SELECT conv_id, xor(list_reduce(
+    list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, k: xor(x >> 1, (x & 1) * 3988292384))), CAST(4294967295 AS BIGINT)) % 4 AS h
+  FROM own),
+built AS (
+  SELECT o.conv_id AS c, list_concat(coalesce(b.t[1:h], []), o.t[h + 1:]) AS p
+  FROM own o JOIN crc USING (conv_id) LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 20),
+nodes AS (
+  SELECT depth, p[1:depth] AS k, min(c) AS conv_id, count(*) AS n_convs, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE len(p) = depth) AS ends
+  FROM (SELECT c, p, unnest(range(0, len(p) + 1)) AS depth FROM built) GROUP BY 1, 2),
+tree AS (
+  SELECT n.*, q.conv_id AS parent_conv_id,
+    (n.n_convs - 1) * CASE WHEN n.depth = 0 THEN 0 ELSE len(regexp_extract_all(n.k[n.depth].t, '[^ 	-]+')) END AS saved
+  FROM nodes n LEFT JOIN nodes q ON q.depth = n.depth - 1 AND q.k = n.k[1:n.depth - 1]),
+kids AS (SELECT depth - 1 AS depth, parent_conv_id AS conv_id, count(*) AS n_children FROM tree WHERE depth > 0 GROUP BY 1, 2),
+counted AS (SELECT t.*, coalesce(n_children, 0) AS n_children FROM tree t LEFT JOIN kids USING (depth, conv_id)),
+above AS (SELECT a AS depth, k[1:a] AS k, sum(saved) AS saved_tokens, count(*) FILTER (WHERE n_children = 0) AS n_leaves FROM (SELECT *, unnest(range(0, depth + 1)) AS a FROM counted) GROUP BY 1, 2)
+SELECT conv_id, CAST(depth AS BIGINT) AS depth, parent_conv_id, n_convs, n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256
+FROM counted JOIN above USING (depth, k)"""
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = read(spark, sf_dir, "embeddings")
     whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * 256).cast("double"))
@@ -161,6 +200,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_secret_scan": op9_secret_scan,
     "op10_gif_media": op10_gif_media,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_hard_negatives": op12_hard_negatives,
     "op13_packing": op13_packing,
 }
@@ -171,5 +211,6 @@ ORACLES: dict[str, str] = {
     "op5_jaccard_join": JACCARD_ORACLE,
     "op6_license_scan": LICENSE_ORACLE,
     "op8_warc": WARC_ORACLE,
+    "op11_prefix_trie": TRIE_ORACLE,
     "op12_hard_negatives": HARD_NEGATIVES_ORACLE,
 }
