@@ -845,6 +845,30 @@ def knn_join_2d(spark, sf_dir):
     return joins.nearest_join(p, q, ["p_size", "p_retailprice"], ["x", "y"], "s_suppkey", ["p_partkey"], 3, L1()).select("s_suppkey", "p_partkey", "dist", "rank")
 
 
+HOT_PARTS = """hot AS (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 7.0::DOUBLE ELSE CAST(p_size AS DOUBLE) END AS x, CASE WHEN p_partkey % 3 = 0 THEN 905.0::DOUBLE ELSE p_retailprice END AS y FROM part)"""
+
+
+def _hot_parts(spark, sf_dir) -> DataFrame:
+    """Parts by size and price, a third of them at one place."""
+    hot = F.col("p_partkey") % 3 == 0
+    return _read(spark, sf_dir, "part").select("p_partkey", F.when(hot, 7.0).otherwise(F.col("p_size").cast("double")).alias("x"), F.when(hot, 905.0).otherwise(F.col("p_retailprice")).alias("y"))
+
+
+@query(f"WITH {WINDOWS}, {HOT_PARTS} SELECT s_suppkey, p_partkey FROM w JOIN hot ON x BETWEEN a0 AND b0 AND y BETWEEN a1 AND b1")
+def window_join_hot(spark, sf_dir):
+    """A third of the points at one place, which some windows hold."""
+    return joins.window_join(_hot_parts(spark, sf_dir), _windows(spark, sf_dir), ["x", "y"], ["a0", "a1"], ["b0", "b1"], units=[1.0, 10.0]).select("s_suppkey", "p_partkey")
+
+
+@query(f"""WITH {HOT_PARTS}, q AS (SELECT s_suppkey, CASE WHEN s_suppkey % 4 = 0 THEN 7.0::DOUBLE ELSE CAST(s_nationkey AS DOUBLE) * 2 END AS u, CASE WHEN s_suppkey % 4 = 0 THEN 905.0::DOUBLE ELSE 900 + abs(s_acctbal) / 12 END AS v FROM supplier)
+SELECT s_suppkey, p_partkey, dist, rank FROM (SELECT s_suppkey, p_partkey, abs(x - u) + abs(y - v) AS dist, CAST(row_number() OVER (PARTITION BY s_suppkey ORDER BY abs(x - u) + abs(y - v), p_partkey) AS INTEGER) AS rank FROM q, hot) WHERE rank <= 4""")
+def knn_join_hot(spark, sf_dir):
+    """Neighbours where a third of the points and a quarter of the queries are at one place."""
+    at = F.col("s_suppkey") % 4 == 0
+    q = _read(spark, sf_dir, "supplier").select("s_suppkey", F.when(at, 7.0).otherwise(F.col("s_nationkey").cast("double") * 2).alias("u"), F.when(at, 905.0).otherwise(900 + F.abs("s_acctbal") / 12).alias("v"))
+    return joins.nearest_join(_hot_parts(spark, sf_dir), q, ["x", "y"], ["u", "v"], "s_suppkey", ["p_partkey"], 4, L1()).select("s_suppkey", "p_partkey", "dist", "rank")
+
+
 # --- encodings, bits, statistics ---
 
 

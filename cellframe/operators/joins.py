@@ -9,6 +9,11 @@ more cells of a finer level where that is cheaper than copying all points to one
 The join is then an equi-join on level and cell with the exact predicate behind it, and no
 side needs to be broadcast. Extents and levels are found by jobs of their own; a few numbers
 reach the driver.
+
+The grids are a partition tree that follows the data: cells in which too many different points
+lie are split, level by level, and narrow boxes go to the split cells' level. Cells that cannot
+be split, or that wide boxes need whole, are dealt to several tasks (``plans.skew``). Both are
+decided by counts in samples, and change who does the work alone.
 """
 
 from __future__ import annotations
@@ -21,13 +26,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellframe.functions.metrics import L2, Metric
+from cellframe.functions.names import free
 from cellframe.operators.tables import conjunction
+from cellframe.plans.skew import SEEN, dealt_join, facts_of
 from cellframe.sources.shared import written
 
 #: Axes that go into the cell; more would only multiply the cells of a box.
 AXES = 3
 #: Points that the finest cells hold on average, levels between two grids, and cells that a box is cut into at most.
 PER_CELL, STEP, MOST_CELLS = 8, 2, 1024
+#: Points of a cell that are not split, cells of a level that are split at most, and levels below the finest grid.
+UNSPLIT, MOST_SPLIT, DEEPER = 64 * PER_CELL, 1 << 12, 12
 
 
 def lookup(queries: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -102,6 +111,58 @@ def _doubles(columns: Sequence[str]) -> list[Column]:
     return [F.col(c).cast("double") for c in columns]
 
 
+def _codes(cell: Column, level: int) -> Column:
+    return F.xxhash64(F.lit(level), cell)
+
+
+def _at(xs: Sequence[Column], level: int, units: Sequence[float]) -> Column:
+    """The cell of a place, as an array."""
+    return F.array(*[_cell(x, F.lit(float(level)), u) for x, u in zip(xs, units, strict=True)])
+
+
+def split_cells(points: DataFrame, columns: Sequence[str], units: Sequence[float], finest: int, count: int) -> dict[int, list[int]]:
+    """Level -> hashes of the cells that are split: the inner nodes of the partition tree, from the finest grid down.
+
+    A cell is split if it holds more than ``UNSPLIT`` points (or a ``MOST_SPLIT``-th of all) besides
+    those of its most common place, which no grid can part. If a cell is split, so are those
+    around it. Counts are estimates from a sample.
+    """
+    most = max(UNSPLIT, count / MOST_SPLIT)
+    if count <= most:
+        return {}
+    share = min(1.0, SEEN / most)
+    some = points.sample(share, seed=23) if share < 1 else points
+    whole = some.select(*[x.alias(f"x{i}") for i, x in enumerate(_doubles(columns))]).filter(conjunction([F.col(f"x{i}").isNotNull() for i in range(len(columns))]))
+    places = whole.groupBy(*whole.columns).agg(F.count("*").alias("n"))
+    xs = [F.col(c) for c in whole.columns]
+    ladder = [finest - STEP * k for k in range(DEEPER)]
+    cells = F.array(*[F.struct(F.lit(level).alias("level"), _codes(_at(xs, level, units), level).alias("code")) for level in ladder])
+    counted = places.select(F.explode(cells).alias("c"), "n").groupBy("c").agg(F.sum("n").alias("all"), F.max("n").alias("one"))
+    out: dict[int, list[int]] = {}
+    for row in counted.filter(F.col("all") - F.col("one") > most * share).select("c.level", "c.code").collect():
+        out.setdefault(row[0], []).append(row[1])
+    return out
+
+
+def _deeper(level: Column, lows: Sequence[Column], highs: Sequence[Column], units: Sequence[float], finest: int, split: dict[int, list[int]]) -> Column:
+    """The level of a box: below the finest grid, as far as its lower corner's cell is split and its width allows."""
+    widths = [(h - lo) / F.lit(u) for lo, h, u in zip(lows, highs, units, strict=True)]
+    widest = reduce(F.greatest, widths) if len(widths) > 1 else widths[0]
+    for above in sorted(split, reverse=True):
+        fits = widest * 1.000001 <= 2.0 ** (above - STEP)
+        level = F.when((level == above) & fits & _codes(_at(lows, above, units), above).isin(split[above]), F.lit(above - STEP)).otherwise(level)
+    return level
+
+
+def _near_split(xs: Sequence[Column], level: int, units: Sequence[float], codes: list[int]) -> Column:
+    """Whether a box of this level can reach a place: its lower corner lies in the place's cell or the one before, on each axis, and that cell's parent is split."""
+    cells = [_cell(x, F.lit(float(level)), u) for x, u in zip(xs, units, strict=True)]
+    corners = [[]]
+    for c in cells:
+        corners = [[*done, F.shiftright(c - back, STEP)] for done in corners for back in (0, 1)]
+    return reduce(Column.__or__, [_codes(F.array(*c), level + STEP).isin(codes) for c in corners])
+
+
 def window_join(points: DataFrame, boxes: DataFrame, keys: Sequence[str], lows: Sequence[str], highs: Sequence[str], units: Sequence[float] | None = None) -> DataFrame:
     """Every (point, box) with the point inside the box, bounds included; all columns of both sides.
 
@@ -110,55 +171,69 @@ def window_join(points: DataFrame, boxes: DataFrame, keys: Sequence[str], lows:
     """
     n = min(AXES, len(keys))
     units = list(units or [1.0] * n)[:n]
+    on_level, on_cell = free([points, boxes], "_level", "_cell")
     finest, count = finest_level(points, keys[:n], units)
+    split = split_cells(points, keys[:n], units, finest, count)
     well = conjunction([F.col(lo) <= F.col(h) for lo, h in zip(lows, highs, strict=True)])
-    sized = boxes.filter(well).withColumn("_level", _level(_doubles(lows[:n]), _doubles(highs[:n]), units, finest))
-    found = {r[0]: r[1] for r in sized.groupBy("_level").count().collect()}
-    listed = listing_levels(found, count, n)
-    place = F.create_map(*[F.lit(x) for pair in listed.items() for x in pair])[F.col("_level")] if listed else F.col("_level")
-    sized = sized.withColumn("_level", place)
-    sized = sized.withColumn("_cell", F.explode(_cells(_doubles(lows[:n]), _doubles(highs[:n]), F.col("_level").cast("double"), units)))
-    placed = points.withColumn("_level", F.explode(F.array(*[F.lit(x) for x in sorted(set(listed.values()))]).cast("array<int>")))
-    placed = placed.withColumn("_cell", F.array(*[_cell(x, F.col("_level").cast("double"), u) for x, u in zip(_doubles(keys[:n]), units, strict=True)]))
-    met = placed.join(sized, ["_level", "_cell"])
-    return met.filter(conjunction([F.col(k).between(F.col(lo), F.col(h)) for k, lo, h in zip(keys, lows, highs, strict=True)])).drop("_level", "_cell")
+    low, high, xs = _doubles(lows[:n]), _doubles(highs[:n]), _doubles(keys[:n])
+    sized = boxes.filter(well).withColumn(on_level, _level(low, high, units, finest))
+    if split:
+        sized = sized.withColumn(on_level, _deeper(F.col(on_level), low, high, units, finest, split))
+    found = {r[0]: r[1] for r in sized.groupBy(on_level).count().collect() if r[0] is not None}
+    listed = {level: level for level in found if level < finest} | listing_levels({k: v for k, v in found.items() if k >= finest}, count, n)
+    place = F.create_map(*[F.lit(x) for pair in listed.items() for x in pair])[F.col(on_level)] if listed else F.col(on_level)
+    sized = sized.withColumn(on_level, place)
+    sized = sized.withColumn(on_cell, F.explode(_cells(low, high, F.col(on_level).cast("double"), units)))
+    levels = [F.lit(x) if x >= finest else F.when(_near_split(xs, x, units, split[x + STEP]), F.lit(x)) for x in sorted(set(listed.values()))]
+    placed = points.withColumn(on_level, F.explode(F.array_compact(F.array(*levels)).cast("array<int>") if levels else F.array().cast("array<int>")))
+    placed = placed.withColumn(on_cell, F.array(*[_cell(x, F.col(on_level).cast("double"), u) for x, u in zip(xs, units, strict=True)]))
+    met = dealt_join(placed, sized, [on_level, on_cell], count * max(1, len(levels)) + sum(found.values()))
+    return met.filter(conjunction([F.col(k).between(F.col(lo), F.col(h)) for k, lo, h in zip(keys, lows, highs, strict=True)])).drop(on_level, on_cell)
 
 
 def box_join(left: DataFrame, right: DataFrame, left_low: Sequence[str], left_high: Sequence[str], right_low: Sequence[str], right_high: Sequence[str], units: Sequence[float] | None = None, include: bool = False) -> DataFrame:
     """Every pair of boxes that meet, touching included; with ``include``, that has the left box within the right.
 
     A pair is made on the coarser of its two levels, in the cell of the corner where the
-    two boxes' overlap starts, so it comes out once.
+    two boxes' overlap starts, so it comes out once. Boxes of split cells go to deeper levels.
     """
     n = min(AXES, len(left_low))
     units = list(units or [1.0] * n)[:n]
-    finest = min(finest_level(left, left_low[:n], units)[0], finest_level(right, right_low[:n], units)[0])
+    own_left, own_right, on_level, on_cell = free([left, right], "_la", "_lb", "_level", "_cell")
+    first, second = finest_level(left, left_low[:n], units), finest_level(right, right_low[:n], units)
+    finest, count = min(first[0], second[0]), first[1] + second[1]
+    split: dict[int, list[int]] = {}
+    for frame, low, many in ((left, left_low, first[1]), (right, right_low, second[1])):
+        for level, codes in split_cells(frame, low[:n], units, finest, many).items():
+            split.setdefault(level, []).extend(codes)
 
     def placed(frame: DataFrame, low: Sequence[str], high: Sequence[str], own: str) -> DataFrame:
         well = conjunction([F.col(a) <= F.col(b) for a, b in zip(low, high, strict=True)])
-        return frame.filter(well).withColumn(own, _level(_doubles(low[:n]), _doubles(high[:n]), units, finest))
+        level = _level(_doubles(low[:n]), _doubles(high[:n]), units, finest)
+        return frame.filter(well).withColumn(own, _deeper(level, _doubles(low[:n]), _doubles(high[:n]), units, finest, split))
 
-    a, b = placed(left, left_low, left_high, "_la"), placed(right, right_low, right_high, "_lb")
-    levels = sorted({r[0] for frame, c in ((a, "_la"), (b, "_lb")) for r in frame.select(c).distinct().collect()})
+    a, b = placed(left, left_low, left_high, own_left), placed(right, right_low, right_high, own_right)
+    levels = sorted({r[0] for frame, c in ((a, own_left), (b, own_right)) for r in frame.select(c).distinct().collect() if r[0] is not None})
     ladder = F.array(*[F.lit(x) for x in levels]).cast("array<int>")
 
     def spread(frame: DataFrame, low: Sequence[str], high: Sequence[str], own: str) -> DataFrame:
-        up = frame.withColumn("_level", F.explode(F.filter(ladder, lambda x: x >= F.col(own))))
-        return up.withColumn("_cell", F.explode(_cells(_doubles(low[:n]), _doubles(high[:n]), F.col("_level").cast("double"), units)))
+        up = frame.withColumn(on_level, F.explode(F.filter(ladder, lambda x: x >= F.col(own))))
+        return up.withColumn(on_cell, F.explode(_cells(_doubles(low[:n]), _doubles(high[:n]), F.col(on_level).cast("double"), units)))
 
-    met = spread(a, left_low, left_high, "_la").join(spread(b, right_low, right_high, "_lb"), ["_level", "_cell"])
+    met = dealt_join(spread(a, left_low, left_high, own_left), spread(b, right_low, right_high, own_right), [on_level, on_cell], count * max(1, len(levels)))
     overlap = conjunction([(F.col(al) <= F.col(bh)) & (F.col(ah) >= F.col(bl)) for al, ah, bl, bh in zip(left_low, left_high, right_low, right_high, strict=True)])
     if include:
         overlap = conjunction([(F.col(al) >= F.col(bl)) & (F.col(ah) <= F.col(bh)) for al, ah, bl, bh in zip(left_low, left_high, right_low, right_high, strict=True)])
-    corner = F.array(*[_cell(F.greatest(x, y), F.col("_level").cast("double"), u) for x, y, u in zip(_doubles(left_low[:n]), _doubles(right_low[:n]), units, strict=True)])
-    once = (F.col("_level") == F.greatest("_la", "_lb")) & (F.col("_cell") == corner)
-    return met.filter(overlap & once).drop("_level", "_cell", "_la", "_lb")
+    corner = F.array(*[_cell(F.greatest(x, y), F.col(on_level).cast("double"), u) for x, y, u in zip(_doubles(left_low[:n]), _doubles(right_low[:n]), units, strict=True)])
+    once = (F.col(on_level) == F.greatest(own_left, own_right)) & (F.col(on_cell) == corner)
+    return met.filter(overlap & once).drop(on_level, on_cell, own_left, own_right)
 
 
 def _ball_join(points: DataFrame, queries: DataFrame, keys: Sequence[str], centers: Sequence[str], radius: Column, metric: Metric) -> DataFrame:
     """Every (point, query) at most the query's radius apart, with ``dist``."""
     slack = [radius + radius * 1e-9 + F.abs(F.col(c)) * 1e-15 for c in centers]
-    lows, highs = [f"_lo{i}" for i in range(len(centers))], [f"_hi{i}" for i in range(len(centers))]
+    names = free([points, queries], *[f"_{end}{i}" for end in ("lo", "hi") for i in range(len(centers))])
+    lows, highs = names[: len(centers)], names[len(centers) :]
     reach = queries.withColumns({lo: F.col(c) - s for lo, c, s in zip(lows, centers, slack, strict=True)} | {h: F.col(c) + s for h, c, s in zip(highs, centers, slack, strict=True)})
     near = window_join(points, reach, keys, lows, highs).drop(*lows, *highs)
     return near.withColumn("dist", metric.distance([F.col(k) for k in keys], [F.col(c) for c in centers])).filter(F.col("dist") <= radius)
@@ -176,61 +251,101 @@ def distance_join(points: DataFrame, queries: DataFrame, keys: Sequence[str], ce
     return _ball_join(points, queries, keys, centers, F.lit(float(radius)), _needs_gaps(metric))
 
 
-def neighbour_radii(points: DataFrame, queries: DataFrame, keys: Sequence[str], centers: Sequence[str], n: int, metric: Metric) -> DataFrame | None:
-    """The queries with ``_radius``: within it lie ``n`` points, or all if there are fewer; None without points.
+#: Levels that cells of a neighbour join can have, how many are added at a time, and points for each neighbour beyond which a cell is looked into.
+DEEPEST, MORE, CROWD = 36, 6, 32
 
-    Points are counted by cells of a grid over their extent, finest cells first and coarser
-    ones from those. A query, moved to the nearest place of the extent, takes the finest of
-    its cells that holds ``n`` points; none of them is farther than that cell's far corner.
-    """
-    d = len(keys)
+
+def places_of(points: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """(the keys as doubles under ``names``, held): how many points each place has; points without a whole key have none."""
     whole = conjunction([F.col(k).isNotNull() & ~F.isnan(F.col(k).cast("double")) for k in keys])
-    known = points.filter(whole)
-    ends = known.agg(F.count("*"), *[F.min(F.col(k).cast("double")) for k in keys], *[F.max(F.col(k).cast("double")) for k in keys]).first()
+    return points.filter(whole).groupBy(*[(F.col(k).cast("double") + 0.0).alias(c) for k, c in zip(keys, names, strict=True)]).agg(F.count("*").alias("held"))
+
+
+def neighbour_radii(places: DataFrame, queries: DataFrame, names: Sequence[str], centers: Sequence[str], n: int, metric: Metric, radius: str) -> DataFrame | None:
+    """The queries with a ``radius`` within which lie ``n`` points, or all if there are fewer; None without points.
+
+    A query at a place that has ``n`` points needs no radius. For the others, points are counted by
+    cells of a grid over their extent, ``n`` of a place at most, finest cells first and coarser
+    ones from those; cells that hold many more than ``n`` are cut finer, again and again. A
+    query, moved to the nearest place of the extent, takes the finest of its cells that holds
+    ``n`` points; none of them is farther than that cell's far corner.
+    """
+    d = len(names)
+    ends = places.agg(F.count("*"), F.sum("held"), *[F.min(c) for c in names], *[F.max(c) for c in names]).first()
     if not ends[0]:
         return None
-    lows, highs = list(ends[1 : d + 1]), list(ends[d + 1 :])
+    lows, highs = list(ends[2 : d + 2]), list(ends[d + 2 :])
     spans = [(h - lo) or 1.0 for lo, h in zip(lows, highs, strict=True)]
-    depth = max(0, min(20, ceil(log2(max(ends[0] / max(n, 1), 1)) / d) + 2))
+    depth = max(0, min(20, ceil(log2(max(ends[1] / max(n, 1), 1)) / d) + 2))
+    cells = [f"c{i}" for i in range(d)]
 
     def cell(x: Column, i: int) -> Column:
-        """The finest cell of an axis, the extent being cut into 2^depth."""
-        return F.least(F.floor((x - F.lit(lows[i])) / F.lit(spans[i]) * F.lit(float(1 << depth))), F.lit((1 << depth) - 1)).cast("long")
-
-    finest = known.groupBy(*[cell(F.col(k).cast("double"), i).alias(f"_c{i}") for i, k in enumerate(keys)]).agg(F.count("*").alias("_n"))
-    up = F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("_up")
-    names = [f"_c{i}" for i in range(d)]
-    raised = lambda frame: frame.select("*", up).withColumns({c: F.expr(f"shiftright({c}, _up)") for c in names})
-    held = raised(finest).groupBy("_up", *names).agg(F.sum("_n").alias("_n")).filter(F.col("_n") >= n).select("_up", *names)
-
-    numbered = queries.withColumns({f"_q{i}": F.col(c).cast("double") for i, c in enumerate(centers)})
-    inside = numbered.withColumns({f"_c{i}": cell(F.least(F.greatest(F.col(f"_q{i}"), F.lit(lows[i])), F.lit(highs[i])), i) for i in range(d)})
-    at = inside.select(*[f"_q{i}" for i in range(d)], *names).distinct()
-    reached = raised(at).join(held, ["_up", *names], "left_semi")
-    places = [f"_q{i}" for i in range(d)]
-    levels = reached.groupBy(*places).agg(F.min("_up").alias("_up"))
+        """The finest cell of an axis, the extent being cut into 2^DEEPEST."""
+        return F.least(F.floor((x - F.lit(lows[i])) / F.lit(spans[i]) * F.lit(float(1 << DEEPEST))), F.lit((1 << DEEPEST) - 1)).cast("long")
+
+    def at(frame: DataFrame, low: int, high: int) -> DataFrame:
+        """The frame's finest cells on levels ``low`` to ``high``."""
+        up = frame.withColumn("deep", F.explode(F.sequence(F.lit(low), F.lit(high))))
+        return up.withColumns({c: F.expr(f"shiftright({c}, {DEEPEST} - deep)") for c in cells})
+
+    capped = places.select(*[cell(F.col(c), i).alias(k) for i, (c, k) in enumerate(zip(names, cells, strict=True))], F.least("held", F.lit(n)).alias("held"))
+    low, crowded, held = 0, capped, None
+    while True:
+        leaves = at(crowded, depth, depth).groupBy(*cells).agg(F.sum("held").alias("held"))
+        fine = leaves.withColumns({c: F.expr(f"shiftleft({c}, {DEEPEST - depth})") for c in cells})
+        counted = written(at(fine, low, depth).groupBy("deep", *cells).agg(F.sum("held").alias("held")).filter(F.col("held") >= n), "cells")
+        held = counted if held is None else held.unionByName(counted)
+        full = counted.filter((F.col("deep") == depth) & (F.col("held") > CROWD * n)).select(*cells)
+        if depth == DEEPEST or full.isEmpty():
+            break
+        shifted = crowded.withColumns({f"f{c}": F.col(c) for c in cells}).withColumns({c: F.expr(f"shiftright({c}, {DEEPEST - depth})") for c in cells})
+        crowded = facts_of(shifted, full, cells).select(*[F.col(f"f{c}").alias(c) for c in cells], "held")
+        low, depth = depth + 1, min(depth + MORE, DEEPEST)
+
+    spots = free([queries, places], *[f"_q{i}" for i in range(d)])
+    asked = queries.withColumns({q: F.col(c).cast("double") + 0.0 for q, c in zip(spots, centers, strict=True)})
+    distinct = asked.select(*spots).filter(conjunction([F.col(q).isNotNull() & ~F.isnan(q) for q in spots])).distinct()
+    inside = distinct.withColumns({k: cell(F.least(F.greatest(F.col(q), F.lit(lows[i])), F.lit(highs[i])), i) for i, (q, k) in enumerate(zip(spots, cells, strict=True))})
+    reached = facts_of(at(inside, 0, depth), held.select("deep", *cells), ["deep", *cells])
+    levels = reached.groupBy(*spots).agg(F.max("deep").alias("deep"))
+    found = inside.join(levels, list(spots), "left").withColumn("deep", F.coalesce("deep", F.lit(0)))
     gaps = []
-    for i in range(d):
-        shift = F.col("_up").cast("int")
-        low = F.expr(f"shiftright(_c{i}, _up)").cast("double") * F.pow(F.lit(2.0), shift) * F.lit(spans[i] / (1 << depth)) + F.lit(lows[i])
-        high = low + F.pow(F.lit(2.0), shift) * F.lit(spans[i] / (1 << depth))
-        gaps.append(F.greatest(F.abs(F.col(f"_q{i}") - low), F.abs(F.col(f"_q{i}") - high)) + F.lit((abs(lows[i]) + abs(highs[i])) * 1e-12))
-    found = inside.join(levels, places, "left").withColumn("_up", F.coalesce("_up", F.lit(depth)))
-    radius = metric.distance(gaps, [F.lit(0.0)] * d) * F.lit(1 + 1e-9)
-    return found.withColumn("_radius", radius).filter(F.col("_radius").isNotNull()).drop("_up", *names, *places)
+    for i, (q, k) in enumerate(zip(spots, cells, strict=True)):
+        width = F.pow(F.lit(2.0), -F.col("deep").cast("double")) * F.lit(spans[i])
+        start = F.expr(f"shiftright({k}, {DEEPEST} - deep)").cast("double") * width + F.lit(lows[i])
+        gaps.append(F.greatest(F.abs(F.col(q) - start), F.abs(F.col(q) - start - width)) + F.lit((abs(lows[i]) + abs(highs[i])) * 1e-12))
+    reach = metric.distance(gaps, [F.lit(0.0)] * d) * F.lit(1 + 1e-9)
+    full = places.filter(F.col("held") >= n).select(*[F.col(c).alias(q) for c, q in zip(names, spots, strict=True)], F.lit(True).alias("full"))
+    sized = found.join(full, list(spots), "left").select(*spots, F.when(F.col("full"), F.lit(0.0)).otherwise(reach).alias(radius))
+    return facts_of(asked, sized, spots).drop(*spots)
+
+
+def first_of_places(points: DataFrame, keys: Sequence[str], tie: Sequence[str], n: int) -> DataFrame:
+    """The first ``n`` points of each place: no search can need more. Every task keeps ``n`` of a place before anything is shuffled."""
+    (number,) = free(points, "_number")
+    at = Window.partitionBy(*[F.col(k).cast("double") + 0.0 for k in keys]).orderBy(*tie)
+    return points.withColumn(number, F.row_number().over(at)).filter(F.col(number) <= n).drop(number)
 
 
 def nearest_join(points: DataFrame, queries: DataFrame, keys: Sequence[str], centers: Sequence[str], query_id: str, tie: Sequence[str], n: int, metric: Metric | None = None) -> DataFrame:
     """The ``n`` nearest points of each query, with ``dist`` and ``rank``; ties by ``tie``.
 
     Every query gets a radius of its own that is sure to hold ``n`` points (written to the
-    shared folder beside the query), and one window join runs over those balls. Queries with a null centre and points with a null key have no
+    shared folder beside the query), and one window join runs over those balls. Where a place has more
+    than ``n`` points, its first ``n`` stand for it. Queries with a null centre and points with a null key have no
     neighbours. ``query_id`` must be unique.
     """
     metric = _needs_gaps(metric)
-    sized = neighbour_radii(points, queries, keys, centers, n, metric) if n > 0 else None
+    (radius,) = free([points, queries], "_radius")
+    names = [f"x{i}" for i in range(len(keys))]
+    sized = None
+    if n > 0:
+        places = written(places_of(points, keys, names), "places")
+        sized = neighbour_radii(places, queries, names, centers, n, metric, radius)
     if sized is None:
         return distance_join(points, queries, keys, centers, 0.0, metric).limit(0).withColumn("rank", F.lit(0))
-    near = _ball_join(points, written(sized, "radii"), keys, centers, F.col("_radius"), metric).drop("_radius")
+    crowded = not places.filter(F.col("held") > n).isEmpty()
+    some = first_of_places(points, keys, tie, n) if crowded else points
+    near = _ball_join(some, written(sized, "radii"), keys, centers, F.col(radius), metric).drop(radius)
     order = Window.partitionBy(query_id).orderBy("dist", *tie)
     return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
