@@ -111,8 +111,8 @@ def _sequences(chains: DataFrame) -> DataFrame:
 
 
 def _hash_at(depth: Column | int) -> Column:
-    """The hash of the prefix of a depth, from 1 on."""
-    return F.substring(F.col("chain"), (depth - 1) * HASH + 1, HASH) if isinstance(depth, int) else F.col("chain").substr((depth - 1) * HASH + 1, F.lit(HASH))
+    """The hash of the prefix of a depth; of depth 0, nothing."""
+    return F.substring(F.col("chain"), max(0, depth - 1) * HASH + 1, HASH if depth else 0) if isinstance(depth, int) else F.col("chain").substr((depth - 1) * HASH + 1, F.lit(HASH))
 
 
 def shared_depth(sequences: DataFrame, most: int) -> int:
@@ -199,9 +199,8 @@ def _level(left: DataFrame, sequences: DataFrame, depth: int) -> DataFrame:
     )
     none = F.lit(0).cast("long")
     ended = sequences.filter(F.col("length") == depth).select("conv_id", F.col("n").alias("n_convs"), none.alias("n_children"), none.alias("n_leaves"), none.alias("saved_tokens"), "ends", "chain", "words")
-    key = _hash_at(depth) if depth else F.lit(b"")
     sums = [F.sum(c).alias(c) for c in ("n_convs", "n_children", "n_leaves", "saved_tokens")]
-    joined = stripped.unionByName(ended).groupBy(key.alias("key")).agg(F.min("conv_id").alias("conv_id"), *sums, F.max("ends").alias("ends"), F.first("chain").alias("chain"), F.first("words").alias("words"))
+    joined = stripped.unionByName(ended).groupBy(_hash_at(depth).alias("key")).agg(F.min("conv_id").alias("conv_id"), *sums, F.max("ends").alias("ends"), F.first("chain").alias("chain"), F.first("words").alias("words"))
     last = F.conv(F.hex(F.substring("words", (depth - 1) * WORD + 1, WORD)), 16, 10).cast("long") if depth else F.lit(0)
     return written(
         joined.select(
@@ -238,7 +237,7 @@ def trie(lines: DataFrame, most: int | None = None) -> DataFrame:
     below = reduce(DataFrame.unionByName, levels[:-1])
     short = F.octet_length("chain") - HASH
     child = below.select(*out, F.when(short > 0, F.col("chain").substr(short - HASH + 1, F.lit(HASH))).otherwise(F.lit(b"")).alias("up"), F.col("chain").alias("own"))
-    parents = reduce(DataFrame.unionByName, [x.select(F.col("conv_id").alias("parent_conv_id"), (_hash_at(k) if k else F.lit(b"")).alias("up")) for k, x in zip(range(depth, -1, -1), levels[1:], strict=True)])
+    parents = reduce(DataFrame.unionByName, [x.select(F.col("conv_id").alias("parent_conv_id"), _hash_at(k).alias("up")) for k, x in zip(range(depth, -1, -1), levels[1:], strict=True)])
     nodes = to_many(child, parents, "up", "own", max(64, parts)).select(*out, "parent_conv_id")
     nodes = nodes.unionByName(deep.filter(F.col("depth") > depth + 1).select(*out, "parent_conv_id"))
     nodes = nodes.unionByName(levels[-1].select(*out, F.lit(None).cast("long").alias("parent_conv_id")))
