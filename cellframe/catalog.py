@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellframe.functions import bits, encoding, udf
+from cellframe.functions import bits, encoding, udf, zranges
 from cellframe.functions.metrics import L1, L2, Custom, Decoded
 from cellframe.operators import joins, mutate, order, stats
 from cellframe.operators.tables import ArrayTable, BoxTable, MultiTable, SpatialTable, in_ball, same_prefix
 from cellframe.plans import bounded
 from cellframe.sources import clustered
 from cellframe.sources.shared import shared_path
+from cellframe.sources.stored import StoredTable
 from cellframe.streaming import moving
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -869,6 +871,93 @@ def knn_join_hot(spark, sf_dir):
     return joins.nearest_join(_hot_parts(spark, sf_dir), q, ["x", "y"], ["u", "v"], "s_suppkey", ["p_partkey"], 4, L1()).select("s_suppkey", "p_partkey", "dist", "rank")
 
 
+@query("SELECT l_partkey, l_suppkey, l_orderkey, l_linenumber FROM lineitem WHERE l_partkey BETWEEN 300 AND 900 AND l_suppkey BETWEEN 20 AND 60")
+def window_packed(spark, sf_dir):
+    """A window on one packed key: ranges of a stored Z-order column, the exact window behind them."""
+    n_bits, path = 24, shared_path(spark, "packed")
+    rows = _read(spark, sf_dir, "lineitem").select(bits.interleave([F.col("l_partkey"), F.col("l_suppkey")], n_bits).alias("z"), "l_orderkey", "l_linenumber")
+    rows.repartitionByRange("z").sortWithinPartitions("z").write.parquet(path)
+    low, high = (300, 20), (900, 60)
+    found = spark.read.parquet(path).filter(zranges.in_ranges(F.col("z"), zranges.z_ranges(low, high, n_bits)))
+    partkey, suppkey = bits.deinterleave(F.col("z"), 2, n_bits)
+    return found.filter(zranges.inside(F.col("z"), low, high, n_bits)).select(partkey.alias("l_partkey"), suppkey.alias("l_suppkey"), "l_orderkey", "l_linenumber")
+
+
+# --- stored tables ---
+
+
+def _stored(spark, sf_dir, keys=("p_partkey", "p_size"), files: int = 16) -> StoredTable:
+    return StoredTable.create(_base(spark, sf_dir), shared_path(spark, "stored"), keys, files)
+
+
+def _priced(spark, sf_dir) -> DataFrame:
+    """Suppliers as changes of parts at (key, size); about half of the keys exist."""
+    s = _read(spark, sf_dir, "supplier")
+    held = _base(spark, sf_dir).filter("p_partkey % 7 = 0").select("p_partkey", "p_size", (F.col("p_retailprice") + 1).alias("p_retailprice"))
+    return held.unionByName(s.select((F.col("s_suppkey") * 3).alias("p_partkey"), (F.col("s_nationkey") + 100).alias("p_size"), F.col("s_acctbal").alias("p_retailprice")))
+
+
+PRICED = """base AS (SELECT p_partkey, p_size, p_retailprice FROM part), changes AS (SELECT p_partkey, p_size, p_retailprice + 1 AS p_retailprice FROM part WHERE p_partkey % 7 = 0
+  UNION ALL SELECT s_suppkey * 3, s_nationkey + 100, s_acctbal FROM supplier)"""
+
+
+@query(f"WITH {PRICED} SELECT * FROM base ANTI JOIN changes USING (p_partkey, p_size) UNION ALL SELECT * FROM changes")
+def stored_put(spark, sf_dir):
+    """Upsert into a table in files; the next version read back."""
+    return _stored(spark, sf_dir).put(_priced(spark, sf_dir)).read()
+
+
+@query(f"WITH {PRICED} SELECT * FROM base ANTI JOIN changes USING (p_partkey, p_size)")
+def stored_remove(spark, sf_dir):
+    return _stored(spark, sf_dir).remove(_priced(spark, sf_dir)).read()
+
+
+@query("""WITH m AS (SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN p_partkey + 1 ELSE p_partkey + 10000000 END AS new_key FROM part WHERE p_partkey % 2 = 0),
+ok AS (SELECT m.* FROM m WHERE new_key NOT IN (SELECT p_partkey FROM part)) SELECT coalesce(ok.new_key, part.p_partkey) AS p_partkey, p_size, p_retailprice FROM part LEFT JOIN ok USING (p_partkey)""")
+def stored_move(spark, sf_dir):
+    """Entries moved to other keys; moves onto keys that are taken are rejected."""
+    return _stored(spark, sf_dir, ("p_partkey",)).move(_moves(_base(spark, sf_dir)), ["new_key"]).read()
+
+
+@query(f"WITH {PRICED}, after AS (SELECT * FROM base ANTI JOIN changes USING (p_partkey, p_size) UNION ALL SELECT * FROM changes) SELECT 0 AS version, * FROM base UNION ALL SELECT 1, * FROM after UNION ALL SELECT 2, * FROM after WHERE p_partkey % 5 <> 0")
+def stored_snapshot(spark, sf_dir):
+    """All rows of three versions, read after the last change."""
+    first = _stored(spark, sf_dir)
+    second = first.put(_priced(spark, sf_dir))
+    second.remove(second.read().filter("p_partkey % 5 = 0"))
+    versions = [StoredTable.open(spark, first.path, v).read().select(F.lit(v).alias("version"), "*") for v in StoredTable.versions(spark, first.path)]
+    return reduce(DataFrame.unionByName, versions)
+
+
+@query(f"SELECT {LINE_SQL}, sqrt((l_quantity - 15) * (l_quantity - 15) + (l_extendedprice - 10000) * (l_extendedprice - 10000) + (l_discount - 0.03) * (l_discount - 0.03) + (l_tax - 0.02) * (l_tax - 0.02)) AS dist FROM lineitem ORDER BY dist, l_quantity, l_extendedprice, l_discount, l_tax, l_orderkey, l_linenumber LIMIT 50")
+def knn_best_first(spark, sf_dir):
+    """Neighbours from the blocks whose bounds are nearest."""
+    return StoredTable.create(lines(spark, sf_dir).extent(), shared_path(spark, "stored"), LINE_KEYS).nearest(50, (15.0, 10000.0, 0.03, 0.02)).select(*LINE_KEYS, *LINE_IDS, "dist")
+
+
+RING = (30.0, 60000.0, 0.2, 0.3)  # centre in quantity and price, inner and outer radius in shares of 50 and 100000
+
+
+@query(f"SELECT {LINE_SQL} FROM lineitem WHERE sqrt(((l_quantity - 30) / 50) * ((l_quantity - 30) / 50) + ((l_extendedprice - 60000) / 100000) * ((l_extendedprice - 60000) / 100000)) BETWEEN 0.2 AND 0.3")
+def window_region(spark, sf_dir):
+    """A ring: boxes inside its hole and outside of it are not read."""
+    x, y, inner, outer = RING
+
+    def gap(low, high, at):
+        return F.greatest(low - at, F.lit(at) - high, F.lit(0.0))
+
+    def reach(low, high, at):
+        return F.greatest(F.abs(low - at), F.abs(high - at))
+
+    def radius(a, b):
+        return F.sqrt((a / 50) * (a / 50) + (b / 100000) * (b / 100000))
+
+    meets = lambda lo, hi: (radius(gap(lo[0], hi[0], x), gap(lo[1], hi[1], y)) <= outer) & (radius(reach(lo[0], hi[0], x), reach(lo[1], hi[1], y)) >= inner)
+    inside = lambda k: radius(k[0] - x, k[1] - y).between(inner, outer)
+    table = StoredTable.create(_read(spark, sf_dir, "lineitem").select(*LINE_KEYS, *LINE_IDS), shared_path(spark, "stored"), LINE_KEYS[:2])
+    return table.region(meets, inside)
+
+
 # --- encodings, bits, statistics ---
 
 
@@ -1043,7 +1132,7 @@ def stream_latest(spark, sf_dir):
     """The newest event of each user, kept from a stream."""
     path, events = shared_path(spark, "latest"), _event_stream(spark, sf_dir)
     moving.maintain_buckets(events, "user_id", "ts", path, 8, shared_path(spark, "stream")).awaitTermination()
-    return moving.read_buckets(spark, path, events.withColumn("bucket", F.lit(0)).schema).drop("bucket")
+    return moving.read_buckets(spark, path).drop("bucket")
 
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS hour, event_type, count(*) AS n FROM events GROUP BY ALL")

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
 
+from cellframe.functions.names import free
 from cellframe.operators.mutate import put
+from cellframe.sources.stored import StoredTable
 
 
 def latest(events: DataFrame, key: str, time: str) -> DataFrame:
@@ -39,40 +39,36 @@ def maintain(events: DataFrame, key: str, time: str, load: Callable[[], DataFram
     return events.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def maintain_buckets(events: DataFrame, key: str, time: str, path: str, buckets: int, checkpoint: str) -> StreamingQuery:
-    """As ``maintain``, on a Parquet table in ``buckets`` folders by the key's hash.
+def maintain_buckets(events: DataFrame, key: str, time: str, path: str, buckets: int, checkpoint: str, keep: int = 2) -> StreamingQuery:
+    """As ``maintain``, on a stored table in ``buckets`` by the key's hash.
 
-    A micro-batch reads and rewrites the folders that its keys fall in and no others. What is
-    written comes from a copy of those folders' new rows, so a batch that fails half-way is
-    given again to whole ones.
+    A micro-batch reads and rewrites the files of the buckets that its keys fall in and no others,
+    and is published as one version that names its number. A driver lost at any step leaves the
+    version before, and the batch is given again to that; one that is given again after it was
+    published changes nothing. The last ``keep`` versions stay.
     """
-    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
     def apply(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        new = latest(batch, key, time).withColumn("bucket", bucket)
-        touched = [r[0] for r in new.select("bucket").distinct().collect()]
-        if not touched:
+        if batch.isEmpty():
             return
-        held = read_buckets(spark, path, new.schema)
-        if held is not None:
-            new = latest(held.filter(F.col("bucket").isin(touched)).unionByName(new), key, time)
-        step = f"{path}.step"
-        new.write.mode("overwrite").partitionBy("bucket").parquet(step)
-        again = spark.read.schema(new.schema).parquet(step)
-        again.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+        (bucket,) = free(batch, "bucket")
+        new = latest(batch, key, time).withColumn(bucket, F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+        if not StoredTable.versions(spark, path):
+            StoredTable.create(new, path, [bucket], files=buckets, note={"batch": number}, whole_keys=True)
+            return
+        table = StoredTable.open(spark, path)
+        if table.note["batch"] >= number:
+            return
+        table.rewrite(new, lambda held: latest(held.unionByName(new), key, time), {"batch": number})
+        StoredTable.vacuum(table, keep)
 
     return events.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def read_buckets(spark: SparkSession, path: str, schema: StructType) -> DataFrame | None:
+def read_buckets(spark: SparkSession, path: str) -> DataFrame | None:
     """The table that ``maintain_buckets`` keeps, its bucket column included; None before the first batch."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() == "PATH_NOT_FOUND":
-            return None
-        raise
+    return StoredTable.open(spark, path).read() if StoredTable.versions(spark, path) else None
 
 
 def windowed_counts(events: DataFrame, time: str, late: str, width: str, *groups: str) -> DataFrame:
