@@ -53,6 +53,11 @@ SPDX = [
 # Sentences end at semicolons too: the GNU notices that have one there are two of them,
 # Terms and Later. WRAPS leaves "spdx" of an SPDX tag; tags of several licences are SpdxTag.
 SENTENCES = [
+    ("Negated", "(.* )?(not|never|nor|isn't|aren't|no longer|cannot be) (be |been |yet |itself )?(licensed|released|dedicated|distributed|made available|available) (under|to) .*"),
+    ("Negated", "(.* )?(nothing|none|no part|no files?)( .*)? (is|are|was|were) (licensed|released|dedicated|distributed|made available|available) (under|to) .*"),
+    ("GplVersion3", "(.* )?(redistribute it and/or modify it|modify it|redistribute it) under the terms of the gnu general public license,? as published by the free software foundation[,;]? version 3( of the license)?,?( only)?"),
+    ("GplVersion2", "(.* )?(redistribute it and/or modify it|modify it|redistribute it) under the terms of the gnu general public license,? as published by the free software foundation[,;]? version 2( of the license)?,?( only)?"),
+    ("Agpl3", "(.* )?(redistribute it and/or modify it|modify it|redistribute it) under the terms of the gnu affero general public license,? as published by the free software foundation[,;]? version 3( of the license)?,?( only)?"),
     ("Gpl2OrLater", "(.* )?(redistribute it and|modify it under|under the terms of) .*gnu general public license.* either version 2([.]0)?[ ,].*or .*any later version.*"),
     ("Gpl3OrLater", "(.* )?(redistribute it and|modify it under|under the terms of) .*gnu general public license.* either version 3([.]0)?[ ,].*or .*any later version.*"),
     ("GplVersionOrLater", "(.* )?(redistribute it and|modify it under|under the terms of) .*gnu general public license.* either version [0-9.]+.*or .*any later version.*"),
@@ -73,9 +78,21 @@ SENTENCES = [
     ("Later2", "either version 2([.]0)?( of the license)?,? or .*any later version.*"),
     ("Later21", "either version 2[.]1( of the license)?,? or .*any later version.*"),
     ("Later3", "either version 3([.]0)?( of the license)?,? or .*any later version.*"),
+    ("Only2", "version 2([.]0)?( of the license)?,?( only)?"),
+    ("Only21", "version 2[.]1( of the license)?,?( only)?"),
+    ("Only3", "version 3([.]0)?( of the license)?,?( only)?"),
+    *[
+        (f"{kind}{number}{tail}" if tail or kind != "Gpl" else f"GplVersion{number}", f"(.* )?(licensed|released|distributed|available) under (the )?(terms of the )?(gnu )?{short} ?-?(v|v[.] ?|version )?{version}{later}")
+        for kind, short in (("Agpl", "agpl"), ("Lgpl", "lgpl"), ("Gpl", "gpl"))
+        for number, version in (("21", "2[.]1"), ("2", "2([.]0)?"), ("3", "3([.]0)?"))
+        if (kind, number) not in (("Agpl", "21"), ("Agpl", "2"), ("Gpl", "21"))
+        for tail, later in (("OrLater", "([+]|,? or .*(later|newer)|-or-later)( .*)?"), ("", "( only|-only)?( licen[cs]e)?([ ,;(].*)?"))
+    ],
     ("GplNoWarranty", "(.* )?is distributed in the hope that it will be useful, but without any warranty.*"),
     ("GplSeeCopy", "you should have received a copy of the gnu (lesser |library |affero )?general public license along with .*"),
-    ("ApacheGrant2", "(.* )?(licensed|released) under the apache license,? version 2[.0]*.*"),
+    ("ApacheGrant2", "(.* )?(licensed|released) under the apache license,? (version |v[.]?)?2([.]0)?([ ,;(-].*)?"),
+    ("ApacheGrant2", "(.* )?(licensed|released|distributed|available) under (the )?(terms of the )?apache(-| software license |-license-| license )?,? ?(v|v[.] ?|version )?2([.]0)?( licen[cs]e)?([ ,;(-].*)?"),
+    ("ApacheTitle", "(.* )?apache license,? version 2[.]0, january 2004( .*)?"),
     ("ApacheMayNotUse", "(.* )?you may not use this file except in compliance with the license"),
     ("ApacheObtainCopy", "(.* )?you may obtain a copy of the license at.*"),
     ("ApacheAsIs", "unless required by applicable law or agreed to in writing, software distributed under the license is distributed on an \"as is\" basis.*"),
@@ -87,6 +104,7 @@ SENTENCES = [
     ("BsdGrant", "(.* )?redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("BsdSource", "(.* )?redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.*"),
     ("BsdBinary", "(.* )?redistributions in binary form must reproduce the above copyright notice.*"),
+    ("BsdAdvertising", "(.* )?all advertising materials mentioning features or use of this software must display the following acknowledge?ment"),
     ("BsdNoEndorse", "(.* )?((neither the name|nor the names) of .* may be used|the names? of .* may not be used) to endorse or promote products derived from this software without specific prior written permission.*"),
     ("BsdReleased", "(.* )?(licensed|released) under the (terms of the )?((3-clause|new|modified) bsd|bsd 3-clause) licen[cs]e([ ,(-].*)?"),
     ("Bsd2Released", "(.* )?(licensed|released) under the (terms of the )?((2-clause|simplified) bsd|bsd 2-clause) licen[cs]e([ ,(-].*)?"),
@@ -100,12 +118,18 @@ SENTENCES = [
     ("ZeroBsdGrant", "(.* )?permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
     ("WtfplTerms", "(.* )?do what the f[a-z*]+ you want to public license.*"),
     ("IscGrant", "(.* )?permission to use, copy, modify, and(/or)? distribute this software for any purpose with or without fee is hereby granted.*"),
-    ("MplNotice", "(.* )?this source code form is subject to the terms of the mozilla public license,? v(ersion 2[.0]*)?"),
-    ("CcByNcSa4", "(.* )?(licensed|released) under (a |the )?(cc|creative commons) by-nc-sa 4[.0]*.*"),
-    ("CcByNc4", "(.* )?(licensed|released) under (a |the )?(cc|creative commons) by-nc 4[.0]*.*"),
-    ("CcBySa4", "(.* )?(licensed|released) under (a |the )?(cc|creative commons) by-sa 4[.0]*.*"),
-    ("CcBy4", "(.* )?(licensed|released) under (a |the )?(cc|creative commons) by 4[.0]*.*"),
-    ("Cc0Dedication", "(.* )?(cc0 1\\.0 universal|dedicated to the public domain).*"),
+    ("MplNotice", "(.* )?this source code form is subject to the terms of the mozilla public license,? (v|v[.]? ?2([.]0)?|version 2([.]0)?)"),
+    ("Mpl11Notice", "(.* )?the contents of this file are subject to the mozilla public license,? (v[.]?|version) ?1[.]1([ ,;(-].*)?"),
+    *[
+        (name, f"(.* )?(licensed|released|available|distributed) under (a |the )?(terms of the )?(cc|creative commons) attribution{kind} 4([.]0)?( international)?( public)?( licen[cs]e)?([ ,;(-].*)?")
+        for name, kind in (("CcByNcSa4", "[- ]noncommercial[- ]sharealike"), ("CcByNc4", "[- ]noncommercial"), ("CcBySa4", "[- ]sharealike"), ("CcBy4", ""))
+    ],
+    ("CcByNcSa4", "(.* )?(licensed|released) under (a |the )?(cc|creative commons) by-nc-sa 4([.]0)?([ ,;(-].*)?"),
+    ("CcByNc4", "(.* )?(licensed|released) under (a |the )?(cc|creative commons) by-nc 4([.]0)?([ ,;(-].*)?"),
+    ("CcBySa4", "(.* )?(licensed|released) under (a |the )?(cc|creative commons) by-sa 4([.]0)?([ ,;(-].*)?"),
+    ("CcBy4", "(.* )?(licensed|released) under (a |the )?(cc|creative commons) by 4([.]0)?([ ,;(-].*)?"),
+    ("Cc0Dedication", "(.* )?(cc0 1[.]0( universal)?|creative commons zero( v?1[.]0)?)([ ,;(-].*)?"),
+    ("PublicDomain", "(.* )?(dedicated to|placed in|released into) the public domain.*"),
     ("SpdxTag", "(.* )?spdx [(]*[a-z0-9.+-]+ (or|and|with) .*"),
     *[("Spdx:" + name, f"(.* )?spdx ({tags})( .*)?") for name, tags in SPDX],
     ("SpdxTag", "(.* )?spdx .*"),
@@ -120,6 +144,7 @@ RULES = [
     ("Apache-2.0", ["ApacheGrant2", "ApacheMayNotUse", "ApacheObtainCopy", "ApacheAsIs"]),
     ("Apache-2.0", ["ApacheGrant2", "ApacheMayNotUse"]),
     ("Apache-2.0", ["ApacheGrant2"]),
+    ("Apache-2.0", ["ApacheTitle"]),
     *[
         (name, ids + tail)
         for tail in (["GplNoWarranty", "GplSeeCopy"], ["GplNoWarranty"], [])
@@ -140,14 +165,20 @@ RULES = [
             ("LGPL-3.0-or-later", ["Lgpl3OrLater"]),
             ("LGPL-3.0-or-later", ["LgplTerms", "Later3"]),
             ("LGPL-3.0", ["Lgpl3"]),
+            ("LGPL-2.0", ["LgplTerms", "Only2"]),
+            ("LGPL-2.1", ["LgplTerms", "Only21"]),
+            ("LGPL-3.0", ["LgplTerms", "Only3"]),
+            ("AGPL-3.0", ["AgplTerms", "Only3"]),
+            ("GPL-2.0", ["GplTerms", "Only2"]),
+            ("GPL-3.0", ["GplTerms", "Only3"]),
+            ("GPL-3.0", ["GplVersion3"]),
+            ("GPL-2.0", ["GplVersion2"]),
         ]
     ],
-    ("GPL-3.0", ["GplVersion3", "GplNoWarranty", "GplSeeCopy"]),
-    ("GPL-3.0", ["GplVersion3"]),
-    ("GPL-2.0", ["GplVersion2", "GplNoWarranty", "GplSeeCopy"]),
-    ("GPL-2.0", ["GplVersion2"]),
     ("MIT", ["MitGrant", "MitNotice", "AsIsUpper"]),
     ("MIT", ["MitReleased"]),
+    ("BSD-4-Clause", ["BsdGrant", "BsdSource", "BsdBinary", "BsdAdvertising", "BsdNoEndorse"]),
+    ("BSD-4-Clause", ["BsdGrant", "BsdSource", "BsdBinary", "BsdAdvertising"]),
     ("BSD-3-Clause", ["BsdGrant", "BsdSource", "BsdBinary", "BsdNoEndorse"]),
     ("BSD-2-Clause", ["BsdGrant", "BsdSource", "BsdBinary"]),
     ("BSD-3-Clause", ["BsdReleased"]),
@@ -162,6 +193,7 @@ RULES = [
     ("EPL-2.0", ["Epl2"]),
     ("WTFPL", ["WtfplTerms"]),
     ("MPL-2.0", ["MplNotice"]),
+    ("MPL-1.1", ["Mpl11Notice"]),
     ("CC-BY-NC-SA-4.0", ["CcByNcSa4"]),
     ("CC-BY-NC-4.0", ["CcByNc4"]),
     ("CC-BY-SA-4.0", ["CcBySa4"]),
@@ -171,7 +203,7 @@ RULES = [
 ]
 
 #: A sentence that holds none of these cannot be a known one; the check is cheap.
-HINTS = ("licen", "copyright", "©", "permi", "warranty", "redistribut", "all rights", "endorse", "copy of the", "public domain", "cc0", "applicable law", "spdx", "any later version", "in the hope", "as-is", "anyone is free")
+HINTS = ("licen", "copyright", "©", "permi", "warranty", "redistribut", "all rights", "endorse", "copy of the", "public domain", "cc0", "applicable law", "spdx", "any later version", "in the hope", "under the gpl", "under gpl", "under lgpl", "under the lgpl", "under agpl", "under the agpl", "under the gnu", "under apache", "under the apache", "under cc", "creative commons", "advertising materials", "version 2", "version 3", "as-is", "anyone is free")
 SPLIT = r"\n[ \t\r\f\x0B]*\n|[.!?;:](?:[ \t\r\n\f\x0B]|$)"
 #: Line ends with the comment signs that start the next line; the rest of an SPDX tag, whose colon ends no sentence.
 WRAPS = r"\n[ \t]*(?:#+|\*+|//+|;+|--)[ \t]*|-license-identifier:[ \t]*"

@@ -170,6 +170,26 @@ NOTICES = [
     ("This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/", "EPL-2.0", 0),
     (BSD2[0] + "\n\nReleased under the MIT License.\n\n" + BSD2[1], "MIT", 3),
     ("Released under the MIT License.\n\n" + GNU.format(what="program", mark=";", kind="", cut=";", version="2") + "\nLicensed under the Apache License, Version 2.0.", "Apache-2.0,GPL-2.0-or-later,MIT", 0),
+    (BSD.format(a="1.", b="2.", c="4.").replace("4. Neither", "3. All advertising materials mentioning features or use of this software\n   must display the following acknowledgement:\n   This product includes software developed by Foo Inc.\n\n4. Neither"), "BSD-4-Clause", 2),
+    ("This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, version 3.\n", "GPL-3.0", 0),
+    ("You may redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; version 2 of the License.", "GPL-2.0", 0),
+    ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; version 2.1 of the License.", "LGPL-2.1", 0),
+    ("This file is not licensed under the MIT License.", "", 1),
+    ("The data are no longer available under the Apache License, Version 2.0.", "", 1),
+    ("Nothing here is dedicated to the public domain.", "", 1),
+    ("This work is dedicated to the public domain.", "", 1),
+    ("This work is under CC0 1.0 Universal.", "CC0-1.0", 0),
+    ("Licensed under the Apache License, Version 20.1", "", 1),
+    ("Licensed under the Apache License, Version 2.0 (the License).", "Apache-2.0", 0),
+    ("Code is released under the Apache 2.0 license.", "Apache-2.0", 0),
+    ("Released under GPLv3.", "GPL-3.0", 0),
+    ("The sources are available under the GPL v2 or later.", "GPL-2.0-or-later", 0),
+    ("Distributed under LGPLv2.1+", "LGPL-2.1-or-later", 0),
+    ("This text is licensed under a Creative Commons Attribution 4.0 International License.", "CC-BY-4.0", 0),
+    ("Licensed under the Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International Public License", "CC-BY-NC-SA-4.0", 0),
+    ("Licensed under CC BY 40.", "", 1),
+    ("                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS FOR USE", "Apache-2.0", 0),
+    ("The contents of this file are subject to the Mozilla Public License Version 1.1 (the \"License\"); you may not use this file except in compliance with the License.", "MPL-1.1", 1),
     ("# SPDX-License-Identifier: MIT OR Apache-2.0\n", "", 1),
     ("# SPDX-License-Identifier: Foo-1.0\n", "", 1),
 ]
