@@ -29,6 +29,8 @@ GREY = np.repeat(np.arange(256, dtype=np.uint8)[:, None], 3, axis=1)
 LITERALS = 254
 #: A canvas of more pixels is refused: its four bytes a pixel would come from the header alone.
 MOST_PIXELS = 1 << 26
+#: What ``parse`` raises for bytes that are no whole GIF.
+BROKEN = (ValueError, IndexError, struct.error)
 
 
 @dataclass
@@ -410,15 +412,24 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def read_media(stored: DataFrame) -> DataFrame:
-    """Decodes a (doc_id, n_bytes, media) table: payload digests, media digests and features."""
+    """Decodes a (doc_id, n_bytes, media) table: payload digests, media digests and features.
+
+    Null media has none of these, and media that is not a whole GIF, or whose canvas is over
+    ``MOST_PIXELS``, only its own length and digest; the rows stay.
+    """
 
     def build():
         def convert(batch: pa.RecordBatch) -> pa.RecordBatch:
             rows = []
             for data in batch.column(2).to_pylist():
-                gif = parse(data)
+                own = (None, None) if data is None else (len(data), hashlib.sha256(data).hexdigest())
+                try:
+                    gif = parse(data or b"")
+                except BROKEN:
+                    rows.append((None, None, None, *own, None))
+                    continue
                 payload = b"".join(f.pixels.tobytes() for f in gif.frames)
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), features(gif)))
+                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), *own, features(gif)))
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
             columns = [pa.array(values, kind) for values, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
             names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
@@ -447,7 +458,7 @@ def frames_table(media: DataFrame, id_col: str = "doc_id", media_col: str = "med
                     for i, ((delay, canvas), f) in enumerate(zip(composed(gif), gif.frames, strict=True)):
                         own.append((key, i, start, delay, f.left, f.top, f.width, f.height, f.disposal, histogram(canvas).tolist()))
                         start += delay
-                except ValueError:
+                except BROKEN:
                     continue
                 rows += own
             names = ["media_id", "frame", "start_ms", "delay_ms", "left", "top", "width", "height", "disposal", "histogram"]

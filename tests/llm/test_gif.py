@@ -147,3 +147,11 @@ def test_query(spark):
         assert (r.payload_sha256, r.media_bytes, r.media_sha256) == (hashlib.sha256(payload).hexdigest(), len(data), hashlib.sha256(data).hexdigest())
         counts = np.bincount(np.frombuffer(payload, np.uint8) >> 6, minlength=4)
         assert r.feature.split("rgb64[")[1] == ";".join(f"{21 * i}={n}" for i, n in enumerate(counts.tolist()) if n) + "]"
+
+
+def test_null_and_broken_media(spark):
+    whole = gif.store_texts(spark.createDataFrame([(1, "a")], "doc_id long, text string")).collect()[0].media
+    rows = [(1, 1, bytes(whole)), (2, None, None), (3, 0, b""), (4, 5, bytes(whole[:-40])), (5, 1, b"GIF89a")]
+    got = {r.doc_id: r for r in gif.read_media(spark.createDataFrame(rows, "doc_id long, n_bytes long, media binary")).collect()}
+    assert len(got) == 5 and got[1].payload_bytes == 192 and got[2].media_bytes is None and got[4].media_bytes == len(whole) - 40
+    assert all(got[k].payload_sha256 is None and got[k].feature is None for k in (2, 3, 4, 5))
