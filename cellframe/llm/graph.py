@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellframe.llm.common import written
+from cellframe.llm.common import to_many, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -20,10 +20,11 @@ def components(edges: DataFrame) -> DataFrame:
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")).select("node", F.least("node", "near").alias("comp")), "labels")
     while True:
         far = labels.select(F.col("node").alias("b"), F.col("comp").alias("theirs"))
-        near = both.join(far, "b").groupBy(F.col("a").alias("node")).agg(F.min("theirs").alias("near"))
+        # a node with many neighbours, and the label of a large component, are hot keys
+        near = to_many(both, far, "b", "a").groupBy(F.col("a").alias("node")).agg(F.min("theirs").alias("near"))
         step = labels.join(near, "node").select("node", F.col("comp").alias("old"), F.least("comp", "near").alias("mid"))
         jump = labels.select(F.col("node").alias("mid"), F.col("comp").alias("end"))
-        after = step.join(jump, "mid").select("node", F.least("mid", "end").alias("comp"), (F.least("mid", "end") != F.col("old")).alias("changed"))
+        after = to_many(step, jump, "mid", "node").select("node", F.least("mid", "end").alias("comp"), (F.least("mid", "end") != F.col("old")).alias("changed"))
         after = written(after, "labels")
         if after.filter("changed").isEmpty():
             return after.select("node", "comp")

@@ -211,7 +211,8 @@ def light_edges(sets: DataFrame, most: int) -> DataFrame:
 
     keys = sets.filter(F.col("n") <= most).select("rep", "n", "tokens").mapInArrow(enumerate_subsets, "key long, side long, rep long")
     ends = keys.groupBy("key").agg(F.min(F.when(F.col("side") <= 0, F.col("rep"))).alias("low"), F.min(F.when(F.col("side") >= 0, F.col("rep"))).alias("high"))
-    met = keys.join(ends.filter("low IS NOT NULL AND high IS NOT NULL"), "key")
+    # many sets may have one subset, and one pivot many partners: such keys are salted
+    met = to_many(keys, ends.filter("low IS NOT NULL AND high IS NOT NULL"), "key", "rep", SALTS)
     other = F.when(F.col("side") < 0, F.col("high")).otherwise(F.col("low"))
     return met.select(F.col("rep").alias("a"), other.alias("b")).filter("a <> b").distinct()
 
@@ -244,8 +245,8 @@ def list_length(sets: DataFrame) -> float:
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) that link."""
     own = sets.select("rep", "n", "tokens")
-    left = pairs.join(own.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("tokens").alias("t_a")), "a")
-    full = left.join(own.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("tokens").alias("t_b")), "b")
+    left = to_many(pairs, own.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("tokens").alias("t_a")), "a", "b", SALTS)
+    full = to_many(left, own.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("tokens").alias("t_b")), "b", "a", SALTS)
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
