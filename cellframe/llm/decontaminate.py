@@ -228,7 +228,7 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = 0.8, id_col:
 
 
 def clean(docs: DataFrame, items: DataFrame, threshold: float = 0.8, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The rows, with all their columns, whose text contains no item."""
+    """The rows, with all their columns, whose text contains no item; null and empty texts contain none and stay."""
     index = index_of(items, threshold, item_col, item_text_col)
     if index is None:
         name = next(n for n in ("row" + "_" * k for k in range(len(docs.columns) + 1)) if n not in docs.columns)

@@ -10,6 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cellframe.functions.names import free
 from cellframe.llm import bpe, decontaminate, jaccard, langid, secrets
 from cellframe.llm.common import read, written
 
@@ -38,28 +39,29 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def one_row_a_group(docs: DataFrame) -> DataFrame:
     """The row with the smallest doc_id, then content, of each group of linked rows; rows without an id stay."""
-    rows = written(docs.filter("doc_id IS NOT NULL").withColumn("_row", F.monotonically_increasing_id()), "rows")
-    groups = jaccard.near_duplicates(rows, "_row").select(F.col("doc_id").alias("_row"), "n_shingles", "component_id")
+    (row,) = free(docs, "row")
+    rows = written(docs.filter("doc_id IS NOT NULL").withColumn(row, F.monotonically_increasing_id()), "rows")
+    groups = jaccard.near_duplicates(rows, row).select(F.col("doc_id").alias("at"), "n_shingles", "component_id")
     content = F.sha2(F.to_json(F.struct(*docs.columns)), 256)
-    placed = rows.select("_row", "doc_id", content.alias("content")).join(groups, "_row")
+    placed = rows.select(F.col(row).alias("at"), "doc_id", content.alias("content")).join(groups, "at")
     worded = F.col("n_shingles") > 0
     keys = [F.when(worded, F.col("component_id")).alias("component"), F.when(~worded, F.col("doc_id")).alias("blank")]
-    kept = placed.groupBy(*keys).agg(F.min(F.struct("doc_id", "content", "_row")).alias("first")).select("first._row")
-    return rows.join(kept, "_row", "left_semi").select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))
+    kept = placed.groupBy(*keys).agg(F.min(F.struct("doc_id", "content", "at")).alias("first")).select(F.col("first.at").alias(row))
+    return rows.join(kept, row, "left_semi").select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain a benchmark item go."""
+    """Documents that contain a benchmark item go; null and empty texts contain none and stay."""
     return decontaminate.clean(docs, read(spark, sf_dir, "benchmark"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents stay; their secrets are replaced and n_chars is brought up to date."""
+    """Documents stay; their secrets are replaced and n_chars is brought up to date. Null and empty texts stay as they are."""
     return secrets.redact(docs)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256, packed): the encoded corpus."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, packed): the encoded corpus; a null or empty text has no ids."""
     path = public_tokenizers.path(TOKENS)
     coded = bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN), path)
     return coded.select(

@@ -53,9 +53,9 @@ def test_stages_against_brute_force(spark):
 def test_rows_that_share_an_id(spark):
     a, b, c, d = (" ".join(f"{w}{k}" for k in range(30)) for w in "abcd")
     rows = [(1, a), (1, b), (1, a), (2, a + " end"), (3, b), (4, None), (4, " "), (5, c), (5, c), (6, a), (6, d), (7, None), (None, a), (None, a)]
-    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, 5, "at") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, row int, at string").repartition(3)
     got = corpus_pipeline.jaccard_join(spark, docs, SF)
-    assert got.columns == docs.columns
+    assert got.columns == docs.columns and {(r["row"], r["at"]) for r in got.collect()} == {(5, "at")}
     kept = sorted(((r.doc_id, (r.text or "").strip()) for r in got.collect()), key=repr)
     assert kept == sorted([(1, a), (1, b), (4, ""), (5, c), (6, d), (7, ""), (None, a), (None, a)], key=repr)
 
