@@ -514,10 +514,12 @@ def multimap_query_all(spark, sf_dir):
     return bag(spark, sf_dir).query_all((5.0, 0.01), (8.0, 0.03), limit=20, select=["l_orderkey"])
 
 
-@query("SELECT list(n ORDER BY n) AS names FROM (SELECT p_name AS n FROM part WHERE p_size = 7)")
+@query("""WITH n AS (SELECT p_size, p_name, (row_number() OVER (PARTITION BY p_size ORDER BY p_name) - 1) // 16 AS ordinal FROM part WHERE p_size IS NOT NULL)
+SELECT p_size, ordinal, list(p_name ORDER BY p_name) AS names FROM n GROUP BY ALL""")
 def multimap_collect(spark, sf_dir):
+    """The values of every key as arrays of 16 at most."""
     table = MultiTable(_read(spark, sf_dir, "part"), ("p_size",), ("p_name",))
-    return table.grouped((7,)).select(F.transform("values", lambda v: v["p_name"]).alias("names"))
+    return table.listed(16).select("p_size", "ordinal", F.transform("values", lambda v: v["p_name"]).alias("names"))
 
 
 @query("SELECT count(*) > 0 AS found FROM lineitem WHERE l_quantity = 17.0 AND l_linenumber = 3")

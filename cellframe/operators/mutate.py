@@ -14,6 +14,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cellframe.functions.names import free
+
 
 def keyed(frame: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The rows whose key is whole."""
@@ -58,27 +60,30 @@ def remove(table: DataFrame, gone: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def remove_pairs(table: DataFrame, gone: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Removes keys whose value equals the given one, null-safe."""
-    right = gone.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col(value).alias("_value"))
-    same = F.col(value).eqNullSafe(F.col("_value"))
-    for k in keys:
-        same = same & (F.col(k) == F.col(f"_{k}"))
+    names = free([table, gone], *[f"_{k}" for k in keys], "_value")
+    right = gone.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=False)], F.col(value).alias(names[-1]))
+    same = F.col(value).eqNullSafe(F.col(names[-1]))
+    for k, n in zip(keys, names, strict=False):
+        same = same & (F.col(k) == F.col(n))
     return table.join(right, same, "left_anti")
 
 
 def replace(table: DataFrame, changes: DataFrame, keys: Sequence[str], value: str, sequence: str | None = None) -> DataFrame:
     """New values for keys that exist."""
     last = last_writes(changes.select(*keys, value, *([sequence] if sequence else [])), keys, sequence)
-    new = last.select(*keys, F.col(value).alias("_new"), F.lit(True).alias("_hit"))
+    given, hit = free(table, "_new", "_hit")
+    new = last.select(*keys, F.col(value).alias(given), F.lit(True).alias(hit))
     joined = table.join(new, list(keys), "left")
-    return joined.withColumn(value, F.when(F.col("_hit"), F.col("_new")).otherwise(F.col(value))).select(*table.columns)
+    return joined.withColumn(value, F.when(F.col(hit), F.col(given)).otherwise(F.col(value))).select(*table.columns)
 
 
 def compare_and_set(table: DataFrame, changes: DataFrame, keys: Sequence[str], value: str, old: str, new: str) -> DataFrame:
     """``new`` where the stored value equals ``old``, null-safe."""
-    given = last_writes(changes.select(*keys, old, new), keys).select(*keys, F.col(old).alias("_old"), F.col(new).alias("_new"), F.lit(True).alias("_hit"))
+    before, after, hit = free(table, "_old", "_new", "_hit")
+    given = last_writes(changes.select(*keys, old, new), keys).select(*keys, F.col(old).alias(before), F.col(new).alias(after), F.lit(True).alias(hit))
     joined = table.join(given, list(keys), "left")
-    swap = F.coalesce(F.col("_hit"), F.lit(False)) & F.col(value).eqNullSafe(F.col("_old"))
-    return joined.withColumn(value, F.when(swap, F.col("_new")).otherwise(F.col(value))).select(*table.columns)
+    swap = F.coalesce(F.col(hit), F.lit(False)) & F.col(value).eqNullSafe(F.col(before))
+    return joined.withColumn(value, F.when(swap, F.col(after)).otherwise(F.col(value))).select(*table.columns)
 
 
 def move(table: DataFrame, moves: DataFrame, keys: Sequence[str], new_keys: Sequence[str], on_conflict: str = "reject") -> DataFrame:
@@ -119,16 +124,47 @@ def compute(table: DataFrame, asked: DataFrame, keys: Sequence[str], value: str,
     columns = table.columns
     args = [c for c in asked.columns if c not in keys]
     asked = last_writes(asked, keys)
-    held = table.withColumn("_held", F.lit(True))
-    both = held.join(asked.withColumn("_asked", F.lit(True)), list(keys), "full_outer")
-    stored, wanted = F.coalesce("_held", F.lit(False)), F.coalesce("_asked", F.lit(False))
+    here, there, made = free([table, asked], "_held", "_asked", "_result")
+    held = table.withColumn(here, F.lit(True))
+    both = held.join(asked.withColumn(there, F.lit(True)), list(keys), "full_outer")
+    stored, wanted = F.coalesce(here, F.lit(False)), F.coalesce(there, F.lit(False))
     applies = {"always": wanted, "absent": wanted & ~stored, "present": wanted & stored}[when]
-    after = both.withColumn("_result", result(F.col(value), stored))
-    kept = (~applies & stored) | (applies & F.col("_result").isNotNull())
-    return after.filter(kept).withColumn(value, F.when(applies, F.col("_result")).otherwise(F.col(value))).drop("_held", "_asked", "_result", *args).select(*columns)
+    after = both.withColumn(made, result(F.col(value), stored))
+    kept = (~applies & stored) | (applies & F.col(made).isNotNull())
+    return after.filter(kept).withColumn(value, F.when(applies, F.col(made)).otherwise(F.col(value))).drop(here, there, made, *args).select(*columns)
+
+
+# --- bags: (keys, value) pairs that may repeat, changed as pairs with a number of copies ---
+
+#: Copies of a pair that one task writes out.
+COPIES = 1000
+
+
+def counted(bag: DataFrame, copies: str) -> DataFrame:
+    """Each distinct pair once, with how many copies there are; nulls are equal. Tasks count before anything is shuffled."""
+    return bag.groupBy(*bag.columns).agg(F.count("*").alias(copies))
 
 
-# --- bags ---
+def expanded(pairs: DataFrame, copies: str) -> DataFrame:
+    """Every pair as often as ``copies`` says; those of one pair are dealt to many tasks, ``COPIES`` at a time."""
+    (chunk,) = free(pairs, "_chunk")
+    rest = [c for c in pairs.columns if c != copies]
+    cut = pairs.filter(F.col(copies) > 0).withColumn(chunk, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(copies) - 1) / COPIES).cast("long"))))
+    sized = cut.withColumn(copies, F.least(F.lit(COPIES).cast("long"), F.col(copies) - F.col(chunk) * COPIES))
+    dealt = sized.repartition(*[F.col(c) for c in rest], F.col(chunk))
+    return dealt.withColumn(chunk, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).select(*rest)
+
+
+def _held_and_asked(bag: DataFrame, asked: DataFrame, copies: str, times: str) -> DataFrame:
+    """Each pair that the bag holds or that is asked for: copies, times asked, and the greatest of each further column of ``asked``.
+
+    One aggregation of both, so that no pair is a hot group, however often it is there or asked for.
+    """
+    columns, more = bag.columns, [c for c in asked.columns if c not in bag.columns]
+    kinds = dict(asked.dtypes)
+    held = bag.select("*", F.lit(1).alias(copies), F.lit(0).alias(times), *[F.lit(None).cast(kinds[c]).alias(c) for c in more])
+    wanted = asked.select(*columns, F.lit(0).alias(copies), F.lit(1).alias(times), *more)
+    return held.unionByName(wanted).groupBy(*columns).agg(F.sum(copies).alias(copies), F.sum(times).alias(times), *[F.max(c).alias(c) for c in more])
 
 
 def bag_put(bag: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -137,76 +173,70 @@ def bag_put(bag: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def bag_remove(bag: DataFrame, pairs: DataFrame) -> DataFrame:
     """Removes one copy for each given pair."""
-    return bag.exceptAll(pairs.select(*bag.columns))
+    copies, times = free(bag, "_copies", "_times")
+    both = _held_and_asked(bag, pairs.select(*bag.columns), copies, times)
+    return expanded(both.withColumn(copies, F.col(copies) - F.col(times)).drop(times), copies)
 
 
 def bag_move(bag: DataFrame, moves: DataFrame, keys: Sequence[str], new_keys: Sequence[str]) -> DataFrame:
-    """Moves one copy of each (keys, value) to its new keys, if there is one."""
-    values = [c for c in bag.columns if c not in keys]
-    order = Window.partitionBy(*bag.columns).orderBy(F.lit(0))
-    numbered = bag.withColumn("_n", F.row_number().over(order))
-    asked = moves.withColumn("_n", F.row_number().over(Window.partitionBy(*keys, *values).orderBy(*new_keys)))
-    on = [*bag.columns, "_n"]
-    left = numbered.select(*[F.col(c).alias(f"_l_{c}") for c in on])
-    same = None
-    for c in on:
-        part = F.col(f"_l_{c}").eqNullSafe(F.col(c))
-        same = part if same is None else same & part
-    both = left.join(asked, same, "left")
-    here = F.col("_n").isNotNull()
-    moved = [F.when(here, F.col(new)).otherwise(F.col(f"_l_{k}")).alias(k) for k, new in zip(keys, new_keys, strict=True)]
-    return both.select(*moved, *[F.col(f"_l_{v}").alias(v) for v in values]).select(*bag.columns)
+    """Moves one copy of each (keys, value) to its new keys, if there is one; of too many moves, those to the smallest new keys count.
+
+    What is numbered for a pair are its distinct new keys, not its copies or moves.
+    """
+    copies, times, before, row = free([bag, moves], "_copies", "_times", "_before", "_row")
+    kinds = dict(moves.dtypes)
+    held = counted(bag, copies).select("*", F.lit(0).cast("long").alias(times), *[F.lit(None).cast(kinds[n]).alias(n) for n in new_keys])
+    wanted = moves.groupBy(*bag.columns, *new_keys).agg(F.count("*").alias(times)).withColumn(copies, F.lit(0).cast("long"))
+    pair = Window.partitionBy(*bag.columns)
+    up_to = pair.orderBy(F.col(times) > 0, *new_keys).rowsBetween(Window.unboundedPreceding, -1)
+    both = held.unionByName(wanted).withColumns({row: F.max(copies).over(pair), before: F.coalesce(F.sum(times).over(up_to), F.lit(0))})
+    moved = F.greatest(F.lit(0), F.least(F.col(times), F.col(row) - F.col(before)))
+    asked = F.sum(times).over(pair)
+    left = F.greatest(F.lit(0), F.col(copies) - asked)
+    here = F.col(times) > 0
+    out = both.select(*[F.when(here, F.col(new)).otherwise(F.col(k)).alias(k) for k, new in zip(keys, new_keys, strict=True)], *[c for c in bag.columns if c not in keys], F.when(here, moved).otherwise(left).alias(copies))
+    return expanded(out, copies).select(*bag.columns)
 
 
 def bag_put_if_absent(bag: DataFrame, pairs: DataFrame) -> DataFrame:
     """Adds each given pair once unless the bag holds an equal one."""
-    new = pairs.select(*bag.columns).distinct()
-    return bag.unionByName(_without(new, bag, bag.columns))
+    copies, times = free(bag, "_copies", "_times")
+    both = _held_and_asked(bag, pairs.select(*bag.columns), copies, times)
+    return expanded(both.withColumn(copies, F.greatest(F.col(copies), F.lit(1))).drop(times), copies)
 
 
 def bag_replace(bag: DataFrame, changes: DataFrame, keys: Sequence[str], value: str, old: str, new: str) -> DataFrame:
     """One copy of each (keys, ``old``) gets the value ``new``, if there is one; a null ``new`` removes it."""
-    asked = changes.select(*keys, F.col(old).alias(value), F.col(new).alias("_new"))
-    return bag_compute(bag, asked, keys, value, lambda v: F.col("_new"))
+    (after,) = free([bag, changes], "_after")
+    asked = changes.select(*keys, F.col(old).alias(value), F.col(new).alias(after))
+    return bag_compute(bag, asked, keys, value, lambda v: F.col(after))
 
 
 def bag_compute_if_absent(bag: DataFrame, asked: DataFrame, keys: Sequence[str], value: str, result: Callable[[Column], Column]) -> DataFrame:
     """For each asked (keys, value) without an equal pair, ``result(value)`` is added at the keys, unless null."""
-    new = _without(last_writes(asked, [*keys, value]), bag, [*keys, value])
-    return bag.unionByName(new.withColumn(value, result(F.col(value))).filter(F.col(value).isNotNull()).select(*bag.columns))
+    return bag_compute(bag, keyed(asked, [value]), keys, value, None, result)
 
 
-def bag_compute(bag: DataFrame, asked: DataFrame, keys: Sequence[str], value: str, result: Callable[[Column], Column], absent: Callable[[Column], Column] | None = None) -> DataFrame:
+def bag_compute(bag: DataFrame, asked: DataFrame, keys: Sequence[str], value: str, result: Callable[[Column], Column] | None, absent: Callable[[Column], Column] | None = None) -> DataFrame:
     """For each asked (keys, value) that the bag holds, one copy gets a new value; a null result removes it.
 
     Columns of ``asked`` beyond these can be used in ``result``. With ``absent``, pairs that
-    are not held are added as in ``bag_compute_if_absent``.
+    are not held are added as in ``bag_compute_if_absent``; without ``result``, held ones stay.
+    The bag has no columns but these.
     """
-    more = [c for c in asked.columns if c not in [*keys, value]]
-    once = asked.groupBy(*keys, value).agg(*[F.max(c).alias(c) for c in more]) if more else asked.select(*keys, value).distinct()
-    ask = once.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col(value).alias("_v"), *more, F.lit(True).alias("_hit"))
-    order = Window.partitionBy(*keys, value).orderBy(F.lit(0))
-    numbered = bag.withColumn("_n", F.row_number().over(order))
-    same = F.col("_v").eqNullSafe(F.col(value)) & (F.col("_n") == 1)
-    for k in keys:
-        same = same & (F.col(f"_k_{k}") == F.col(k))
-    both = numbered.join(ask, same, "left")
-    hit = F.col("_hit").isNotNull()
-    after = both.withColumn(value, F.when(hit, result(F.col(value))).otherwise(F.col(value)))
-    after = after.filter(~hit | F.col(value).isNotNull()).select(*bag.columns)
-    if absent is None:
-        return after
-    new = _without(once, bag, [*keys, value]).withColumn(value, absent(F.col(value))).filter(F.col(value).isNotNull())
-    return after.unionByName(new.select(*bag.columns))
-
-
-def _without(rows: DataFrame, held: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Rows that agree with none of ``held`` in all ``columns``, nulls being equal."""
-    right = held.select(*[F.col(c).alias(f"_h_{c}") for c in columns])
-    same = F.lit(True)
-    for c in columns:
-        same = same & F.col(c).eqNullSafe(F.col(f"_h_{c}"))
-    return rows.join(right, same, "left_anti")
+    if sorted(bag.columns) != sorted([*keys, value]):
+        raise ValueError("a bag holds keys and one value")
+    copies, times, change, made = free([bag, asked], "_copies", "_times", "_change", "_made")
+    both = _held_and_asked(bag, keyed(asked, keys), copies, times)
+    wanted, held = F.col(times) > 0, F.col(copies) > 0
+    nothing = F.lit(None).cast(bag.schema[value].dataType)
+    new = F.when(wanted & held, result(F.col(value)) if result else nothing).when(wanted & ~held, absent(F.col(value)) if absent else nothing)
+    gone = F.when(wanted & held, F.lit(1)).otherwise(F.lit(0)) if result else F.lit(0)
+    told = both.withColumn(made, new.cast(bag.schema[value].dataType))
+    kept = F.struct(F.col(value).alias(value), (F.col(copies) - gone).alias(copies))
+    added = F.struct(F.col(made).alias(value), F.when(F.col(made).isNotNull(), F.lit(1)).otherwise(F.lit(0)).cast("long").alias(copies))
+    after = told.select(*keys, F.explode(F.array(kept, added)).alias(change))
+    return expanded(after.select(*keys, F.col(change)[value].alias(value), F.col(change)[copies].alias(copies)), copies).select(*bag.columns)
 
 
 # --- sets ---

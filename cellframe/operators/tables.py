@@ -19,6 +19,10 @@ from pyspark.sql import functions as F
 from cellframe.functions import bits
 from cellframe.functions.encoding import Encoding, Ieee
 from cellframe.functions.metrics import BOX_METRICS, L2, Metric, array_l2, box_reach
+from cellframe.functions.names import free
+from cellframe.operators.order import places
+from cellframe.plans.skew import facts_of
+from cellframe.sources.shared import written
 
 Filter = Callable[[DataFrame], Column] | Column | None
 
@@ -228,6 +232,22 @@ class MultiTable(SpatialTable):
         """(values): all values at a key as one sorted array."""
         return self.df.filter(self._at(key)).agg(F.sort_array(F.collect_list(F.struct(*self.values))).alias("values"))
 
+    def listed(self, most: int = 10_000, keys: Sequence | None = None) -> DataFrame:
+        """(keys, ordinal, values): each key's values, sorted, as arrays of ``most`` at most, one row for each, from ordinal 0 on.
+
+        All keys, or one of them. Rows are placed in the order of keys and values over all tasks,
+        so a key with a third of all values is cut like any other, and no task holds all of its values.
+        """
+        one, place, first, number, packed = free(self.df, "_one", "_place", "_first", "ordinal", "values")
+        rows = (self.df if keys is None else self.df.filter(self._at(keys))).select(*self.keys, *self.values)
+        held = conjunction([F.col(k).isNotNull() for k in self.keys])
+        placed = written(places(rows.filter(held), [*self.keys, *self.values], place), "placed")
+        starts = placed.groupBy(*self.keys).agg(F.min(place).alias(first))
+        chunk = F.floor((F.col(place) - F.col(first)) / most).cast("long").alias(number)
+        values = F.struct(place, F.struct(*self.values).alias(one)).alias(one)
+        parts = facts_of(placed, starts, self.keys).select(*self.keys, chunk, values).groupBy(*self.keys, number).agg(F.sort_array(F.collect_list(one)).alias(packed))
+        return parts.withColumn(packed, F.transform(packed, lambda x: x[one]))
+
     def _pair(self, key: Sequence, value) -> Column:
         return self._at(key) & F.col(self.values[0]).eqNullSafe(F.lit(value))
 
