@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from cellframe.functions import bits, encoding, udf, zranges
 from cellframe.functions.metrics import L1, L2, Custom, Decoded
 from cellframe.operators import joins, mutate, order, stats
+from cellframe.operators.pivots import PivotTable
 from cellframe.operators.tables import ArrayTable, BoxTable, MultiTable, SpatialTable, in_ball, same_prefix
 from cellframe.plans import bounded
 from cellframe.sources import clustered
@@ -885,6 +886,71 @@ def window_packed(spark, sf_dir):
     return found.filter(zranges.inside(F.col("z"), low, high, n_bits)).select(partkey.alias("l_partkey"), suppkey.alias("l_suppkey"), "l_orderkey", "l_linenumber")
 
 
+BOX_PAIRS = """w AS (SELECT s_suppkey AS id, CAST(s_nationkey AS DOUBLE) AS a0, s_nationkey + 6.0::DOUBLE AS b0, 900.0::DOUBLE + abs(s_acctbal) / 20 AS a1, 930.0::DOUBLE + abs(s_acctbal) / 15 AS b1 FROM supplier),
+q AS (SELECT c_custkey AS c, CAST(c_nationkey AS DOUBLE) * 3 AS u0, c_nationkey * 3.0::DOUBLE + 1 AS v0, abs(c_acctbal) / 9 AS u1, abs(c_acctbal) / 9 + 5 AS v1 FROM customer WHERE c_custkey % 7 = 0),
+d AS (SELECT c, id, sqrt(greatest(u0 - b0, a0 - v0, 0.0) * greatest(u0 - b0, a0 - v0, 0.0) + greatest(u1 - b1, a1 - v1, 0.0) * greatest(u1 - b1, a1 - v1, 0.0)) AS edge,
+  sqrt((((a0 - u0) + (b0 - v0)) / 2) * (((a0 - u0) + (b0 - v0)) / 2) + (((a1 - u1) + (b1 - v1)) / 2) * (((a1 - u1) + (b1 - v1)) / 2)) AS center FROM w, q)"""
+
+
+def _box_sides(spark, sf_dir):
+    c = _read(spark, sf_dir, "customer").filter("c_custkey % 7 = 0")
+    at, money = F.col("c_nationkey").cast("double") * 3, F.abs("c_acctbal") / 9
+    q = c.select(F.col("c_custkey").alias("c"), at.alias("u0"), (at + 1).alias("v0"), money.alias("u1"), (money + 5).alias("v1"))
+    return _windows(spark, sf_dir).withColumnRenamed("s_suppkey", "id"), q, (["a0", "a1"], ["b0", "b1"], ["u0", "u1"], ["v0", "v1"])
+
+
+@query(f"WITH {BOX_PAIRS} SELECT c, id, edge AS dist FROM d WHERE edge <= 12.0")
+def box_distance_join(spark, sf_dir):
+    """Boxes whose edges are near each other."""
+    w, q, sides = _box_sides(spark, sf_dir)
+    return joins.box_distance_join(w, q, *sides, 12.0).select("c", "id", "dist")
+
+
+@query(f"WITH {BOX_PAIRS} SELECT c, id, center AS dist FROM d WHERE center <= 30.0")
+def box_distance_join_center(spark, sf_dir):
+    w, q, sides = _box_sides(spark, sf_dir)
+    return joins.box_distance_join(w, q, *sides, 30.0, "center").select("c", "id", "dist")
+
+
+@query(f"WITH {BOX_PAIRS} SELECT c, id, dist, rank FROM (SELECT c, id, edge AS dist, CAST(row_number() OVER (PARTITION BY c ORDER BY edge, id) AS INTEGER) AS rank FROM d) WHERE rank <= 4")
+def box_knn_join(spark, sf_dir):
+    """The nearest boxes of each box, by their edges."""
+    w, q, sides = _box_sides(spark, sf_dir)
+    return joins.box_nearest_join(w, q, *sides, "c", ["id"], 4).select("c", "id", "dist", "rank")
+
+
+@query(f"WITH {BOX_PAIRS} SELECT c, id, dist, rank FROM (SELECT c, id, center AS dist, CAST(row_number() OVER (PARTITION BY c ORDER BY center, id) AS INTEGER) AS rank FROM d) WHERE rank <= 4")
+def box_knn_join_center(spark, sf_dir):
+    w, q, sides = _box_sides(spark, sf_dir)
+    return joins.box_nearest_join(w, q, *sides, "c", ["id"], 4, "center").select("c", "id", "dist", "rank")
+
+
+@query("""WITH q AS (SELECT CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings))
+SELECT * FROM (SELECT vec_id, round(list_distance(CAST(embedding AS DOUBLE[]), q.e), 6) AS dist FROM embeddings, q) WHERE dist <= 1.1""")
+def range_embedding_pivots(spark, sf_dir):
+    """A ball of array keys, told in part by their distances to a few pivots."""
+    table = _read(spark, sf_dir, "embeddings").select("embedding", "vec_id")
+    first = table.orderBy("vec_id").select("embedding").first()
+    return PivotTable.of(table, "embedding", ("vec_id",)).within(first[0], 1.1, decimals=6).select("vec_id", "dist")
+
+
+@query("""WITH q AS (SELECT CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings))
+SELECT vec_id, round(list_distance(CAST(embedding AS DOUBLE[]), q.e), 6) AS dist FROM embeddings, q ORDER BY dist, vec_id LIMIT 20""")
+def knn_embedding_pivots(spark, sf_dir):
+    table = _read(spark, sf_dir, "embeddings").select("embedding", "vec_id")
+    first = table.orderBy("vec_id").select("embedding").first()
+    return PivotTable.of(table, "embedding", ("vec_id",)).nearest(20, first[0], decimals=6).select("vec_id", "dist")
+
+
+@query("""WITH d AS (SELECT q.vec_id AS q, e.vec_id, round(list_distance(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS dist FROM embeddings e, embeddings q WHERE q.vec_id % 10 = 3),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY q ORDER BY dist, vec_id) AS INTEGER) AS rank FROM d) SELECT q, vec_id, dist, rank FROM r WHERE rank <= 3""")
+def knn_join_embedding(spark, sf_dir):
+    """Neighbours of many array keys among others, itself the first."""
+    table = _read(spark, sf_dir, "embeddings").select("embedding", "vec_id")
+    queries = table.filter("vec_id % 10 = 3").select(F.col("vec_id").alias("q"), F.col("embedding").alias("at"))
+    return PivotTable.of(table, "embedding", ("vec_id",)).nearest_join(queries, "at", "q", 3, decimals=6).select("q", "vec_id", "dist", "rank")
+
+
 # --- stored tables ---
 
 

@@ -25,7 +25,7 @@ from math import ceil, floor, log2, prod
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellframe.functions.metrics import L2, Metric
+from cellframe.functions.metrics import BOX_METRICS, L2, Metric
 from cellframe.functions.names import free
 from cellframe.operators.tables import conjunction
 from cellframe.plans.skew import SEEN, dealt_join, facts_of
@@ -349,3 +349,59 @@ def nearest_join(points: DataFrame, queries: DataFrame, keys: Sequence[str], cen
     near = _ball_join(some, written(sized, "radii"), keys, centers, F.col(radius), metric).drop(radius)
     order = Window.partitionBy(query_id).orderBy("dist", *tie)
     return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
+
+
+# --- distances between boxes ---
+
+
+def _box_pairs(left: DataFrame, right: DataFrame, left_low: Sequence[str], left_high: Sequence[str], right_low: Sequence[str], right_high: Sequence[str], radius: Column, metric: str) -> DataFrame:
+    """Every (left, right) at most the right box's radius apart, with ``dist``.
+
+    Boxes that near have boxes that meet once the right one is widened by the radius; so have
+    their centres, which lie inside.
+    """
+    d = len(left_low)
+    names = free([left, right], *[f"_{end}{i}" for end in ("from", "to") for i in range(d)])
+    sure = radius + radius * 1e-9
+    reach = [sure + (F.abs(F.col(a).cast("double")) + F.abs(F.col(b).cast("double"))) * 1e-15 for a, b in zip(right_low, right_high, strict=True)]
+    wide = right.withColumns({n: F.col(a) - r for n, a, r in zip(names[:d], right_low, reach, strict=True)} | {n: F.col(b) + r for n, b, r in zip(names[d:], right_high, reach, strict=True)})
+    doubles = lambda columns: [F.col(c).cast("double") for c in columns]
+    met = box_join(left, wide, left_low, left_high, names[:d], names[d:]).drop(*names)
+    return met.withColumn("dist", BOX_METRICS[metric](*map(doubles, (left_low, left_high, right_low, right_high)))).filter(F.col("dist") <= radius)
+
+
+def box_distance_join(left: DataFrame, right: DataFrame, left_low: Sequence[str], left_high: Sequence[str], right_low: Sequence[str], right_high: Sequence[str], radius: float, metric: str = "edge") -> DataFrame:
+    """Every pair of boxes at most ``radius`` apart by ``edge`` or ``center`` distance, with ``dist``; columns of both sides, whose names must differ.
+
+    Boxes with a null bound, or with a lower one above the upper, are near nothing.
+    """
+    return _box_pairs(left, right, left_low, left_high, right_low, right_high, F.lit(float(radius)), metric)
+
+
+def box_nearest_join(boxes: DataFrame, queries: DataFrame, low: Sequence[str], high: Sequence[str], query_low: Sequence[str], query_high: Sequence[str], query_id: str, tie: Sequence[str], n: int, metric: str = "edge") -> DataFrame:
+    """The ``n`` nearest boxes of each query box, with ``dist`` and ``rank``; ties by ``tie``.
+
+    Edges are never farther apart than centres, so the radius that is sure to hold ``n`` centres
+    (as for points) is sure to hold ``n`` boxes by either distance. Boxes as in ``box_distance_join``; ``query_id``
+    must be unique.
+    """
+    d = len(low)
+    well = lambda frame, lows, highs: frame.filter(conjunction([F.col(a) <= F.col(b) for a, b in zip(lows, highs, strict=True)]))
+    middle = lambda lows, highs: [(F.col(a).cast("double") + F.col(b).cast("double")) / 2 for a, b in zip(lows, highs, strict=True)]
+    names = free([boxes, queries], *[f"_m{i}" for i in range(d)], "_radius")
+    centers, radius = names[:d], names[d]
+    own, asked = well(boxes, low, high), well(queries, query_low, query_high)
+    sized = None
+    if n > 0:
+        spots = [f"x{i}" for i in range(d)]
+        places = written(places_of(own.select(*[m.alias(c) for m, c in zip(middle(low, high), centers, strict=True)]), centers, spots), "places")
+        placed = asked.withColumns(dict(zip(centers, middle(query_low, query_high), strict=True)))
+        sized = neighbour_radii(places, placed, spots, centers, n, L2(), radius)
+    if sized is None:
+        return box_distance_join(boxes, queries, low, high, query_low, query_high, 0.0, metric).limit(0).withColumn("rank", F.lit(0))
+    # centres of a common place are equal but for rounding, on either side
+    slack = reduce(F.greatest, [F.abs(F.col(c)) for c in (*query_low, *query_high)]) * 1e-12
+    held = written(sized.withColumn(radius, F.col(radius) + slack).drop(*centers), "radii")
+    near = _box_pairs(own, held, low, high, query_low, query_high, F.col(radius), metric).drop(radius)
+    order = Window.partitionBy(query_id).orderBy("dist", *tie)
+    return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
