@@ -13,11 +13,14 @@ where different phrases share a trigger, they are the text of a second prefix-fr
 parsing (``corpus_order``): its rolling hash cuts them into short phrases, the suffix array
 of the dictionary of those and the suffix array of their parse are combined into the order
 of all strings, and runs of strings with equal bytes give each string's least document id.
-Chunks read the answers back through their parse, so a passage in a third of all documents
-costs a bucket one entry for each chunk.
+Chunks read the answers back through their parse, so a passage in a third of all documents,
+with equal surroundings, costs a bucket one entry for each chunk. With different surroundings
+it gives as many phrases as documents at its ends: a trigger of more than ``CROWD`` entries is
+hot, and its 50-byte strings are dealt to all buckets by hashes of their own, where equal ones meet.
 
 Whole phrases are equal if their 64-bit hashes are (within one 24-byte trigger string, and
-short phrases within one batch); strings of different phrases are compared as bytes.
+short phrases within one batch), strings of hot triggers if their 128-bit hashes are; strings of
+other phrases are compared as bytes.
 """
 
 from __future__ import annotations
@@ -37,7 +40,9 @@ LENGTH = 50
 SEED = 24
 PLACES = LENGTH - SEED + 1
 SEGMENT = 1 << 16
-ALONE, SAME, MIXED = 0, 1, 2
+ALONE, SAME, MIXED, HOT = 0, 1, 2, 3
+#: Entries of a trigger, over all chunks, from which on its strings are dealt out.
+CROWD = 256
 #: Window and mean length of the short phrases, and bytes of text ordered at a time.
 SHORT_WINDOW, SHORT_EVERY, BATCH = 6, 8, 1_000_000
 _WORDS = (0, 8, 16, 24, 32, 40, LENGTH - 8)
@@ -152,14 +157,30 @@ class Parse:
         offset = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
         return self.data[np.repeat(self.first[at], size) + offset].tobytes()
 
+    def hot(self, kinds: np.ndarray) -> HotStrings:
+        """The strings of the phrases whose triggers are hot."""
+        entries = np.flatnonzero(kinds == HOT)
+        many = self.many[self.shown[entries]]
+        entry = np.repeat(entries, many)
+        start = np.arange(len(entry)) - np.repeat(np.cumsum(many) - many, many)
+        words, at = words_at(self.data), self.first[self.shown[entry]] + start
+        names = np.zeros((2, len(entry)), np.uint64)
+        for k, offset in enumerate(_WORDS if len(entry) else ()):
+            names[0] = mixed(names[0] + words[at + offset] * _K[k])
+            names[1] = mixed(names[1] * _K[6 - k] + words[at + offset])
+        return HotStrings(entry, start, names, self.least[entry], len(self.starts) - 1)
+
     def details(self, replies: dict[int, bytes]) -> Iterator[tuple[int, bytes]]:
-        """Second question: hashes of the phrases that are equal everywhere, bytes of the others."""
+        """Second question: hashes of the phrases that are equal everywhere, bytes of the others, hashes of hot triggers' strings."""
         kinds = self.kinds(replies)
-        for b, own in self.ranges():
+        hot, ranges = self.hot(kinds), dict(self.ranges())
+        for b in sorted({*ranges, *hot.buckets()}):
+            own, dealt = ranges.get(b, slice(0, 0)), hot.of(b)
             same = np.flatnonzero(kinds[own] == SAME) + own.start
             mixed_up = np.flatnonzero(kinds[own] == MIXED) + own.start
-            if len(same) or len(mixed_up):
-                body = [struct.pack("<II", len(same), len(mixed_up)), self.phrase[same].tobytes(), self.least[same].tobytes()]
+            if len(same) or len(mixed_up) or dealt.stop > dealt.start:
+                body = [struct.pack("<III", len(same), len(mixed_up), dealt.stop - dealt.start), self.phrase[same].tobytes(), self.least[same].tobytes()]
+                body += [hot.first[dealt].tobytes(), hot.second[dealt].tobytes(), hot.least[dealt].tobytes()]
                 body += [self.least[mixed_up].tobytes(), self.many[self.shown[mixed_up]].astype(np.uint8).tobytes(), ck.pack40(self.seed[mixed_up]), self.content(mixed_up)]
                 yield b, b"".join(body)
 
@@ -167,13 +188,18 @@ class Parse:
         """Whether each byte of the chunk is covered by a string that an earlier document has."""
         kinds = self.kinds(first)
         earlier = np.zeros(len(self.seed), np.uint32)
-        for b, own in self.ranges():
-            if b in second:
-                same = np.flatnonzero(kinds[own] == SAME) + own.start
-                mixed_up = np.flatnonzero(kinds[own] == MIXED) + own.start
-                least = np.frombuffer(second[b], np.int64, len(same))
-                earlier[same] = np.where(least < self.least[same], _ALL, np.uint32(0))
-                earlier[mixed_up] = np.frombuffer(second[b], "<u4", offset=8 * len(same))
+        hot, ranges = self.hot(kinds), dict(self.ranges())
+        before = np.zeros(len(hot.first), bool)
+        for b, reply in second.items():
+            own, dealt = ranges.get(b, slice(0, 0)), hot.of(b)
+            same = np.flatnonzero(kinds[own] == SAME) + own.start
+            mixed_up = np.flatnonzero(kinds[own] == MIXED) + own.start
+            least = np.frombuffer(reply, np.int64, len(same))
+            earlier[same] = np.where(least < self.least[same], _ALL, np.uint32(0))
+            earlier[mixed_up] = np.frombuffer(reply, "<u4", len(mixed_up), 8 * len(same))
+            before[dealt] = np.frombuffer(reply, np.uint8, offset=8 * len(same) + 4 * len(mixed_up)) > 0
+        if len(hot.entry):
+            earlier |= hot.masks(before, self.least, len(self.seed), self.many[self.shown])
         mask = np.where(self.doc > self.least[self.entry], _ALL, earlier[self.entry])
         whole = mask == _ALL
         step = np.bincount(self.first[whole], minlength=len(self.data) + LENGTH + 1).astype(np.int32)
@@ -187,11 +213,45 @@ class Parse:
         return np.cumsum(step, dtype=np.int32)[: len(self.data)] > 0
 
 
+class HotStrings:
+    """The distinct strings of a chunk's hot phrases, dealt to buckets by their own hashes, each with its least document id."""
+
+    def __init__(self, entry: np.ndarray, start: np.ndarray, names: np.ndarray, least: np.ndarray, buckets: int):
+        self.entry, self.start = entry, start
+        bucket = ck.bucket_of(names[0], buckets)
+        order = np.lexsort((least, names[1], names[0], bucket))
+        first, second = names[0][order], names[1][order]
+        fresh = np.append(True, (first[1:] != first[:-1]) | (second[1:] != second[:-1]))[: len(order)]
+        self.first, self.second, self.least = first[fresh], second[fresh], least[order][fresh]
+        #: Which of them each (entry, start) is.
+        self.number = np.empty(len(order), np.int64)
+        self.number[order] = np.cumsum(fresh) - 1
+        self.starts = np.searchsorted(bucket[order][fresh], np.arange(buckets + 1))
+
+    def buckets(self) -> list[int]:
+        return np.flatnonzero(np.diff(self.starts)).tolist()
+
+    def of(self, bucket: int) -> slice:
+        return slice(int(self.starts[bucket]), int(self.starts[bucket + 1]))
+
+    def masks(self, before: np.ndarray, least: np.ndarray, entries: int, many: np.ndarray) -> np.ndarray:
+        """For each entry a bit mask of its starts whose string an earlier document has, in another chunk or in this one."""
+        hit = before[self.number] | (self.least[self.number] < least[self.entry])
+        masks = np.zeros(entries, np.uint32)
+        np.bitwise_or.at(masks, self.entry[hit], np.uint32(1) << self.start[hit].astype(np.uint32))
+        return whole_masks(masks, many)
+
+
+def whole_masks(masks: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """The masks, those that have all of their starts as ``_ALL``."""
+    return np.where(masks == (np.uint64(1) << many.astype(np.uint64)) - np.uint64(1), _ALL, masks).astype(np.uint32)
+
+
 # --- buckets ---
 
 
 def name_answer(payloads: list[bytes]) -> list[bytes]:
-    """For each entry whether its trigger has one entry, equal phrases or different ones, over all chunks."""
+    """For each entry whether its trigger has one entry, equal phrases, different ones, or very many different ones, over all chunks."""
     counts = [len(p) // 13 for p in payloads]
     seeds = np.concatenate([ck.unpack40(p[: 5 * n]) for p, n in zip(payloads, counts, strict=True)])
     names = np.concatenate([np.frombuffer(p, "<u8", n, 5 * n) for p, n in zip(payloads, counts, strict=True)])
@@ -200,7 +260,7 @@ def name_answer(payloads: list[bytes]) -> list[bytes]:
     begin = np.flatnonzero(np.diff(ranked, prepend=ranked[:1] + np.uint64(1)))
     size = np.diff(np.append(begin, len(ranked)))
     differ = np.maximum.reduceat(named, begin) != np.minimum.reduceat(named, begin)
-    kind = np.where(size == 1, ALONE, np.where(differ, MIXED, SAME)).astype(np.uint8)
+    kind = np.where(size == 1, ALONE, np.where(differ, np.where(size > CROWD, HOT, MIXED), SAME)).astype(np.uint8)
     out = np.empty(len(seeds), np.uint8)
     out[order] = np.repeat(kind, size)
     return [x.tobytes() for x in np.split(out, np.cumsum(counts)[:-1])]
@@ -303,7 +363,7 @@ def repeated_masks(text: np.ndarray, many: np.ndarray, least: np.ndarray) -> np.
     hit = np.repeat(np.minimum.reduceat(docs, begin), size) < docs
     masks = np.zeros(len(many), np.uint32)
     np.bitwise_or.at(masks, phrase[order][hit], np.uint32(1) << start[order][hit].astype(np.uint32))
-    return np.where(masks == (np.uint64(1) << many.astype(np.uint64)) - np.uint64(1), _ALL, masks).astype(np.uint32)
+    return whole_masks(masks, many)
 
 
 def batched_masks(seeds: np.ndarray, many: np.ndarray, least: np.ndarray, text: np.ndarray) -> np.ndarray:
@@ -325,14 +385,15 @@ def batched_masks(seeds: np.ndarray, many: np.ndarray, least: np.ndarray, text:
 
 
 def detail_answer(payloads: list[bytes]) -> list[bytes]:
-    """Least document ids of equal phrases, masks of the others."""
-    sizes = [struct.unpack_from("<II", p) for p in payloads]
-    hashes, leasts, docs, manys, seeds, texts = [], [], [], [], [], []
-    for p, (n, m) in zip(payloads, sizes, strict=True):
-        at = 8
+    """Least document ids of equal phrases, masks of the others, whether an earlier document has a hot trigger's string."""
+    sizes = [struct.unpack_from("<III", p) for p in payloads]
+    hashes, leasts, docs, manys, seeds, texts, dealt = [], [], [], [], [], [], []
+    for p, (n, m, strings) in zip(payloads, sizes, strict=True):
+        at = 12
         hashes.append(np.frombuffer(p, np.uint64, n, at))
         leasts.append(np.frombuffer(p, np.int64, n, at := at + 8 * n))
-        docs.append(np.frombuffer(p, np.int64, m, at := at + 8 * n))
+        dealt.append(np.frombuffer(p, np.int64, 3 * strings, at := at + 8 * n).reshape(3, -1))
+        docs.append(np.frombuffer(p, np.int64, m, at := at + 24 * strings))
         manys.append(np.frombuffer(p, np.uint8, m, at := at + 8 * m))
         seeds.append(ck.unpack40(p[at + m : at + 6 * m]))
         texts.append(np.frombuffer(p, np.uint8, offset=at + 6 * m) if m else np.zeros(0, np.uint8))
@@ -344,10 +405,23 @@ def detail_answer(payloads: list[bytes]) -> list[bytes]:
         lowest = np.empty_like(least)
         lowest[order] = np.repeat(np.minimum.reduceat(least[order], begin), np.diff(np.append(begin, len(order))))
     masks = batched_masks(np.concatenate(seeds), np.concatenate(manys).astype(np.int64), np.concatenate(docs), np.concatenate(texts))
-    out, i, j = [], 0, 0
-    for n, m in sizes:
-        out.append(lowest[i : i + n].tobytes() + masks[j : j + m].tobytes())
-        i, j = i + n, j + m
+    before = earlier_strings(*np.concatenate(dealt, axis=1))
+    out, i, j, k = [], 0, 0, 0
+    for n, m, strings in sizes:
+        out.append(lowest[i : i + n].tobytes() + masks[j : j + m].tobytes() + before[k : k + strings].tobytes())
+        i, j, k = i + n, j + m, k + strings
+    return out
+
+
+def earlier_strings(first: np.ndarray, second: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """For each (name in two numbers, document id) whether the name comes with a smaller id too."""
+    if not len(first):
+        return np.zeros(0, np.uint8)
+    order = np.lexsort((second, first))
+    first, second, ranked = first[order], second[order], least[order]
+    begin = np.flatnonzero(np.append(True, (first[1:] != first[:-1]) | (second[1:] != second[:-1])))
+    out = np.zeros(len(least), np.uint8)
+    out[order] = np.repeat(np.minimum.reduceat(ranked, begin), np.diff(np.append(begin, len(ranked)))) < ranked
     return out
 
 

@@ -97,3 +97,47 @@ def test_dictionary_and_parse_give_the_corpus_order():
 def test_query(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     assert sorted(map(tuple, QUERIES["op3_suffix_dedup"](spark, "/root/testdata/sf0.001").collect()), key=repr) == wanted(rows)
+
+
+def hot_rows(n, rng):
+    """A third of the documents hold one string of 24 bytes, which triggers, among random text."""
+    tried = ["".join(rng.choices("abcdefgh ", k=24)) for _ in range(3000)]
+    lowest = min(tried, key=lambda t: int(suffix_dedup.rolling(np.frombuffer(t.encode(), np.uint8), 24)[0]))
+    text = lambda k: "".join(rng.choices("abcdefghijklmnop ", k=k))
+    rows = [(i, text(60) + lowest + text(60)) if i % 3 == 0 else (i, text(144)) for i in range(n)]
+    shared = text(20) + lowest + text(20)
+    return rows + [(n, shared), (n + 1, text(9) + shared), (n + 2, shared + text(9)), (n + 3, rows[3][1]), (-1, rows[6][1][20:100]), (None, rows[0][1])]
+
+
+def test_hot_trigger(spark, monkeypatch):
+    rows = hot_rows(900, random.Random(4))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = wanted(rows)
+    for crowd in (10**9, 256, 1):
+        monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
+        assert got(spark, frame) == want
+    assert any(r[2] for r in want if r[0] and r[0] > 900)
+
+
+def test_hot_trigger_is_dealt_out():
+    """No bucket gets more than five times the bytes of the median one."""
+    import pyarrow as pa
+
+    rows, buckets = hot_rows(6000, random.Random(5)), 16
+    for crowd in (10**9, suffix_dedup.CROWD):
+        parses = [suffix_dedup.Parse(pa.table({"doc_id": [r[0] for r in part], "text": [r[1] for r in part]}), buckets) for part in (rows[:3000], rows[3000:])]
+        asked = {}
+        for p in parses:
+            for b, body in p.names():
+                asked.setdefault(b, []).append((p, body))
+        replies = {id(p): {} for p in parses}
+        kept, suffix_dedup.CROWD = suffix_dedup.CROWD, crowd
+        for b, lists in asked.items():
+            for (p, _), reply in zip(lists, suffix_dedup.name_answer([x for _, x in lists]), strict=True):
+                replies[id(p)][b] = reply
+        suffix_dedup.CROWD = kept
+        sizes = np.zeros(buckets)
+        for p in parses:
+            for b, body in p.details(replies[id(p)]):
+                sizes[b] += len(body)
+        assert (sizes.max() <= 5 * np.median(sizes)) == (crowd == suffix_dedup.CROWD)
