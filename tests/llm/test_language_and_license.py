@@ -1,8 +1,11 @@
 import math
+import tracemalloc
 import zlib
 from collections import Counter
 
 import duckdb
+import numpy as np
+from pyspark.sql import functions as F
 
 from cellframe.llm import langid, licenses
 from cellframe.llm.registry import ORACLES, QUERIES
@@ -100,7 +103,30 @@ def test_training_bound(spark):
     model = langid.fit(docs, per_language=200)
     assert model.languages == ["en", "fr"] and model.predict("the")[0] == "en" and model.predict("chat le")[0] == "fr"
     assert [round(math.exp(p), 6) for p in model.prior] == [0.9, 0.1]
-    assert langid.fit(docs.repartition(7), per_language=200).matrix.tolist() == model.matrix.tolist()
+    again = langid.fit(docs.repartition(7), per_language=200)
+    assert again.block(0).tolist() == model.block(0).tolist() and again.unseen.tolist() == model.unseen.tolist()
+
+
+def test_many_languages(spark, monkeypatch):
+    """Thousands of labels are languages too, and a worker's memory stays small; blocks agree with one whole matrix."""
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("lang"), F.col("id") % 2000).alias("lang"), F.concat_ws(" ", F.sha2((F.col("id") % 2000).cast("string"), 256), F.lit("the")).alias("text"))
+    model = langid.fit(docs)
+    assert len(model.languages) == 2000
+    held = {r.doc_id: r for r in langid.predict(docs.filter("doc_id < 300"), model).collect()}
+    assert sum(r.lang_pred == f"lang{i % 2000}" for i, r in held.items()) > 290
+    texts = [r.text for r in docs.limit(40).collect()] + [None, "12", "the " * 100_000]
+    whole = model.predict_all(texts)
+    monkeypatch.setattr(langid, "SLICE", 2000)
+    model._ready.clear()
+    alike = model.predict_all(texts)
+    assert whole[0] == alike[0] and np.allclose(whole[1], alike[1])
+    monkeypatch.undo()
+    rng = np.random.default_rng(1)
+    wide = langid.Model([f"l{i:04}" for i in range(2000)], np.log(np.full(2000, 1 / 2000)), np.full(2000, -14.0), [(rng.permutation(langid.BUCKETS)[:3000], rng.normal(-8, 1, 3000)) for _ in range(2000)])
+    tracemalloc.start()
+    wide.predict_all(["some words of a text " * 2000] * 20)
+    assert tracemalloc.get_traced_memory()[1] < 350_000_000
+    tracemalloc.stop()
 
 
 FULL = {
