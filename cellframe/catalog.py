@@ -194,7 +194,7 @@ def window_by_callers_functions(spark, sf_dir):
 
 
 def _probes(spark, sf_dir):
-    """Every third supplier key as a part key to look for; some do not exist in small tables."""
+    """Part keys to look for, made from supplier keys; some are beyond the table."""
     return _read(spark, sf_dir, "supplier").select((F.col("s_suppkey") * 29).alias("p_partkey"))
 
 
@@ -554,7 +554,7 @@ def _base(spark, sf_dir):
 
 
 def _changes(spark, sf_dir):
-    """Suppliers as changes of parts: keys 2, 4, 6 ... and some beyond the table."""
+    """Suppliers as changes of parts, at every 41st key and, for large tables of suppliers, beyond the parts."""
     return _read(spark, sf_dir, "supplier").select((F.col("s_suppkey") * 41).alias("p_partkey"), F.col("s_nationkey").alias("p_size"), F.col("s_acctbal").alias("p_retailprice"))
 
 
@@ -975,6 +975,16 @@ def stored_put(spark, sf_dir):
     return _stored(spark, sf_dir).put(_priced(spark, sf_dir)).read()
 
 
+RANGES_SQL = "SELECT {k} AS asked, p_size, p_retailprice, p_partkey, abs(p_size - {x}) + abs(p_retailprice - {y}) AS dist FROM part WHERE abs(p_size - {x}) + abs(p_retailprice - {y}) <= {r}"
+
+
+@query(f"{RANGES_SQL.format(k=1, x=10.0, y=950.0, r=12.0)} UNION ALL {RANGES_SQL.format(k=2, x=40.0, y=1200.0, r=30.0)}")
+def range_again(spark, sf_dir):
+    """One table asked for two balls."""
+    table = parts(spark, sf_dir)
+    return table.within((10.0, 950.0), 12.0, L1()).select(F.lit(1).alias("asked"), "*").unionByName(table.within((40.0, 1200.0), 30.0, L1()).select(F.lit(2).alias("asked"), "*"))
+
+
 @query(f"WITH {PRICED} SELECT * FROM base ANTI JOIN changes USING (p_partkey, p_size)")
 def stored_remove(spark, sf_dir):
     return _stored(spark, sf_dir).remove(_priced(spark, sf_dir)).read()
@@ -1209,6 +1219,5 @@ def stream_windows(spark, sf_dir):
     path = shared_path(spark, "windows")
     events = _event_stream(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
     counts = moving.windowed_counts(events, "ts", "1 day", "1 hour", "event_type").select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "event_type", "n")
-    store = lambda batch, number: batch.write.mode("overwrite").parquet(path)
-    counts.writeStream.outputMode("complete").foreachBatch(store).option("checkpointLocation", shared_path(spark, "stream")).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(path)
+    moving.keep_updates(counts, path, shared_path(spark, "stream")).awaitTermination()
+    return moving.read_updates(spark, path, ["hour", "event_type"])

@@ -4,38 +4,35 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cellframe.functions.names import free
+from cellframe.plans.skew import row_hash
+from cellframe.sources.shared import written
 
-def _literal(value, kind: str) -> Column:
-    return F.lit(value).cast(kind)
+#: Bits of ``monotonically_increasing_id`` that number the rows of a partition.
+ROW_BITS = 33
 
 
-def places(df: DataFrame, order: Sequence[str], name: str = "place", parts: int | None = None, per_part: int = 50) -> DataFrame:
+def places(df: DataFrame, order: Sequence[str], name: str = "place", parts: int | None = None) -> DataFrame:
     """The rows with their place, from 1 on, in ascending order of the columns ``order``.
 
-    Bounds from a sample of about ``per_part`` rows for each part cut the order into parts;
-    a row's place is its number in its part and the sizes of the parts before. The bounds
-    are of all columns of the order, so that a value that a third of all rows have is cut
-    into parts too where a later column tells its rows apart. Ties take places in any order.
+    Rows are range-partitioned and sorted, and written once to the shared folder with the number
+    of their part and their number in it; a place is that number and the sizes of the parts
+    before, of which one number a part reaches the driver. Ties take places in any order, and are
+    told apart by a hash of the row, so that a value that a third of all rows have is cut into
+    parts too unless the rows are equal altogether.
     """
-    spark = df.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    kinds = [f.dataType.simpleString() for f in df.select(*order).schema]
-    total = df.count()
-    share = min(1.0, parts * per_part / max(total, 1))
-    seen = df.select(*order).sample(share, seed=11).orderBy(*order).limit(4 * parts * per_part).collect()
-    bounds = [seen[i * len(seen) // parts] for i in range(1, parts) if seen]
-    row = F.struct(*order)
-    marks = [F.struct(*[_literal(v, k).alias(c) for v, k, c in zip(b, kinds, order, strict=True)]) for b in bounds]
-    part = F.size(F.filter(F.array(*marks), lambda b: b <= row)) if marks else F.lit(0)
-    cut = df.withColumn("_part", part)
-    sizes = {r[0]: r[1] for r in cut.groupBy("_part").count().collect()}
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tie, number = free(df, "_tie", "_number")
+    ranged = df.withColumn(tie, row_hash(df)).repartitionByRange(parts, *order, tie).sortWithinPartitions(*order, tie).drop(tie)
+    cut = written(ranged.withColumn(number, F.monotonically_increasing_id()), "ranged")
+    part = F.shiftright(number, ROW_BITS).cast("int")
+    sizes = {r[0]: r[1] for r in cut.groupBy(part.alias("part")).count().collect()}
     before, offsets = 0, []
-    for k in range(parts):
+    for k in range(max(sizes, default=-1) + 1):
         offsets.append(before)
         before += sizes.get(k, 0)
-    offset = F.get(F.array(*[F.lit(o).cast("long") for o in offsets]), F.col("_part"))
-    number = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return cut.withColumn(name, number.cast("long") + offset).drop("_part")
+    offset = F.get(F.array(*[F.lit(o).cast("long") for o in offsets]), part) if offsets else F.lit(0)
+    return cut.withColumn(name, F.col(number).bitwiseAND(F.lit((1 << ROW_BITS) - 1)) + 1 + offset).select(*df.columns, name)

@@ -22,7 +22,6 @@ from cellframe.functions.metrics import BOX_METRICS, L2, Metric, array_l2, box_r
 from cellframe.functions.names import free
 from cellframe.operators.order import places
 from cellframe.plans.skew import facts_of
-from cellframe.sources.shared import written
 
 Filter = Callable[[DataFrame], Column] | Column | None
 
@@ -241,7 +240,7 @@ class MultiTable(SpatialTable):
         one, place, first, number, packed = free(self.df, "_one", "_place", "_first", "ordinal", "values")
         rows = (self.df if keys is None else self.df.filter(self._at(keys))).select(*self.keys, *self.values)
         held = conjunction([F.col(k).isNotNull() for k in self.keys])
-        placed = written(places(rows.filter(held), [*self.keys, *self.values], place), "placed")
+        placed = places(rows.filter(held), [*self.keys, *self.values], place)
         starts = placed.groupBy(*self.keys).agg(F.min(place).alias(first))
         chunk = F.floor((F.col(place) - F.col(first)) / most).cast("long").alias(number)
         values = F.struct(place, F.struct(*self.values).alias(one)).alias(one)

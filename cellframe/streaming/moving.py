@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,5 +72,25 @@ def read_buckets(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def windowed_counts(events: DataFrame, time: str, late: str, width: str, *groups: str) -> DataFrame:
-    """Counts of a stream in event-time windows, with a watermark."""
+    """Counts of a stream in event-time windows, with a watermark; for ``keep_updates``, or append mode."""
     return events.withWatermark(time, late).groupBy(F.window(time, width), *groups).agg(F.count("*").alias("n"))
+
+
+def keep_updates(counts: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Writes each batch's changed rows below ``path``, so that state behind the watermark goes and no batch writes the rest again.
+
+    A batch that is given twice writes over its own folder.
+    """
+
+    def store(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return counts.writeStream.outputMode("update").foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_updates(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
+    """Each key's row of the last batch that changed it; tasks keep one row a key before anything is shuffled."""
+    every = spark.read.parquet(path)
+    rest = [c for c in every.columns if c not in keys and c != "batch"]
+    last = every.groupBy(*keys).agg(F.max(F.struct("batch", *rest)).alias("_last"))
+    return last.select(*keys, *[F.col(f"_last.{c}").alias(c) for c in rest])

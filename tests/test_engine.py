@@ -8,6 +8,7 @@ from itertools import islice
 
 import numpy as np
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from cellframe.functions import bits, encoding
@@ -16,8 +17,9 @@ from cellframe.operators import joins, mutate, order, stats
 from cellframe.operators.tables import ArrayTable, BoxTable, MultiTable, SpatialTable
 from cellframe.plans import bounded
 from cellframe.sources.clustered import read_points, read_tokens, write_clustered
+from cellframe.sources.shared import dropping, shared_path
 from cellframe.sources.stored import StoredTable
-from cellframe.streaming.moving import latest, maintain, maintain_buckets, read_buckets
+from cellframe.streaming.moving import keep_updates, latest, maintain, maintain_buckets, read_buckets, read_updates, windowed_counts
 
 
 @pytest.fixture(scope="module")
@@ -369,7 +371,7 @@ def test_places_without_a_single_task(spark):
     rows = [(rng.choice([0, 0, rng.randrange(50), None]), i) for i in range(700)]
     frame = spark.createDataFrame(rows, "k long, id long").repartition(3)
     want = {i: n for n, (_, i) in enumerate(sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1])), 1)}
-    placed = order.places(frame, ["k", "id"], parts=6, per_part=10)
+    placed = order.places(frame, ["k", "id"], parts=6)
     assert {r.id: r.place for r in placed.collect()} == want
     assert "SinglePartition" not in placed._jdf.queryExecution().executedPlan().toString()
     assert order.places(frame.limit(0), ["k", "id"]).collect() == []
@@ -441,3 +443,28 @@ def test_moving_objects_in_buckets(spark, tmp_path):
     assert files[0] & files[1] and files[0] - files[1]  # some buckets are as they were
     assert StoredTable.open(spark, path).note == {"batch": 1}
     assert read_buckets(spark, str(tmp_path / "none")) is None
+
+
+def test_written_tables_can_be_dropped(spark, tmp_path):
+    with dropping(spark):
+        path = shared_path(spark, "x")
+        kept = joins.nearest_join(spark.range(5).select(F.col("id").cast("double").alias("x"), "id"), spark.range(2).select(F.col("id").cast("double").alias("u"), F.col("id").alias("q")), ["x"], ["u"], "q", ["id"], 1)
+        kept.write.parquet(str(tmp_path / "kept"))
+        spark.range(3).write.parquet(path)
+        assert spark.read.parquet(path).count() == 3
+    with pytest.raises(AnalysisException):
+        spark.read.parquet(path)
+    assert spark.read.parquet(str(tmp_path / "kept")).count() == 2
+
+
+def test_updates_of_a_stream(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    schema = "t timestamp, k string"
+    stream = spark.readStream.schema(schema).parquet(str(source))
+    counts = windowed_counts(stream, "t", "1 hour", "10 minutes", "k").select(F.col("window.start").alias("at"), "k", "n")
+    for rows in ([("2024-01-01 00:01:00", "a"), ("2024-01-01 00:02:00", "a"), ("2024-01-01 00:12:00", "b")], [("2024-01-01 00:03:00", "a")]):
+        spark.createDataFrame(rows, "t string, k string").withColumn("t", F.col("t").cast("timestamp")).coalesce(1).write.mode("append").parquet(str(source))
+        keep_updates(counts, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(60)
+    got = sorted((str(r["at"]), r["k"], r["n"]) for r in read_updates(spark, str(tmp_path / "out"), ["at", "k"]).collect())
+    assert got == [("2024-01-01 00:00:00", "a", 3), ("2024-01-01 00:10:00", "b", 1)]
