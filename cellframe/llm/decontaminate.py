@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellframe.llm import shingles
-from cellframe.llm.common import keyed_text, map_batches, pieces, written
+from cellframe.llm.common import keyed_text, map_batches, pieces, to_many, written
 
 #: The most characters of item text that are broadcast.
 BLOCK_CHARS = 16_000_000
@@ -153,7 +153,8 @@ def joined(docs: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
     """(row, item_id, n_item, n_common) of contained items, for docs (row, text) and items of ``item_sets``.
 
     A document meets the sketches through its distinct MinHash values; what meets is
-    verified with the texts and sets of the candidates alone.
+    verified with the texts and sets of the candidates alone. Hashes and items that many
+    documents hold, and documents that hold many items, are salted keys.
     """
     lengths = sorted(r[0] for r in items.select("words").distinct().collect())
 
@@ -182,8 +183,9 @@ def joined(docs: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(4)], ["row", "item_id", "n_item", "n_common"])
 
     sketches = items.select("item", F.explode("keys").alias("key"))
-    met = written(docs.mapInArrow(keys, "key long, row long").join(sketches, "key").select("row", "item").distinct(), "item-candidates")
-    full = met.join(docs, "row").join(items.select("item", "item_id", "own"), "item")
+    met = written(to_many(docs.mapInArrow(keys, "key long, row long"), sketches, "key", "row").select("row", "item").distinct(), "item-candidates")
+    # texts last: what comes of one text and salt is sorted together
+    full = to_many(to_many(met, items.select("item", "item_id", "own"), "item", "row"), docs, "row", "item")
     return full.select("row", "text", "item_id", "own").mapInArrow(verify, "row long, item_id long, n_item long, n_common long")
 
 
