@@ -2,7 +2,7 @@ import random
 import re
 from itertools import combinations
 
-from cellframe.llm import decontaminate, jaccard
+from cellframe.llm import decontaminate, graph, jaccard
 from cellframe.llm.graph import components
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -205,3 +205,15 @@ def test_more_items_than_are_broadcast(spark, monkeypatch):
 def test_sketches_miss_nothing():
     for size in (1, 4, 5, 31, 63, 127, 1023):
         assert decontaminate.sketch_size(size.bit_length(), 0.8) > 0.2 * size - 1e-9
+
+
+def test_components_with_hot_nodes_and_labels(spark, monkeypatch):
+    """One node with very many neighbours, and chains: salted joins give the same components."""
+    rng = random.Random(3)
+    pairs = [(0, k) for k in range(1, 400)] + [(1000 + k, 1001 + k) for k in range(40)] + [(5000, 5000)] + [(rng.randrange(2000, 2100), rng.randrange(2000, 2100)) for _ in range(60)]
+    edges = spark.createDataFrame(pairs, "a long, b long")
+    found = []
+    for many in (10**9, 0):
+        monkeypatch.setattr(graph, "MANY", many)
+        found.append(sorted(map(tuple, graph.components(edges).collect())))
+    assert found[0] == found[1] and {c for n, c in found[0] if n < 400} == {0} and {c for n, c in found[0] if 1000 <= n <= 1040} == {1000}
