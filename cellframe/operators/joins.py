@@ -128,7 +128,7 @@ def split_cells(points: DataFrame, columns: Sequence[str], units: Sequence[float
     around it. Counts are estimates from a sample.
     """
     most = max(UNSPLIT, count / MOST_SPLIT)
-    if count <= most:
+    if count <= 8 * most:  # one task's work, whatever its form
         return {}
     share = min(1.0, SEEN / most)
     some = points.sample(share, seed=23) if share < 1 else points

@@ -75,6 +75,8 @@ def dealt_join(left: DataFrame, right: DataFrame, keys: Sequence[str], rows: int
     """The inner join on ``keys``, heavy keys dealt out; ``rows`` is about how many both sides have."""
     keys = list(keys)
     spark = left.sparkSession
+    if rows is not None and rows <= 4 * LIGHT:  # no key of so few can be worth dealing out
+        return left.join(right, keys)
     light = max(LIGHT, (rows or 0) / (2 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
     heavy = heavy_keys(left, right, keys, light)
     if not heavy:

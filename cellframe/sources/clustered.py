@@ -8,28 +8,34 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellframe.functions import bits
+from cellframe.functions.names import free
 from cellframe.operators.tables import SpatialTable
+from cellframe.plans.skew import row_hash
 
 
 #: Knots of the distribution function of each key, and the relative error of their ranks.
 KNOTS, RANK_ERROR = 64, 0.002
 
 
-def _share(x: Column, knots: Sequence[float]) -> Column:
-    """The share of rows below x, straight lines between the knots (quantiles in even steps); 0 to 1."""
-    out = F.when(x < knots[0], F.lit(0.0))
+def _share(key: str, knots: Sequence[float]) -> str:
+    """SQL for the share of rows below a key, straight lines between the knots (quantiles in even steps); 0 to 1.
+
+    As one text: as calls for each knot it would be thousands of them.
+    """
+    number = lambda v: f"CAST('{v}' AS DOUBLE)"
+    x = f"CAST(`{key}` AS DOUBLE)"
+    parts = [f"WHEN {x} < {number(knots[0])} THEN 0D"]
     for i, (a, b) in enumerate(zip(knots, knots[1:], strict=False)):
         if b > a:
-            out = out.when(x < b, (F.lit(float(i)) + (x - F.lit(a)) / F.lit(b - a)) / (len(knots) - 1))
-    return out.otherwise(F.lit(1.0))
+            parts.append(f"WHEN {x} < {number(b)} THEN ({i}D + ({x} - {number(a)}) / {number(b - a)}) / {len(knots) - 1}D")
+    return f"CASE {' '.join(parts)} ELSE 1D END"
 
 
-def grid_z(df: DataFrame, keys: Sequence[str], n_bits: int | None = None) -> Column:
-    """Z-order number of the cells that a key's quantiles cut, all keys in one BIGINT; a clustering key only.
+def grid_cells(df: DataFrame, keys: Sequence[str], n_bits: int) -> list[Column]:
+    """For each key the number of its cell, of 2^n_bits that its quantiles cut.
 
     Cells hold about as many rows each, so a few far values do not crowd the rest together.
     """
-    n_bits = min(n_bits or 16, 62 // len(keys))
     doubles = df.select(*[F.col(k).cast("double").alias(f"k{i}") for i, k in enumerate(keys)])
     quantiles = doubles.approxQuantile([f"k{i}" for i in range(len(keys))], [i / KNOTS for i in range(KNOTS + 1)], RANK_ERROR)
     cells = []
@@ -37,21 +43,24 @@ def grid_z(df: DataFrame, keys: Sequence[str], n_bits: int | None = None) -> Col
         if not knots or knots[0] == knots[-1]:
             cells.append(F.lit(0).cast("long"))
         else:
-            share = _share(F.col(k).cast("double"), knots)
-            cells.append(F.least(F.floor(share * F.lit(float(1 << n_bits))), F.lit((1 << n_bits) - 1)).cast("long"))
-    return bits.interleave(cells, n_bits)
+            cells.append(F.least(F.floor(F.expr(_share(k, knots)) * F.lit(float(1 << n_bits))), F.lit((1 << n_bits) - 1)).cast("long"))
+    return cells
 
 
 def write_clustered(df: DataFrame, path: str, keys: Sequence[str], files: int | None = None, n_bits: int | None = None, mode: str = "errorifexists", row_group_bytes: int | None = None) -> None:
     """Parquet whose files and row groups are ranges of Z-order: their statistics are tight in all keys.
 
-    Rows of one cell are told apart by a hash of the whole row, so a cell that holds a third of
-    all rows is spread over files as well. Smaller row groups skip more and read in smaller pieces.
+    Rows are ordered by the Z-order number of their cell. Rows of one cell are told apart by a hash
+    of the whole row, so a cell that holds a third of all rows is spread over files as well.
+    Smaller row groups skip more and read in smaller pieces.
     """
     count = files or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    plain = [F.col(c) for c, kind in df.dtypes if not kind.startswith(("map", "variant"))]
-    z = df.withColumns({"_z": grid_z(df, keys, n_bits), "_tie": F.xxhash64(*plain)})
-    z.repartitionByRange(count, "_z", "_tie").sortWithinPartitions("_z", "_tie").drop("_z", "_tie").write.mode(mode).options(**({"parquet.block.size": row_group_bytes} if row_group_bytes else {})).parquet(path)
+    bits_each = min(n_bits or 16, 62 // len(keys))
+    z, tie, *names = free(df, "_z", "_tie", *[f"_cell{i}" for i in range(len(keys))])
+    placed = df.withColumns(dict(zip(names, grid_cells(df, keys, bits_each), strict=True)) | {tie: row_hash(df)})
+    ordered = placed.withColumn(z, bits.interleave([F.col(n) for n in names], bits_each)).drop(*names)
+    sorted_rows = ordered.repartitionByRange(count, z, tie).sortWithinPartitions(z, tie).drop(z, tie)
+    sorted_rows.write.mode(mode).options(**({"parquet.block.size": row_group_bytes} if row_group_bytes else {})).parquet(path)
 
 
 def read_points(spark: SparkSession, path: str, keys: Sequence[str], values: Sequence[str] = ()) -> SpatialTable:
