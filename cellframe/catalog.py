@@ -926,12 +926,12 @@ def box_knn_join_center(spark, sf_dir):
 
 
 @query("""WITH q AS (SELECT CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings))
-SELECT * FROM (SELECT vec_id, round(list_distance(CAST(embedding AS DOUBLE[]), q.e), 6) AS dist FROM embeddings, q) WHERE dist <= 1.1""")
+SELECT * FROM (SELECT vec_id, round(list_distance(CAST(embedding AS DOUBLE[]), q.e), 6) AS dist FROM embeddings, q) WHERE dist <= 1.3""")
 def range_embedding_pivots(spark, sf_dir):
     """A ball of array keys, told in part by their distances to a few pivots."""
     table = _read(spark, sf_dir, "embeddings").select("embedding", "vec_id")
     first = table.orderBy("vec_id").select("embedding").first()
-    return PivotTable.of(table, "embedding", ("vec_id",)).within(first[0], 1.1, decimals=6).select("vec_id", "dist")
+    return PivotTable.of(table, "embedding", ("vec_id",)).within(first[0], 1.3, decimals=6).select("vec_id", "dist")
 
 
 @query("""WITH q AS (SELECT CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings))
