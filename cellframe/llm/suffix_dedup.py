@@ -15,8 +15,9 @@ of the dictionary of those and the suffix array of their parse are combined into
 of all strings, and runs of strings with equal bytes give each string's least document id.
 Chunks read the answers back through their parse, so a passage in a third of all documents,
 with equal surroundings, costs a bucket one entry for each chunk. With different surroundings
-it gives as many phrases as documents at its ends: a trigger of more than ``CROWD`` entries is
-hot, and its 50-byte strings are dealt to all buckets by hashes of their own, where equal ones meet.
+it gives as many phrases as documents at its ends: a trigger with a ``SHARE`` of its bucket's
+entries is hot, and its 50-byte strings are dealt to all buckets by hashes of their own, where equal
+ones meet.
 
 Whole phrases are equal if their 64-bit hashes are (within one 24-byte trigger string, and
 short phrases within one batch), strings of hot triggers if their 128-bit hashes are; strings of
@@ -41,8 +42,8 @@ SEED = 24
 PLACES = LENGTH - SEED + 1
 SEGMENT = 1 << 16
 ALONE, SAME, MIXED, HOT = 0, 1, 2, 3
-#: Entries of a trigger, over all chunks, from which on its strings are dealt out.
-CROWD = 256
+#: Entries of a trigger, over all chunks, and share of its bucket's, beyond which its strings are dealt out.
+CROWD, SHARE = 256, 1 / 16
 #: Window and mean length of the short phrases, and bytes of text ordered at a time.
 SHORT_WINDOW, SHORT_EVERY, BATCH = 6, 8, 1_000_000
 _WORDS = (0, 8, 16, 24, 32, 40, LENGTH - 8)
@@ -260,7 +261,7 @@ def name_answer(payloads: list[bytes]) -> list[bytes]:
     begin = np.flatnonzero(np.diff(ranked, prepend=ranked[:1] + np.uint64(1)))
     size = np.diff(np.append(begin, len(ranked)))
     differ = np.maximum.reduceat(named, begin) != np.minimum.reduceat(named, begin)
-    kind = np.where(size == 1, ALONE, np.where(differ, np.where(size > CROWD, HOT, MIXED), SAME)).astype(np.uint8)
+    kind = np.where(size == 1, ALONE, np.where(differ, np.where(size > max(CROWD, SHARE * len(seeds)), HOT, MIXED), SAME)).astype(np.uint8)
     out = np.empty(len(seeds), np.uint8)
     out[order] = np.repeat(kind, size)
     return [x.tobytes() for x in np.split(out, np.cumsum(counts)[:-1])]

@@ -115,6 +115,7 @@ def test_hot_trigger(spark, monkeypatch):
     want = wanted(rows)
     for crowd in (10**9, 256, 1):
         monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
+        monkeypatch.setattr(suffix_dedup, "SHARE", 0.0 if crowd == 1 else 1 / 16)
         assert got(spark, frame) == want
     assert any(r[2] for r in want if r[0] and r[0] > 900)
 
