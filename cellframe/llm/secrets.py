@@ -11,14 +11,14 @@ and as uniform symbols, which needs no approximation at any length, and for deci
 strings the exact tail of the number of coincidences (pairs of equal symbols) as well.
 
 Benjamini-Hochberg then bounds the rate of false discoveries over the whole table, apart
-for each length stratum: one pass counts candidates by stratum and p-value, a second one
-reports those up to the stratum's threshold. Detection by length and encoding is in the
+for each length stratum: candidates are counted by stratum and p-value, and those up to the
+stratum's threshold are reported. ``scan_table`` reads texts once and writes the candidates
+in between; ``redact`` reads them twice, as it would have to write the texts. Detection by length and encoding is in the
 README.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 import string
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellframe.llm.common import keyed_text, map_batches, pieces
+from cellframe.llm.common import keyed_text, map_batches, pieces, written
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -64,6 +64,9 @@ STEPS_PER_E, FLOOR = 16, 100
 EXACT = 96
 #: Share of false ones among the strings that the battery reports.
 RATE = 0.005
+#: Arrow forms of what a scan of a text finds.
+BASE_SPANS = pa.list_(pa.struct([(name, pa.int64()) for name in ("start", "kind", "stop")]))
+TRIED = pa.list_(pa.struct([(name, pa.int64()) for name in ("stratum", "step", "start", "stop")]))
 
 #: Share of each letter in text, in per mille: the mean of English, German, French and Spanish.
 LETTERS = dict(zip(LOWER, (87, 14, 33, 45, 142, 14, 19, 31, 71, 4, 6, 45, 28, 76, 61, 19, 6, 66, 74, 68, 40, 12, 11, 2, 8, 5), strict=True))
@@ -337,34 +340,53 @@ def scan_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """(doc_id, n_assign, n_access, n_hex, n_random, base_sha256, spans) for every row.
 
     A null or empty text has no spans. Offsets count code points, ends are exclusive.
-    Repeated rows and null ids stay; other columns are left out; texts are scanned whole,
-    once for the thresholds of the battery and once for the spans.
+    Repeated rows and null ids stay; other columns are left out. Texts are scanned whole
+    and once: base spans and the battery's candidates of each row are written to the shared
+    folder, the thresholds counted there and the candidates held against them.
     """
-    limits = limits_of(docs, text_col)
 
     def build():
         def convert(batch: pa.RecordBatch) -> pa.RecordBatch:
-            rows: dict[str, list] = {name: [] for name in ("n_assign", "n_access", "n_hex", "n_random", "base_sha256", "spans")}
+            base, tried = [], []
             for text in batch.column(1).to_pylist():
-                base, spans = scan(text or "", limits)
-                for kind in KINDS:
-                    rows[f"n_{kind}"].append(sum(k == kind for _, _, k in spans))
-                rows["base_sha256"].append(hashlib.sha256(shown(base).encode()).hexdigest())
-                rows["spans"].append(shown(spans))
-            arrays = [pa.array(v, pa.int64() if name[:2] == "n_" else pa.string()) for name, v in rows.items()]
-            return pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["doc_id", *rows])
+                spans = base_spans(text) if text else []
+                base.append([(start, KINDS.index(kind), stop) for start, stop, kind in spans])
+                tried.append(candidates(text, spans) if text else [])
+            arrays = [pa.array(base, BASE_SPANS), pa.array(tried, TRIED)]
+            return pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["doc_id", "base", "tried"])
 
         return convert
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_batches(keyed_text(docs, id_col, text_col), build, f"doc_id {kind}, n_assign long, n_access long, n_hex long, n_random long, base_sha256 string, spans string")
+    found = written(
+        map_batches(keyed_text(docs, id_col, text_col), build, f"doc_id {kind}, base array<struct<start: long, kind: long, stop: long>>, tried array<struct<stratum: long, step: long, start: long, stop: long>>"),
+        "secrets",
+    )
+    each = found.select(F.explode("tried").alias("c")).groupBy("c.stratum", "c.step").count()
+    limits = thresholds(((r[0], r[1], r[2]) for r in each.collect()), RATE)
+    passing = F.create_map(*[F.lit(x).cast("long") for pair in limits.items() for x in pair]) if limits else None
+    random = F.filter("tried", lambda c: c.step >= passing[c.stratum]) if limits else F.filter("tried", lambda c: F.lit(False))
+    spans = F.transform(random, lambda c: F.struct(c.start.alias("start"), F.lit(KINDS.index("random")).cast("long").alias("kind"), c.stop.alias("stop")))
+    names = F.array(*map(F.lit, KINDS))
+
+    def text_of(some):
+        return F.array_join(F.transform(F.array_sort(some), lambda x: F.concat_ws(":", names[x.kind.cast("int")], x.start, x.stop)), ",")
+
+    return found.select(
+        "doc_id",
+        *[F.size(F.filter("base", lambda x, i=i: x.kind == i)).cast("long").alias(f"n_{name}") for i, name in enumerate(KINDS[:3])],
+        F.size(random).cast("long").alias("n_random"),
+        F.sha2(text_of(F.col("base")), 256).alias("base_sha256"),
+        text_of(F.concat("base", spans)).alias("spans"),
+    )
 
 
 def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """The same rows and columns with secrets replaced in the text, and its length brought up to date.
 
-    Null texts stay null. ``length_col`` is left alone if the table has no such column
-    or the text has no secret.
+    Null and empty texts stay as they are. ``length_col`` is left alone if the table has no
+    such column or the text has no secret. Texts are scanned twice: for the thresholds, and for
+    the spans.
     """
     names = docs.columns
     has_length = length_col in names

@@ -4,6 +4,7 @@ import random
 import re
 import string
 from collections import Counter
+from functools import lru_cache
 from itertools import product
 
 from cellframe.llm import secrets
@@ -156,3 +157,97 @@ def test_query(spark):
         base = plain_base(text or "")
         assert got[doc_id].base_sha256 == hashlib.sha256(",".join(f"{k}:{s}:{e}" for s, e, k in base).encode()).hexdigest()
         assert set(secrets.shown(base).split(",")) <= set(got[doc_id].spans.split(","))
+
+
+@lru_cache
+def uniform_pairs(n, size):
+    """P(each number of pairs of equal symbols) among uniform ones, symbol by symbol with binomial counts."""
+    states = {(n, 0): 1.0}
+    for left in range(size, 0, -1):
+        after = Counter()
+        for (m, pairs), p in states.items():
+            for c in range(m + 1) if left > 1 else (m,):
+                share = p * math.comb(m, c) * (1 / left) ** c * (1 - 1 / left) ** (m - c) if left > 1 else p
+                if share > 1e-15:
+                    after[m - c, pairs + c * (c - 1) // 2] += share
+        states = after
+    return {pairs: p for (_, pairs), p in states.items()}
+
+
+@lru_cache
+def uneven_pairs(n, size, prior=0.3):
+    """The same when the rates have a symmetric Dirichlet prior: beta-binomial counts."""
+    beta = lambda a, b: math.lgamma(a) + math.lgamma(b) - math.lgamma(a + b)
+    states = {(n, 0): 1.0}
+    for left in range(size, 0, -1):
+        after = Counter()
+        rest = prior * (left - 1)
+        for (m, pairs), p in states.items():
+            for c in range(m + 1) if left > 1 else (m,):
+                share = p * math.comb(m, c) * math.exp(beta(prior + c, rest + m - c) - beta(prior, rest)) if left > 1 else p
+                if share > 1e-15:
+                    after[m - c, pairs + c * (c - 1) // 2] += share
+        states = after
+    return {pairs: p for (_, pairs), p in states.items()}
+
+
+def plain_battery(token):
+    """Both p-values of a string, from the tests' definitions with numbers of the text model alone shared."""
+    size, chars = min((len(set(chars)), chars) for chars in secrets.ENCODINGS.values() if set(token) <= set(chars))
+    name = next(k for k, v in secrets.ENCODINGS.items() if v == chars)
+    v = [secrets.ENCODINGS[name].index(c) for c in token]
+    n, pairs = len(v), sum(x == y for i, x in enumerate(v) for y in v[:i])
+    chi = sum(p for k, p in uniform_pairs(n, size).items() if k >= pairs)
+    normal = lambda z: math.erfc(abs(z) / math.sqrt(2))  # noqa: E731  (two-sided)
+    up = [2 * x >= size for x in v]
+    a, b = up.count(True), up.count(False)
+    if a and b:
+        mean = 1 + 2 * a * b / n
+        spread = 2 * a * b * (2 * a * b - n) / (n * n * (n - 1))
+        runs = normal((1 + sum(up[i] != up[i - 1] for i in range(1, n)) - mean) / math.sqrt(spread)) if spread > 0 else 1.0
+    else:
+        runs = 2.0 ** (1 - n)
+    m = sum(v) / n
+    whole = sum((x - m) ** 2 for x in v)
+    serial = normal((sum((v[i] - m) * (v[i + 1] - m) for i in range(n - 1)) / whole + 1 / n) * math.sqrt(n)) if whole else 0.0
+    logs = []
+    for form in (token, token.swapcase()):
+        kinds = ["start"] + ["lower" if c in string.ascii_lowercase else "upper" if c in string.ascii_uppercase else "digit" if c in string.digits else "mark" for c in form]
+        logs.append(sum(secrets.STEPS[kinds[i]][kinds[i + 1]] + secrets.SYMBOLS[c] for i, c in enumerate(form)))
+    text = min(1.0, math.exp(max(logs) + n * math.log(size)) * len(secrets.ENCODINGS))
+    return min(1.0, 3 * min(chi, runs, serial)), max(text, sum(p for k, p in uneven_pairs(n, size).items() if k <= pairs)) if size <= 16 else text
+
+
+def test_random_spans_against_a_plain_version(spark):
+    """The battery's spans of a whole table: plain p-values, then Benjamini-Hochberg on sorted ones, stratum by stratum."""
+    rng = random.Random(41)
+    draw = lambda name, k: "".join(rng.choices(secrets.ENCODINGS[name], k=k))
+    words = ["the", "region", "station", "heron", "internationalization", "getElements", "MAX_COUNT", "2024", "verwaltung"]
+    tokens = [draw(name, k) for name in ("base62", "base32", "upper", "HEX", "decimal", "base64url") for k in (20, 24, 33) for _ in range(4)]
+    tokens += [rng.choice(["_", "-", "/", ""]).join(rng.choices(words, k=6))[: rng.choice([20, 24, 33])] for _ in range(60)] + ["ab" * 12, "0123456789" * 2, "a" * 20]
+    rng.shuffle(tokens)
+    texts = [" ".join(["see", *tokens[i : i + 3], "password=" + draw("base62", 24), "é."]) for i in range(0, len(tokens), 3)] + [None, ""]
+
+    tried = {}  # (row, start, end) -> (stratum, p rounded up to the grid)
+    for row, text in enumerate(texts):
+        taken = {i for s, e, _ in plain_base(text or "") for i in range(s, e)}
+        for m in re.finditer("[A-Za-z0-9+/_-]+", text or ""):
+            if len(m[0]) >= 20 and not taken & set(range(*m.span())):
+                p_random, p = plain_battery(m[0])
+                if p_random >= 0.01:
+                    stratum = max(x for x in (20, 32, 48, 64, 128) if len(m[0]) >= x)
+                    tried[row, *m.span()] = stratum, math.exp(-min(math.floor(-math.log(p) * 16 + 1e-9), 1600) / 16)
+    spans = {row: [(s, ("assign", "access", "hex").index(k), e, k) for s, e, k in plain_base(text or "")] for row, text in enumerate(texts)}
+    for stratum in {s for s, _ in tried.values()}:
+        ps = sorted(p for s, p in tried.values() if s == stratum)
+        most = max((p for rank, p in enumerate(ps, 1) if p <= 0.005 * rank / len(ps)), default=-1.0)
+        for (row, start, stop), (s, p) in tried.items():
+            if s == stratum and p <= most:
+                spans[row].append((start, 3, stop, "random"))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in secrets.scan_table(docs).collect()}
+    assert sum(r.n_random for r in got.values()) >= 40 and len(got) == len(texts)
+    for row, some in spans.items():
+        assert got[row].spans == ",".join(f"{k}:{s}:{e}" for s, _, e, k in sorted(some))
+        assert got[row].n_random == sum(k == "random" for *_, k in some)
+        assert got[row].base_sha256 == hashlib.sha256(",".join(f"{k}:{s}:{e}" for s, _, e, k in sorted(some) if k != "random").encode()).hexdigest()
