@@ -369,12 +369,16 @@ def scan_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     spans = F.transform(random, lambda c: F.struct(c.start.alias("start"), F.lit(KINDS.index("random")).cast("long").alias("kind"), c.stop.alias("stop")))
     names = F.array(*map(F.lit, KINDS))
 
+    def count_of(kind: int):
+        # a lambda of two parameters would be given the place in the array as the second
+        return F.size(F.filter("base", lambda x: x.kind == kind)).cast("long")
+
     def text_of(some):
         return F.array_join(F.transform(F.array_sort(some), lambda x: F.concat_ws(":", names[x.kind.cast("int")], x.start, x.stop)), ",")
 
     return found.select(
         "doc_id",
-        *[F.size(F.filter("base", lambda x, i=i: x.kind == i)).cast("long").alias(f"n_{name}") for i, name in enumerate(KINDS[:3])],
+        *[count_of(i).alias(f"n_{name}") for i, name in enumerate(KINDS[:3])],
         F.size(random).cast("long").alias("n_random"),
         F.sha2(text_of(F.col("base")), 256).alias("base_sha256"),
         text_of(F.concat("base", spans)).alias("spans"),
