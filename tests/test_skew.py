@@ -145,3 +145,22 @@ def test_clashing_names(plain):
     assert joins.box_join(points, boxes, ["x", "y"], ["x", "y"], ["a", "c"], ["b", "d"]).count() == found.count()
     near = joins.nearest_join(points, boxes, ["x", "y"], ["a", "c"], "q", ["p"], 2)
     assert near.count() == 4 and near.columns == points.columns + boxes.columns + ["dist", "rank"]
+
+
+def test_levels_of_split_cells_are_one_branch_each(spark):
+    split = {-joins.STEP * k: [k] for k in range(joins.DEEPER)}
+    column = joins._deeper(F.col("l"), [F.col("a")], [F.col("b")], [1.0], 0, split)
+    shorter = joins._deeper(F.col("l"), [F.col("a")], [F.col("b")], [1.0], 0, {-joins.STEP * k: [k] for k in range(joins.DEEPER // 2)})
+    assert len(str(column)) < 3 * len(str(shorter))
+
+
+def test_joins_send_no_side_through_the_driver_and_use_all_partitions(spark):
+    some = spark.range(6000).selectExpr("id AS a", "CAST(id % 7 AS DOUBLE) AS x")
+    other = spark.range(50).selectExpr("id AS b", "CAST(id % 7 AS DOUBLE) AS u", "CAST(id % 7 AS DOUBLE) + 1 AS v")
+    boxes = some.selectExpr("a", "x", "x + 1 AS y")
+    for met in (joins.window_join(some, other, ["x"], ["u"], ["v"]), joins.box_join(boxes, other, ["x"], ["y"], ["u"], ["v"])):
+        rows = met.count()
+        plan = met._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan and "REPARTITION_BY_NUM" in plan
+        near = some.join(other, (F.col("u") <= F.col("x") + (1 if "y" in met.columns else 0)) & (F.col("x") <= F.col("v")))
+        assert rows == near.count()
