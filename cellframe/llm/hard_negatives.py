@@ -7,8 +7,8 @@ merged from the lowest slot upwards, slots give the best rows below every upper
 lower limit only takes rows from the end of those.
 
 Rows and anchors are packed into blocks of numbers. Every block of rows meets every block of
-anchors by a join on the anchors' block and a salt, so no side passes the driver or is
-broadcast by hint, and scores are matrix products of whole numbers.
+anchors by a merge join on a salt, which rows have one of and anchors are copied for, so no side
+passes the driver, and scores are matrix products of whole numbers.
 """
 
 from __future__ import annotations
@@ -218,12 +218,12 @@ def meet(rows: DataFrame, anchors: DataFrame, blocks: int, salts: int, keep: Cal
     names = ("keys", "ids", "labels", "vectors", "kind", "windows")
     anchors = written(anchors, "anchors")
     out = []
+    dealt = rows.withColumn("salt", F.pmod(F.xxhash64("number"), F.lit(salts)).cast("int"))
     for low in range(0, blocks, ROUND):
-        some = F.sequence(F.lit(low), F.lit(min(low + ROUND, blocks) - 1))
-        those = rows.withColumn("salt", F.pmod(F.xxhash64("number"), F.lit(salts)).cast("int")).withColumn("block", F.explode(some))
         copies = anchors.select("block", *[F.col(c).alias(f"a_{c}") for c in names]).filter(F.col("block").between(low, low + ROUND - 1))
         copies = copies.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        met = those.join(copies, ["block", "salt"]).select("block", "ids", "labels", "vectors", "kind", *[f"a_{c}" for c in names])
+        # the copies are many times what Spark takes them for: a join that broadcasts would bring them all to the driver
+        met = dealt.join(copies.hint("merge"), "salt").select("block", "ids", "labels", "vectors", "kind", *[f"a_{c}" for c in names])
         out.append(written(met.mapInArrow(run, "key long, slot int, score long, id long"), "best"))
     return reduce(DataFrame.unionByName, out)
 

@@ -68,3 +68,18 @@ def test_query(spark):
     got = registry.op12_hard_negatives(spark, sf).select(*wanted.columns)
     rows = sorted(map(tuple, got.collect()))
     assert rows == sorted(wanted.fetchall()) and len(rows) > 100
+
+
+def test_no_side_is_broadcast(spark, monkeypatch):
+    plans = []
+
+    def watched(frame, what):
+        plans.append((what, frame._jdf.queryExecution().executedPlan().toString()))
+        return kept(frame, what)
+
+    kept = hard_negatives.written
+    monkeypatch.setattr(hard_negatives, "written", watched)
+    rows = [(i, i % 3, [float(i % 7), float(i % 5)]) for i in range(40)]
+    assert found(spark, rows) == brute(rows, 5)
+    met = [plan for what, plan in plans if what == "best"]
+    assert len(met) == 2 and not any("BroadcastHashJoin" in plan for plan in met)
