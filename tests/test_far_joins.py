@@ -95,3 +95,37 @@ def test_pivot_edges(spark):
     table = PivotTable.of(frame.withColumn("pivot0", F.lit(1)), "key", ("id", "pivot0"))
     assert table.nearest(5, [0.0, 0.0]).count() == 2 and table.nearest(0, [0.0, 0.0]).count() == 0
     assert scanned(table.within([9.0, 9.0], 1.0)) == 0 or table.within([9.0, 9.0], 1.0).count() == 0
+
+
+def test_pivot_join_of_keys_far_from_all(spark):
+    """Random directions: no pivot rules out a pair, and yet pairs do not become rows."""
+    rng = np.random.default_rng(5)
+    keys = rng.normal(size=(1500, 32))
+    keys /= np.linalg.norm(keys, axis=1)[:, None]
+    frame = spark.createDataFrame([(list(map(float, k)), i) for i, k in enumerate(keys)], "key array<double>, id long")
+    queries = frame.filter("id % 10 = 3").select(F.col("key").alias("at"), F.col("id").alias("q"))
+    joined = PivotTable.of(frame, "key", ("id",)).nearest_join(queries, "at", "q", 3)
+    got = {(r.q, r["rank"]): (r.id, r.dist) for r in joined.collect()}
+    assert len(got) == 3 * 150
+    for q in range(3, 1500, 10):
+        dist = np.linalg.norm(keys - keys[q], axis=1)
+        assert [got[q, k][0] for k in (1, 2, 3)] == np.argsort(dist, kind="stable")[:3].tolist()
+    assert sum(j.metrics().apply("numOutputRows").value() for j in _plan_joins(joined)) < 0.05 * 150 * 1500
+
+
+@pytest.mark.parametrize(("decimals", "n"), [(None, 4), (0, 5), (1, 3), (6, 2)])
+def test_pivot_join_ties(spark, monkeypatch, decimals, n):
+    """Copies, keys on a grid and distances that are rounded alike: ties go by value, nulls first, over tasks as well."""
+    monkeypatch.setattr("cellframe.operators.pivots.SHARE", 64)
+    rng = np.random.default_rng(11)
+    keys = np.vstack([rng.integers(0, 4, (150, 3)), np.full((60, 3), 2), rng.integers(0, 40, (90, 3)) / 10, np.full((2, 3), np.inf)])
+    rows = [(list(map(float, k)), None if i == 7 else f"v{(i * 37) % 302:03d}") for i, k in enumerate(keys)]
+    frame = spark.createDataFrame(rows, "key array<double>, v string")
+    queries = spark.createDataFrame([(rows[i][0], i) for i in range(0, 300, 3)], "at array<double>, q int")
+    dist = F.sqrt(F.aggregate(F.zip_with("key", "at", lambda p, c: (p - c) * (p - c)), F.lit(0.0), lambda s, x: s + x))
+    every = queries.crossJoin(frame).withColumn("dist", F.round(dist, decimals) if decimals is not None else dist)
+    want = every.withColumn("rank", F.expr("row_number() OVER (PARTITION BY q ORDER BY dist, v)")).filter(F.col("rank") <= n)
+    got = PivotTable.of(frame, "key", ("v",), 3).nearest_join(queries, "at", "q", n, decimals)
+    said = lambda df: sorted((r.q, r["rank"], r.v or "", r.dist, *r.key) for r in df.collect())
+    assert said(got) == said(want)
+    assert PivotTable.of(frame, "key", ("v",), 3).nearest_join(queries, "at", "q", 0).count() == 0
