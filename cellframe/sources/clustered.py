@@ -4,47 +4,58 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellframe.functions import bits
 from cellframe.functions.names import free
 from cellframe.operators.tables import SpatialTable
 from cellframe.plans.skew import row_hash
 
-
 #: Knots of the distribution function of each key, and the relative error of their ranks.
 KNOTS, RANK_ERROR = 64, 0.002
 
 
-def _share(key: str, knots: Sequence[float]) -> str:
-    """SQL for the share of rows below a key, straight lines between the knots (quantiles in even steps); 0 to 1.
+def _cells(x: np.ndarray, knots: np.ndarray, n_bits: int) -> np.ndarray:
+    """The numbers of the cells, of 2^n_bits: shares of rows below, straight lines between the knots (quantiles in even steps); nulls and NaNs lie in the last."""
+    last = len(knots) - 1
+    if last < 1 or knots[0] == knots[-1]:
+        return np.zeros(len(x), np.int64)
+    at = np.clip(np.searchsorted(knots, x, side="right") - 1, 0, last - 1)
+    low, high = knots[at], knots[at + 1]
+    with np.errstate(all="ignore"):
+        share = (at + np.nan_to_num((x - low) / (high - low), nan=0.0, posinf=0.0, neginf=0.0)) / last
+    share = np.where(x < knots[0], 0.0, np.where(x < knots[-1], share, 1.0))
+    return np.clip((share * (1 << n_bits)).astype(np.int64), 0, (1 << n_bits) - 1)
 
-    As one text: as calls for each knot it would be thousands of them.
-    """
-    number = lambda v: f"CAST('{v}' AS DOUBLE)"
-    x = f"CAST(`{key}` AS DOUBLE)"
-    parts = [f"WHEN {x} < {number(knots[0])} THEN 0D"]
-    for i, (a, b) in enumerate(zip(knots, knots[1:], strict=False)):
-        if b > a:
-            parts.append(f"WHEN {x} < {number(b)} THEN ({i}D + ({x} - {number(a)}) / {number(b - a)}) / {len(knots) - 1}D")
-    return f"CASE {' '.join(parts)} ELSE 1D END"
+
+def z_numbers(columns: Sequence[np.ndarray], knots: Sequence[np.ndarray], n_bits: int) -> np.ndarray:
+    """The Z-order numbers of the rows' cells, as ``bits.interleave`` joins them."""
+    cells = [_cells(x, k, n_bits) for x, k in zip(columns, knots, strict=True)]
+    out = np.zeros(len(cells[0]), np.int64)
+    for level in range(n_bits - 1, -1, -1):
+        for cell in cells:
+            out <<= 1
+            out |= (cell >> level) & 1
+    return out
 
 
-def grid_cells(df: DataFrame, keys: Sequence[str], n_bits: int) -> list[Column]:
-    """For each key the number of its cell, of 2^n_bits that its quantiles cut.
+def z_column(df: DataFrame, keys: Sequence[str], n_bits: int) -> Column:
+    """The Z-order number of a row's cell in a grid that the quantiles of each key cut.
 
-    Cells hold about as many rows each, so a few far values do not crowd the rest together.
+    Cells hold about as many rows each, so a few far values do not crowd the rest together. Numbers are
+    made a batch at a time: as expressions they are thousands of calls, too long a method to be compiled.
     """
     doubles = df.select(*[F.col(k).cast("double").alias(f"k{i}") for i, k in enumerate(keys)])
     quantiles = doubles.approxQuantile([f"k{i}" for i in range(len(keys))], [i / KNOTS for i in range(KNOTS + 1)], RANK_ERROR)
-    cells = []
-    for k, knots in zip(keys, quantiles, strict=True):
-        if not knots or knots[0] == knots[-1]:
-            cells.append(F.lit(0).cast("long"))
-        else:
-            cells.append(F.least(F.floor(F.expr(_share(k, knots)) * F.lit(float(1 << n_bits))), F.lit((1 << n_bits) - 1)).cast("long"))
-    return cells
+    knots = [np.array(q, float) for q in quantiles]
+
+    @F.pandas_udf("long")
+    def z(*columns: pd.Series) -> pd.Series:
+        return pd.Series(z_numbers([c.to_numpy(float) for c in columns], knots, n_bits))
+
+    return z(*[F.col(k).cast("double") for k in keys])
 
 
 def write_clustered(df: DataFrame, path: str, keys: Sequence[str], files: int | None = None, n_bits: int | None = None, mode: str = "errorifexists", row_group_bytes: int | None = None) -> None:
@@ -56,9 +67,8 @@ def write_clustered(df: DataFrame, path: str, keys: Sequence[str], files: int |
     """
     count = files or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bits_each = min(n_bits or 16, 62 // len(keys))
-    z, tie, *names = free(df, "_z", "_tie", *[f"_cell{i}" for i in range(len(keys))])
-    placed = df.withColumns(dict(zip(names, grid_cells(df, keys, bits_each), strict=True)) | {tie: row_hash(df)})
-    ordered = placed.withColumn(z, bits.interleave([F.col(n) for n in names], bits_each)).drop(*names)
+    z, tie = free(df, "_z", "_tie")
+    ordered = df.withColumns({z: z_column(df, keys, bits_each), tie: row_hash(df)})
     sorted_rows = ordered.repartitionByRange(count, z, tie).sortWithinPartitions(z, tie).drop(z, tie)
     sorted_rows.write.mode(mode).options(**({"parquet.block.size": row_group_bytes} if row_group_bytes else {})).parquet(path)
 

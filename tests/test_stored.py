@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cellframe.functions.metrics import L1, L2
 from cellframe.operators import mutate
 from cellframe.sources import stored
+from cellframe.sources.clustered import z_column, z_numbers
 from cellframe.sources.stored import Folder, StoredTable, VersionConflict
 
 SCHEMA = "x double, y double, id long, lo0 long"
@@ -138,3 +139,29 @@ def test_regions(spark, tmp_path, small):
     assert rows(box) == rows(base.filter("x BETWEEN 50 AND 950 AND y BETWEEN 50 AND 950"))
     assert scanned(ring) < 0.8 * scanned(box)
     assert table.region(lambda lo, hi: F.lit(False), lambda k: F.lit(True)).count() == 0
+
+
+def test_z_numbers():
+    """As ``bits.interleave`` of cells told one by one; nulls, NaNs and what lies above all knots are in the last cell."""
+    rng = np.random.default_rng(3)
+    knots = [np.sort(rng.integers(0, 30, 9)).astype(float), np.array([2.0, 2.0, 2.0]), np.sort(rng.normal(size=9)), np.array([])]
+    columns = [np.concatenate([rng.uniform(-5, 40, 200), k[:2], [np.nan, np.inf, -np.inf, 0.0][: 4 - len(k[:2])]]) for k in knots]
+
+    def cell(x, k):
+        if len(k) < 2 or k[0] == k[-1] or x < k[0]:
+            return 0
+        share = next(((i + (x - a) / (b - a)) / (len(k) - 1) for i, (a, b) in enumerate(zip(k, k[1:], strict=False)) if b > a and x < b), 1.0)
+        return min(int(share * 32), 31)
+
+    want = []
+    for row in zip(*columns, strict=True):
+        cells = [cell(x, k) for x, k in zip(row, knots, strict=True)]
+        want.append(int("".join(str(c >> level & 1) for level in range(4, -1, -1) for c in cells), 2))
+    assert z_numbers(columns, knots, 5).tolist() == want
+
+
+def test_clustered_write_has_a_short_plan(spark, tmp_path):
+    """Cells are no expressions of a branch for each knot, which are too long to be compiled and cost 30 us a row."""
+    frame = spark.range(1000).select(*[(F.col("id") * k % 997).cast("double").alias(f"k{k}") for k in (1, 3, 5, 7)])
+    placed = frame.withColumn("z", z_column(frame, frame.columns, 15))
+    assert len(placed._jdf.queryExecution().optimizedPlan().toString()) < 2000 and placed.select("z").distinct().count() > 900
