@@ -84,10 +84,10 @@ class Folder:
 
 def _bounds(frame: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(file, block, n_rows, lo0 ..., hi0 ...) of files below ``data``."""
-    where = F.regexp_extract("_metadata.file_path", r"(data/[0-9a-f]+/[^/]+)$", 1)
-    by = frame.groupBy(where.alias("file"), F.floor(F.col("_metadata.row_index") / BLOCK).cast("int").alias("block"))
+    by = frame.groupBy(F.col("_metadata.file_path").alias("file"), F.floor(F.col("_metadata.row_index") / BLOCK).cast("int").alias("block"))
     ends = [f(k).alias(f"{c}{i}") for c, f in (("lo", F.min), ("hi", F.max)) for i, k in enumerate(keys)]
-    return by.agg(F.count("*").alias("n_rows"), *ends)
+    # the name is cut out once a block, not once a row
+    return by.agg(F.count("*").alias("n_rows"), *ends).withColumn("file", F.regexp_extract("file", r"(data/[0-9a-f]+/[^/]+)$", 1))
 
 
 @dataclass(frozen=True)

@@ -165,3 +165,10 @@ def test_clustered_write_has_a_short_plan(spark, tmp_path):
     frame = spark.range(1000).select(*[(F.col("id") * k % 997).cast("double").alias(f"k{k}") for k in (1, 3, 5, 7)])
     placed = frame.withColumn("z", z_column(frame, frame.columns, 15))
     assert len(placed._jdf.queryExecution().optimizedPlan().toString()) < 2000 and placed.select("z").distinct().count() > 900
+
+
+def test_bounds_cut_names_once_a_block(spark, tmp_path):
+    StoredTable.create(points(spark, 50), str(tmp_path / "t"), ("x", "y"), 2)
+    frame = spark.read.parquet(*map(str, (tmp_path / "t" / "data").iterdir()))
+    plan = stored._bounds(frame, ("x", "y"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.rindex("regexp_extract") < plan.index("Aggregate")
