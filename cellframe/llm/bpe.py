@@ -166,6 +166,24 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", packed_col: st
     return map_batches(frame, build, f"doc_id {kind}, packed binary, decoded binary")
 
 
+def roundtrip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, packed, decoded): ``decode`` of ``encode``, in one Python worker a task in place of two that hold a vocabulary each."""
+    model = _model(docs, path)
+
+    def build():
+        codec = _codec(model.value, pattern)
+
+        def convert(batch: pa.RecordBatch) -> pa.RecordBatch:
+            packed = codec.encode_all(batch.column(1).to_pylist())
+            decoded = [codec.decode(p) for p in packed]
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary()), pa.array(decoded, pa.binary())], ["doc_id", "packed", "decoded"])
+
+        return convert
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return map_batches(keyed_text(docs, id_col, text_col), build, f"doc_id {kind}, packed binary, decoded binary")
+
+
 def unpack(packed: bytes | None) -> list[int]:
     """Ids as a list, for callers that want numbers."""
     return np.frombuffer(packed or b"", "<u4").tolist()

@@ -267,24 +267,26 @@ def fits(n: str, m: str) -> Column:
 
 def heavy_edges(sets: DataFrame, most: int, light: DataFrame) -> DataFrame:
     """Edges (a, b) of pairs with a set above ``most``; enough of them to connect what is linked."""
-    every = written(prefix_entries(sets, most), "prefixes")
+    # the sets' shingles bound their prefix entries, and those the stars and what is unsettled
+    bound = sets.agg(F.sum("n")).first()[0] or 0
+    every = written(prefix_entries(sets, most), "prefixes", bound)
     # lists may be long, so what is known of a list is joined to its entries by salted tokens
     # an entry whose remaining shared shingles do not reach even the list's smallest set links with none there
     sizes = every.groupBy("token").agg(F.count("*").alias("many"), F.min("n").alias("least")).filter("many > 1")
     useful = to_many(every, sizes.select("token", "least"), "token", "rep", SALTS).filter((F.col("rest") + 1) * 9 >= 4 * (F.col("n") + F.col("least")))
-    entries = written(useful.select("token", "rep", "n", "rest"), "useful-prefixes")
+    entries = written(useful.select("token", "rep", "n", "rest"), "useful-prefixes", bound)
     # the set that shares most of its shingles, as the original of a group of edited copies does
     ratio = (F.col("rest") + 1) / F.col("n")
     lists = entries.groupBy("token").agg(F.count("*").alias("many"), F.max(F.struct(ratio.alias("share"), (-F.col("rep")).alias("least"), "n")).alias("top")).filter("many > 1")
     starred = to_many(entries, lists.select("token", (-F.col("top.least")).alias("pivot"), F.col("top.n").alias("m")), "token", "rep", SALTS)
     stars = starred.filter((F.col("rep") != F.col("pivot")) & fits("n", "m")).select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
-    tried = written(stars, "stars")
-    edges = written(verified(tried, sets), "star-edges")
+    tried = written(stars, "stars", bound)
+    edges = written(verified(tried, sets), "star-edges", bound)
 
     known = components(edges.unionByName(light))
     labelled = entries.join(known.withColumnRenamed("node", "rep"), "rep", "left").select("token", "rep", "n", "rest", F.coalesce("comp", "rep").alias("comp"))
     open_lists = labelled.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("many")).filter("low <> high")
-    unsettled = written(to_many(labelled, open_lists.select("token", F.ceil(F.col("many") / BLOCK).alias("blocks")), "token", "rep", SALTS), "unsettled")
+    unsettled = written(to_many(labelled, open_lists.select("token", F.ceil(F.col("many") / BLOCK).alias("blocks")), "token", "rep", SALTS), "unsettled", bound)
     # a long list is cut into blocks, and its pairs of blocks are dealt to as many tasks
     own, every_block = F.pmod(F.xxhash64("rep"), F.col("blocks")), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     x = unsettled.select("token", own.alias("i"), every_block.alias("j"), F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("rest").alias("rest_a"), F.col("comp").alias("comp_a"))
@@ -310,7 +312,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     small = sets.filter(F.col("n") <= 5 * MOST_LIGHT // 4)
     counts = {r[0]: r[1] for r in small.groupBy("n").count().collect()}
     most = boundary(counts, list_length(small)) if counts else 0
-    light = written(light_edges(sets, most), "light-edges")
+    light = written(light_edges(sets, most), "light-edges", sum(many * light_cost(n, most) for n, many in counts.items()))
     twice = rows.filter("rep IS NOT NULL").groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low <> high").select(F.col("low").alias("a"), F.col("high").alias("b"))
     edges = heavy_edges(sets, most, light).unionByName(light)
     comps = components(written(edges.unionByName(twice).distinct(), "links"))

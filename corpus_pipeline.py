@@ -63,7 +63,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256, packed): the encoded corpus; a null or empty text has no ids."""
     path = public_tokenizers.path(TOKENS)
-    coded = bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN), path)
+    coded = bpe.roundtrip(docs, path, public_tokenizers.PATTERN)
     return coded.select(
         "doc_id",
         (F.octet_length("packed") / 4).cast("long").alias("n_tokens"),

@@ -67,3 +67,14 @@ def test_queries(spark):
         ids = LIBRARY.encode_ordinary(text or "")
         assert coded[doc_id].ids_sha256 == hashlib.sha256(b"".join(x.to_bytes(4, "little") for x in ids)).hexdigest()
         assert counts[doc_id].n_tokens == len(TOKENIZER.encode(text or "", add_special_tokens=False).ids)
+
+
+def test_roundtrip_is_one_pass(spark):
+    """Encoding and decoding in one worker gives the rows of the two functions, and a task of the query has one worker."""
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(AWKWARD)] + [(None, "a b"), (3, None)], "doc_id int, text string")
+    apart = bpe.decode(bpe.encode(docs, PATH, public_tokenizers.PATTERN), PATH)
+    whole = bpe.roundtrip(docs, PATH, public_tokenizers.PATTERN)
+    assert whole.schema == apart.schema
+    assert sorted(map(tuple, whole.collect()), key=repr) == sorted(map(tuple, apart.collect()), key=repr)
+    plan = QUERIES["op1_byte_bpe"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1

@@ -217,3 +217,25 @@ def test_components_with_hot_nodes_and_labels(spark, monkeypatch):
         monkeypatch.setattr(graph, "MANY", many)
         found.append(sorted(map(tuple, graph.components(edges).collect())))
     assert found[0] == found[1] and {c for n, c in found[0] if n < 400} == {0} and {c for n, c in found[0] if 1000 <= n <= 1040} == {1000}
+
+
+def test_small_components_are_few_files(spark, monkeypatch):
+    """Rounds over a small graph are not written by all shuffle partitions: the files of a round follow the number of edges."""
+    files, plain = [], graph.written
+
+    def seen(*args):
+        out = plain(*args)
+        files.append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(graph, "written", seen)
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got = graph.components(spark.createDataFrame([(k // 10 * 10, k) for k in range(600)], "a long, b long")).collect()
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert {r.node: r.comp for r in got} == {k: k // 10 * 10 for k in range(600)}
+    assert len(files) >= 3 and max(files) <= spark.sparkContext.defaultParallelism
