@@ -6,6 +6,9 @@
 The writer compresses; with ``compress=False`` it emits literal codes with a clear code
 before the table can grow past nine bits, a valid stream of 9/8 of the size that packs
 without a loop over pixels. The reader takes either and any other stream.
+
+Tables are written and read many files at a time: runs of pixels between clear codes know
+nothing of each other, so one array operation takes the next pixel of all of them.
 """
 
 from __future__ import annotations
@@ -13,20 +16,32 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellframe.llm.common import keyed_text, map_batches
+from cellframe.llm.common import SLICE, keyed_text, map_batches
 
 WIDTH = 192
 ROWS = 1024
 GREY = np.repeat(np.arange(256, dtype=np.uint8)[:, None], 3, axis=1)
+EMPTY = np.zeros(0, np.uint8)
 LITERALS = 254
+#: Pixels of a run: a clear code stands between two, so that runs are encoded side by side.
+RUN = 8192
+#: Places of a run's table of strings, and how many runs have tables at once (32 MB).
+SLOTS_LOG2, LANES = 13, 1024
+#: Fewer runs than this are encoded one by one, to the same codes.
+FEW = 48
+#: Odd, and its product with a string's key (20 bits) spreads in the upper of 32 bits.
+SPREAD = 2654435769
+#: Pixels and bytes of code streams that are decoded at once, a whole file at least.
+GROUP = 1 << 20
 #: A canvas of more pixels is refused: its four bytes a pixel would come from the header alone.
 MOST_PIXELS = 1 << 26
 #: What ``parse`` raises for bytes that are no whole GIF.
@@ -112,29 +127,36 @@ def _widths(min_size: int, n: int) -> np.ndarray:
     return np.minimum(np.floor(np.log2(entries)).astype(np.int64) + 1, 12)
 
 
-def _code_runs(data: bytes, min_size: int) -> Iterator[list[int]]:
+@lru_cache(maxsize=16)
+def _first_widths(min_size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Widths of the codes after a clear code up to the widest, and where each ends; all further ones have 12 bits."""
+    widths = _widths(min_size, 4096)
+    return widths, np.cumsum(widths)
+
+
+def _code_runs(data: bytes, min_size: int) -> Iterator[np.ndarray]:
     """The codes between clear codes, up to the end code or the end of the data."""
     raw = np.zeros(len(data) + 4, np.uint32)
     raw[: len(data)] = np.frombuffer(data, np.uint8)
     clear, end, limit = 1 << min_size, (1 << min_size) + 1, 8 * len(data)
     at, step = 0, 4096
     while at < limit:
-        run: list[int] = []
+        run: list[np.ndarray] = []
         while True:
-            widths = _widths(min_size, len(run) + step)[len(run) :]
-            offsets = at + np.cumsum(widths) - widths
-            whole = int(np.searchsorted(offsets + widths, limit, side="right"))
-            offsets, widths = offsets[:whole], widths[:whole]
+            widths, ends = _first_widths(min_size) if not run else (np.full(step, 12), np.arange(12, 12 * step + 1, 12))
+            whole = int(np.searchsorted(ends, limit - at, side="right"))
+            widths, ends = widths[:whole], ends[:whole] + at
+            offsets = ends - widths
             byte = offsets >> 3
             window = raw[byte] | raw[byte + 1] << np.uint32(8) | raw[byte + 2] << np.uint32(16)
             codes = window >> (offsets & 7).astype(np.uint32) & ((1 << widths) - 1).astype(np.uint32)
             stop = np.flatnonzero((codes == clear) | (codes == end))
             n = int(stop[0]) if len(stop) else whole
-            run += codes[:n].tolist()
-            at = int(offsets[n] + widths[n]) if len(stop) else int(offsets[-1] + widths[-1]) if whole else limit
+            run.append(codes[:n])
+            at = int(ends[n]) if len(stop) else int(ends[-1]) if whole else limit
             if len(stop) or whole < step:
                 break
-        yield run
+        yield np.concatenate(run).astype(np.int64)
         if not len(stop) or codes[n] == end:
             return
 
@@ -152,7 +174,7 @@ def decode_lzw(data: bytes, min_size: int, n: int) -> np.ndarray:
     first = [bytes([i]) for i in range(1 << min_size)] + [b"", b""]
     out: list[bytes] = []
     length = 0
-    for run in _code_runs(data, min_size):
+    for run in map(np.ndarray.tolist, _code_runs(data, min_size)):
         if not run:
             continue
         if length >= n:
@@ -184,54 +206,176 @@ def decode_lzw(data: bytes, min_size: int, n: int) -> np.ndarray:
     return np.frombuffer(b"".join(out), np.uint8)[:n].copy()
 
 
+def _strings(codes: np.ndarray, starts: np.ndarray, clear: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """(length, code it extends or itself, last pixel) of each code's string, all runs at once; None if a code is beyond its table.
+
+    The entry that a code names was begun by an earlier code of its run: its string is that
+    code's and the first pixel of the next one's. Following these steps, twice as far each
+    time, leads to the pixel a string begins with and tells how long it is.
+    """
+    here = np.arange(len(codes))
+    named = codes - clear - 2
+    if (named >= here - starts).any():
+        return None
+    single = codes < clear
+    parent = np.where(single, here, starts + named)
+    root, steps = parent, (~single).astype(np.int64)
+    while len(late := np.flatnonzero(~single[root])):
+        steps[late] += steps[root[late]]
+        root = root[root]
+    first = codes[root]
+    return steps + 1, parent, np.where(single, codes, first[np.minimum(parent + 1, len(codes) - 1)])
+
+
+def decode_streams(streams: list[tuple[bytes, int, int]]) -> list[np.ndarray | None]:
+    """``n`` pixels of each (stream, code size, n); None where it is no plain stream of so many.
+
+    Strings are written back to front, a pixel of all strings at a time, each from the end of
+    the one that it extends.
+    """
+    runs, owners = [], []
+    for owner, (data, min_size, _) in enumerate(streams):
+        for run in _code_runs(data, min_size):
+            if len(run):
+                runs.append(run)
+                owners.append(owner)
+    if not runs:
+        return [None] * len(streams)
+    sizes, owners = np.array([len(r) for r in runs]), np.array(owners)
+    clears = np.array([1 << size for _, size, _ in streams])
+    made = _strings(np.concatenate(runs), np.repeat(np.cumsum(sizes) - sizes, sizes), np.repeat(clears[owners], sizes))
+    if made is None:
+        return [None] * len(streams)
+    lengths, parent, last = made
+    of_code = np.repeat(owners, sizes)
+    totals = np.bincount(of_code, weights=lengths, minlength=len(streams)).astype(np.int64)
+    fits = totals == [n for _, _, n in streams]
+    lengths = np.where(fits[of_code], lengths, 0)
+    ends = np.cumsum(lengths)
+    out = np.empty(int(ends[-1]), np.uint8)
+    code = np.flatnonzero(lengths)
+    place, last = ends[code] - 1, last.astype(np.uint8)
+    longer = np.flatnonzero(lengths[code] > 1)
+    out[place] = last[code]
+    while len(longer):
+        code, place = parent[code[longer]], place[longer] - 1
+        out[place] = last[code]
+        longer = np.flatnonzero(parent[code] != code)
+    ends = np.cumsum(np.where(fits, totals, 0))
+    return [out[end - n : end] if ok else None for ok, n, end in zip(fits.tolist(), totals.tolist(), ends.tolist(), strict=True)]
+
+
 def encode_lzw(pixels: bytes, min_size: int = 8) -> bytes:
-    """A compressed stream; the table is cleared when it is full."""
+    """A compressed stream; see ``encode_streams``."""
+    return encode_streams([pixels], min_size)[0]
+
+
+def encode_streams(images: list[bytes], min_size: int = 8) -> list[bytes]:
+    """A compressed stream of each image's pixels; the table is cleared after every ``RUN`` pixels."""
     clear, end = 1 << min_size, (1 << min_size) + 1
-    runs: list[list[int]] = []
-    codes: list[int] = []
+    runs = [image[at : at + RUN] for image in images for at in range(0, len(image), RUN)]
+    order = sorted(range(len(runs)), key=lambda k: -len(runs[k]))
+    made: list[np.ndarray] = [np.zeros(0, np.int64)] * len(runs)
+    for at in range(0, len(order), LANES):
+        some = order[at : at + LANES]
+        few = len(some) < FEW
+        for k, codes in zip(some, [_run_codes(runs[k], min_size) for k in some] if few else _lane_codes([runs[k] for k in some], min_size), strict=True):
+            made[k] = codes
+    codes, widths, counts, k = [], [], [], 0
+    own, narrow = _first_widths(min_size)[0], np.array([min_size + 1])
+    for image in images:
+        mine = made[k : k + -(-len(image) // RUN)] or [np.zeros(0, np.int64)]
+        k += -(-len(image) // RUN)
+        widths.append(narrow)
+        for run in mine:
+            codes += [[clear], run]
+            widths.append(own[: len(run) + 1] if len(run) < len(own) else _widths(min_size, len(run) + 1))
+        codes.append([end])
+        counts.append(sum(map(len, mine)) + len(mine) + 1)
+    return _packed(np.concatenate(codes), np.concatenate(widths), np.array(counts)) if images else []
+
+
+def _run_codes(pixels: bytes, min_size: int) -> np.ndarray:
+    """The codes of one run, pixel by pixel.
+
+    A place of the table keeps the last string that fell on it, so a string may be learnt twice:
+    codes are a few more than they could be, and valid all the same. Code 4095 is not used.
+    """
     table: dict[int, int] = {}
-    get, put = table.get, codes.append
-    following, current = end + 1, -1
-    for value in pixels:
-        if current < 0:
-            current = value
-            continue
+    get, codes = table.get, []
+    put, following, down = codes.append, (1 << min_size) + 2, 32 - SLOTS_LOG2
+    rest = iter(pixels)
+    current = next(rest)
+    for value in rest:
         key = current << 8 | value
-        known = get(key)
-        if known is not None:
-            current = known
+        place = (key * SPREAD & 0xFFFFFFFF) >> down
+        known = get(place, -1)
+        if known >> 12 == key:
+            current = known & 4095
             continue
         put(current)
         current = value
-        table[key] = following
-        following += 1
-        if following == 4096:
-            codes.append(current)  # what is begun ends here, so that a run is whole
-            runs.append(codes)
-            codes, current, following = [], -1, end + 1
-            put = codes.append
-            table.clear()
-    if current >= 0:
-        codes.append(current)
-    runs.append(codes)
-    flat, widths = [], []
-    for k, run in enumerate(runs):
-        flat += [clear, *run] if k == 0 else run
-        flat.append(clear if k + 1 < len(runs) else end)
-        own = _widths(min_size, len(run) + 1)
-        widths.append(np.concatenate([[min_size + 1], own]) if k == 0 else own)
-    return _packed(np.array(flat, np.int64), np.concatenate(widths))
-
-
-def _packed(codes: np.ndarray, widths: np.ndarray) -> bytes:
-    """Codes of given widths, lowest bit first; their bits never overlap, so bytes are sums."""
-    offsets = np.cumsum(widths) - widths
-    size = int(offsets[-1] + widths[-1] + 7) >> 3
+        if following < 4095:
+            table[place] = key << 12 | following
+            following += 1
+    put(current)
+    return np.array(codes, np.int64)
+
+
+def _lane_codes(runs: list[bytes], min_size: int) -> list[np.ndarray]:
+    """``_run_codes`` of each run, longest first: each step takes one pixel of all runs that still have one."""
+    lengths = np.array([len(r) for r in runs])
+    counts = np.searchsorted(-lengths, -np.arange(lengths[0] + 1))  # runs that have a pixel t
+    begins = np.cumsum(counts) - counts
+    values = np.empty(int(lengths.sum()), np.uint32)
+    for lane, run in enumerate(runs):
+        values[begins[: len(run)] + lane] = np.frombuffer(run, np.uint8)
+    emitted, isnew = np.empty(len(values), np.uint16), np.empty(len(values), bool)
+    table = np.full(len(runs) << SLOTS_LOG2, 0xFFFFFFFF, np.uint32)
+    base = np.arange(len(runs)) << SLOTS_LOG2
+    down, eight, twelve, low, spread = map(np.uint32, (32 - SLOTS_LOG2, 8, 12, 4095, SPREAD))
+    following = np.full(len(runs), (1 << min_size) + 2, np.uint32)
+    current, last = values[: len(runs)], np.empty(len(runs), np.uint32)
+    for t, (n, at) in enumerate(zip(counts[1:].tolist(), begins[1:].tolist(), strict=True), 1):
+        if n < len(current):
+            last[n : len(current)] = current[n:]
+            current, base, following = current[:n], base[:n], following[:n]
+        value = values[at : at + n]
+        key = current << eight
+        key |= value
+        place = base + (key * spread >> down)
+        known = table[place]
+        new = known >> twelve != key
+        emitted[at : at + n], isnew[at : at + n] = current, new
+        current = np.where(new, value, known & low)
+        if t >= 4093 - (1 << min_size):  # before, no table can be full
+            new &= following < 4095
+        key <<= twelve
+        key |= following
+        table[place] = np.where(new, key, known)
+        following += new
+    out = []
+    for lane, run in enumerate(runs):
+        own = begins[1 : len(run)] + lane
+        out.append(np.concatenate([emitted[own][isnew[own]], last[lane : lane + 1]]).astype(np.int64))
+    return out
+
+
+def _packed(codes: np.ndarray, widths: np.ndarray, counts: np.ndarray) -> list[bytes]:
+    """Streams of so many codes of given widths, lowest bit first; bits never overlap, so bytes are sums."""
+    ends = np.cumsum(widths)
+    behind = np.cumsum(counts)
+    bits = np.diff(ends[behind - 1], prepend=0)
+    sizes = (bits + 7) >> 3
+    stops = np.cumsum(sizes)
+    offsets = ends - widths + np.repeat(8 * (stops - sizes) - (ends[behind - 1] - bits), counts)
     shifted = codes << (offsets & 7)
-    total = np.zeros(size + 3)
+    place, room = offsets >> 3, int(stops[-1]) + 3
+    total = np.zeros(room)
     for k in range(3):
-        total += np.bincount((offsets >> 3) + k, weights=shifted >> 8 * k & 255, minlength=size + 3)[: size + 3]
-    return total.astype(np.uint8)[:size].tobytes()
+        total += np.bincount(place + k, weights=shifted >> 8 * k & 255, minlength=room)
+    data = total.astype(np.uint8).tobytes()
+    return [data[stop - size : stop] for stop, size in zip(stops.tolist(), sizes.tolist(), strict=True)]
 
 
 # --- files ---
@@ -265,8 +409,12 @@ def control(delay_cs: int = 0, disposal: int = 0, transparent: int | None = None
 
 
 def image(left: int, top: int, width: int, height: int, pixels: bytes, palette: bytes = b"", min_size: int = 8, compress: bool = True) -> bytes:
-    flags = 0x80 | ((len(palette) // 3).bit_length() - 2) if palette else 0
     codes = encode_lzw(pixels, min_size) if compress or min_size != 8 else pack_literals(np.frombuffer(pixels, np.uint8))
+    return framed(left, top, width, height, codes, palette, min_size)
+
+
+def framed(left: int, top: int, width: int, height: int, codes: bytes, palette: bytes = b"", min_size: int = 8) -> bytes:
+    flags = 0x80 | ((len(palette) // 3).bit_length() - 2) if palette else 0
     return struct.pack("<BHHHHB", 0x2C, left, top, width, height, flags) + palette + bytes([min_size]) + blocked(codes)
 
 
@@ -277,18 +425,74 @@ def screen(width: int, height: int, palette: bytes = b"", background: int = 0) -
 
 def write_bytes(payload: bytes, compress: bool = True) -> bytes:
     """The payload, a positive multiple of 192 bytes, as grey pixels 192 wide, 1024 rows to a frame of 0.1 s."""
-    rows = len(payload) // WIDTH
-    if not rows or len(payload) % WIDTH:
+    return write_all([payload], compress)[0]
+
+
+def write_all(payloads: list[bytes], compress: bool = True) -> list[bytes]:
+    """``write_bytes`` of each payload."""
+    if any(not p or len(p) % WIDTH for p in payloads):
         raise ValueError("the payload must be a positive multiple of 192 bytes")
-    parts = [screen(WIDTH, min(rows, ROWS), GREY.tobytes())]
-    for top in range(0, rows, ROWS):
-        height = min(ROWS, rows - top)
-        parts += [control(10, 1), image(0, 0, WIDTH, height, payload[top * WIDTH : (top + height) * WIDTH], compress=compress)]
-    return b"".join([*parts, b"\x3b"])
+    frames = [[p[at : at + ROWS * WIDTH] for at in range(0, len(p), ROWS * WIDTH)] for p in payloads]
+    flat = [pixels for own in frames for pixels in own]
+    streams = iter(encode_streams(flat) if compress else [pack_literals(np.frombuffer(p, np.uint8)) for p in flat])
+    out, grey = [], GREY.tobytes()
+    for own in frames:
+        parts = [screen(WIDTH, len(own[0]) // WIDTH, grey)]
+        for pixels in own:
+            parts += [control(10, 1), framed(0, 0, WIDTH, len(pixels) // WIDTH, next(streams))]
+        out.append(b"".join([*parts, b"\x3b"]))
+    return out
 
 
 def parse(data: bytes) -> Gif:
     """Frames with their own pixels, palettes and timing; what is not a GIF raises ValueError."""
+    gif, streams = outline(data)
+    return filled(gif, [s[:3] for s in streams], [s[3] for s in streams], decode_streams([s[:3] for s in streams]))
+
+
+def parse_all(files: Iterable[bytes | None]) -> Iterator[Gif | None]:
+    """``parse`` of each file, None where it is none; streams are decoded together while they and their pixels are within ``GROUP``."""
+    held: list[tuple[Gif | None, list[tuple[bytes, int, int, bool]]]] = []
+    size = 0
+
+    def out() -> Iterator[Gif | None]:
+        pixels = iter(decode_streams([s[:3] for _, streams in held for s in streams]))
+        for gif, streams in held:
+            own = [next(pixels) for _ in streams]
+            try:
+                yield gif and filled(gif, [s[:3] for s in streams], [s[3] for s in streams], own)
+            except BROKEN:
+                yield None
+
+    for data in files:
+        try:
+            gif, streams = outline(data or b"")
+        except BROKEN:
+            gif, streams = None, []
+        more = sum(len(codes) + n for codes, _, n, _ in streams)
+        if held and size + more > GROUP:
+            yield from out()
+            held, size = [], 0
+        held.append((gif, streams))
+        size += more
+    yield from out()
+
+
+def filled(gif: Gif, streams: list[tuple[bytes, int, int]], woven: list[bool], pixels: list[np.ndarray | None]) -> Gif:
+    """The outline with its pixels; streams that gave none are decoded code by code, which raises ValueError for broken ones."""
+    for f, stream, interlaced, flat in zip(gif.frames, streams, woven, pixels, strict=True):
+        f.pixels = (decode_lzw(*stream) if flat is None else flat).reshape(f.height, f.width)
+        if interlaced:
+            h = f.height
+            order = [*range(0, h, 8), *range(4, h, 8), *range(2, h, 4), *range(1, h, 2)]
+            straight = np.empty_like(f.pixels)
+            straight[order] = f.pixels
+            f.pixels = straight
+    return gif
+
+
+def outline(data: bytes) -> tuple[Gif, list[tuple[bytes, int, int, bool]]]:
+    """A file's frames without their pixels, and for each (stream, code size, pixels, whether its rows are interlaced)."""
     if data[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("not a GIF")
     width, height, flags, background, _ = struct.unpack_from("<HHBBB", data, 6)
@@ -305,7 +509,7 @@ def parse(data: bytes) -> Gif:
         return colours
 
     shared = palette(flags)
-    out = Gif(width, height, shared[background] if shared is not None else None, None, [])
+    out, streams = Gif(width, height, shared[background] if shared is not None else None, None, []), []
     delay, disposal, transparent = 0, 0, None
     try:
         while data[at] != 0x3B:
@@ -324,20 +528,17 @@ def parse(data: bytes) -> Gif:
                 own = palette(flags)
                 colours = own if own is not None else shared if shared is not None else GREY
                 size = data[at]
+                if size > 8:
+                    raise ValueError("pixels of more than eight bits")
                 codes, at = unblocked(data, at + 1)
-                pixels = decode_lzw(codes, size, w * h).reshape(h, w)
-                if flags & 0x40:
-                    order = [*range(0, h, 8), *range(4, h, 8), *range(2, h, 4), *range(1, h, 2)]
-                    straight = np.empty_like(pixels)
-                    straight[order] = pixels
-                    pixels = straight
-                out.frames.append(Frame(left, top, w, h, pixels, colours, transparent, disposal, 10 * delay))
+                streams.append((codes, size, w * h, bool(flags & 0x40)))
+                out.frames.append(Frame(left, top, w, h, EMPTY, colours, transparent, disposal, 10 * delay))
                 delay, disposal, transparent = 0, 0, None
             else:
                 raise ValueError("an unknown block")
     except (IndexError, struct.error) as e:
         raise ValueError("the file ends early") from e
-    return out
+    return out, streams
 
 
 def composed(gif: Gif) -> Iterator[tuple[int, np.ndarray]]:
@@ -402,13 +603,13 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     def build():
         def convert(batch: pa.RecordBatch) -> pa.RecordBatch:
             sized = [padded(t) for t in batch.column(1).to_pylist()]
-            media = [write_bytes(p) for _, p in sized]
+            media = write_all([p for _, p in sized])
             return pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in sized], pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
         return convert
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_batches(keyed_text(docs, id_col, text_col), build, f"doc_id {kind}, n_bytes long, media binary")
+    return map_batches(keyed_text(docs, id_col, text_col), build, f"doc_id {kind}, n_bytes long, media binary", 4 * SLICE)
 
 
 def read_media(stored: DataFrame) -> DataFrame:
@@ -421,11 +622,10 @@ def read_media(stored: DataFrame) -> DataFrame:
     def build():
         def convert(batch: pa.RecordBatch) -> pa.RecordBatch:
             rows = []
-            for data in batch.column(2).to_pylist():
+            files = batch.column(2).to_pylist()
+            for data, gif in zip(files, parse_all(files), strict=True):
                 own = (None, None) if data is None else (len(data), hashlib.sha256(data).hexdigest())
-                try:
-                    gif = parse(data or b"")
-                except BROKEN:
+                if gif is None or gif.width * gif.height > MOST_PIXELS:
                     rows.append((None, None, None, *own, None))
                     continue
                 payload = b"".join(f.pixels.tobytes() for f in gif.frames)

@@ -155,3 +155,37 @@ def test_null_and_broken_media(spark):
     got = {r.doc_id: r for r in gif.read_media(spark.createDataFrame(rows, "doc_id long, n_bytes long, media binary")).collect()}
     assert len(got) == 5 and got[1].payload_bytes == 192 and got[2].media_bytes is None and got[4].media_bytes == len(whole) - 40
     assert all(got[k].payload_sha256 is None and got[k].feature is None for k in (2, 3, 4, 5))
+
+
+def test_many_files_are_coded_together(monkeypatch):
+    rng = random.Random(3)
+    payloads = [gif.padded("".join(rng.choices("etaoin shrdlu", k=rng.choice([1, 300, 9000, 20_000]))))[1] for _ in range(60)]
+    payloads += [bytes(rng.choices(range(256), k=192 * 50)), b" " * 192 * 2100, bytes(192 * 60)]
+    alone = [gif.write_bytes(p) for p in payloads]
+    expected = [gif.encode_lzw(p) for p in payloads]
+
+    def refused(*_):
+        raise AssertionError("pixel by pixel")
+
+    monkeypatch.setattr(gif, "_run_codes", refused)
+    monkeypatch.setattr(gif, "decode_lzw", refused)
+    assert gif.write_all(payloads) == alone and gif.encode_streams(payloads) == expected
+    broken = [b"no", None, alone[0][:50]]
+    back = list(gif.parse_all([*alone, *broken]))
+    assert [b"".join(f.pixels.tobytes() for f in x.frames) for x in back[:-3]] == payloads and back[-3:] == [None] * 3
+    assert plain_decode(expected[-3], 8) == payloads[-3]
+
+
+def test_full_tables_and_one_bad_stream():
+    noise = bytes(np.random.default_rng(5).integers(0, 256, gif.RUN + 900, np.uint8))
+    data = gif.encode_lzw(noise)  # over 3838 codes to a run
+    assert plain_decode(data, 8) == noise and gif.decode_streams([(data, 8, len(noise))])[0].tobytes() == noise
+    good, cut = gif.write_bytes(b"x" * 1920), gif.write_bytes(b"y" * 1920)
+    cut = cut.replace(gif.blocked(gif.encode_lzw(b"y" * 1920)), gif.blocked(gif.encode_lzw(b"y" * 200)))
+    assert [x is not None for x in gif.parse_all([good, cut, good])] == [True, False, True]
+
+
+def test_canvases_over_the_limit_keep_their_rows(spark):
+    huge = gif.screen(65535, 65535, gif.GREY.tobytes()) + gif.image(0, 0, 1, 1, b"a") + b"\x3b"
+    (row,) = gif.read_media(spark.createDataFrame([(1, 1, huge)], "doc_id long, n_bytes long, media binary")).collect()
+    assert row.media_bytes == len(huge) and row.payload_sha256 is None and row.feature is None
