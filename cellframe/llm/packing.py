@@ -12,10 +12,13 @@ powers of two, which need no padding.
 from __future__ import annotations
 
 import os
+import re
 import unicodedata
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import accumulate, pairwise
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +30,12 @@ from cellframe.llm.common import keyed_text, pieces, shared_path
 from cellframe.llm.pretokens import MARKS, mapped, without_gc
 
 LENGTH = 4096
+#: Lines of lower-case letters below U+0530 with ASCII marks behind, in two groups that are empty for all others. An
+#: apostrophe can begin a pre-token of letters, a bar a special token.
+PLAIN = re.compile(
+    f"^(?:([{''.join(c for c in map(chr, range(0x530)) if c.isalpha() and c.islower())}]{{0,40}})([{re.escape(''.join(c for c in MARKS if c not in "'|"))}]{{0,20}})|.*)$",
+    re.MULTILINE,
+)
 
 
 class WordIds:
@@ -39,7 +48,7 @@ class WordIds:
     that go to the merges directly. All other parts go through the library whole.
     """
 
-    def __init__(self, spec: str, max_chars: int = 6_000_000):
+    def __init__(self, spec: str, max_chars: int = 14_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import tokenizers
 
@@ -64,31 +73,38 @@ class WordIds:
 
     def _learn(self, words: Iterable[str]) -> None:
         """Ids of words that are not known yet."""
-        code, plain, whole, split = self.code, self.plain, [], []
-        for word in words:
-            bare = word.rstrip(MARKS)
-            marks = word[len(bare) :]
-            if len(word) < 64 and "'" not in marks and "<|" not in marks and "|>" not in marks and (not bare or (bare.isalpha() and bare.islower() and (bare.isascii() or max(bare) < "԰"))):
-                split.append((word, bare, marks))
-            else:
-                whole.append(word)
-        new = list({p for _, *parts in split for p in parts if p not in plain})
-        for part, shown in zip(new, mapped(new), strict=True):
-            plain[part] = np.array([t.id for t in self.model.tokenize(shown)], code).tobytes()
-        for word, bare, marks in split:
-            self.known[word] = plain[bare] + plain[marks]
-            self.held += len(word) + 20
-        for word, found in zip(whole, self.tokenizer.encode_batch_fast(whole, add_special_tokens=False), strict=True):
-            self.known[word] = np.array(found.ids, code).tobytes()
-            self.held += len(word) * 3 + 20
+        words, known, plain = list(words), self.known, self.plain
+        if not words:
+            return
+        found = PLAIN.findall("\n".join(words))
+        bare, marks = zip(*found, strict=True)
+        new = list(set(bare).union(marks).difference(plain))
+        tokens = list(map(self.model.tokenize, mapped(new)))
+        plain.update(zip(new, self._cut(list(map(len, tokens)), [t.id for own in tokens for t in own]), strict=True))
+        known.update(zip(words, map(add, map(plain.__getitem__, bare), map(plain.__getitem__, marks)), strict=True))
+        whole = [word for word, parts in zip(words, found, strict=True) if parts == ("", "")]
+        encoded = [e.ids for e in self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)]
+        known.update(zip(whole, self._cut(list(map(len, encoded)), [i for ids in encoded for i in ids]), strict=True))
+        self.held += sum(map(len, words)) + 20 * len(words) + 2 * sum(map(len, whole))
+
+    def _cut(self, sizes: list[int], ids: list[int]) -> Iterator[bytes]:
+        """The packed ids, so many to each."""
+        data, width = np.array(ids, self.code).tobytes(), self.code.itemsize
+        return (data[width * start : width * end] for start, end in pairwise(accumulate(sizes, initial=0)))
 
     def packed(self, texts: Iterable[str | None]) -> list[bytes]:
         """The ids of each text in little-endian numbers of ``code``; a null text has none."""
         if self.held > self.max_chars:
             self.known, self.plain, self.held = {"": b""}, {"": b""}, 0
+        known = self.known
         cut = [self._lower(t).replace("\n", " ").replace("\t", " ").split(" ") if t else [] for t in texts]
-        self._learn(set().union(*cut).difference(self.known))
-        return [b"".join(map(self.known.__getitem__, words)) for words in cut]
+        got = [list(map(known.get, words)) for words in cut]
+        late = [[k for k, ids in enumerate(own) if ids is None] for own in got]
+        self._learn({words[k] for words, places in zip(cut, late, strict=True) for k in places})
+        for words, own, places in zip(cut, got, late, strict=True):
+            for k in places:
+                own[k] = known[words[k]]
+        return list(map(b"".join, got))
 
 
 @lru_cache(maxsize=2)

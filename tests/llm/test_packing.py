@@ -93,3 +93,23 @@ def test_edges(spark, library):
 def test_query(spark, library):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
     check(op13_packing(spark, "/root/testdata/sf0.001").collect(), {r.doc_id: [*library(r.text), 2] for r in docs}, 4096)
+
+
+def test_words_are_learnt_once(monkeypatch, library):
+    with open(PATH, encoding="utf-8") as lines:
+        words = packing.WordIds(lines.read())
+    rng = random.Random(9)
+    texts = [" ".join("".join(rng.choices("abcdeéñß", k=9)) + rng.choice(["", ",", ".\r", "'s", "|>", "²"]) for _ in range(500)) for _ in range(500)]
+    first = words.packed(texts)
+    assert words.held > 6_000_000  # what the cache held at most before
+    asked = []
+    learn = words._learn
+    monkeypatch.setattr(words, "_learn", lambda some: (asked.extend(some), learn(asked))[1])
+    assert words.packed(texts) == first and not asked
+    for text, packed in zip(texts[:5], first[:5], strict=True):
+        assert np.frombuffer(packed, words.code).tolist() == library(text)
+
+
+def test_plain_words():
+    words = ["abc", "abc,.", "é-", "...", "don't", "a|", "a1", "²", "A", "ƻa", "a" * 41, "a" + "." * 21, "a\r", "-a", "日本"]
+    assert packing.PLAIN.findall("\n".join(words)) == [("abc", ""), ("abc", ",."), ("é", "-"), ("", "..."), *[("", "")] * 11]
