@@ -164,3 +164,20 @@ def test_joins_send_no_side_through_the_driver_and_use_all_partitions(spark):
         assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan and "REPARTITION_BY_NUM" in plan
         near = some.join(other, (F.col("u") <= F.col("x") + (1 if "y" in met.columns else 0)) & (F.col("x") <= F.col("v")))
         assert rows == near.count()
+
+
+def test_pairs_of_heavy_keys_are_made_from_blocks(plain):
+    """A join of rows would make every pair in its buffer; columns keep their order, their types and their nulls."""
+    left = plain.range(9000).selectExpr("IF(id % 3 = 0, CAST(NULL AS STRING), CAST(id AS STRING)) AS `a.b`", "IF(id < 6000, 7L, IF(id = 6000, NULL, id)) AS k", "id AS p", "map('x', id) AS m")
+    right = plain.range(4000).selectExpr("id AS q", "IF(id < 1500, 7L, IF(id < 1600, NULL, id + 5000)) AS k")
+    found = skew.dealt_join(left, right, ["k"], 13_000)
+    assert found.dtypes == skew.spread_join(left, right, ["k"]).dtypes
+    rows = [(r.k, r["a.b"], r.p, r.m, r.q) for r in found.filter("p % 500 < 2 OR k <> 7").collect()]
+    told = lambda p: None if p % 3 == 0 else str(p)
+    hot = [(7, told(p), p, {"x": p}, q) for p in range(6000) if p % 500 < 2 for q in range(1500)]
+    assert sorted(rows, key=lambda r: (r[2], r[4])) == hot + [(k, told(k), k, {"x": k}, k - 5000) for k in range(6600, 9000)]
+    kept = found.filter("p % 500 < 2")
+    assert len(kept.collect()) == len(hot) + sum(p % 500 < 2 for p in range(6600, 9000))
+    made = sum(j.metrics().apply("numOutputRows").value() for j in _joins(kept._jdf.queryExecution().executedPlan()))
+    assert 0 < made < 24 * 1500  # not 24 * 1500 pairs, though the filter is known to the join
+    assert found.count() == 6000 * 1500 + 2400
