@@ -181,3 +181,18 @@ def test_pairs_of_heavy_keys_are_made_from_blocks(plain):
     made = sum(j.metrics().apply("numOutputRows").value() for j in _joins(kept._jdf.queryExecution().executedPlan()))
     assert 0 < made < 24 * 1500  # not 24 * 1500 pairs, though the filter is known to the join
     assert found.count() == 6000 * 1500 + 2400
+
+
+def test_no_radius_is_equality(plain):
+    """A third of the points at one place: its pairs are made from blocks, without a grid."""
+    points, xy = tables(plain, 9000, (500.0, 500.0))
+    odd = plain.createDataFrame([(0.0, -0.0, 20_000), (float("nan"), 1.0, 20_001), (float("inf"), 1.0, 20_002), (None, 1.0, 20_003), (1.0, 1.0 + 2**-52, 20_004)], "x double, y double, p long")
+    asked = [(500, 500.0, j) for j in range(1200)] + [(0, 0.0, 2000), (1, 1.0, 2001), (1, None, 2002)]
+    queries = plain.createDataFrame(asked, "u int, v double, q long").unionByName(odd.selectExpr("CAST(NULL AS INT) AS u", "y AS v", "p AS q"))
+    found = joins.distance_join(points.unionByName(odd), queries, ["x", "y"], ["u", "v"], 0.0)
+    assert found.columns == ["x", "y", "p", "u", "v", "q", "dist"]
+    kept = found.filter("p % 100 = 0 OR p >= 9000").select("p", "q", "dist")
+    assert sorted(map(tuple, kept.collect())) == [(p, q, 0.0) for p in range(0, 3000, 100) for q in range(1200)] + [(20_000, 2000, 0.0)]
+    assert sum(j.metrics().apply("numOutputRows").value() for j in _joins(kept._jdf.queryExecution().executedPlan())) < 30 * 1200
+    ends = plain.createDataFrame([(float("nan"), 1.0, 1), (float("inf"), 1.0, 2)], "u double, v double, q long")
+    assert joins.distance_join(odd, ends, ["x", "y"], ["u", "v"], 0.0).isEmpty()
